@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from floorspan.llm import decontaminate, language_id, toxicity
+from floorspan.llm import decontaminate, language_id, mixing, ngram_join, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,15 +23,27 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return language_id.keep_known(docs, model)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shingle Jaccard links: five words a shingle, similarity 0.8 or more."""
+    return ngram_join.keep_one(docs, n=5, num=80, den=100)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a word inside any benchmark window."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with ``copies``: how many times it takes each."""
+    return mixing.apply_mix(docs)
+
+
 STAGES = [
     ("toxicity", drop_toxic),
     ("language_id", keep_known_language),
+    ("ngram_join", drop_near_copies),
     ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
 ]
 
 #: The classifiers' fits can't be stated in SQL; tests hold the stages against brute-force versions.
