@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from floorspan.llm.chat_format import op3_chat_format
 from floorspan.llm.decontaminate import op7_decontaminate
 from floorspan.llm.language_id import op9_language_id
 from floorspan.llm.language_model import op1_lm_score
@@ -12,6 +13,6 @@ from floorspan.llm.quality_rules import op10_quality_rules
 from floorspan.llm.token_counts import op4_token_counts
 from floorspan.llm.toxicity import op8_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_lm_score, op2_mix_sources, op4_token_counts, op5_ngram_join, op6_quality_rank, op7_decontaminate, op8_toxicity, op9_language_id, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_mix_sources, op3_chat_format, op4_token_counts, op5_ngram_join, op6_quality_rank, op7_decontaminate, op8_toxicity, op9_language_id, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
