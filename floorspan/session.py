@@ -9,7 +9,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -26,3 +26,11 @@ def ship(spark: SparkSession) -> None:
             z.write(p, f"{top.name}/{p.relative_to(top)}")
     sc.addPyFile(target)
     sc._floorspan_shipped = True
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared checkpoint folder; where none is set, through one beside the warehouse."""
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+    return df.checkpoint()
