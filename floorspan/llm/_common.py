@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -40,13 +41,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows that are worked on at a time; a batch comes with up to 10,000.
+SLICE = 1024
+
+
+def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in slices, so that what is made of a batch stays small."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, SLICE):
+            yield batch.slice(lo, SLICE)
+
+
 def by_batch(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]]) -> DataFrame:
     """Map Arrow batches; ``make`` builds the batch function once in each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in batches:
-            if batch.num_rows and (out := step(batch)) is not None:
+        for batch in small(batches):
+            if (out := step(batch)) is not None:
                 yield out
 
     ship(df.sparkSession)
@@ -74,3 +86,20 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 def has_letter(text: str | None) -> bool:
     return bool(text) and _LETTER.search(text) is not None
+
+
+class Stored:
+    """A DataFrame written as Parquet to the shared checkpoint folder; ``drop`` deletes the files once nothing needs them."""
+
+    def __init__(self, df: DataFrame):
+        spark = df.sparkSession
+        checkpoint_ready(spark)
+        self._spark = spark
+        self.path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        self.df = spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        jvm = self._spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floorspan.llm._chars import codes, grams, groups, sums
-from floorspan.llm._common import by_batch, has_letter, id_remainder, keep_rows, table
+from floorspan.llm._common import by_batch, has_letter, id_remainder, keep_rows, small, table
 from floorspan.session import ship
 
 BITS = 14
@@ -40,7 +40,7 @@ def count_grams(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in small(batches):
             langs = batch.column(0).to_pylist()
             for at, own in groups(batch.column(1).to_pylist()):
                 by_lang: dict[str, list[str]] = {}

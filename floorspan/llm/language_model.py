@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from floorspan.llm._common import ascii_lower, cut, id_remainder, table
 from floorspan.session import ship
 
-HEAD, WIDTH, TAILS, HIDDEN = 2048, 64, 32, 24
+HEAD, WIDTH, TAILS, HIDDEN = 2048, 64, 32, 16
 KNOWN, KNOWN_BYTES = 1 << 18, 40
 STEPS, LANES = 16, 512
 #: Each round trains on the rows whose hash of the id, modulo 16, is in its share.
@@ -46,7 +46,7 @@ ROUNDS = ((0, 1), (1, 4), (4, 16))
 POOL_TOKENS = 3 << 20
 END = b""  # no word is empty
 PREFIX = 3
-COUNTER_ENTRIES = 300_000
+COUNTER_ENTRIES = 800_000
 
 
 def tail_class(word: bytes) -> int:
@@ -91,9 +91,8 @@ class Vocabulary:
             head = [*head[: HEAD - 1], END]
         self.head_size = len(head)
         place = {w: i for i, w in enumerate(head)}
-        #: word -> (symbol, log10(c + 1), whether it was seen); symbols: head words, then tail classes
-        self.symbol = {w: place[w] if w in place else HEAD + tail_class(w) for w, _ in known}
-        self.symbol.setdefault(END, place[END])
+        #: the symbol of each known word: a head word, or a tail class after them
+        self.symbol = np.array([place[w] if w in place else HEAD + tail_class(w) for w, _ in known], dtype=np.int32)
         self.index = {w: i for i, (w, _) in enumerate(known)}
         self.end = place[END]
         counts = np.zeros(HEAD)
@@ -165,27 +164,44 @@ def step(p: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray):
     return n + z * (h - n), r, z, n, gn
 
 
-def _log_softmax(a: np.ndarray) -> np.ndarray:
-    a = a - a.max(axis=1, keepdims=True)
-    a -= np.log(np.exp(a).sum(axis=1, keepdims=True))
-    return a
+_ONES = np.ones((max(WIDTH, HEAD // WIDTH + TAILS), 1), dtype=np.float32)
+
+
+def _exp_and_sum(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of logits and their sums by row; logits are kept where float32 can't overflow."""
+    e = np.exp(np.minimum(a, 60, out=a), out=a)
+    return e, (e @ _ONES[: a.shape[1]])[:, 0]
 
 
 def symbol_class(y: np.ndarray) -> np.ndarray:
-    return np.where(y < HEAD, y // WIDTH, y - HEAD + HEAD // WIDTH)
+    return np.where(y < HEAD, y // WIDTH, y - (HEAD - HEAD // WIDTH)).astype(np.uint8)
+
+
+def by_class(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts classes together, and where each head class begins in it; one more entry at the end."""
+    order = np.argsort(group, kind="stable")  # of bytes: a counting sort
+    return order, np.concatenate(([0], np.cumsum(np.bincount(group, minlength=N_CLASSES)[: HEAD // WIDTH])))
 
 
 def log_prob(p: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log probability of each symbol given its state; a tail class's own, without the word in it."""
     group = symbol_class(y)
-    out = _log_softmax(h @ p["k"] + p["kb"])[np.arange(len(y)), group].astype(np.float64)
-    order = np.argsort(group, kind="stable")
-    edges = np.searchsorted(group[order], np.arange(HEAD // WIDTH + 1))
+    e, total = _exp_and_sum(h @ p["k"] + p["kb"])
+    chance = e[np.arange(len(y)), group].astype(np.float64) / total
+    order, edges = by_class(group)
+    order = order[: edges[-1]]
+    hs, ys, inner, rows = h[order], y[order] % WIDTH, np.empty(len(order)), np.arange(len(order))
     for c in range(HEAD // WIDTH):
-        at = order[edges[c] : edges[c + 1]]
-        if len(at):
-            out[at] += _log_softmax(h[at] @ p["w"][c] + p["wb"][c])[np.arange(len(at)), y[at] % WIDTH]
-    return out
+        lo, hi = edges[c], edges[c + 1]
+        if hi > lo:
+            e, total = _exp_and_sum(hs[lo:hi] @ p["w"][c] + p["wb"][c])
+            inner[lo:hi] = e[rows[: hi - lo], ys[lo:hi]] / total
+    chance[order] *= inner
+    return np.log(np.maximum(chance, 1e-300))
+
+
+def _ones(n: int) -> np.ndarray:
+    return np.ones((1, n), dtype=np.float32)
 
 
 class Trainer:
@@ -214,7 +230,7 @@ class Trainer:
     def _window(self, x, y, h, end):
         p, (steps, lanes) = self.p, x.shape
         keep = (x != end).astype(np.float32)[:, :, None]  # a text begins from the zero state
-        xg = p["x"][x] + p["b"]
+        xg = (p["x"] + p["b"])[x]
         hs, saved = np.empty((steps, lanes, HIDDEN), dtype=np.float32), []
         for t in range(steps):
             h0 = h * keep[t]
@@ -225,38 +241,42 @@ class Trainer:
         total = len(flat_y)
         grad = {k: np.zeros(SHAPES[k], dtype=np.float32) for k in SHAPES if k != "x"}
         group, rows = symbol_class(flat_y), np.arange(total)
-        d = np.exp(_log_softmax(flat_h @ p["k"] + p["kb"]))
+        d, sums = _exp_and_sum(flat_h @ p["k"] + p["kb"])
+        d *= (1 / sums)[:, None]
         d[rows, group] -= 1
-        d /= total
-        grad["k"], grad["kb"] = flat_h.T @ d, d.sum(axis=0)
+        scaled = flat_h.T / np.float32(total)
+        grad["k"], grad["kb"] = scaled @ d, (_ones(total) @ d)[0] / total
         dh_out = d @ p["k"].T
-        order = np.argsort(group, kind="stable")
-        edges = np.searchsorted(group[order], np.arange(HEAD // WIDTH + 1))
+        order, edges = by_class(group)
+        order = order[: edges[-1]]
+        hc, yc, inner = flat_h[order], flat_y[order] % WIDTH, np.empty((len(order), HIDDEN), dtype=np.float32)
         for c in range(HEAD // WIDTH):
-            at = order[edges[c] : edges[c + 1]]
-            if len(at):
-                hc = flat_h[at]
-                d = np.exp(_log_softmax(hc @ p["w"][c] + p["wb"][c]))
-                d[np.arange(len(at)), flat_y[at] % WIDTH] -= 1
-                d /= total
-                grad["w"][c], grad["wb"][c] = hc.T @ d, d.sum(axis=0)
-                dh_out[at] += d @ p["w"][c].T
+            lo, hi = edges[c], edges[c + 1]
+            if hi > lo:
+                d, sums = _exp_and_sum(hc[lo:hi] @ p["w"][c] + p["wb"][c])
+                d *= (1 / sums)[:, None]
+                d[rows[: hi - lo], yc[lo:hi]] -= 1
+                grad["w"][c], grad["wb"][c] = hc[lo:hi].T @ d / total, (_ones(hi - lo) @ d)[0] / total
+                inner[lo:hi] = d @ p["w"][c].T
+        dh_out[order] += inner
+        dh_out *= np.float32(1 / total)
         dh_out = dh_out.reshape(steps, lanes, HIDDEN)
         dx = np.empty_like(xg)
         dh = np.zeros((lanes, HIDDEN), dtype=np.float32)
         for t in range(steps - 1, -1, -1):
             h0, r, z, n, gn = saved[t]
             dh = dh + dh_out[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dx[t, :, :HIDDEN] = dn * gn * r * (1 - r)
-            dx[t, :, HIDDEN : 2 * HIDDEN] = dh * (h0 - n) * z * (1 - z)
+            dz = dh * z
+            dn = (dh - dz) * (1 - n * n)
+            dr = dn * r
+            dx[t, :, :HIDDEN] = dr * gn * (1 - r)
+            dx[t, :, HIDDEN : 2 * HIDDEN] = dz * (h0 - n) * (1 - z)
+            dx[t, :, 2 * HIDDEN :] = dr
+            grad["u"] += h0.T @ dx[t]
+            dh = (dz + dx[t] @ p["u"].T) * keep[t]
             dx[t, :, 2 * HIDDEN :] = dn
-            dg = dx[t].copy()
-            dg[:, 2 * HIDDEN :] *= r
-            grad["u"] += h0.T @ dg
-            dh = (dh * z + dg @ p["u"].T) * keep[t]
         dx = dx.reshape(total, -1)
-        grad["b"] = dx.sum(axis=0)
+        grad["b"] = (_ones(total) @ dx)[0]
         self._update(grad, x.reshape(-1), dx)
         return hs[-1].copy()
 
@@ -273,18 +293,24 @@ class Trainer:
             self.pv[k] += 0.01 * g * g
             self.p[k] -= rate * self.pm[k] / (np.sqrt(self.pv[k]) + 1e-6)
         # the input table: only the rows met move, each by the root of its squares so far
-        order = np.argsort(x, kind="stable")
+        order = np.argsort(x.astype(np.uint16), kind="stable")
         at = np.flatnonzero(np.concatenate(([True], x[order][1:] != x[order][:-1])))
         used, g = x[order][at], np.add.reduceat(dx[order], at, axis=0)
         self.pv["x"][used] += g * g
         self.p["x"][used] -= 5 * self.rate * g / (np.sqrt(self.pv["x"][used]) + 1e-7)
 
 
-def _symbols(words: list[bytes], vocab: Vocabulary) -> list[int]:
-    get = vocab.symbol.get
-    out = [s if (s := get(w)) is not None else HEAD + zlib.crc32(w[:PREFIX]) % TAILS for w in words]
-    out.append(vocab.end)
-    return out
+def _symbols(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of a text's words and its end, and the words' places among the known ones, -1 for others."""
+    get = vocab.index.get
+    at = np.fromiter([get(w, -1) for w in words], dtype=np.int64, count=len(words))
+    out = np.empty(len(words) + 1, dtype=np.int32)
+    out[-1] = vocab.end
+    if len(vocab.symbol):
+        out[:-1] = vocab.symbol[at]
+    for i in np.flatnonzero(at < 0).tolist():
+        out[i] = HEAD + zlib.crc32(words[i][:PREFIX]) % TAILS
+    return out, at
 
 
 BLOCKS = 32
@@ -298,15 +324,17 @@ def train_round(texts: DataFrame, sent_vocab, flat: np.ndarray, rate: float) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, trainer = sent_vocab.value, Trainer(sent.value, rate)
-        held: list[int] = []
+        held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                held += _symbols(ascii_lower(text).split(), vocab)
-                if len(held) >= POOL_TOKENS:
-                    trainer.train(np.array(held, dtype=np.int32), vocab.end)
-                    held = []
+                held.append(_symbols(ascii_lower(text).split(), vocab)[0])
+                size += len(held[-1])
+                if size >= POOL_TOKENS:
+                    trainer.train(np.concatenate(held), vocab.end)
+                    held, size = [], 0
         if held:
-            trainer.train(np.array(held, dtype=np.int32), vocab.end)
+            trainer.train(np.concatenate(held), vocab.end)
         if trainer.words and np.isfinite(trainer.flat).all():
             task = TaskContext.get().partitionId()
             vectors = [trainer.flat[i * block : (i + 1) * block].astype(np.float64) * trainer.words for i in range(BLOCKS)]
@@ -336,29 +364,30 @@ def score_pool(p: dict[str, np.ndarray], pool: list[np.ndarray], end: int, lanes
     """Natural log probability of each symbol sequence; its state runs from its first to its last symbol."""
     out = np.zeros(len(pool))
     order = np.argsort([-len(s) for s in pool], kind="stable")
+    gates = p["x"] + p["b"]
     for lo in range(0, len(order), lanes):
         own = order[lo : lo + lanes]
         lengths = np.array([len(pool[i]) for i in own])
+        starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+        flat = np.concatenate([*(pool[i] for i in own), np.full(steps, end, dtype=np.int32)])
         h = np.zeros((len(own), HIDDEN), dtype=np.float32)
-        last = np.full(len(own), end, dtype=np.int32)
+        last = np.full((1, len(own)), end, dtype=np.int32)
         for at in range(0, int(lengths[0]), steps):
             live = int(np.searchsorted(-lengths, -at, side="left"))  # lengths fall, so the live lanes come first
-            size = np.minimum(lengths[:live] - at, steps)
-            width = int(size[0])
-            y = np.full((live, width), end, dtype=np.int32)
-            for k in range(live):
-                y[k, : size[k]] = pool[own[k]][at : at + width]
-            x = np.concatenate((last[:live, None], y[:, :-1]), axis=1)
-            xg = p["x"][x.T] + p["b"]
+            left = lengths[:live] - at
+            width = int(min(left[0], steps))
+            y = flat[(starts[:live] + at)[None, :] + np.arange(width)[:, None]]  # what follows a lane's end counts nothing
+            xg = gates[np.concatenate((last[:, :live], y[:-1]))]
             hs = np.empty((width, live, HIDDEN), dtype=np.float32)
             h = h[:live]
             for t in range(width):
                 h = step(p, xg[t], h)[0]
                 hs[t] = h
-            last = y[:, -1]
-            valid = np.arange(width)[:, None] < size[None, :]
-            lane = np.broadcast_to(np.arange(live), (width, live))[valid]
-            out[own[:live]] += np.bincount(lane, weights=log_prob(p, hs[valid], y.T[valid]), minlength=live)
+            last = y[-1:]
+            got = log_prob(p, hs.reshape(-1, HIDDEN), y.reshape(-1)).reshape(width, live)
+            if left[-1] < width:
+                got[np.arange(width)[:, None] >= left[None, :]] = 0
+            out[own[:live]] += got.sum(axis=0)
     return out
 
 
@@ -371,7 +400,7 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, flat: np.ndarra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, p = sent_vocab.value, unpack(sent.value)
-        get, counted, end = vocab.index.get, np.log10(vocab.count + 1.0), vocab.end
+        counted, end = np.log10(vocab.count + 1.0), vocab.end
         tail_z = np.log10(np.array(vocab.z, dtype=np.float64))
         end_at = vocab.index.get(END)
         first = TaskContext.get().partitionId() << 40
@@ -413,18 +442,18 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, flat: np.ndarra
             id_type = batch.column(0).type
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = ascii_lower(text).split()
-                at = [get(w, -1) for w in words]
-                found = np.array(at, dtype=np.int64)
+                symbols, found = _symbols(words, vocab)
                 inside = found >= 0
                 log = float(counted[found[inside]].sum())
                 seen = int(inside.sum())
+                rest = np.flatnonzero(~inside).tolist()
                 if end_at is not None:
                     log, seen = log + float(counted[end_at]), seen + 1
                 ids.append(doc_id)
-                pool.append(np.array(_symbols(words, vocab), dtype=np.int32))
+                pool.append(symbols)
                 known.append(seen)
                 logs.append(log)
-                tails.append(Counter([w for w, i in zip(words, at, strict=True) if i < 0]) if seen < len(words) + 1 else {})
+                tails.append(Counter([words[i] for i in rest]) if rest else {})
                 size += len(words) + 1
                 if size >= POOL_TOKENS:
                     yield from out()
