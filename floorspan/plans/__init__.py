@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("scalars", "joins", "aggregates", "ordering", "spatial")
+MODULES = ("scalars", "joins", "aggregates", "ordering", "spatial", "mutation", "imports", "streams")
 
 
 def all_queries():
