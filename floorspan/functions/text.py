@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,10 +75,6 @@ def search_text(text: Column) -> Column:
 
 def nfkc(text: Column) -> Column:
     """Compatibility normalization, which Spark has no function for: an Arrow function over batches."""
-    import unicodedata
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def normalize(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
