@@ -41,8 +41,9 @@ def _key(source: Column) -> Column:
 
 
 def _hash(doc_id: Column, text: Column) -> Column:
-    """The BITS * LEVELS leading bits of the row's hash."""
-    return F.shiftrightunsigned(F.xxhash64(doc_id, text, F.lit(17)), 64 - BITS * LEVELS)
+    """The BITS * LEVELS leading bits of the row's MD5, over id and text with a unit separator between them."""
+    both = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("\x1f"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(both), 1, BITS * LEVELS // 4), 16, 10).cast("long")
 
 
 def ranked(sizes: DataFrame) -> DataFrame:
