@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("scalars", "joins", "aggregates", "ordering", "spatial", "mutation", "imports", "streams")
+MODULES = ("scalars", "joins", "aggregates", "ordering", "spatial", "mutation", "imports", "streams", "lookups")
 
 
 def all_queries():

@@ -151,3 +151,24 @@ def problems(features_: DataFrame) -> DataFrame:
     counts = features_.groupBy("path").agg(F.count_if(F.col("feature_type") == "venue").alias("venues"), F.count_if(F.col("feature_type") == "level").alias("levels"))
     shape = counts.select("path", F.explode(F.array_compact(F.array(F.when(F.col("venues") != 1, "not_one_venue"), F.when(F.col("levels") == 0, "no_level")))).alias("code")).withColumn("detail", F.lit(None).cast("string"))
     return twice.unionByName(shape).unionByName(features_.filter("problem is not null").select("path", F.col("problem").alias("code"), F.col("id").alias("detail")))
+
+
+def unpack(packed: DataFrame, key: str = "venue") -> DataFrame:
+    """(venue, feature_type, id, properties) of archives given as (venue, content)."""
+    ship(packed.sparkSession)
+    kind = packed.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            venues, kinds, ids, properties = [], [], [], []
+            for venue, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for name, body in entries(data).items():
+                    if name.endswith(".geojson"):
+                        for f in json.loads(body)["features"]:
+                            venues.append(venue)
+                            kinds.append(f["feature_type"])
+                            ids.append(f["id"])
+                            properties.append(json.dumps(f["properties"]))
+            yield pa.RecordBatch.from_arrays([pa.array(venues, batch.schema.field(0).type), pa.array(kinds, pa.string()), pa.array(ids, pa.string()), pa.array(properties, pa.string())], [key, "feature_type", "id", "properties"])
+
+    return packed.select(key, "content").mapInArrow(run, f"{key} {kind}, feature_type string, id string, properties string")
