@@ -103,3 +103,40 @@ class Stored:
         jvm = self._spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def frequent(counts: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows of the highest counts, at most ``most`` of them; rows that tie at the border are left out together.
+
+    The border comes from two histograms (by powers of two, then 1024 steps inside one), so nothing is sorted
+    and no task gathers candidates.
+    """
+    c = F.col(count)
+    steps = 1024
+
+    def border(bins: list[tuple[int, int]], left: int) -> tuple[int | None, int]:
+        """The lowest bin down to which all bins fit, and what is left after them."""
+        fits = None
+        for b, n in sorted(bins, reverse=True):
+            if n > left:
+                return b, left
+            left, fits = left - n, b
+        return None, left
+
+    power = F.floor(F.log2(c.cast("double"))).cast("int")
+    at, left = border([(r.b, r.n) for r in counts.groupBy(power.alias("b")).agg(F.count("*").alias("n")).collect()], most)
+    if at is None:
+        return counts
+    low, width = 1 << at, max(1, (1 << at) // steps)
+    inside = counts.filter(power == at).groupBy(((c - low) / width).cast("long").alias("b")).agg(F.count("*").alias("n"))
+    step, _ = border([(r.b, r.n) for r in inside.collect()], left)
+    return counts.filter(c >= (low if step is None else low + (step + 1) * width))
+
+
+#: Rows of a few numbers each that a size-checked broadcast may have.
+MOST_SENT = 500_000
+
+
+def sent_if_small(df: DataFrame) -> DataFrame:
+    """A checkpointed table of a few numeric columns, marked for broadcast when it has at most MOST_SENT rows; else as it is."""
+    return F.broadcast(df) if df.limit(MOST_SENT + 1).count() <= MOST_SENT else df

@@ -10,11 +10,11 @@ over l) to verify.  A pair is a candidate when it shares l of its l-prefixes' sh
 
 No bucket is expanded into all pairs:
 * shingles of one class only are dropped by a count;
-* first every class is verified against one leader, the least class of the bucket that it meets most often;
-  what links joins a component;
+* first every class is verified against one leader, the class with the most copies in its buckets; what links
+  joins a component;
 * then only buckets with several components are joined, classes outside a bucket's largest component against
-  all others of another component, behind exact bounds on size and on the overlap by 256-bit parity sketches.
-  Links inside a component add nothing to it, so none that matters is lost.
+  all others of another component, behind exact bounds on size and on the overlap by parity sketches.  Links
+  inside a component add nothing to it, so none that matters is lost.
 Candidates are verified exactly on their sets, which are rebuilt from the texts for the classes that pass a
 Bloom filter of bounded size (a join keeps the exact ones).
 
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floorspan.llm._common import ascii_lower, by_batch, cut, table
+from floorspan.llm._common import Stored, ascii_lower, by_batch, cut, frequent, sent_if_small, small, table
 from floorspan.llm._components import components
 from floorspan.llm._words import joined, mix, windows, words
 from floorspan.session import ship
@@ -43,12 +43,14 @@ from floorspan.session import ship
 N = 3
 NUM, DEN = 90, 100
 MOST_MATCH = 4
-HINT = 1 << 16
+HINT = 1 << 19
 #: Shingles seen more often than this in a task are candidates for the hint.
-HINT_LEAST = 8
-HINT_HELD = 1 << 22
-GROUP_BYTES = 2 << 20
+HINT_LEAST = 2
+HINT_HELD = 1 << 19
+GROUP_BYTES = 1 << 18
 _SKETCH = np.uint64(0xA0761D6478BD642F)
+#: Sets of more shingles get 512 parities, as 256 are too few to tell them apart.
+LARGE = 256
 BLOOM_BITS = (1 << 20, 1 << 29)
 
 
@@ -75,9 +77,9 @@ def set_id(s: np.ndarray) -> int:
         return int(mix(np.array([mix(s ^ _SKETCH).sum(dtype=np.uint64) + np.uint64(len(s))], dtype=np.uint64)).view(np.int64)[0])
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """256 parities: bit j is odd when an odd number of the shingles fall on it."""
-    odd = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+def sketch(s: np.ndarray, bits: int) -> np.ndarray:
+    """2 ** bits parities: a bit is set when an odd number of the shingles fall on it."""
+    odd = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -89,7 +91,8 @@ def need(n: int | np.ndarray, num: int, den: int):
 def profiles(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     """(id, tid, n, sid, p0..p3) of each row, and (hint, seen) rows of the shingles that a task has seen often."""
     kind = docs.schema[id_col].dataType.simpleString()
-    names = ["id", "tid", "n", "sid", "p0", "p1", "p2", "p3", "hint", "seen"]
+    names = ["id", "tid", "n", "sid", "p0", "p1", "p2", "p3", "q", "hint", "seen"]
+    wide = pa.list_(pa.int64())
 
     def squeeze(parts: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         keys = np.concatenate(parts)
@@ -101,15 +104,17 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, counts, size = [], [], 0
         id_type = None
-        for batch in batches:
+        for batch in small(batches):
             id_type = batch.column(0).type
             own = list(sets(batch.column(2).to_pylist(), n))
             m = np.array([len(s) for s in own], dtype=np.int64)
             some = m > 0
             sid = pa.array(np.array([set_id(s) for s in own], dtype=np.int64), mask=~some)
-            p = np.array([sketch(s) for s in own], dtype=np.int64).reshape(-1, 4)
+            p = np.array([sketch(s, 8) for s in own], dtype=np.int64).reshape(-1, 4)
+            large = m > LARGE
+            q = pa.array([sketch(s, 9) if len(s) > LARGE else None for s in own], wide)
             nothing = pa.nulls(len(own), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(m), sid, *[pa.array(np.ascontiguousarray(p[:, j])) for j in range(4)], nothing, nothing], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(m), sid, *[pa.array(np.ascontiguousarray(p[:, j]), mask=large) for j in range(4)], q, nothing, nothing], names)
             held += own
             counts += [np.ones(len(s), dtype=np.int64) for s in own]
             size += int(m.sum())
@@ -123,11 +128,11 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
             keys, c = keys[often], c[often]
             top = np.argsort(-c, kind="stable")[:HINT]
             nothing = pa.nulls(len(top), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(top), id_type), *[nothing] * 7, pa.array(keys[top].view(np.int64)), pa.array(c[top])], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(top), id_type), *[nothing] * 7, pa.nulls(len(top), wide), pa.array(keys[top].view(np.int64)), pa.array(c[top])], names)
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tid"), F.col(text_col).alias("t"))
     ship(docs.sparkSession)
-    return rows.mapInArrow(run, f"id {kind}, tid long, n long, sid long, p0 long, p1 long, p2 long, p3 long, hint long, seen long")
+    return rows.mapInArrow(run, f"id {kind}, tid long, n long, sid long, p0 long, p1 long, p2 long, p3 long, q array<long>, hint long, seen long")
 
 
 def prefixes(docs: DataFrame, text_col: str, n: int, num: int, den: int, hint: np.ndarray) -> DataFrame:
@@ -192,62 +197,79 @@ def verified(pairs: DataFrame, sets_of: DataFrame, num: int, den: int) -> DataFr
     return shared.filter(F.col("i") * den >= (F.col("n") - F.col("i")) * num).select("a", "b")
 
 
-def _may_link(na: Column, nb: Column, pa_: list[Column], pb: list[Column], num: int, den: int) -> Column:
-    """Bounds that every linked pair meets: on the sizes, and on the overlap by the parities that differ."""
-    differ = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(pa_, pb, strict=True)), F.lit(0))
-    # i >= (na + nb) * num / (num + den), and at least as many elements differ as parities do
-    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & ((na + nb - differ) * (num + den) >= (na + nb) * (2 * num))
+PARITIES = ("p0", "p1", "p2", "p3")
+
+
+def _may_link(a: str, b: str, num: int, den: int) -> Column:
+    """Bounds that every linked pair meets, over the columns with these prefixes: on the sizes, and on the overlap.
+
+    Linked sets share i >= (na + nb) * num / (num + den), and at least as many elements differ as parities do.
+    """
+    na, nb = F.col(f"{a}n"), F.col(f"{b}n")
+    small_ones = sum((F.coalesce(F.bit_count(F.col(a + p).bitwiseXOR(F.col(b + p))), F.lit(0)) for p in PARITIES), F.lit(0))
+    wide = F.aggregate(F.zip_with(f"{a}q", f"{b}q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    enough = lambda differ: (na + nb - differ) * (num + den) >= (na + nb) * (2 * num)
+    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & enough(small_ones) & enough(F.coalesce(wide, F.lit(0)))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, num: int = NUM, den: int = DEN) -> tuple[DataFrame, DataFrame]:
     """(id, tid, n, sid) of the rows, and (sid, root, component_id) of the classes of non-empty sets."""
     table_ = cut(profiles(docs, id_col, text_col, n))
     rows = table_.filter("n is not null").select("id", "tid", "n", "sid")
-    top = table_.filter("hint is not null").groupBy("hint").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "hint").limit(HINT)
-    hint = np.array([r.hint for r in top.select("hint").collect()], dtype=np.int64).view(np.uint64)
-
-    parities = ["p0", "p1", "p2", "p3"]
-    owners = cut(table_.filter("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"), *[F.first(p).alias(p) for p in parities]))
-    emitted = cut(prefixes(docs, text_col, n, num, den, hint))
-    buckets = emitted.groupBy("token").agg(F.min("sid").alias("leader"), F.max("sid").alias("other"), F.count("*").alias("df")).filter("leader <> other")
-    shared = cut(emitted.join(buckets.select("token", "leader", "df"), "token").dropDuplicates(["token", "sid"]))
-
-    # one leader for each class
-    met = shared.filter("level = 1 and sid <> leader").groupBy("sid", "leader").agg(F.count("*").alias("c"))
-    star = met.groupBy("sid").agg(F.max_by("leader", F.struct("c", "leader")).alias("leader"))
-    own = owners.select("sid", "n", *parities)
-    lead = owners.select(F.col("sid").alias("leader"), F.col("n").alias("m"), *[F.col(p).alias(f"q{p[1]}") for p in parities])
-    star = star.join(own, "sid").join(lead, "leader")
-    star = star.filter(_may_link(F.col("n"), F.col("m"), [F.col(p) for p in parities], [F.col(f"q{p[1]}") for p in parities], num, den))
-    links = _verify(docs, text_col, n, num, den, star.select(F.col("sid").alias("a"), F.col("leader").alias("b")))
-    roots = cut(components(links))
-
-    # the rest: buckets with several components
-    costs = shared.groupBy("sid").agg(*[F.sum(F.when(F.col("level") <= k, F.col("df")).otherwise(0)).alias(f"r{k}") for k in range(1, MOST_MATCH + 1)])
-    about = owners.join(costs, "sid").join(roots.withColumnRenamed("id", "sid"), "sid", "left")
-    best = F.array_min(
-        F.array(*[F.struct((F.col(f"r{k}") * (1 + F.col("n") / k)).alias("cost"), F.lit(k).alias("l")) for k in range(1, MOST_MATCH + 1)])
-    )["l"]
-    most = F.ceil(F.col("n") * num / den)
-    about = about.select("sid", "n", *parities, F.least(best, most).cast("int").alias("l"), F.coalesce("root", "sid").alias("comp"))
-    rows_of = cut(shared.select("token", "sid", "level").join(about, "sid").filter("level <= l"))
-    in_bucket = rows_of.groupBy("token", "comp").agg(F.count("*").alias("c"))
+    often = cut(table_.filter("hint is not null").groupBy("hint").agg(F.sum("seen").alias("seen")))
+    top = sorted(((r.seen, r.hint) for r in frequent(often, "seen", HINT).toLocalIterator()), reverse=True)
+    hint = np.array([h for _, h in top], dtype=np.int64).view(np.uint64)
+
+    parities = PARITIES
+    first_of = [F.first(c).alias(c) for c in ("n", *parities, "q")]
+    owners = cut(table_.filter("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.count("*").alias("copies"), *first_of))
+    emitted = Stored(prefixes(docs, text_col, n, num, den, hint))
+    buckets = emitted.df.groupBy("token").agg(F.min("sid").alias("x"), F.max("sid").alias("y"), F.count("*").alias("df")).filter("x <> y").select("token", "df")
+    shared = Stored(emitted.df.join(buckets, "token").dropDuplicates(["token", "sid"]))
+    emitted.drop()
+
+    # each class chooses how many shingles a partner has to share
+    costs = shared.df.groupBy("sid").agg(*[F.sum(F.when(F.col("level") <= k, F.col("df")).otherwise(0)).alias(f"r{k}") for k in range(1, MOST_MATCH + 1)])
+    best = F.array_min(F.array(*[F.struct((F.col(f"r{k}") * (1 + F.col("n") / k)).alias("cost"), F.lit(k).alias("l")) for k in range(1, MOST_MATCH + 1)]))["l"]
+    chosen = cut(owners.select("sid", "n", "copies").join(costs, "sid").select("sid", "copies", F.least(best, F.ceil(F.col("n") * num / den)).cast("int").alias("l")))
+    rows_of = Stored(shared.df.select("token", "sid", "level").join(sent_if_small(chosen), "sid").filter("level <= l").select("token", "sid", "copies"))
+    shared.drop()
+
+    # one leader for each class: of its buckets' most copied classes, the most copied
+    leaders = rows_of.df.groupBy("token").agg(F.max_by("sid", F.struct("copies", "sid")).alias("leader"), F.max("copies").alias("fame"))
+    met = rows_of.df.select("token", "sid").join(leaders, "token").filter("sid <> leader").groupBy("sid", "leader").agg(F.count("*").alias("c"), F.first("fame").alias("fame"))
+    star = met.groupBy("sid").agg(F.max_by("leader", F.struct("fame", "c", "leader")).alias("leader"))
+    a, b = (owners.select(F.col("sid").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("n", *parities, "q")]) for k in ("sid", "leader"))
+    star = star.join(a, "sid").join(b, "leader").filter(_may_link("sid_", "leader_", num, den))
+    roots = cut(components(_verify(docs, text_col, n, num, den, star.select(F.col("sid").alias("a"), F.col("leader").alias("b")))))
+
+    # the rest: buckets with several components.  Rows stay narrow until only these are left.
+    placed = rows_of.df.select("token", "sid").join(sent_if_small(roots).withColumnRenamed("id", "sid"), "sid", "left").select("token", "sid", F.coalesce("root", "sid").alias("comp"))
+    in_bucket = placed.groupBy("token", "comp").agg(F.count("*").alias("c"))
     several = in_bucket.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("k")).filter("k > 1").select("token", "main")
-    live = cut(rows_of.join(several, "token"))
+    narrow = Stored(placed.join(several, "token"))
+    rows_of.drop()
+    live = narrow.df.join(owners.select("sid", "n", *parities, "q"), "sid")
     a, b = live.filter("comp <> main").alias("a"), live.alias("b")
     wanted = (
         (F.col("a.token") == F.col("b.token"))
         & (F.col("a.comp") != F.col("b.comp"))
         & ((F.col("b.comp") == F.col("b.main")) | (F.col("a.sid") < F.col("b.sid")))
-        & (F.greatest("a.level", "b.level") <= F.least("a.l", "b.l"))
-        & _may_link(F.col("a.n"), F.col("b.n"), [F.col(f"a.{p}") for p in parities], [F.col(f"b.{p}") for p in parities], num, den)
+        & _may_link("a.", "b.", num, den)
     )
-    pairs = a.join(b, wanted).select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b"), F.least("a.l", "b.l").alias("l"))
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("l").alias("l")).filter("c >= l").select("a", "b")
+    pairs = a.join(b, wanted).select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b"))
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c"))
+    need_of = [chosen.select(F.col("sid").alias(k), F.col("l").alias(f"l{k}")) for k in ("a", "b")]
+    pairs = pairs.join(need_of[0], "a").join(need_of[1], "b").filter(F.col("c") >= F.least("la", "lb")).select("a", "b")
     more = _verify(docs, text_col, n, num, den, pairs)
-    roots = cut(components(links.union(more)))
-
-    named = owners.select("sid", "id").join(roots.withColumnRenamed("id", "sid"), "sid", "left").select("sid", "id", F.coalesce("root", "sid").alias("root"))
+    narrow.drop()
+
+    # components of components
+    to = roots.select(F.col("id").alias("a"), F.col("root").alias("ra"))
+    upper = more.join(to, "a", "left").join(to.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b", "left")
+    upper = cut(components(upper.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))))
+    named = owners.select("sid", "id").join(roots.withColumnRenamed("id", "sid"), "sid", "left").select("sid", "id", F.coalesce("root", "sid").alias("r"))
+    named = named.join(upper.select(F.col("id").alias("r"), "root"), "r", "left").select("sid", "id", F.coalesce("root", "r").alias("root"))
     named = cut(named)
     ids = named.groupBy("root").agg(F.min("id").alias("component_id"))
     return rows, cut(named.join(ids, "root").select("sid", "root", "component_id"))
