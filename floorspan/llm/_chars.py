@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 18
 SPACE = 0x20
 
 

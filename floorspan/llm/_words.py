@@ -6,7 +6,7 @@ import functools
 
 import numpy as np
 
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 

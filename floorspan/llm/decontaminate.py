@@ -27,7 +27,7 @@ from floorspan.llm._words import ALNUM, joined, windows, words
 N = 10
 BLOCK_WINDOWS = 1 << 19
 #: Documents are hashed in groups of about so many bytes.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 19
 
 
 class Windows:

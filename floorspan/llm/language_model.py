@@ -35,12 +35,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floorspan.llm._common import ascii_lower, cut, id_remainder, table
+from floorspan.llm._common import ascii_lower, cut, frequent, id_remainder, table
 from floorspan.session import ship
 
 HEAD, WIDTH, TAILS, HIDDEN = 2048, 64, 32, 16
-KNOWN, KNOWN_BYTES = 1 << 18, 40
+KNOWN, KNOWN_BYTES = 3 << 17, 40
 STEPS, LANES = 16, 512
+#: Softmax rows at a time, so that they stay in the processor's cache.
+BLOCK = 2048
 #: Each round trains on the rows whose hash of the id, modulo 16, is in its share.
 ROUNDS = ((0, 1), (1, 4), (4, 16))
 POOL_TOKENS = 3 << 20
@@ -104,8 +106,8 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    top = counts.filter(F.length("word") <= KNOWN_BYTES).orderBy(F.desc("c"), "word").limit(KNOWN)
-    known = [(bytes(r.word), r.c) for r in top.toLocalIterator()]
+    top = frequent(counts.filter(F.length("word") <= KNOWN_BYTES), "c", KNOWN)
+    known = sorted(((bytes(r.word), r.c) for r in top.toLocalIterator()), key=lambda x: (-x[1], x[0]))
     head = {w for w, _ in known[:HEAD]} | {END}
     # the sums of tail classes: over all words, less the head's
     group = F.crc32(F.substring("word", 1, PREFIX)) % TAILS
@@ -186,8 +188,10 @@ def by_class(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def log_prob(p: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log probability of each symbol given its state; a tail class's own, without the word in it."""
     group = symbol_class(y)
-    e, total = _exp_and_sum(h @ p["k"] + p["kb"])
-    chance = e[np.arange(len(y)), group].astype(np.float64) / total
+    chance = np.empty(len(y))
+    for lo in range(0, len(y), BLOCK):
+        e, total = _exp_and_sum(h[lo : lo + BLOCK] @ p["k"] + p["kb"])
+        chance[lo : lo + BLOCK] = e[np.arange(len(e)), group[lo : lo + BLOCK]] / total
     order, edges = by_class(group)
     order = order[: edges[-1]]
     hs, ys, inner, rows = h[order], y[order] % WIDTH, np.empty(len(order)), np.arange(len(order))
@@ -241,12 +245,17 @@ class Trainer:
         total = len(flat_y)
         grad = {k: np.zeros(SHAPES[k], dtype=np.float32) for k in SHAPES if k != "x"}
         group, rows = symbol_class(flat_y), np.arange(total)
-        d, sums = _exp_and_sum(flat_h @ p["k"] + p["kb"])
-        d *= (1 / sums)[:, None]
-        d[rows, group] -= 1
-        scaled = flat_h.T / np.float32(total)
-        grad["k"], grad["kb"] = scaled @ d, (_ones(total) @ d)[0] / total
-        dh_out = d @ p["k"].T
+        dh_out = np.empty_like(flat_h)
+        for lo in range(0, total, BLOCK):
+            h_part, g_part = flat_h[lo : lo + BLOCK], group[lo : lo + BLOCK]
+            d, sums = _exp_and_sum(h_part @ p["k"] + p["kb"])
+            d *= (1 / sums)[:, None]
+            d[rows[: len(d)], g_part] -= 1
+            grad["k"] += h_part.T @ d
+            grad["kb"] += (_ones(len(d)) @ d)[0]
+            dh_out[lo : lo + BLOCK] = d @ p["k"].T
+        grad["k"] /= total
+        grad["kb"] /= total
         order, edges = by_class(group)
         order = order[: edges[-1]]
         hc, yc, inner = flat_h[order], flat_y[order] % WIDTH, np.empty((len(order), HIDDEN), dtype=np.float32)
