@@ -148,3 +148,14 @@ def g08_vertical_candidates(u: DataFrame, level: DataFrame) -> DataFrame:
     lower = h.withColumnRenamed("unit_id", "lower").withColumn("bucket", F.explode(F.array(*[F.floor(F.col("lower") / 30) + i for i in (-1, 0, 1)])))
     near = lower.join(upper.withColumn("bucket", F.floor(F.col("at") / 30)), ["category", "ordinal", "bucket"]).filter("abs(lower - upper) <= 30")
     return near.groupBy("category", "ordinal").agg(F.count("*").alias("candidates"), F.count_distinct("lower").alias("lowers"))
+
+
+@query("G9", "v_unit")
+def g09_skeleton(u: DataFrame) -> DataFrame:
+    """Middle lines of each level's walkways around its rooms, on a half-metre raster."""
+    from floorspan.functions.text import is_walkway
+    from floorspan.operators.skeleton import skeletons
+
+    m = lambda c, o: ((F.col(c) - o) * 1e5).alias(c)
+    areas = u.filter(is_walkway(F.col("category")) | (F.col("category") == "room"))
+    return skeletons(areas.select("level_id", m("x", 139.76), m("y", 35.68), m("w", 0), m("h", 0), is_walkway(F.col("category")).alias("free")))

@@ -204,3 +204,18 @@ def test_streams_equal_batch(spark, tmp_path):
     assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 2]
     win = revisions.run_once(revisions.windowed(read(), "at", "5 minutes", "1 hour"), "t_win", "update", str(tmp_path / "c3"))
     assert win.count() >= 4
+
+
+def test_skeleton_keeps_its_distance(spark):
+    from floorspan.operators.skeleton import skeletons
+
+    rows = [("a", 0.0, 0.0, 20.0, 4.0, True), ("a", 8.0, 0.0, 4.0, 10.0, True), ("a", 3.0, 1.0, 1.0, 1.0, False), ("b", 0.0, 0.0, 1.0, 1.0, False)]
+    d = skeletons(spark.createDataFrame(rows, "level_id string, x double, y double, w double, h double, free boolean")).collect()
+    assert {r.level_id for r in d} == {"a"} and len(d) > 20
+    ids = {r.node for r in d}
+    for r in d:
+        inside = (0 <= r.x <= 20 and 0 <= r.y <= 4) or (8 <= r.x <= 12 and 0 <= r.y <= 10)
+        assert inside and not (3 < r.x < 4 and 1 < r.y < 2) and r.clearance >= 0.4
+        assert r.right is None or r.right in ids
+        assert r.up is None or r.up in ids
+    assert any(abs(r.y - 2) <= 0.5 and r.x > 14 for r in d) and any(abs(r.x - 10) <= 0.5 and r.y > 6 for r in d)
