@@ -162,7 +162,11 @@ def strict_date(text: Column) -> Column:
 
 
 def seconds_between(start: Column, end: Column) -> Column:
-    return (F.unix_micros(end) - F.unix_micros(start)) / F.lit(1e6)
+    """Seconds from start to end, exact to the microsecond; the session's time zone has no say when both have none."""
+    d = end - start
+    part = lambda k: F.extract(F.lit(k), d)
+    whole = (part("DAY") * 86_400 + part("HOUR") * 3_600 + part("MINUTE") * 60).cast("decimal(20,6)")
+    return (whole + part("SECOND")).cast("double")
 
 
 def in_day_window(minute: Column, start: Column, end: Column) -> Column:

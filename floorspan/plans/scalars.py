@@ -135,8 +135,7 @@ def f25_times_and_durations(d: DataFrame) -> DataFrame:
     now = F.lit("2024-06-01 00:00:00").cast(d.schema["ts"].dataType)
     raw = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("2024-01-0"), (F.col("event_id") % 10).cast("string"), F.lit("T00:00:00Z"))).otherwise("2024-01-01 00:00:00")
     rfc = raw.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?Z$") & F.try_to_timestamp(F.substring(raw, 1, 10), F.lit("yyyy-MM-dd")).isNotNull()
-    seconds = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / F.lit(1e6)
-    return d.select(F.col("event_id").alias("id"), seconds.alias("seconds"), (F.col("ts") + F.expr("INTERVAL 90 DAY") > now).alias("live"), rfc.alias("rfc"))
+    return d.select(F.col("event_id").alias("id"), text.seconds_between(F.col("ts"), now).alias("seconds"), (F.col("ts") + F.expr("INTERVAL 90 DAY") > now).alias("live"), rfc.alias("rfc"))
 
 
 @query("F28", "v_attr", """SELECT from_id, to_id, CASE WHEN start_minute < 0 OR end_minute < 0 THEN true WHEN start_minute <= end_minute THEN 600 >= start_minute AND 600 < end_minute ELSE 600 >= start_minute OR 600 < end_minute END AS open_at_ten FROM v_attr""")
