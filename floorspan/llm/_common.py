@@ -133,10 +133,10 @@ def frequent(counts: DataFrame, count: str, most: int) -> DataFrame:
     return counts.filter(c >= (low if step is None else low + (step + 1) * width))
 
 
-#: Rows of a few numbers each that a size-checked broadcast may have.
+#: Rows of a few short values each that a size-checked broadcast may have.
 MOST_SENT = 500_000
 
 
 def sent_if_small(df: DataFrame) -> DataFrame:
-    """A checkpointed table of a few numeric columns, marked for broadcast when it has at most MOST_SENT rows; else as it is."""
+    """a checkpointed table of a few short columns, marked for broadcast when it has at most MOST_SENT rows; else as it is."""
     return F.broadcast(df) if df.limit(MOST_SENT + 1).count() <= MOST_SENT else df

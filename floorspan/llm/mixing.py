@@ -9,7 +9,7 @@ state is sources x 2 ** BITS sums, and a hot source only adds to its own sums.
 of a higher one's documents, and reruns agree as the hash depends on id and text alone.
 
 Sources are ranked over ranges of their names, so that no task holds all sources.  Thresholds (a row for
-each source) join to documents by Spark's choice: broadcast while they are small, else shuffled.
+each source) are broadcast after a check of their number, else joined by a shuffle.
 
 Defined cases: a null or empty text has size 0 and takes 0; the null source comes last in the order of weights;
 sources of size 0 have target 0; rows with the same id and text hash alike and are taken or left together;
@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from floorspan.llm._common import WORD, cut, table
+from floorspan.llm._common import WORD, cut, sent_if_small, table
 
 WEIGHTS = (5, 2, 1)
 #: A target is at most so many times its source.
@@ -90,7 +90,7 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     for level in range(LEVELS):
         shift = BITS * (LEVELS - 1 - level)
         if level:
-            inside = rows.join(state.select("k", "prefix", "left"), (rows["k"] == state["k"]) & (F.shiftright("h", shift + BITS) == F.col("prefix"))).drop(state["k"])
+            inside = rows.join(sent_if_small(state.select("k", "prefix", "left")), (rows["k"] == state["k"]) & (F.shiftright("h", shift + BITS) == F.col("prefix"))).drop(state["k"])
         else:
             inside = rows
         sums = inside.groupBy("k", F.shiftright("h", shift).bitwiseAND(mask).alias("b")).agg(F.sum("size").alias("n"))
@@ -130,14 +130,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """(id, size, source_size, target, taken) of every row."""
     rows = sized(docs, id_col, text_col, source_col)
     plan = plan_mix(rows, weights, most_times)
-    return rows.join(plan, "k").select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies(F.col("h"))).alias("taken"))
+    return rows.join(sent_if_small(plan), "k").select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies(F.col("h"))).alias("taken"))
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", times_col: str = "copies", weights: Sequence[float] = WEIGHTS, most_times: float = MOST_TIMES) -> DataFrame:
     """The rows that the mix takes, with all their columns, and how many times it takes each in ``times_col``."""
     plan = plan_mix(sized(docs, id_col, text_col, source_col), weights, most_times)
     plan = plan.select(F.struct("k", "times", "threshold").alias("__plan"))
-    joined = docs.join(plan, _key(F.col(source_col)) == F.col("__plan.k"))
+    joined = docs.join(sent_if_small(plan), _key(F.col(source_col)) == F.col("__plan.k"))
     n = F.col("__plan.times") + (_hash(F.col(id_col), F.col(text_col)) < F.col("__plan.threshold")).cast("long")
     return joined.withColumn("__plan", n).filter("__plan > 0").withColumnRenamed("__plan", times_col)
 

@@ -330,7 +330,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     twice = rows.filter("n > 0").groupBy("id", "tid").agg(F.count("*").alias("c")).filter("c > 1").select("id", "tid").join(kept.filter("full"), ["id", "tid"], "left_semi")
     own = docs.withColumn("__tid", F.xxhash64(text_col))
     on = lambda k: F.col(id_col).eqNullSafe(k["id"]) & (F.col("__tid") == k["tid"])
-    out = own.join(kept, on(kept), "left_semi")
+    small_kept = sent_if_small(kept)
+    out = own.join(small_kept, on(kept), "left_semi")
     twice = cut(twice)
     if not twice.isEmpty():  # rows that repeat id and text: one of each stays
         out = out.join(twice, on(twice), "left_anti").union(out.join(twice, on(twice), "left_semi").dropDuplicates([id_col, "__tid"]))
