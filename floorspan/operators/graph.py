@@ -7,6 +7,7 @@ their lineage with ``checkpoint()``.
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass
 
 import pandas as pd
@@ -127,6 +128,7 @@ def shortest_costs(adjacent: DataFrame, source: int, cutoff: float | None = None
 
     Rounds of relaxation: only nodes whose cost fell in a round send it on in the next.
     """
+    adjacent = cut(adjacent.groupBy("source", "target").agg(F.min("cost").alias("cost")))  # read in every round
     best = cut(adjacent.sparkSession.createDataFrame([(source, 0.0)], "id long, cost double"))
     front = best
     while True:
@@ -182,8 +184,9 @@ def routes(requests: DataFrame, edges: DataFrame, key: str = "venue") -> DataFra
         for s, t, c in zip(right["source"], right["target"], right["cost"], strict=True):
             around.setdefault(int(s), []).append((int(t), float(c)))
         out = []
-        for r in left.itertuples():
-            out.append((k[0], r.request_id, *search(around, int(r.source), int(r.target))))
+        for source, some in left.groupby("source"):  # one search answers all requests from a node
+            found = search_all(around, int(source), {int(t) for t in some["target"]})
+            out += [(k[0], r.request_id, *found.get(int(r.target), (None, None))) for r in some.itertuples()]
         return pd.DataFrame(out, columns=[key, "request_id", "cost", "path"])
 
     kind = requests.schema[key].dataType.simpleString()
@@ -192,20 +195,28 @@ def routes(requests: DataFrame, edges: DataFrame, key: str = "venue") -> DataFra
 
 def search(around: dict[int, list[tuple[int, float]]], source: int, target: int) -> tuple[float | None, list[int] | None]:
     """Dijkstra's algorithm with paths in the order of (cost, path)."""
+    return search_all(around, source, {target}).get(target, (None, None))
+
+
+def search_all(around: dict[int, list[tuple[int, float]]], source: int, targets: set[int]) -> dict[int, tuple[float, list[int]]]:
+    """``search`` for many targets at once; those that can't be reached are left out."""
     done: set[int] = set()
+    least: dict[int, float] = {}
+    found: dict[int, tuple[float, list[int]]] = {}
     heap: list[tuple[float, tuple[int, ...]]] = [(0.0, (source,))]
-    while heap:
+    while heap and len(found) < len(targets):
         cost, path = heapq.heappop(heap)
         at = path[-1]
         if at in done:
             continue
-        if at == target:
-            return cost, list(path)
+        if at in targets:
+            found[at] = cost, list(path)
         done.add(at)
         for t, c in around.get(at, ()):
-            if t not in done:
+            if t not in done and cost + c <= least.get(t, math.inf):  # equal costs stay: their paths decide
+                least[t] = cost + c
                 heapq.heappush(heap, (cost + c, (*path, t)))
-    return None, None
+    return found
 
 
 def match_pairs(candidates: DataFrame, keys: list[str]) -> DataFrame:
