@@ -10,6 +10,7 @@ import heapq
 import math
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -236,30 +237,40 @@ def match_pairs(candidates: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def best_matching(cost: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
-    """Successive cheapest augmenting paths (Bellman-Ford over the residual graph)."""
-    lower = sorted({a for a, _ in cost})
-    mate_of_upper: dict[int, int] = {}
-    mate_of_lower: dict[int, int] = {}
-    while True:
-        dist: dict[tuple[str, int], float] = {("l", a): 0.0 for a in lower if a not in mate_of_lower}
-        back: dict[tuple[str, int], tuple[str, int]] = {}
-        for _ in range(2 * len(lower) + 1):
-            moved = False
-            for (a, b), c in sorted(cost.items()):
-                if mate_of_lower.get(a) == b:
-                    continue
-                if ("l", a) in dist and dist["l", a] + c < dist.get(("u", b), float("inf")) - 1e-12:
-                    dist["u", b], back["u", b], moved = dist["l", a] + c, ("l", a), True
-            for b, a in sorted(mate_of_upper.items()):
-                if ("u", b) in dist and dist["u", b] - cost[a, b] < dist.get(("l", a), float("inf")) - 1e-12:
-                    dist["l", a], back["l", a], moved = dist["u", b] - cost[a, b], ("u", b), True
-            if not moved:
-                break
-        free = [(dist["u", b], b) for b in sorted({b for _, b in cost}) if b not in mate_of_upper and ("u", b) in dist]
-        if not free:
-            return sorted(mate_of_lower.items())
-        at: tuple[str, int] | None = ("u", min(free)[1])
-        while at is not None:
-            a = back[at]
-            mate_of_upper[at[1]], mate_of_lower[a[1]] = a[1], at[1]
-            at = back.get(a)
+    """The Hungarian method over rows of a matrix; a pair that isn't allowed costs more than all others together."""
+    if not cost:
+        return []
+    lower, upper = sorted({a for a, _ in cost}), sorted({b for _, b in cost})
+    row, col = {a: i for i, a in enumerate(lower)}, {b: j for j, b in enumerate(upper)}
+    least = min(cost.values())
+    barred = (min(len(lower), len(upper)) + 1) * (max(cost.values()) - least + 1)
+    matrix = np.full((len(lower), len(upper)), barred)
+    for (a, b), c in cost.items():
+        matrix[row[a], col[b]] = c - least
+    turned = len(lower) > len(upper)
+    m = np.ascontiguousarray(matrix.T) if turned else matrix
+    n_rows, n_cols = m.shape
+    u, v = np.zeros(n_rows), np.zeros(n_cols + 1)  # the last column stands for a row that has none yet
+    mate = np.full(n_cols + 1, -1)
+    for i in range(n_rows):
+        mate[n_cols], at = i, n_cols
+        slack, back, used = np.full(n_cols, np.inf), np.full(n_cols, n_cols), np.zeros(n_cols + 1, dtype=bool)
+        while mate[at] >= 0:
+            used[at] = True
+            now = m[mate[at]] - u[mate[at]] - v[:n_cols]
+            better = ~used[:n_cols] & (now < slack)
+            slack[better], back[better] = now[better], at
+            free = np.where(used[:n_cols], np.inf, slack)
+            to = int(free.argmin())
+            step = free[to]
+            u[mate[used]] += step
+            v[used] -= step
+            slack[~used[:n_cols]] -= step
+            at = to
+        while at != n_cols:
+            mate[at] = mate[back[at]]
+            at = back[at]
+        mate[n_cols] = -1
+    pairs = [(int(mate[j]), j) for j in range(n_cols) if mate[j] >= 0]
+    pairs = [(lower[j], upper[i]) if turned else (lower[i], upper[j]) for i, j in pairs]
+    return sorted(p for p in pairs if p in cost)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from floorspan.functions import geo
+from floorspan.session import cut
+
 
 def latest_per(df: DataFrame, key: str, order: str, *columns: str) -> DataFrame:
     """The named columns of each key's row of the highest order; one aggregation, no sort."""
@@ -56,6 +61,41 @@ def nearest(queries: DataFrame, targets: DataFrame, on: str, distance: Column, q
     return pairs.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
 
+def nearest_on_grid(queries: DataFrame, targets: DataFrame, on: str, query_key: str, target_key: str, cell: float, k: int = 1) -> DataFrame:
+    """The k nearest targets (lon, lat) of each query (x, y), in degrees, within the same ``on``; ties go to the lower key.
+
+    Each round a query meets the targets of the nine cells around it.  It is done once its k-th distance is less than
+    that to the block's rim; the others go on with cells four times as wide, at last as wide as all points together.
+    """
+    targets = cut(targets.select(on, target_key, "lon", "lat"))
+    left = cut(queries.select(on, query_key, "x", "y"))
+    ends = [(F.min(c), F.max(c)) for c in ("x", "y", "lon", "lat")]
+    q, t = left.agg(*ends[0], *ends[1]).first(), targets.agg(*ends[2], *ends[3]).first()
+    lows, highs = [(q[i], t[i]) for i in (0, 2)], [(q[i], t[i]) for i in (1, 3)]
+    extent = 0.0 if None in (*q, *t) else max(max(h) - min(lo) for lo, h in zip(lows, highs, strict=True))
+    done = None
+    while True:
+        at = lambda x, y, i=0, j=0: F.struct((F.floor(F.col(x) / cell) + i).alias("x"), (F.floor(F.col(y) / cell) + j).alias("y"))  # noqa: B023, E731
+        spread = targets.withColumn("_c", F.explode(F.array(*[at("lon", "lat", i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)])))
+        pairs = left.withColumn("_c", at("x", "y")).join(spread, [on, "_c"]).withColumn("distance", geo.haversine(F.col("x"), F.col("y"), F.col("lon"), F.col("lat")))
+        # a cell at least lies between a query and the rim: over a parallel, or over a meridian
+        rim = 0.999 * geo.EARTH_M * F.least(F.lit(math.radians(cell)), F.asin(F.cos(F.radians("y")) * math.sin(math.radians(min(cell, 90.0)))))
+        w = Window.partitionBy(query_key).orderBy("distance", target_key)
+        ranked = pairs.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+        last = cell > extent
+        if not last:
+            ranked = ranked.withColumn("_far", F.max(F.when(F.col("place") == k, F.col("distance"))).over(Window.partitionBy(query_key)))
+            ranked = ranked.filter(F.col("_far") < rim)
+        found = cut(ranked.select(query_key, target_key, "distance", "place"))
+        done = found if done is None else done.union(found)
+        if last:
+            return done
+        left = cut(left.join(found.select(query_key), query_key, "left_anti"))
+        if left.isEmpty():
+            return done
+        cell *= 4
+
+
 def band(left: DataFrame, right: DataFrame, at: str, to: str, width: float) -> DataFrame:
     """Rows whose values differ by at most ``width``: bands of that width meet in an equi-join with their neighbours."""
     cell = F.floor(F.col(at) / width)

@@ -22,9 +22,9 @@ def network_floor_report(n: DataFrame, e: DataFrame) -> DataFrame:
     return per.join(cost, "ordinal", "left").select("ordinal", "nodes", "isolated", "ends", F.coalesce("cost", F.lit(0.0)).alias("total_cost"))
 
 
-@query("D1 D2 D26", "v_unit", """SELECT level_id, CASE WHEN max(x) = min(x) THEN min(x) - 1e-6 ELSE min(x) END AS west, CASE WHEN max(y) = min(y) THEN min(y) - 1e-6 ELSE min(y) END AS south, CASE WHEN max(x) = min(x) THEN max(x) + 1e-6 ELSE max(x) END AS east, CASE WHEN max(y) = min(y) THEN max(y) + 1e-6 ELSE max(y) END AS north FROM v_unit WHERE unit_id <= 60 GROUP BY 1""")
+@query("D1 D2 D26", "v_unit", """SELECT level_id, CASE WHEN max(x) = min(x) THEN min(x) - 1e-6 ELSE min(x) END AS west, CASE WHEN max(y) = min(y) THEN min(y) - 1e-6 ELSE min(y) END AS south, CASE WHEN max(x) = min(x) THEN max(x) + 1e-6 ELSE max(x) END AS east, CASE WHEN max(y) = min(y) THEN max(y) + 1e-6 ELSE max(y) END AS north FROM v_unit GROUP BY 1""")
 def d01_bounds_per_level(d: DataFrame) -> DataFrame:
-    return spatial.padded(spatial.bounds(d.filter("unit_id <= 60"), "level_id"))
+    return spatial.padded(spatial.bounds(d, "level_id"))
 
 
 @query("D3", "v_node", "SELECT min(lon) AS west, min(lat) AS south, max(lon) AS east, max(lat) AS north FROM v_node")

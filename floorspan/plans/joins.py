@@ -52,10 +52,10 @@ def c03_reply_parent(r: DataFrame, p: DataFrame) -> DataFrame:
     return a.join(b, (F.col("r.parent_id") == F.col("p.id")) & (F.col("r.version_id") == F.col("p.version_id"))).select("r.id", F.col("p.status").alias("parent_status"), (F.col("r.created_at") >= F.col("p.created_at")).alias("after"))
 
 
-@query("C4", "v_media v_stored", "SELECT m.id, o.size AS original_size, t.size AS thumbnail_size FROM v_media m JOIN v_stored o ON m.original = o.blob_id JOIN v_stored t ON m.thumbnail = t.blob_id WHERE m.id % 7 = 0")
+@query("C4", "v_media v_stored", "SELECT m.id, o.size AS original_size, t.size AS thumbnail_size FROM v_media m JOIN v_stored o ON m.original = o.blob_id JOIN v_stored t ON m.thumbnail = t.blob_id")
 def c04_original_and_thumbnail(m: DataFrame, s: DataFrame) -> DataFrame:
     o, t = (s.select(F.col("blob_id").alias(k), F.col("size").alias(f"{k}_size")) for k in ("original", "thumbnail"))
-    return m.filter("id % 7 = 0").join(o, "original").join(t, "thumbnail").select("id", "original_size", "thumbnail_size")
+    return m.join(o, "original").join(t, "thumbnail").select("id", "original_size", "thumbnail_size")
 
 
 @query("C5", "v_issue v_version", "SELECT i.id, i.row_version FROM v_issue i WHERE EXISTS (SELECT 1 FROM v_version v WHERE v.id = i.version_id AND v.status = 'published')")
@@ -152,34 +152,32 @@ def c19_grid_bucket_pairs(n: DataFrame) -> DataFrame:
 _NEAREST = _HAV.format(lon1="q.x", lat1="q.y", lon2="t.lon", lat2="t.lat")
 
 
-@query("C16 G13", "v_unit v_node", f"""+q AS (SELECT unit_id, x, y, CAST(building % 5 - 2 AS DOUBLE) AS ordinal FROM v_unit WHERE unit_id % 97 = 0), d AS (SELECT q.unit_id, t.node_id, {_NEAREST} AS d FROM q JOIN v_node t USING (ordinal))
+@query("C16 G13", "v_unit v_node", f"""+q AS (SELECT unit_id, x, y, CAST(building % 5 - 2 AS DOUBLE) AS ordinal FROM v_unit), d AS (SELECT q.unit_id, t.node_id, {_NEAREST} AS d FROM q JOIN v_node t USING (ordinal))
   SELECT unit_id, node_id, CAST(row_number() OVER (PARTITION BY unit_id ORDER BY d, node_id) AS INT) AS place FROM d QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY d, node_id) <= 3""")
 def c16_nearest_three(u: DataFrame, n: DataFrame) -> DataFrame:
-    q = u.filter("unit_id % 97 = 0").select("unit_id", "x", "y", (F.col("building") % 5 - 2).cast("double").alias("ordinal"))
-    metres = geo.haversine(F.col("q.x"), F.col("q.y"), F.col("t.lon"), F.col("t.lat"))
-    return relational.nearest(q, n, "ordinal", metres, "unit_id", "node_id", 3).select("unit_id", "node_id", "place")
+    q = u.select("unit_id", "x", "y", (F.col("building") % 5 - 2).cast("double").alias("ordinal"))
+    return relational.nearest_on_grid(q, n, "ordinal", "unit_id", "node_id", 2e-4, 3).select("unit_id", "node_id", "place")
 
 
-@query("C17 C18 C25", "v_unit v_node", f"SELECT q.unit_id, arg_min(t.node_id, struct_pack(d := {_NEAREST}, n := t.node_id)) AS node_id FROM (SELECT unit_id, x, y, CAST(building % 5 - 2 AS DOUBLE) AS ordinal FROM v_unit WHERE unit_id % 89 = 0) q JOIN v_node t USING (ordinal) GROUP BY 1")
+@query("C17 C18 C25", "v_unit v_node", f"SELECT q.unit_id, arg_min(t.node_id, struct_pack(d := {_NEAREST}, n := t.node_id)) AS node_id FROM (SELECT unit_id, x, y, CAST(building % 5 - 2 AS DOUBLE) AS ordinal FROM v_unit) q JOIN v_node t USING (ordinal) GROUP BY 1")
 def c17_nearest_node(u: DataFrame, n: DataFrame) -> DataFrame:
-    q = u.filter("unit_id % 89 = 0").select("unit_id", "x", "y", (F.col("building") % 5 - 2).cast("double").alias("ordinal"))
-    metres = geo.haversine(F.col("q.x"), F.col("q.y"), F.col("t.lon"), F.col("t.lat"))
-    return relational.nearest(q, n, "ordinal", metres, "unit_id", "node_id").select("unit_id", "node_id")
+    q = u.select("unit_id", "x", "y", (F.col("building") % 5 - 2).cast("double").alias("ordinal"))
+    return relational.nearest_on_grid(q, n, "ordinal", "unit_id", "node_id", 2e-4).select("unit_id", "node_id")
 
 
-@query("C20", "part", """+c AS (SELECT p_partkey AS hub, unnest([p_size, p_size * 3 % 50, p_partkey % 50, p_partkey * 7 % 50]) AS vertex FROM part WHERE p_partkey % 10 = 0), d AS (SELECT DISTINCT * FROM c)
+@query("C20", "part", """+c AS (SELECT p_partkey AS hub, unnest([p_size, p_size * 3 % 50, p_partkey % 50, p_partkey * 7 % 50]) AS vertex FROM part), d AS (SELECT DISTINCT * FROM c)
   SELECT a.hub AS a, b.hub AS b, count(*) AS n FROM d a JOIN d b ON a.vertex = b.vertex AND a.hub < b.hub GROUP BY 1, 2 HAVING count(*) >= 3""")
 def c20_shared_vertices(p: DataFrame) -> DataFrame:
     k, s = F.col("p_partkey"), F.col("p_size")
-    v = p.filter(k % 10 == 0).select(k.alias("hub"), F.explode(F.array(s.cast("long"), (s * 3 % 50).cast("long"), k % 50, k * 7 % 50)).alias("vertex")).distinct()
+    v = p.select(k.alias("hub"), F.explode(F.array(s.cast("long"), (s * 3 % 50).cast("long"), k % 50, k * 7 % 50)).alias("vertex")).distinct()
     a, b = v.alias("a"), v.alias("b")
     return a.join(b, (F.col("a.vertex") == F.col("b.vertex")) & (F.col("a.hub") < F.col("b.hub"))).groupBy(F.col("a.hub").alias("a"), F.col("b.hub").alias("b")).agg(F.count("*").alias("n")).filter("n >= 3")
 
 
-@query("C22", "v_node supplier", """SELECT a.node_id, b.s_suppkey AS plane, CAST(count(*) OVER (PARTITION BY a.node_id) AS BIGINT) AS n FROM v_node a JOIN (SELECT s_suppkey, s_acctbal / 1000e0 + 0.4e0 AS altitude FROM supplier WHERE s_suppkey % 5 = 0) b ON abs(a.altitude - b.altitude) <= 0.25e0
+@query("C22", "v_node supplier", """SELECT a.node_id, b.s_suppkey AS plane, CAST(count(*) OVER (PARTITION BY a.node_id) AS BIGINT) AS n FROM v_node a JOIN (SELECT s_suppkey, s_acctbal / 1000e0 + 0.4e0 AS altitude FROM supplier) b ON abs(a.altitude - b.altitude) <= 0.25e0
   QUALIFY row_number() OVER (PARTITION BY a.node_id ORDER BY abs(a.altitude - b.altitude), b.s_suppkey) = 1""")
 def c22_altitude_band(n: DataFrame, s: DataFrame) -> DataFrame:
-    planes = s.filter("s_suppkey % 5 = 0").select(F.col("s_suppkey").alias("plane"), (F.col("s_acctbal") / 1000 + 0.4).alias("plane_altitude"))
+    planes = s.select(F.col("s_suppkey").alias("plane"), (F.col("s_acctbal") / 1000 + 0.4).alias("plane_altitude"))
     found = relational.band(n.select("node_id", "altitude"), planes, "altitude", "plane_altitude", 0.25)
     best = F.min(F.struct(F.abs(F.col("altitude") - F.col("plane_altitude")).alias("d"), "plane")).alias("x")
     return found.groupBy("node_id").agg(best, F.count("*").alias("n")).select("node_id", F.col("x.plane").alias("plane"), "n")
@@ -198,10 +196,10 @@ def c26_vertical_links(e: DataFrame, n: DataFrame) -> DataFrame:
     return d.select(both(F.least, "from_ordinal", "to_ordinal").alias("lo"), both(F.greatest, "from_ordinal", "to_ordinal").alias("hi"), both(F.least, "from_id", "to_id").alias("a"), both(F.greatest, "from_id", "to_id").alias("b")).distinct()
 
 
-@query("C27", "v_version v_blob", "SELECT v.id AS version_id, b.id AS member, b.byte_size FROM v_version v JOIN v_blob b ON b.version_id = v.id WHERE v.status = 'published' AND b.id % 3 = 1")
+@query("C27", "v_version v_blob", "SELECT v.id AS version_id, b.id AS member, b.byte_size FROM v_version v JOIN v_blob b ON b.version_id = v.id WHERE v.status = 'published'")
 def c27_tile_member_lookup(v: DataFrame, b: DataFrame) -> DataFrame:
     live = v.filter("status = 'published'").select(F.col("id").alias("version_id"))
-    return live.join(b.filter("id % 3 = 1"), "version_id").select("version_id", F.col("id").alias("member"), "byte_size")
+    return live.join(b, "version_id").select("version_id", F.col("id").alias("member"), "byte_size")
 
 
 @query("C28 E22", "v_node", "SELECT CAST(count(*) FILTER (WHERE node_id % 7 = 0 AND node_id % 5 <> 0) AS BIGINT) AS added, CAST(count(*) FILTER (WHERE node_id % 5 = 0 AND node_id % 7 <> 0) AS BIGINT) AS removed, CAST(count(*) FILTER (WHERE node_id % 5 = 0 AND node_id % 7 = 0 AND node_id % 2 = 0) AS BIGINT) AS changed FROM v_node")
@@ -220,7 +218,7 @@ def c29_reciprocal_pairs(d: DataFrame) -> DataFrame:
 @query("C21", "v_node v_unit")
 def c21_minimum_cost_matching(n: DataFrame, u: DataFrame) -> DataFrame:
     """Lower nodes to upper units of a kind: most pairs, then least total distance."""
-    a = n.filter("node_id % 9 = 0").select(F.col("node_id").alias("lower"), "lon", "lat", (F.col("node_id") % 3).alias("kind"))
-    b = u.filter("unit_id % 45 = 0").select(F.col("unit_id").alias("upper"), "x", "y", (F.col("unit_id") % 3).alias("kind"))
+    a = n.select(F.col("node_id").alias("lower"), "lon", "lat", (F.col("node_id") % 3).alias("kind"))
+    b = u.select(F.col("unit_id").alias("upper"), "x", "y", (F.col("unit_id") % 3).alias("kind"))
     near = a.join(b, "kind").withColumn("cost", geo.haversine(F.col("lon"), F.col("lat"), F.col("x"), F.col("y"))).filter("cost < 200")
     return graph.match_pairs(near.select("kind", "lower", "upper", "cost"), ["kind"])

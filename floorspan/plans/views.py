@@ -38,7 +38,7 @@ VIEWS: dict[str, str] = {
         CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 1 + o_orderkey % 50 END AS assignee_id, o_orderdate AS created_at, o_orderkey % 17 = 0 AS deleted, 1 + o_orderkey % 3 AS row_version,
         o_totalprice AS price, o_orderpriority AS priority FROM {orders}""",
     "v_reply": """SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS parent_id, CAST(o_custkey % 40 AS BIGINT) AS version_id, l_suppkey AS author_id, l_shipdate AS created_at
-        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_linenumber <= 2""",
+        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
     "v_job": """SELECT event_id AS id, event_type AS kind, CAST(user_id % 60 AS BIGINT) AS version_id, ts AS created_at, value,
         CASE event_id % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'done' ELSE 'error' END AS status, props FROM {events}""",
     "v_blob": "SELECT doc_id AS id, CAST(doc_id % 30 AS BIGINT) AS version_id, text AS body, n_chars AS byte_size, source FROM {documents}",

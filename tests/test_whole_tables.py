@@ -1,6 +1,7 @@
 """Queries answer for all rows of their tables; each is held against a plain version, not against its SQL."""
 
 import heapq
+import math
 
 import duckdb
 import pytest
@@ -68,3 +69,54 @@ def test_graph_queries_answer_for_all_edges(spark, edges, nodes):
     ends = [n for e in edges for n in e[:2]]
     assert {r.node_id: r.degree for r in run(spark, "d15_degree")} == {n: ends.count(n) for n in nodes}
     assert {r.node_id for r in run(spark, "g20_isolated_nodes")} == nodes - set(ends)
+
+
+def haversine(x1, y1, x2, y2):
+    x1, y1, x2, y2 = map(math.radians, (x1, y1, x2, y2))
+    return 2 * 6_371_000 * math.asin(min(1, math.sqrt(math.sin((y2 - y1) / 2) ** 2 + math.cos(y1) * math.cos(y2) * math.sin((x2 - x1) / 2) ** 2)))
+
+
+def test_nearest_nodes_of_every_unit(spark):
+    units, nodes = frame(spark, SF, "v_unit").collect(), frame(spark, SF, "v_node").collect()
+    want = {u.unit_id: sorted((haversine(u.x, u.y, n.lon, n.lat), n.node_id) for n in nodes if n.ordinal == u.building % 5 - 2)[:3] for u in units}
+    assert any(want.values())
+    known = {n.node_id: n for n in nodes}
+    at = {u.unit_id: u for u in units}
+    got = {}
+    for r in run(spark, "c16_nearest_three"):
+        got.setdefault(r.unit_id, {})[r.place] = r.node_id
+    first = {r.unit_id: r.node_id for r in run(spark, "c17_nearest_node")}
+    assert set(got) == set(first) == {u for u, w in want.items() if w}
+    for unit, places in got.items():
+        assert sorted(places) == list(range(1, len(want[unit]) + 1))
+        for k, (d, _) in enumerate(want[unit], 1):  # equal distances may come in another order in Python's arithmetic
+            assert math.isclose(haversine(at[unit].x, at[unit].y, known[places[k]].lon, known[places[k]].lat), d, rel_tol=1e-6, abs_tol=1e-6)
+        assert first[unit] == places[1]
+
+
+@pytest.mark.parametrize(("name", "key", "table", "column"), [
+    ("c04_original_and_thumbnail", "id", "lineitem", "l_orderkey * 10 + l_linenumber"), ("e06_cumulative_length", "l_orderkey", "lineitem", "l_orderkey"), ("g03_walkable_and_chords", "unit_id", "part", "p_partkey"),
+    ("g11_doorway_direction", "opening", "lineitem", "l_suppkey"), ("g13_routes", "request_id", "supplier", "s_suppkey"), ("g24_triangulate", "unit_id", "part", "p_partkey"), ("h02_optimistic_update", "id", "orders", "o_orderkey"),
+    ("h05_quota_fold", "version_id", "lineitem", "l_orderkey % 40"), ("c27_tile_member_lookup", "member", "documents", "doc_id"),
+])
+def test_all_rows_are_answered(spark, name, key, table, column):
+    where = {"c04_original_and_thumbnail": "WHERE l_partkey % 900 IN (SELECT p_partkey % 1000 FROM '{0}/part.parquet') AND l_suppkey % 700 IN (SELECT p_partkey % 1000 FROM '{0}/part.parquet')",
+             "c27_tile_member_lookup": "WHERE doc_id % 30 IN (SELECT p_partkey FROM '{0}/part.parquet' WHERE p_partkey % 4 IN (1, 2))"}.get(name, "").format(SF)
+    want = {r[0] for r in duckdb.sql(f"SELECT DISTINCT {column} FROM '{SF}/{table}.parquet' {where}").fetchall()}
+    assert {r[key] for r in run(spark, name)} == want
+
+
+def test_sums_and_bounds_cover_all_rows(spark):
+    units = frame(spark, SF, "v_unit").collect()
+    for r in run(spark, "d01_bounds_per_level"):
+        own = [u for u in units if u.level_id == r.level_id]
+        assert (r.west, r.north) == (min(u.x for u in own) - 1e-6 * (len({u.x for u in own}) == 1), max(u.y for u in own) + 1e-6 * (len({u.y for u in own}) == 1))
+    documents = duckdb.sql(f"SELECT count(*) FROM '{SF}/documents.parquet'").fetchall()[0][0]
+    assert sum(r.sections for r in run(spark, "h19_bundle_sections")) == documents
+    assert frame(spark, SF, "v_reply").count() == frame(spark, SF, "lineitem").count()
+
+
+def test_every_node_takes_part_in_the_matching(spark):
+    matched = run(spark, "c21_minimum_cost_matching")
+    assert {r.lower for r in matched} == {r.node_id for r in frame(spark, SF, "v_node").collect()}
+    assert len({r.upper for r in matched}) == len(matched)
