@@ -380,3 +380,7 @@ def test_frequent(spark):
         assert len(got) <= most
         rest = sorted((c for _, c in counts), reverse=True)
         assert sorted(got, reverse=True) == rest[: len(got)]
+
+
+def test_lm_has_24_hidden_units():
+    assert language_model.HIDDEN == 24
