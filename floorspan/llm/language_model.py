@@ -219,19 +219,24 @@ class Trainer:
         self.words = 0
 
     def train(self, stream: np.ndarray, end: int) -> None:
-        """Read a stream of texts, each closed by the end; its lanes are equal stretches of it."""
-        lanes = int(min(LANES, max(8, len(stream) // 1500)))
-        length = len(stream) // lanes
-        if length < 2:
+        """Read a stream of texts, each closed by the end; its lanes are stretches of it, the first ones a word longer if need be."""
+        if not len(stream):
             return
-        y = stream[: lanes * length].reshape(lanes, length).T
+        lanes = int(max(1, min(LANES, max(8, len(stream) // 1500), len(stream) // 2)))
+        length, more = divmod(len(stream), lanes)
+        y = np.full((length + (more > 0), lanes), end, dtype=stream.dtype)
+        if more:
+            y[:, :more] = stream[: more * (length + 1)].reshape(more, length + 1).T
+        y[:length, more:] = stream[more * (length + 1) :].reshape(lanes - more, length).T
         x = np.vstack([np.full((1, lanes), end, dtype=y.dtype), y[:-1]])
         h = np.zeros((lanes, HIDDEN), dtype=np.float32)
         for lo in range(0, length, STEPS):
-            h = self._window(x[lo : lo + STEPS], y[lo : lo + STEPS], h, end)
-        self.words += lanes * length
+            hi = lo + STEPS if lo + STEPS < length else len(y)
+            h = self._window(x[lo:hi], y[lo:hi], h, end, min(hi * lanes, len(stream)) - lo * lanes)
+        self.words += len(stream)
 
-    def _window(self, x, y, h, end):
+    def _window(self, x, y, h, end, live: int | None = None):
+        """``live``: so many words count, in the order of steps and lanes; the rest fills the last step up."""
         p, (steps, lanes) = self.p, x.shape
         keep = (x != end).astype(np.float32)[:, :, None]  # a text begins from the zero state
         xg = (p["x"] + p["b"])[x]
@@ -242,10 +247,12 @@ class Trainer:
             hs[t] = h
             saved.append((h0, r, z, n, gn))
         flat_h, flat_y = hs.reshape(-1, HIDDEN), y.reshape(-1)
-        total = len(flat_y)
+        total = len(flat_y) if live is None else live
+        flat_h, flat_y = flat_h[:total], flat_y[:total]
         grad = {k: np.zeros(SHAPES[k], dtype=np.float32) for k in SHAPES if k != "x"}
         group, rows = symbol_class(flat_y), np.arange(total)
-        dh_out = np.empty_like(flat_h)
+        dh_full = np.zeros((steps * lanes, HIDDEN), dtype=np.float32)
+        dh_out = dh_full[:total]
         for lo in range(0, total, BLOCK):
             h_part, g_part = flat_h[lo : lo + BLOCK], group[lo : lo + BLOCK]
             d, sums = _exp_and_sum(h_part @ p["k"] + p["kb"])
@@ -269,7 +276,7 @@ class Trainer:
                 inner[lo:hi] = d @ p["w"][c].T
         dh_out[order] += inner
         dh_out *= np.float32(1 / total)
-        dh_out = dh_out.reshape(steps, lanes, HIDDEN)
+        dh_out = dh_full.reshape(steps, lanes, HIDDEN)
         dx = np.empty_like(xg)
         dh = np.zeros((lanes, HIDDEN), dtype=np.float32)
         for t in range(steps - 1, -1, -1):
@@ -284,8 +291,8 @@ class Trainer:
             grad["u"] += h0.T @ dx[t]
             dh = (dz + dx[t] @ p["u"].T) * keep[t]
             dx[t, :, 2 * HIDDEN :] = dn
-        dx = dx.reshape(total, -1)
-        grad["b"] = (_ones(total) @ dx)[0]
+        dx = dx.reshape(steps * lanes, -1)
+        grad["b"] = (_ones(steps * lanes) @ dx)[0]
         self._update(grad, x.reshape(-1), dx)
         return hs[-1].copy()
 

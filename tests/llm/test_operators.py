@@ -382,5 +382,38 @@ def test_frequent(spark):
         assert sorted(got, reverse=True) == rest[: len(got)]
 
 
+def test_lm_trains_on_every_word():
+    known = [(b"w%d" % i, 40 - i) for i in range(30)] + [(b"", 5)]
+    vocab = language_model.Vocabulary(known, 10, 10, [1] * language_model.TAILS)
+    for n in (1, 2, 5, 15, 16, 17, 8 * 16 + 3, 8 * 40 + 7, 5003):
+        trainer, seen = language_model.Trainer(language_model.initial(vocab)), []
+        inner = trainer._window
+
+        def window(x, y, h, end, live=None, inner=inner, seen=seen):
+            seen += y.reshape(-1)[:live].tolist()
+            return inner(x, y, h, end, live)
+
+        trainer._window = window
+        stream = np.arange(n, dtype=np.int32) % 29
+        trainer.train(stream, vocab.end)
+        assert trainer.words == n and sorted(seen) == sorted(stream.tolist())
+        assert np.isfinite(trainer.flat).all()
+
+
+def test_lm_filled_places_teach_nothing():
+    known = [(b"w%d" % i, 40 - i) for i in range(30)] + [(b"", 5)]
+    vocab = language_model.Vocabulary(known, 10, 10, [1] * language_model.TAILS)
+    y = np.arange(12, dtype=np.int32).reshape(3, 4)
+    x = np.vstack([np.full((1, 4), vocab.end, dtype=np.int32), y[:-1]])
+    weights = []
+    for filler in (1, 20):
+        trainer = language_model.Trainer(language_model.initial(vocab))
+        z = y.copy()
+        z[2, 3] = filler
+        trainer._window(x, z, np.zeros((4, language_model.HIDDEN), dtype=np.float32), vocab.end, 11)
+        weights.append(trainer.flat)
+    assert (weights[0] == weights[1]).all()
+
+
 def test_lm_has_24_hidden_units():
     assert language_model.HIDDEN == 24
