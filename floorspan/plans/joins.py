@@ -166,19 +166,19 @@ def c17_nearest_node(u: DataFrame, n: DataFrame) -> DataFrame:
 
 
 @query("C20", "part", """+c AS (SELECT p_partkey AS hub, unnest([p_size, p_size * 3 % 50, p_partkey % 50, p_partkey * 7 % 50]) AS vertex FROM part), d AS (SELECT DISTINCT * FROM c)
-  SELECT a.hub AS a, b.hub AS b, count(*) AS n FROM d a JOIN d b ON a.vertex = b.vertex AND a.hub < b.hub GROUP BY 1, 2 HAVING count(*) >= 3""")
+  SELECT a.hub AS a, b.hub AS b, count(*) AS n FROM d a JOIN d b ON a.vertex = b.vertex AND a.hub < b.hub GROUP BY 1, 2 HAVING count(*) >= 2""")
 def c20_shared_vertices(p: DataFrame) -> DataFrame:
     k, s = F.col("p_partkey"), F.col("p_size")
     v = p.select(k.alias("hub"), F.explode(F.array(s.cast("long"), (s * 3 % 50).cast("long"), k % 50, k * 7 % 50)).alias("vertex")).distinct()
     a, b = v.alias("a"), v.alias("b")
-    return a.join(b, (F.col("a.vertex") == F.col("b.vertex")) & (F.col("a.hub") < F.col("b.hub"))).groupBy(F.col("a.hub").alias("a"), F.col("b.hub").alias("b")).agg(F.count("*").alias("n")).filter("n >= 3")
+    return a.join(b, (F.col("a.vertex") == F.col("b.vertex")) & (F.col("a.hub") < F.col("b.hub"))).groupBy(F.col("a.hub").alias("a"), F.col("b.hub").alias("b")).agg(F.count("*").alias("n")).filter("n >= 2")
 
 
-@query("C22", "v_node supplier", """SELECT a.node_id, b.s_suppkey AS plane, CAST(count(*) OVER (PARTITION BY a.node_id) AS BIGINT) AS n FROM v_node a JOIN (SELECT s_suppkey, s_acctbal / 1000e0 + 0.4e0 AS altitude FROM supplier) b ON abs(a.altitude - b.altitude) <= 0.25e0
+@query("C22", "v_node supplier", """SELECT a.node_id, b.s_suppkey AS plane, CAST(count(*) OVER (PARTITION BY a.node_id) AS BIGINT) AS n FROM v_node a JOIN (SELECT s_suppkey, s_acctbal / 1000e0 + 0.4e0 AS altitude FROM supplier) b ON abs(a.altitude - b.altitude) <= 1.5e0
   QUALIFY row_number() OVER (PARTITION BY a.node_id ORDER BY abs(a.altitude - b.altitude), b.s_suppkey) = 1""")
 def c22_altitude_band(n: DataFrame, s: DataFrame) -> DataFrame:
     planes = s.select(F.col("s_suppkey").alias("plane"), (F.col("s_acctbal") / 1000 + 0.4).alias("plane_altitude"))
-    found = relational.band(n.select("node_id", "altitude"), planes, "altitude", "plane_altitude", 0.25)
+    found = relational.band(n.select("node_id", "altitude"), planes, "altitude", "plane_altitude", 1.5)
     best = F.min(F.struct(F.abs(F.col("altitude") - F.col("plane_altitude")).alias("d"), "plane")).alias("x")
     return found.groupBy("node_id").agg(best, F.count("*").alias("n")).select("node_id", F.col("x.plane").alias("plane"), "n")
 

@@ -120,3 +120,12 @@ def test_every_node_takes_part_in_the_matching(spark):
     matched = run(spark, "c21_minimum_cost_matching")
     assert {r.lower for r in matched} == {r.node_id for r in frame(spark, SF, "v_node").collect()}
     assert len({r.upper for r in matched}) == len(matched)
+
+
+def test_thresholds_are_the_reference_s(spark):
+    hubs = {k: {s, s * 3 % 50, k % 50, k * 7 % 50} for k, s in duckdb.sql(f"SELECT p_partkey, p_size FROM '{SF}/part.parquet'").fetchall()}
+    shared = {(a, b): len(hubs[a] & hubs[b]) for a in hubs for b in hubs if a < b}
+    assert {(r.a, r.b): r.n for r in run(spark, "c20_shared_vertices")} == {p: n for p, n in shared.items() if n >= 2}
+    at = dict(duckdb.sql(f"SELECT s_suppkey, s_acctbal FROM '{SF}/supplier.parquet'").fetchall())
+    near = {a: sum(abs(float(at[a]) / 1000 - (float(at[b]) / 1000 + 0.4)) <= 1.5 for b in at) for a in at}
+    assert {r.node_id: r.n for r in run(spark, "c22_altitude_band")} == {a: n for a, n in near.items() if n}
