@@ -47,14 +47,14 @@ def e09_bit_pattern_sort(d: DataFrame) -> DataFrame:
     return d.select("level_id", F.row_number().over(Window.orderBy(*relational.bit_order("ordinal"), "building")).cast("long").alias("place"))
 
 
-@query("E8 C26", "v_net", "SELECT from_id, to_id, cost FROM v_net ORDER BY from_id, to_id, cost LIMIT 100")
+@query("E8 C26", "v_net", "SELECT from_id, to_id, cost FROM v_net ORDER BY from_id, to_id, cost")
 def e08_multi_key_sort(d: DataFrame) -> DataFrame:
-    return d.select("from_id", "to_id", "cost").orderBy("from_id", "to_id", "cost").limit(100)
+    return d.select("from_id", "to_id", "cost").orderBy("from_id", "to_id", "cost")
 
 
-@query("E12", "v_user", "SELECT id, username FROM v_user WHERE role <> 'viewer' ORDER BY username, id LIMIT 200")
+@query("E12", "v_user", "SELECT id, username FROM v_user WHERE role <> 'viewer' ORDER BY username, id")
 def e12_list_reviewers(d: DataFrame) -> DataFrame:
-    return d.filter("role <> 'viewer'").orderBy("username", "id").limit(200).select("id", "username")
+    return d.filter("role <> 'viewer'").orderBy("username", "id").select("id", "username")
 
 
 @query("E13", "v_job", "SELECT id, created_at FROM v_job ORDER BY created_at DESC, id DESC LIMIT 20")

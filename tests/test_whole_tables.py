@@ -129,3 +129,9 @@ def test_thresholds_are_the_reference_s(spark):
     at = dict(duckdb.sql(f"SELECT s_suppkey, s_acctbal FROM '{SF}/supplier.parquet'").fetchall())
     near = {a: sum(abs(float(at[a]) / 1000 - (float(at[b]) / 1000 + 0.4)) <= 1.5 for b in at) for a in at}
     assert {r.node_id: r.n for r in run(spark, "c22_altitude_band")} == {a: n for a, n in near.items() if n}
+
+
+def test_lists_are_whole_and_in_order(spark, edges):
+    assert [(r.from_id, r.to_id, r.cost) for r in run(spark, "e08_multi_key_sort")] == sorted(e[:3] for e in edges)
+    users = duckdb.sql(f"SELECT c_name, c_custkey FROM '{SF}/customer.parquet' WHERE c_custkey % 10 <> 1").fetchall()
+    assert [(r.username, r.id) for r in run(spark, "e12_list_reviewers")] == sorted(users)
