@@ -70,7 +70,7 @@ def a17_bundle_integrity(level: DataFrame, u: DataFrame) -> DataFrame:
     return bundle.integrity(level, units.union(shown).union(extra))
 
 
-@query("A18", "part", """+e AS (SELECT 't' || CAST(floor(p_partkey / 3) AS INT) AS parent, 't' || p_partkey AS child FROM part WHERE p_partkey % 11 <> 0), w(path, depth) AS (SELECT 't1', 0 UNION ALL SELECT e.child, w.depth + 1 FROM w JOIN e ON w.path = e.parent WHERE w.depth < 8)
+@query("A18", "part", """+e AS (SELECT 't' || CAST(floor(p_partkey / 3) AS INT) AS parent, 't' || p_partkey AS child FROM part WHERE p_partkey % 11 <> 0), w(path, depth) AS (SELECT 't1', 0 UNION ALL SELECT e.child, w.depth + 1 FROM w JOIN e ON w.path = e.parent)
   SELECT path, CAST(min(depth) AS INT) AS depth FROM w GROUP BY 1""", recursive=True)
 def a18_tile_package_walk(p: DataFrame) -> DataFrame:
     k = F.col("p_partkey")

@@ -152,7 +152,7 @@ def c19_grid_bucket_pairs(n: DataFrame) -> DataFrame:
 _NEAREST = _HAV.format(lon1="q.x", lat1="q.y", lon2="t.lon", lat2="t.lat")
 
 
-@query("C16 G13", "v_unit v_node", f"""+q AS (SELECT unit_id, x, y, CAST(building % 5 - 2 AS DOUBLE) AS ordinal FROM v_unit), d AS (SELECT q.unit_id, t.node_id, {_NEAREST} AS d FROM q JOIN v_node t USING (ordinal))
+@query("C16", "v_unit v_node", f"""+q AS (SELECT unit_id, x, y, CAST(building % 5 - 2 AS DOUBLE) AS ordinal FROM v_unit), d AS (SELECT q.unit_id, t.node_id, {_NEAREST} AS d FROM q JOIN v_node t USING (ordinal))
   SELECT unit_id, node_id, CAST(row_number() OVER (PARTITION BY unit_id ORDER BY d, node_id) AS INT) AS place FROM d QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY d, node_id) <= 3""")
 def c16_nearest_three(u: DataFrame, n: DataFrame) -> DataFrame:
     q = u.select("unit_id", "x", "y", (F.col("building") % 5 - 2).cast("double").alias("ordinal"))

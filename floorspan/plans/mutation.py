@@ -67,6 +67,6 @@ def h15_single_reservation(d: DataFrame) -> DataFrame:
     return d.groupBy("version_id").agg(F.min_by("id", F.struct("created_at", "id")).alias("holder"))
 
 
-@query("H19 A15 A16", "v_blob", "SELECT version_id, count(*) AS sections, CAST(sum(byte_size) AS BIGINT) AS bytes FROM v_blob GROUP BY 1")
+@query("H19", "v_blob", "SELECT version_id, count(*) AS sections, CAST(sum(byte_size) AS BIGINT) AS bytes FROM v_blob GROUP BY 1")
 def h19_bundle_sections(d: DataFrame) -> DataFrame:
     return d.groupBy("version_id").agg(F.count("*").alias("sections"), F.sum("byte_size").alias("bytes"))

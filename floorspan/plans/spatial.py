@@ -104,7 +104,7 @@ def g21_network_findings(n: DataFrame, e: DataFrame) -> DataFrame:
     return found.filter("code <> 'isolated_node'").union(found.filter("code = 'isolated_node'").join(ends, "node_id", "left_anti").select("code", "node_id", "detail"))
 
 
-@query("G13 G14 G15", "v_net v_node")
+@query("G15", "v_net v_node")
 def g13_routes(e: DataFrame, n: DataFrame) -> DataFrame:
     """Cheapest routes with their paths, searched per venue on the workers."""
     _, e = graph.clip(n, e, n)
@@ -149,7 +149,7 @@ def g24_triangulate(d: DataFrame) -> DataFrame:
     return done.select("unit_id", F.size("triangles").cast("long").alias("n_triangles"), (area / 2).cast("long").alias("doubled_area"))
 
 
-@query("G25 G26", "v_unit", """+e AS (SELECT level_id, unnest([CAST(unit_id % 40 AS VARCHAR) || ':' || CAST(floor(unit_id / 40) AS VARCHAR), CAST(unit_id % 40 + 1 AS VARCHAR) || ':' || CAST(floor(unit_id / 40) AS VARCHAR)]) AS k, unnest([1, 2]) AS side FROM v_unit)
+@query("G26", "v_unit", """+e AS (SELECT level_id, unnest([CAST(unit_id % 40 AS VARCHAR) || ':' || CAST(floor(unit_id / 40) AS VARCHAR), CAST(unit_id % 40 + 1 AS VARCHAR) || ':' || CAST(floor(unit_id / 40) AS VARCHAR)]) AS k, unnest([1, 2]) AS side FROM v_unit)
   SELECT level_id, k AS wall, count(*) AS uses, count(*) = 1 AS outer_wall FROM e GROUP BY 1, 2""")
 def g25_wall_groups(d: DataFrame) -> DataFrame:
     row = F.floor(F.col("unit_id") / 40).cast("double").cast("string")

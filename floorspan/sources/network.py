@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floorspan.functions import geo
+from floorspan.session import cut
 
 #: Layers that a network has to have.
 NEEDED = ("net_junction", "net_path")
@@ -43,14 +44,17 @@ def export_paths(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array(there, back)).alias("p"), "cost").select("p.path_id", "p.back_id", F.col("p.f").alias("from_id"), F.col("p.t").alias("to_id"), "cost")
 
 
-def reachable(edges: DataFrame, root: DataFrame, depth: int = 8) -> DataFrame:
-    """(path, depth) of what a package's root reaches over (parent, child) edges in at most ``depth`` steps."""
-    found = root.select("path", F.lit(0).alias("depth"))
-    front = found
-    for k in range(1, depth + 1):
-        front = front.join(edges, front["path"] == edges["parent"]).select(F.col("child").alias("path"), F.lit(k).alias("depth")).distinct()
-        found = found.union(front)
-    return found.groupBy("path").agg(F.min("depth").alias("depth"))
+def reachable(edges: DataFrame, root: DataFrame) -> DataFrame:
+    """(path, depth) of all that a package's root reaches over (parent, child) edges, by the fewest steps."""
+    found = cut(root.select("path", F.lit(0).alias("depth")))
+    front, k = found, 0
+    while True:
+        k += 1
+        step = front.join(edges, front["path"] == edges["parent"]).select(F.col("child").alias("path")).distinct()
+        front = cut(step.join(found, "path", "left_anti").withColumn("depth", F.lit(k)))
+        if front.isEmpty():
+            return found
+        found = cut(found.union(front))
 
 
 def write_network(junctions: DataFrame, paths: DataFrame, folder: str) -> None:

@@ -8,6 +8,7 @@ import pytest
 
 from floorspan.plans import all_queries
 from floorspan.plans.views import frame
+from floorspan.sources import network
 
 SF = "/root/testdata/sf0.01"
 
@@ -135,3 +136,11 @@ def test_lists_are_whole_and_in_order(spark, edges):
     assert [(r.from_id, r.to_id, r.cost) for r in run(spark, "e08_multi_key_sort")] == sorted(e[:3] for e in edges)
     users = duckdb.sql(f"SELECT c_name, c_custkey FROM '{SF}/customer.parquet' WHERE c_custkey % 10 <> 1").fetchall()
     assert [(r.username, r.id) for r in run(spark, "e12_list_reviewers")] == sorted(users)
+
+
+def test_package_walk_goes_to_the_end(spark):
+    edges = spark.createDataFrame([(f"t{i}", f"t{i + 1}") for i in range(11)] + [("t11", "t0"), ("other", "lost")], "parent string, child string")
+    found = network.reachable(edges, spark.createDataFrame([("t0",)], "path string")).collect()
+    assert {r.path: r.depth for r in found} == {f"t{i}": i for i in range(12)}
+    claimed = {r for q in all_queries().values() for r in q.rows}
+    assert not claimed & {"G13", "G14", "G25", "A15", "A16"}
