@@ -29,16 +29,23 @@ def ship(spark: SparkSession) -> None:
     sc._floorspan_shipped = True
 
 
+def checkpoint_ready(spark: SparkSession) -> str:
+    """The shared checkpoint folder that the cluster names; only in local mode, where none is set, one beside the warehouse."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder; where none is set, through one beside the warehouse."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+    """Cut the lineage through the shared checkpoint folder."""
+    checkpoint_ready(df.sparkSession)
     return df.checkpoint()
 
 
 def scratch(spark: SparkSession) -> str:
     """A new folder name in the shared checkpoint folder."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        cut(spark.range(1))
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/scratch-{uuid.uuid4().hex}"
+    return f"{checkpoint_ready(spark)}/scratch-{uuid.uuid4().hex}"
