@@ -4,14 +4,23 @@ A text's bag holds the 3- to 5-character n-grams of its words with their ends ma
 ``2 ** BITS`` buckets; misspellings share most of their n-grams with known words.  The mean of the bag's
 embeddings goes into a softmax over the two classes.  Embeddings and softmax weights are trained together
 by full-batch gradient steps over a bounded, class-balanced sample of labelled rows (``per_class`` rows of
-each class, documented in ``_labelled.sample``).  N-grams whose share doesn't differ between the classes by
-more than chance keep a zero embedding (they still count in the mean); the steps of the others are scaled by
-the mean square of their share, so that rare n-grams learn as fast as common ones.  For scoring, embeddings and weights
-collapse into one number for each bucket, which is broadcast (1 MB).
+each class, documented in ``_labelled.sample``); the steps of an embedding are scaled by the mean square of its
+share, so that rare n-grams learn as fast as common ones.
+
+Sparsity regularizes the fit: embeddings stay zero for n-grams (they still count in the mean) that occur in about
+as many documents of one class as of the other.  How many standard errors apart the two must be is chosen from
+``STRENGTHS``, and the border between the classes is set, by the errors on folds left out of both the choice of
+n-grams and the training, so that both follow the size of the sample.  Calling nothing toxic is one of the borders.
+
+Sampled texts stay on the workers, whatever their length: these count the documents with each n-gram by class and
+fold, and then send the shares of at most ``MOST_GRAMS`` n-grams.  For scoring, embeddings and weights collapse into
+one number for each bucket, which is broadcast (1 MB).
 
 Defined cases: null and empty texts, and texts without n-grams, score the softmax of the bias; without
-labelled rows of both classes every text scores 0; repeated rows score alike; an empty table gives an empty
-result; extra columns are ignored by ``score`` and carried along by ``drop_toxic``.
+labelled rows of both classes, or without an n-gram that tells them apart, every text scores 0; where calling nothing
+toxic makes the fewest errors, all texts score next to 0; texts that score alike lie on the same side of the border; repeated rows
+score alike; an empty table gives an empty result; extra columns are ignored by ``score`` and carried along by
+``drop_toxic``.
 """
 
 from __future__ import annotations
@@ -24,16 +33,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floorspan.llm._chars import SPACE, codes, grams, groups, sums
-from floorspan.llm._common import by_batch, id_remainder, keep_rows, table
-from floorspan.llm._labelled import not_fifth, sample
+from floorspan.llm._common import by_batch, id_remainder, keep_rows, small, table
+from floorspan.llm._labelled import from_texts, not_fifth, sample
+from floorspan.session import ship
 
 BITS = 18
 SIZES = (3, 4, 5)
 DIM = 8
 PER_CLASS = 3000
-#: N-grams in fewer sampled documents, or whose mean share differs between the classes by fewer standard errors, keep a zero embedding.
-LEAST_DOCS = 5
-LEAST_T = 4.5
+FOLDS = 5
+#: Standard errors between the classes' shares of documents that an n-gram needs for an embedding; one is chosen.
+STRENGTHS = (3.0, 4.0, 5.0, 6.0, 8.0)
+#: N-grams in fewer sampled documents have none.
+LEAST_DOCS = 3
+#: Embeddings trained at most, those furthest apart.
+MOST_GRAMS = 4096
+#: The bias where nothing is to be called toxic.
+NEVER = -40.0
 
 
 def _inside(space: np.ndarray, n: int) -> np.ndarray:
@@ -84,73 +100,196 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out + self.bias, -60, 60)))
 
 
-def fit(texts: list[str], labels: list[int], dim: int = DIM, steps: int = 400, rate: float = 0.5, least_t: float = LEAST_T, seed: int = 7, sizes: dict[int, int] | None = None) -> Model:
-    y = np.array(labels)
-    if not len(y) or y.min() == y.max():
-        return Model(None, 0.0)
-    # n-grams whose share differs between the classes by more than chance; the others' embeddings stay zero
-    n_buckets, size = 1 << BITS, np.bincount(y, minlength=2)
-    total, square, docs = np.zeros((2, n_buckets)), np.zeros((2, n_buckets)), np.zeros(n_buckets, dtype=np.int64)
-    for k, (b, share) in enumerate(bags(texts)):
-        total[y[k], b] += share
-        square[y[k], b] += share * share
-        docs[b] += 1
-    mean = total / size[:, None]
-    spread = (np.maximum(square / size[:, None] - mean * mean, 0) / size[:, None]).sum(axis=0)
-    t = (mean[1] - mean[0]) / np.sqrt(spread + 1e-18)
-    chosen = np.flatnonzero((np.abs(t) >= least_t) & (docs >= LEAST_DOCS))
-    if not len(chosen):
-        return Model(None, 0.0)
-    place = np.full(n_buckets, -1)
-    place[chosen] = np.arange(len(chosen))
-    rows, index, share = [], [], []
-    for k, (b, x) in enumerate(bags(texts)):
-        at = place[b]
-        rows.append(np.full((at >= 0).sum(), k))
-        index.append(at[at >= 0])
-        share.append(x[at >= 0])
-    rows, index, share = np.concatenate(rows), np.concatenate(index), np.concatenate(share)
+def presence(bags_: Iterator[np.ndarray], labels: np.ndarray, folds: np.ndarray) -> np.ndarray:
+    """How many documents of each (fold, label) have each bucket; and, one place beyond the buckets, how many there are."""
+    out = np.zeros((FOLDS, 2, (1 << BITS) + 1), dtype=np.int64)
+    for b, y, f in zip(bags_, labels, folds, strict=True):
+        out[f, y, b] += 1
+        out[f, y, -1] += 1
+    return out
+
+
+def apart(found: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Standard errors between the shares of documents, (label, bucket), that have each bucket; 0 for rare ones."""
+    both = found.sum(axis=0)
+    share = both / size.sum()
+    spread = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / size).sum())
+    return np.where(both >= LEAST_DOCS, np.abs(found[1] / size[1] - found[0] / size[0]) / spread, 0.0)
+
+
+def strengths(found: np.ndarray) -> np.ndarray:
+    """``apart`` of each bucket, first over all folds and then with each fold left out; 0 where a class is empty."""
+    total = found.sum(axis=0)
+    out = []
+    for left_out in [0, *found]:
+        rest = total - left_out
+        out.append(apart(rest[:, :-1], rest[:, -1]) if rest[:, -1].all() else np.zeros(found.shape[2] - 1))
+    return np.array(out)
+
+
+def train_jointly(x: np.ndarray, y: np.ndarray, dim: int = DIM, steps: int = 200, rate: float = 0.5, seed: int = 7) -> np.ndarray:
+    """The difference of the classes' logits that each column's trained embedding adds for each unit of its share."""
+    size = np.bincount(y, minlength=2)
     weight = (0.5 / size)[y]  # classes weigh alike
-    scale = 1 / np.maximum(np.bincount(index, weights=share * share * weight[rows], minlength=len(chosen)), 1e-12)
+    scale = 1 / np.maximum(weight @ (x * x), 1e-12)
     rng = np.random.default_rng(seed)
-    emb, soft, bias = np.zeros((len(chosen), dim)), rng.normal(0, 1 / np.sqrt(dim), (dim, 2)), np.zeros(2)
+    emb, soft, bias = np.zeros((x.shape[1], dim)), rng.normal(0, 1 / np.sqrt(dim), (dim, 2)), 0.0
     for _ in range(steps):
-        line = emb @ soft
-        z = np.stack([np.bincount(rows, weights=share * line[index, k], minlength=len(y)) for k in (0, 1)], axis=1) + bias
-        z -= z.max(axis=1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(y)), y] -= 1
-        p *= weight[:, None]
-        down = np.stack([np.bincount(index, weights=share * p[rows, k], minlength=len(chosen)) for k in (0, 1)], axis=1)
-        step = emb.T @ down
-        emb -= rate * (scale[:, None] * down) @ soft.T / np.sqrt(len(chosen))
-        soft -= 0.05 * step / max(1.0, np.abs(step).max())
-        bias -= rate * p.sum(axis=0)
-    line = emb @ soft
-    one = line[:, 1] - line[:, 0]
-    out = np.zeros(n_buckets, dtype=np.float32)
-    out[chosen] = one
-    return Model(out, _centre(np.bincount(rows, weights=share * one[index], minlength=len(y)), y, sizes))
-
-
-def _centre(z: np.ndarray, y: np.ndarray, sizes: dict[int, int] | None = None) -> float:
-    """The bias with the fewest errors, the classes weighed by their true sizes; in the middle of the gap, where that is."""
-    order = np.argsort(z, kind="stable")
+        line = emb @ (soft[:, 1] - soft[:, 0])
+        wrong = weight * (1 / (1 + np.exp(-np.clip(x @ line.astype(x.dtype) + bias, -60, 60))) - y)  # of the softmax of two classes
+        down = (wrong.astype(x.dtype) @ x).astype(np.float64)
+        to_soft = emb.T @ down
+        emb -= rate * (scale * down)[:, None] * (soft[:, 1] - soft[:, 0])[None, :] / np.sqrt(x.shape[1])
+        soft += 0.05 * np.outer(to_soft, [1, -1]) / max(1.0, np.abs(to_soft).max())
+        bias -= 2 * rate * wrong.sum()
+    return emb @ (soft[:, 1] - soft[:, 0])
+
+
+def border(z: np.ndarray, y: np.ndarray, sizes: dict[int, int]) -> tuple[float | None, float]:
+    """The border of the fewest errors above which texts are toxic, its errors, the classes weighed by their true sizes; None: nothing is toxic."""
+    order = np.argsort(-z, kind="stable")
     z, y = z[order], y[order]
     one, zero = (y == 1).sum(), (y == 0).sum()
-    sizes = sizes or {0: int(zero), 1: int(one)}
-    missed = np.concatenate(([0], np.cumsum(y == 1))) / one * sizes[1]
-    false = (zero - np.concatenate(([0], np.cumsum(y == 0)))) / zero * sizes[0]
-    cost = (missed + false)[:-1]
-    cost[1:][np.diff(z) <= 0] = np.inf  # texts that score alike stay together
+    missed = (one - np.concatenate(([0], np.cumsum(y == 1)))) / one * sizes[1]
+    false = np.concatenate(([0], np.cumsum(y == 0))) / zero * sizes[0]
+    cost = missed + false
+    cost[1:-1][np.diff(z) == 0] = np.inf  # texts that score alike stay together
     k = int(cost.argmin())
-    return -float((z[max(0, k - 1)] + z[k]) / 2)
+    if k == 0:
+        return None, float(cost[0])
+    return float((z[k - 1] + z[k]) / 2 if k < len(z) else z[-1] - 1), float(cost[k])
+
+
+def fit_shares(x: np.ndarray, y: np.ndarray, fold: np.ndarray, strength: np.ndarray, sizes: dict[int, int]) -> tuple[np.ndarray, float] | None:
+    """Weights of the columns and the bias; ``strength`` as from ``strengths``, for the columns of the shares x."""
+
+    def fitted(on: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = x[:, columns]
+        line = train_jointly(own[on], y[on])
+        z = own @ line
+        unit = max(float(np.abs(z[on]).mean()), 1e-12)
+        return line / unit, z / unit
+
+    best = None
+    for least in STRENGTHS:
+        if not (strength[0] >= least).any():
+            continue
+        z = np.zeros(len(y))
+        for f in range(FOLDS):
+            columns, on = np.flatnonzero(strength[1 + f] >= least), fold != f
+            if len(columns) and not on.all():
+                z[~on] = fitted(on, columns)[1][~on]
+        at, cost = border(z, y, sizes)
+        if best is None or cost <= best[0]:
+            best = cost, least, at
+    if best is None:
+        return None
+    _, least, at = best
+    columns = np.flatnonzero(strength[0] >= least)
+    out = np.zeros(x.shape[1])
+    out[columns] = fitted(np.ones(len(y), dtype=bool), columns)[0]
+    return out, NEVER if at is None else -at
+
+
+def chosen_grams(strength: np.ndarray) -> np.ndarray:
+    """The buckets that some fold may choose, at most MOST_GRAMS."""
+    top = strength.max(axis=0)
+    found = np.flatnonzero(top >= min(STRENGTHS))
+    return np.sort(found[np.argsort(-top[found], kind="stable")[:MOST_GRAMS]])
+
+
+def shares(texts: list[str | None], place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The columns of each text's chosen buckets and their shares."""
+    for b, share in bags(texts):
+        at = place[b]
+        yield at[at >= 0], share[at >= 0].astype(np.float32)
+
+
+def as_model(buckets: np.ndarray, fitted: tuple[np.ndarray, float] | None) -> Model:
+    if fitted is None:
+        return Model(None, 0.0)
+    out = np.zeros(1 << BITS, dtype=np.float32)
+    out[buckets] = fitted[0]
+    return Model(out, fitted[1])
+
+
+def _place(buckets: np.ndarray) -> np.ndarray:
+    place = np.full(1 << BITS, -1)
+    place[buckets] = np.arange(len(buckets))
+    return place
 
 
 def train(docs: DataFrame, labels: DataFrame, learn=not_fifth, per_class: int = PER_CLASS, **columns) -> Model:
     rows, sizes = sample(docs, labels, "toxic", per_class, learn, **columns)
-    return fit([t or "" for _, t, _ in rows], [y for *_, y in rows], sizes=sizes)
+    if rows is None or len(sizes) < 2:
+        if rows is not None:
+            rows.drop()
+        return Model(None, 0.0)
+    try:
+        return _fit_rows(rows.df.select("y", F.pmod(F.xxhash64("i", F.lit(5)), F.lit(FOLDS)).cast("int").alias("f"), "t"), sizes)
+    finally:
+        rows.drop()
+
+
+def _fit_rows(rows: DataFrame, sizes: dict[int, int]) -> Model:
+    wide = (1 << BITS) + 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros((FOLDS, 2, wide), dtype=np.int64)
+        for batch in small(batches):
+            found += presence((b for b, _ in bags(batch.column(2).to_pylist())), batch.column(0).to_numpy(), batch.column(1).to_numpy())
+        flat = found.reshape(-1)
+        used = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(flat[used])], ["k", "n"])
+
+    ship(rows.sparkSession)
+    # one row for each bucket that LEAST_DOCS documents have, at most 2 ** BITS + 1
+    cells = [F.sum(F.when(F.floor(F.col("k") / wide) == c, F.col("n")).otherwise(0)).alias(f"c{c}") for c in range(2 * FOLDS)]
+    counts = rows.mapInArrow(count, "k long, n long").groupBy((F.col("k") % wide).alias("b")).agg(F.sum("n").alias("n"), *cells).filter(F.col("n") >= LEAST_DOCS).toArrow()
+    found = np.zeros((2 * FOLDS, wide), dtype=np.int64)
+    at = counts["b"].to_numpy()
+    for c in range(2 * FOLDS):
+        found[c, at] = counts[f"c{c}"].to_numpy()
+    found = found.reshape(FOLDS, 2, wide)
+    if not found[:, :, -1].sum(axis=0).all():
+        return Model(None, 0.0)
+    strength = strengths(found)
+    buckets = chosen_grams(strength)
+    if not len(buckets):
+        return Model(None, 0.0)
+    sent = rows.sparkSession.sparkContext.broadcast(_place(buckets))
+
+    def send(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        own = list(shares(batch.column(2).to_pylist(), sent.value))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array([a.astype(np.int32) for a, _ in own], pa.list_(pa.int32())), pa.array([s for _, s in own], pa.list_(pa.float32()))], ["y", "f", "at", "share"]
+        )
+
+    got = from_texts(rows, "y int, f int, at array<int>, share array<float>", send)
+    order = np.lexsort([got["f"].to_numpy(), got["y"].to_numpy()])
+    x = np.zeros((len(order), len(buckets)), dtype=np.float32)
+    for k, (a, s) in enumerate(zip(got["at"], got["share"], strict=True)):
+        x[k, a.values.to_numpy()] = s.values.to_numpy()
+    return as_model(buckets, fit_shares(x[order], got["y"].to_numpy()[order], got["f"].to_numpy()[order], strength[:, buckets], sizes))
+
+
+def fit(texts: list[str | None], labels: list[int], sizes: dict[int, int] | None = None) -> Model:
+    """The model of texts in memory; their folds go by turns."""
+    y = np.array(labels, dtype=np.int64)
+    if not len(y) or y.min() == y.max():
+        return Model(None, 0.0)
+    order = np.argsort(y, kind="stable")
+    fold = np.empty(len(y), dtype=np.int64)
+    fold[order] = np.arange(len(y)) % FOLDS
+    strength = strengths(presence((b for b, _ in bags(texts)), y, fold))
+    buckets = chosen_grams(strength)
+    if not len(buckets):
+        return Model(None, 0.0)
+    x = np.zeros((len(y), len(buckets)), dtype=np.float32)
+    for k, (a, s) in enumerate(shares(texts, _place(buckets))):
+        x[k, a] = s
+    zero, one = np.bincount(y, minlength=2)
+    return as_model(buckets, fit_shares(x, y, fold, strength[:, buckets], sizes or {0: int(zero), 1: int(one)}))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
