@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floorspan.session import ship
+from floorspan.session import checkpoint_ready, ship
 
 #: Words between ASCII white space.  ``bytes.split()`` cuts at exactly these bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,14 +27,6 @@ def id_remainder(col: Column | str, modulus: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def checkpoint_ready(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; only where none is set, one beside the warehouse."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-        sc.setCheckpointDir(folder)
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder, so that a lost executor costs no recomputation."""
     checkpoint_ready(df.sparkSession)
@@ -105,6 +97,31 @@ class Stored:
         path.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Tables:
+    """Stored tables of one piece of work: at its end they are deleted but for those kept, and after an error all are."""
+
+    def __init__(self):
+        self._stored: list[tuple[Stored, bool]] = []
+
+    def store(self, df: DataFrame, keep: bool = False) -> DataFrame:
+        self._stored.append((Stored(df), keep))
+        return self._stored[-1][0].df
+
+    def drop(self, df: DataFrame) -> None:
+        """Delete a table that nothing needs any more."""
+        for s, _ in self._stored:
+            if s.df is df:
+                s.drop()
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, error, *rest) -> None:
+        for s, keep in self._stored:
+            if error is not None or not keep:
+                s.drop()
+
+
 def frequent(counts: DataFrame, count: str, most: int) -> DataFrame:
     """The rows of the highest counts, at most ``most`` of them; rows that tie at the border are left out together.
 

@@ -14,28 +14,33 @@ No bucket is expanded into all pairs:
   joins a component;
 * then only buckets with several components are joined, classes outside a bucket's largest component against
   all others of another component, behind exact bounds on size and on the overlap by parity sketches.  Links
-  inside a component add nothing to it, so none that matters is lost.
+  inside a component add nothing to it, so none that matters is lost.  In crowded buckets only classes of
+  neighbouring bands of sizes meet, each band by itself.
 Candidates are verified exactly on their sets, which are rebuilt from the texts for the classes that pass a
-Bloom filter of bounded size (a join keeps the exact ones).
+Bloom table of bounded size (a join keeps the exact ones).  All joins are left to Spark, which chooses their sides by
+size and splits hot keys; no text is shuffled but those that both Bloom tables of ``keep_one`` seem to hold.
 
 Sets are told apart by 64-bit hashes of shingles and of sets.
 
 Defined cases: a text of fewer words than a shingle has its whole word sequence as its one element; a text
 that is null or without words has an empty set, is linked with nothing and is its own component; exact copies
 and repeated rows are one class; a component's id is its smallest non-null document id; an empty table gives
-an empty result; extra columns are ignored by ``join`` and carried along by ``keep_one``.
+an empty result; extra columns are ignored by ``join`` and carried along by ``keep_one``, which keeps any one of
+the rows that repeat both id and text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from floorspan.llm._common import Stored, ascii_lower, by_batch, cut, frequent, sent_if_small, small, table
+from floorspan.llm._bloom import bloom, may_hold
+from floorspan.llm._common import Tables, ascii_lower, by_batch, frequent, small, table
 from floorspan.llm._components import components
 from floorspan.llm._words import joined, mix, windows, words
 from floorspan.session import ship
@@ -51,7 +56,6 @@ GROUP_BYTES = 1 << 18
 _SKETCH = np.uint64(0xA0761D6478BD642F)
 #: Sets of more shingles get 512 parities, as 256 are too few to tell them apart.
 LARGE = 256
-BLOOM_BITS = (1 << 20, 1 << 29)
 
 
 def sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
@@ -174,21 +178,6 @@ def prefixes(docs: DataFrame, text_col: str, n: int, num: int, den: int, hint: n
     return by_batch(docs.select(text_col), "token long, sid long, level byte", make)
 
 
-def _bloom(ids: DataFrame) -> np.ndarray:
-    """A bit table of the ids (column sid), of bounded size: 16 bits an id, at most 64 MB."""
-    count = ids.count()
-    bits = BLOOM_BITS[0]
-    while bits < min(16 * count, BLOOM_BITS[1]):
-        bits *= 2
-    # two places of each sid, which is a hash already; _places has them in Python
-    places = ids.select(F.explode(F.array(F.col("sid").bitwiseAND(bits - 1), F.shiftrightunsigned("sid", 32).bitwiseAND(bits - 1))).alias("b"))
-    words_ = places.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("x"))
-    out = np.zeros(bits // 64, dtype=np.uint64)
-    for batch in words_.toLocalIterator():
-        out[batch.w] = np.uint64(batch.x & 0xFFFFFFFFFFFFFFFF)
-    return out
-
-
 def verified(pairs: DataFrame, sets_of: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets link."""
     left = pairs.join(sets_of.select(F.col("sid").alias("a"), F.col("s").alias("sa")), "a")
@@ -212,130 +201,159 @@ def _may_link(a: str, b: str, num: int, den: int) -> Column:
     return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & enough(small_ones) & enough(F.coalesce(wide, F.lit(0)))
 
 
+#: Classes in a bucket from which its rows meet by bands of sizes.
+CROWD = 256
+
+
+def _by_band(rows: DataFrame, num: int, den: int, neighbours: bool) -> DataFrame:
+    """Rows with the band of their size in crowded buckets, 0 in others; ``neighbours`` adds the bands next to it.
+
+    The sizes of linked sets are at most den / num apart, and a band is as wide, so their bands are the same or next to each other.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + 1e-9).cast("int") if num < den else F.col("n").cast("int")
+    crowded = F.col("df") > CROWD
+    if not neighbours:
+        return rows.withColumn("band", F.when(crowded, band).otherwise(0))
+    return rows.withColumn("band", F.explode(F.when(crowded, F.array(band - 1, band, band + 1)).otherwise(F.array(F.lit(0)))))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, num: int = NUM, den: int = DEN) -> tuple[DataFrame, DataFrame]:
-    """(id, tid, n, sid) of the rows, and (sid, root, component_id) of the classes of non-empty sets."""
-    table_ = cut(profiles(docs, id_col, text_col, n))
+    """(id, tid, n, sid) of the rows, and (sid, root, first) of the classes of non-empty sets; the row ``first`` (id, tid) has the component's least id.
+
+    Both are read from tables in the shared checkpoint folder; all others are deleted there.
+    """
+    with Tables() as tables:
+        return _classes(docs, id_col, text_col, n, num, den, tables)
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    table_ = tables.store(profiles(docs, id_col, text_col, n), keep=True)
     rows = table_.filter("n is not null").select("id", "tid", "n", "sid")
-    often = cut(table_.filter("hint is not null").groupBy("hint").agg(F.sum("seen").alias("seen")))
-    top = sorted(((r.seen, r.hint) for r in frequent(often, "seen", HINT).toLocalIterator()), reverse=True)
-    hint = np.array([h for _, h in top], dtype=np.int64).view(np.uint64)
+    often = tables.store(table_.filter("hint is not null").groupBy("hint").agg(F.sum("seen").alias("seen")))
+    top = frequent(often, "seen", HINT).toArrow()  # at most HINT rows
+    hints, seen = top["hint"].to_numpy(), top["seen"].to_numpy()
+    hint = np.ascontiguousarray(hints[np.lexsort((hints, seen))[::-1]]).view(np.uint64)
 
     parities = PARITIES
-    first_of = [F.first(c).alias(c) for c in ("n", *parities, "q")]
-    owners = cut(table_.filter("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.count("*").alias("copies"), *first_of))
-    emitted = Stored(prefixes(docs, text_col, n, num, den, hint))
-    buckets = emitted.df.groupBy("token").agg(F.min("sid").alias("x"), F.max("sid").alias("y"), F.count("*").alias("df")).filter("x <> y").select("token", "df")
-    shared = Stored(emitted.df.join(buckets, "token").dropDuplicates(["token", "sid"]))
-    emitted.drop()
-
-    # each class chooses how many shingles a partner has to share
-    costs = shared.df.groupBy("sid").agg(*[F.sum(F.when(F.col("level") <= k, F.col("df")).otherwise(0)).alias(f"r{k}") for k in range(1, MOST_MATCH + 1)])
+    least = F.min(F.struct(F.col("id").isNull().alias("x"), "id", "tid")).alias("first")
+    owners = tables.store(table_.filter("n > 0").groupBy("sid").agg(least, F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", *parities, "q")]))
+    emitted = tables.store(prefixes(docs, text_col, n, num, den, hint))
+    buckets = emitted.groupBy("token").agg(F.min("sid").alias("x"), F.max("sid").alias("y"), F.count("*").alias("df")).filter("x <> y").select("token", "df")
+    shared = emitted.join(buckets, "token").dropDuplicates(["token", "sid"])
+
+    # each class chooses how many shingles a partner has to share; its rows meet once, as many as its prefix has shingles
+    own = Window.partitionBy("sid")
+    costs = shared.join(owners.select("sid", "n", "copies"), "sid").select("*", *[F.sum(F.when(F.col("level") <= k, F.col("df")).otherwise(0)).over(own).alias(f"r{k}") for k in range(1, MOST_MATCH + 1)])
     best = F.array_min(F.array(*[F.struct((F.col(f"r{k}") * (1 + F.col("n") / k)).alias("cost"), F.lit(k).alias("l")) for k in range(1, MOST_MATCH + 1)]))["l"]
-    chosen = cut(owners.select("sid", "n", "copies").join(costs, "sid").select("sid", "copies", F.least(best, F.ceil(F.col("n") * num / den)).cast("int").alias("l")))
-    rows_of = Stored(shared.df.select("token", "sid", "level").join(sent_if_small(chosen), "sid").filter("level <= l").select("token", "sid", "copies"))
-    shared.drop()
+    chosen = costs.withColumn("l", F.least(best, F.ceil(F.col("n") * num / den)).cast("byte"))
+    rows_of = tables.store(chosen.filter("level <= l").select("token", "sid", F.col("copies").cast("int").alias("copies"), F.col("df").cast("int").alias("df"), "l"))
+    tables.drop(emitted)
 
     # one leader for each class: of its buckets' most copied classes, the most copied
-    leaders = rows_of.df.groupBy("token").agg(F.max_by("sid", F.struct("copies", "sid")).alias("leader"), F.max("copies").alias("fame"))
-    met = rows_of.df.select("token", "sid").join(leaders, "token").filter("sid <> leader").groupBy("sid", "leader").agg(F.count("*").alias("c"), F.first("fame").alias("fame"))
-    star = met.groupBy("sid").agg(F.max_by("leader", F.struct("fame", "c", "leader")).alias("leader"))
+    leaders = rows_of.groupBy("token").agg(F.max_by("sid", F.struct("copies", "sid")).alias("leader"), F.max("copies").alias("fame"))
+    met = rows_of.select("token", "sid").join(leaders, "token").filter("sid <> leader").groupBy("sid", "leader").agg(F.count("*").alias("c"), F.first("fame").alias("fame"))
+    star = tables.store(met.groupBy("sid").agg(F.max_by("leader", F.struct("fame", "c", "leader")).alias("leader")))
     a, b = (owners.select(F.col("sid").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("n", *parities, "q")]) for k in ("sid", "leader"))
-    star = star.join(a, "sid").join(b, "leader").filter(_may_link("sid_", "leader_", num, den))
-    roots = cut(components(_verify(docs, text_col, n, num, den, star.select(F.col("sid").alias("a"), F.col("leader").alias("b")))))
+    led = star.join(a, "sid").join(b, "leader").filter(_may_link("sid_", "leader_", num, den))
+    links = _verify(docs, text_col, n, num, den, led.select(F.col("sid").alias("a"), F.col("leader").alias("b")), tables)
+    roots = tables.store(components(links))
 
     # the rest: buckets with several components.  Rows stay narrow until only these are left.
-    placed = rows_of.df.select("token", "sid").join(sent_if_small(roots).withColumnRenamed("id", "sid"), "sid", "left").select("token", "sid", F.coalesce("root", "sid").alias("comp"))
+    placed = rows_of.join(roots.select(F.col("id").alias("sid"), "root"), "sid", "left").select("token", "sid", "df", "l", F.coalesce("root", "sid").alias("comp"))
     in_bucket = placed.groupBy("token", "comp").agg(F.count("*").alias("c"))
     several = in_bucket.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("k")).filter("k > 1").select("token", "main")
-    narrow = Stored(placed.join(several, "token"))
-    rows_of.drop()
-    live = narrow.df.join(owners.select("sid", "n", *parities, "q"), "sid")
-    a, b = live.filter("comp <> main").alias("a"), live.alias("b")
+    narrow = tables.store(placed.join(several, "token"))
+    tables.drop(rows_of)
+    live = narrow.join(owners.select("sid", "n", *parities, "q"), "sid")
+    a, b = _by_band(live.filter("comp <> main"), num, den, True).alias("a"), _by_band(live, num, den, False).alias("b")
     wanted = (
         (F.col("a.token") == F.col("b.token"))
+        & (F.col("a.band") == F.col("b.band"))
         & (F.col("a.comp") != F.col("b.comp"))
         & ((F.col("b.comp") == F.col("b.main")) | (F.col("a.sid") < F.col("b.sid")))
         & _may_link("a.", "b.", num, den)
     )
-    pairs = a.join(b, wanted).select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b"))
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c"))
-    need_of = [chosen.select(F.col("sid").alias(k), F.col("l").alias(f"l{k}")) for k in ("a", "b")]
-    pairs = pairs.join(need_of[0], "a").join(need_of[1], "b").filter(F.col("c") >= F.least("la", "lb")).select("a", "b")
-    more = _verify(docs, text_col, n, num, den, pairs)
-    narrow.drop()
-
-    # components of components
-    to = roots.select(F.col("id").alias("a"), F.col("root").alias("ra"))
-    upper = more.join(to, "a", "left").join(to.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b", "left")
-    upper = cut(components(upper.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))))
-    named = owners.select("sid", "id").join(roots.withColumnRenamed("id", "sid"), "sid", "left").select("sid", "id", F.coalesce("root", "sid").alias("r"))
-    named = named.join(upper.select(F.col("id").alias("r"), "root"), "r", "left").select("sid", "id", F.coalesce("root", "r").alias("root"))
-    named = cut(named)
-    ids = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    return rows, cut(named.join(ids, "root").select("sid", "root", "component_id"))
-
-
-def _verify(docs: DataFrame, text_col: str, n: int, num: int, den: int, pairs: DataFrame) -> DataFrame:
-    pairs = cut(pairs)
-    ids = cut(pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct())
-    sent = docs.sparkSession.sparkContext.broadcast(_bloom(ids))
+    pairs = a.join(b, wanted).select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b"), F.least("a.l", "b.l").alias("l"))
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("l").alias("l")).filter("c >= l").select("a", "b")
+    more = _verify(docs, text_col, n, num, den, pairs, tables)
+
+    # all links together; a component is told by its least class, and has the row with the least id that isn't null
+    every = tables.store(components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more)))
+    named = tables.store(owners.select("sid", "first").join(every.withColumnRenamed("id", "sid"), "sid", "left").select("sid", "first", F.coalesce("root", "sid").alias("root")))
+    first = tables.store(named.groupBy("root").agg(F.min("first").alias("first")))  # stored, so that Spark can split the join with a large component
+    return rows, tables.store(named.select("sid", "root").join(first, "root").select("sid", "root", "first"), keep=True)
+
+
+def _verify(docs: DataFrame, text_col: str, n: int, num: int, den: int, pairs: DataFrame, tables: Tables) -> DataFrame:
+    """The pairs (a, b) that link by their sets, which are built again from the texts."""
+    pairs = tables.store(pairs)
+    ids = tables.store(pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct())
+    sent = docs.sparkSession.sparkContext.broadcast(bloom(ids, "sid"))
 
     def make():
         table_ = sent.value
-        bits = len(table_) * 64
         done: set[int] = set()
-        return lambda batch: _chosen(batch, n, table_, bits, done)
+        return lambda batch: _chosen(batch, n, table_, done)
 
     built = by_batch(docs.select(text_col), "sid long, s array<long>", make).join(ids, "sid", "left_semi").groupBy("sid").agg(F.first("s").alias("s"))
-    return cut(verified(pairs, built, num, den))
+    return tables.store(verified(pairs, tables.store(built), num, den))  # the sets are stored, so that Spark can split the joins with a hot class
 
 
-def _chosen(batch: pa.RecordBatch, n: int, table_: np.ndarray, bits: int, done: set[int]) -> pa.RecordBatch:
-    sids, own = [], []
-    for s in sets(batch.column(0).to_pylist(), n):
-        if not len(s):
-            continue
-        sid = set_id(s)
-        if sid in done or not all(int(table_[p >> 6]) >> (p & 63) & 1 for p in _places(sid, bits)):
-            continue
-        done.add(sid)
-        sids.append(sid)
-        own.append(s)
-    values = np.concatenate(own).view(np.int64) if own else np.empty(0, dtype=np.int64)
-    starts = np.concatenate(([0], np.cumsum([len(s) for s in own]))).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.ListArray.from_arrays(pa.array(starts), pa.array(values))], ["sid", "s"])
-
-
-def _places(sid: int, bits: int) -> tuple[int, int]:
-    """Two places in the Bloom table; sids are hashes already."""
-    u = sid & 0xFFFFFFFFFFFFFFFF
-    return u & (bits - 1), (u >> 32) & (bits - 1)
+def _chosen(batch: pa.RecordBatch, n: int, table_: np.ndarray, done: set[int]) -> pa.RecordBatch:
+    """The sets of the batch's classes that the table may hold, each once a task."""
+    own = [s for s in sets(batch.column(0).to_pylist(), n) if len(s)]
+    sids = np.array([set_id(s) for s in own], dtype=np.int64)
+    fresh = []
+    for k in np.flatnonzero(may_hold(table_, sids)).tolist():
+        if (sid := int(sids[k])) not in done:
+            done.add(sid)
+            fresh.append(k)
+    values = np.concatenate([own[k] for k in fresh]).view(np.int64) if fresh else np.empty(0, dtype=np.int64)
+    starts = np.concatenate(([0], np.cumsum([len(own[k]) for k in fresh]))).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(sids[fresh]), pa.ListArray.from_arrays(pa.array(starts), pa.array(values))], ["sid", "s"])
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
     """(id, n_shingles, component_id) of every row."""
     rows, named = classes(docs, id_col, text_col, n, num, den)
-    full = rows.filter("n > 0").join(named, "sid").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    full = rows.filter("n > 0").join(named, "sid").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("first")["id"].alias("component_id"))
     return full.union(rows.filter("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
-    """One row of each component, one with its smallest id, and all rows with empty sets; with all their columns."""
+    """One row of each component, one with its smallest id, and all rows with empty sets; with all their columns.
+
+    Rows go by a key, a hash of id and text.  One Bloom table holds the keys of rows that go, and of rows with
+    words that are there repeatedly, of which one stays.  A second one holds the keys of all staying rows that the
+    first seems to hold.  So a row that is not in the first stays and one that is in the first alone goes, right
+    where it is, and only the few in both are shuffled and joined with the exact list of such keys.
+    """
+    spark = docs.sparkSession
     rows, named = classes(docs, id_col, text_col, n, num, den)
-    member = rows.filter("n > 0").join(named, "sid")
-    # a component is named by the least class that has its smallest id
-    first = F.min(F.struct(F.col("id").isNull().alias("x"), F.col("id").alias("id"), F.col("tid").alias("tid"))).alias("f")
-    kept = member.groupBy("root").agg(first, F.count("*").alias("size")).select("f.id", "f.tid")
-    kept = cut(kept.withColumn("full", F.lit(True)).union(rows.filter("n = 0").select("id", "tid", F.lit(False))).distinct())
-    twice = rows.filter("n > 0").groupBy("id", "tid").agg(F.count("*").alias("c")).filter("c > 1").select("id", "tid").join(kept.filter("full"), ["id", "tid"], "left_semi")
-    own = docs.withColumn("__tid", F.xxhash64(text_col))
-    on = lambda k: F.col(id_col).eqNullSafe(k["id"]) & (F.col("__tid") == k["tid"])
-    small_kept = sent_if_small(kept)
-    out = own.join(small_kept, on(kept), "left_semi")
-    twice = cut(twice)
-    if not twice.isEmpty():  # rows that repeat id and text: one of each stays
-        out = out.join(twice, on(twice), "left_anti").union(out.join(twice, on(twice), "left_semi").dropDuplicates([id_col, "__tid"]))
-    return out.drop("__tid")
+    key = F.xxhash64("id", "tid").alias("key")
+    goes = ~(F.col("id").eqNullSafe(F.col("first")["id"]) & (F.col("tid") == F.col("first")["tid"]))
+    of_words = rows.filter("n > 0").join(named, "sid").select(key, goes.alias("goes")).groupBy("key").agg(F.max("goes").alias("goes"), (F.count("*") > 1).alias("again"))
+    with Tables() as tables:
+        keys = tables.store(of_words.union(rows.filter("n = 0").select(key, F.lit(False), F.lit(False)).distinct()))
+        first = spark.sparkContext.broadcast(bloom(keys.filter("goes or again"), "key"))
+        seeming = tables.store(_where(keys, lambda k: may_hold(first.value, k)))
+        second = spark.sparkContext.broadcast(bloom(seeming.filter("not goes"), "key"))
+        unsure = tables.store(_where(seeming, lambda k: may_hold(second.value, k)), keep=True)
+
+    name = "__key"
+    while name in docs.columns:
+        name += "_"
+    own = docs.withColumn(name, F.xxhash64(id_col, F.xxhash64(text_col)))
+    sure = _where(own, lambda k: ~may_hold(first.value, k), name)
+    open_ = _where(own, lambda k: may_hold(first.value, k) & may_hold(second.value, k), name).join(unsure.filter("not goes").select(F.col("key").alias(name), F.col("again").alias(name + "again")), name)
+    once, again = open_.filter(~F.col(name + "again")), open_.filter(name + "again").dropDuplicates([name])
+    return sure.select(docs.columns).union(once.select(docs.columns)).union(again.select(docs.columns))
+
+
+def _where(df: DataFrame, test: Callable[[np.ndarray], np.ndarray], key: str = "key") -> DataFrame:
+    """Rows whose key passes a test."""
+    at = df.columns.index(key)
+    return by_batch(df, df.schema, lambda: lambda batch: batch.filter(pa.array(test(batch.column(at).to_numpy()))))
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
