@@ -1,20 +1,22 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
-A vocabulary whose tokens never reach over white space (``by_words``, tried out on a probe) is encoded word by
-word, each distinct word of a task once; any other piece by piece.
-
-``count_tokens`` gathers pieces of texts until a batch holds ``batch_bytes`` bytes, so that a batch costs
-about as much whatever the lengths of its texts.  A text longer than ``piece_bytes`` is cut into pieces at
-safe boundaries: before a white-space character that follows a non-white-space one.  The tokenizer's
-normalizer and pre-tokenizer never join characters across such a place, so the lengths of the pieces add up
-to the length of the whole; a text without such a place stays whole.
-
-Defined cases: null and empty texts have 0 bytes and 0 tokens; repeated rows are each counted; an empty
-table gives an empty result; extra columns are ignored.
+Rows are gathered, over the borders of Arrow batches, until their texts hold ``batch_bytes`` bytes, and then encoded
+together, so that a batch costs about as much whatever the lengths of its texts.  Texts are split into pieces at
+safe boundaries, and a text that is longer than a batch goes through several batches, so that no more than a batch is
+held in pieces.  A boundary is safe where normalizer and pre-tokenizer join no characters across it, so that the
+lengths of the pieces add up to the length of the whole:
+* where the pre-tokenizer drops white space (``drops_space`` reads that off the vocabulary file), each run of
+  white space is one; the pieces are words, and a piece that a task has met is not encoded again;
+* else, before a white-space character that follows another one's end, and pieces have about ``piece_bytes`` bytes;
+* for a vocabulary that may put a prefix before each piece there is none, and texts stay whole.
+
+Defined cases: null and empty texts have 0 bytes and 0 tokens; a text without a safe boundary stays whole; repeated
+rows are each counted; there are no ties to settle; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -22,12 +24,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from floorspan.llm._common import by_batch, table
+from floorspan.llm._common import small, table
+from floorspan.session import ship
 
-#: A place where the tokenizers in use can be cut: white space after something else.
+#: A place where tokenizers that keep white space can be cut: white space after something else.
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
-_PROBE = "One two  Three,four\n\nfive's 6 seven\u00e9 ... eight"
-#: Distinct words that a task remembers.
+#: Distinct pieces that a task remembers.
 _MOST_KNOWN = 300_000
 
 
@@ -43,8 +45,26 @@ def pieces(text: str, most: int) -> Iterator[str]:
     yield text[lo:]
 
 
+def drops_space(vocabulary: dict) -> bool:
+    """Whether no token of a vocabulary file reaches over white space: its first pre-tokenizer keeps only stretches without any."""
+    added = vocabulary.get("added_tokens") or []
+    if any(t.get("lstrip") or t.get("rstrip") or re.search(r"\s", t["content"]) for t in added):
+        return False
+    first = vocabulary.get("pre_tokenizer") or {}
+    while first.get("type") == "Sequence":
+        first = first["pretokenizers"][0]
+    if first.get("type") in ("WhitespaceSplit", "BertPreTokenizer"):
+        return True
+    pattern = (first.get("pattern") or {}).get("Regex")
+    if first.get("type") != "Split" or first.get("behavior") != "Removed" or not first.get("invert") or pattern is None:
+        return False
+    negated = re.findall(r"\[\^[^\]]*\]", pattern)
+    rest = re.sub(r"\[\^[^\]]*\]", "", pattern)
+    return all(r"\s" in x for x in negated) and not re.search(r"[\s.^]|\\[sSWDPhHvVRX]", rest)
+
+
 class Encoder:
-    """Token counts of lists of texts by the library for a vocabulary file."""
+    """Token counts of lists of pieces by the library for a vocabulary file."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,64 +74,77 @@ class Encoder:
             self._t = Tokenizer.from_file(path)
             self._t.no_truncation()
             self._t.no_padding()
-            self._count = lambda texts: [len(e) for e in self._t.encode_batch_fast(texts, add_special_tokens=False)]
+            self.lengths = lambda texts: [len(e) for e in self._t.encode_batch_fast(texts, add_special_tokens=False)]
             self.can_cut = True
-            ids = lambda t: self._t.encode(t, add_special_tokens=False).ids
-            self.by_words = ids(_PROBE) == [x for w in _PROBE.split() for x in ids(w)]
+            with open(path, encoding="utf-8") as f:
+                self.by_words = drops_space(json.load(f))
         else:
             import sentencepiece
 
             self._t = sentencepiece.SentencePieceProcessor(model_file=path)
-            self._count = lambda texts: [len(e) for e in self._t.encode(texts, num_threads=1)]
+            self.lengths = lambda texts: [len(e) for e in self._t.encode(texts, num_threads=1)]
             self.can_cut = self.by_words = False  # it may add a dummy prefix to every piece
-        self._known: dict[str, int] = {}
 
-    def count(self, texts: list[str | None], batch_bytes: int, piece_bytes: int) -> list[int]:
+    def parts(self, text: str, batch_bytes: int, piece_bytes: int) -> Iterator[list[str]]:
+        """The pieces of a text, in lists of at most about a batch."""
         if self.by_words:
-            return self._count_words(texts, batch_bytes)
-        out = [0] * len(texts)
-        batch: list[str] = []
-        owners: list[int] = []
-        held = 0
-
-        def flush() -> None:
-            nonlocal held
-            for owner, n in zip(owners, self._count(batch), strict=True):
-                out[owner] += n
-            batch.clear()
-            owners.clear()
-            held = 0
-
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            for piece in pieces(text, piece_bytes) if self.can_cut else (text,):
-                batch.append(piece)
-                owners.append(i)
-                held += len(piece)
-                if held >= batch_bytes:
-                    flush()
-        if batch:
-            flush()
-        return out
+            for part in pieces(text, batch_bytes):
+                yield part.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        elif self.can_cut:
+            for part in pieces(text, batch_bytes):
+                yield list(pieces(part, piece_bytes))
+        else:
+            yield [text]
+
+
+class Counting:
+    """Lengths of rows' texts; rows leave in order, once a batch is full."""
 
+    def __init__(self, encoder: Encoder, batch_bytes: int, piece_bytes: int):
+        self.encoder, self.batch_bytes, self.piece_bytes = encoder, batch_bytes, piece_bytes
+        self.totals: list[int] = []
+        self._open: list[tuple[int, list[str]]] = []
+        self._held = 0
+        self._known: dict[str, int] = {}
 
-    def _count_words(self, texts: list[str | None], batch_bytes: int) -> list[int]:
-        out: list[int] = []
-        group: list[list[str]] = []
-        held = 0
-        for i, text in enumerate(texts):
-            words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if text else []
-            group.append(words)
-            held += len(text or "")
-            if held >= batch_bytes or i == len(texts) - 1:
-                if len(self._known) > _MOST_KNOWN:
-                    self._known.clear()
-                new = list({w for words in group for w in words if w not in self._known})
-                self._known.update(zip(new, self._count(new), strict=True))
-                get = self._known.__getitem__
-                out += [sum(map(get, words)) for words in group]
-                group, held = [], 0
+    def add(self, text: str | None, n_bytes: int) -> bool:
+        """Take in the next row; whether a batch has just been encoded, so that all rows so far are counted."""
+        row = len(self.totals)
+        self.totals.append(0)
+        if not text:
+            return False
+        if n_bytes <= self.batch_bytes:
+            for part in self.encoder.parts(text, self.batch_bytes, self.piece_bytes):
+                self._open.append((row, part))
+            self._held += n_bytes
+        else:
+            for part in self.encoder.parts(text, self.batch_bytes, self.piece_bytes):
+                self._open.append((row, part))
+                self._encode()
+        if self._held >= self.batch_bytes:
+            self._encode()
+        return not self._open
+
+    def _encode(self) -> None:
+        known = self._known
+        if self.encoder.by_words:
+            if len(known) > _MOST_KNOWN:
+                known.clear()
+            new = list(set().union(*(part for _, part in self._open)).difference(known))
+            known.update(zip(new, self.encoder.lengths(new), strict=True))
+            for row, part in self._open:
+                self.totals[row] += sum(map(known.__getitem__, part))
+        else:
+            lengths = iter(self.encoder.lengths([p for _, part in self._open for p in part]))
+            for row, part in self._open:
+                self.totals[row] += sum(next(lengths) for _ in part)
+        self._open, self._held = [], 0
+
+    def take(self) -> list[int]:
+        """The lengths of all rows since the last time."""
+        if self._open:
+            self._encode()
+        out, self.totals = self.totals, []
         return out
 
 
@@ -121,28 +154,33 @@ def count_tokens(
     """(id, n_bytes, n_tokens, over_limit) of every row; ``vocabulary`` is a path that every worker has."""
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def make():
-        encoder = Encoder(vocabulary)
-
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = batch.column(1).to_pylist()
-            n = encoder.count(texts, batch_bytes, piece_bytes)
-            size = [len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts]
-            return pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["id", "n_bytes", "n_tokens", "over_limit"]
-            )
-
-        return step
-
-    return by_batch(docs.select(id_col, text_col), f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean", lambda: _renamed(make(), id_col))
-
-
-def _renamed(step, id_col: str):
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = step(batch)
-        return pa.RecordBatch.from_arrays(out.columns, [id_col, *out.schema.names[1:]])
-
-    return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counting = Counting(Encoder(vocabulary), batch_bytes, piece_bytes)
+        ids: list[pa.Array] = []
+        sizes: list[int] = []
+
+        def out() -> pa.RecordBatch:
+            n = counting.take()
+            columns = [pa.concat_arrays(ids), pa.array(sizes, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())]
+            ids.clear()
+            sizes.clear()
+            return pa.RecordBatch.from_arrays(columns, [id_col, "n_bytes", "n_tokens", "over_limit"])
+
+        for batch in small(batches):
+            at = 0
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                sizes.append(len(text.encode("utf-8", "surrogatepass")) if text else 0)
+                if counting.add(text, sizes[-1]):
+                    ids.append(batch.column(0).slice(at, k + 1 - at))
+                    at = k + 1
+                    yield out()
+            if at < batch.num_rows:
+                ids.append(batch.column(0).slice(at))
+        if sizes:
+            yield out()
+
+    ship(docs.sparkSession)
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
