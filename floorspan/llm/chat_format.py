@@ -7,7 +7,9 @@ least total cost.  Between repairs of equal cost, the one that comes first in th
 from the last turn backwards.
 
 Turns are ordered by number (null last), role and a hash of the text.  A conversation is worked on in blocks of
-``BLOCK`` turn numbers, so that one that holds a third of all rows is spread over many tasks: a block is summed up
+``BLOCK`` turn numbers, so that one that holds a third of all rows is spread over many tasks.  Where over ``CROWD`` rows
+fall into one, as without turn numbers or with equal ones, its blocks go by turn, role and the first bits of the hash
+instead, as many bits as leave about ``BLOCK`` different texts to a block; that keeps the order.  A block is summed up
 as a min-plus matrix of costs from the state before it to the state after it, the matrices of a conversation
 (a row for each block) give the state at each border, and the blocks are then repaired independently.
 Conversations of one block skip this.  Texts are shuffled once.  The result has a row for each turn whose
@@ -37,6 +39,7 @@ START, SYSTEM, USER, ASSISTANT = range(4)
 LEGAL = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 COST_MERGE, COST_INSERT, COST_RELABEL, COST_NAME = 1, 2, 3, 1
 BLOCK = 1024
+CROWD = 16 * BLOCK
 INFINITE = 1 << 40
 HEADER, FOOTER, JOINT = "<|im_start|>{}\n", "<|im_end|>\n", "\n\n"
 LAST_BLOCK = (1 << 62) - 1
@@ -147,47 +150,79 @@ def _groups(batches: Iterator[pa.RecordBatch], n_key: int) -> Iterator[tuple[tup
         yield key, own
 
 
+def _in_order(key: tuple) -> tuple:
+    """A sort key of blocks (b, turn, role, hash bits), with null turns last and null roles first."""
+    b, turn, role, bits = key
+    return b, turn is None, 0 if turn is None else turn, role is not None, role or "", bits or 0
+
+
+#: The columns that tell the blocks of a conversation apart.
+KEY = ("b", "bt", "br", "bh")
+
+
+def _blocked(conversations: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str, block: int, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (conv, KEY, turn, role, h, text), and the conversations (m) of several blocks."""
+    number = F.coalesce(F.floor(F.col(turn_col) / block).cast("long"), F.lit(LAST_BLOCK))
+    turn_kind = conversations.schema[turn_col].dataType.simpleString()
+    rows = conversations.select(F.col(conv_col).alias("conv"), number.alias("b"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    cells = conversations.groupBy(F.col(conv_col).alias("c"), number.alias("n")).agg(F.count("*").alias("size"))
+    crowded = cells.filter(F.col("size") > crowd).select("c", "n", F.ceil(F.log2(F.col("size") / block)).cast("int").alias("bits"))  # a row for over CROWD rows
+    rows = by_batch(rows, rows.schema, lambda: _drop_repeats())
+    found = rows.join(crowded, F.col("conv").eqNullSafe(F.col("c")) & (F.col("b") == F.col("n")), "left")
+    split = F.col("bits").isNotNull()
+    found = found.select(
+        "conv", "b", F.when(split, F.col("turn")).cast(turn_kind).alias("bt"), F.when(split, F.col("role")).alias("br"), F.when(split, F.expr("shiftright(h, 64 - bits)")).alias("bh"), "turn", "role", "h", "text"
+    )
+    ends = cells.groupBy("c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("size").alias("most"))
+    return found, ends.filter((F.col("lo") < F.col("hi")) | (F.col("most") > crowd)).select(F.col("c").alias("m"))
+
+
 def format_turns(
-    conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", end_with_assistant: bool = False, block: int = BLOCK
+    conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", end_with_assistant: bool = False, block: int = BLOCK, crowd: int = CROWD
 ) -> DataFrame:
     """(conv, turn, place, role, new_role, action, inserted, cost, fragment) of every distinct turn; place orders a block's turns."""
     spark = conversations.sparkSession
     ship(spark)
     kind, turn_kind = (conversations.schema[c].dataType.simpleString() for c in (conv_col, turn_col))
-    number = F.coalesce(F.floor(F.col(turn_col) / block).cast("long"), F.lit(LAST_BLOCK))
-    rows = conversations.select(
-        F.col(conv_col).alias("conv"), number.alias("b"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")
-    )
-    rows = by_batch(rows, rows.schema, lambda: _drop_repeats())
+    rows, many = _blocked(conversations, conv_col, turn_col, role_col, text_col, block, crowd)
+    of_block, n_key = ("conv", *KEY), 1 + len(KEY)
+    key_kind = f"conv {kind}, b long, bt {turn_kind}, br string, bh long"
 
     # conversations of several blocks: the states at the blocks' borders, from roles alone
-    narrow = rows.select("conv", "b", "turn", "role", "h")
-    many = conversations.groupBy(F.col(conv_col).alias("m")).agg(F.min(number).alias("lo"), F.max(number).alias("hi")).filter("lo < hi")
-    long_ones = narrow.join(many, F.col("conv").eqNullSafe(F.col("m")), "left_semi")
-    by_block = long_ones.repartition("conv", "b").sortWithinPartitions("conv", "b", F.col("turn").asc_nulls_last(), "role", "h")
+    long_ones = rows.select(*of_block, "turn", "role", "h").join(many, F.col("conv").eqNullSafe(F.col("m")), "left_semi")
+    by_block = long_ones.repartition(*of_block).sortWithinPartitions(*of_block, F.col("turn").asc_nulls_last(), "role", "h")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (conv, b), own in _groups(batches, 2):
-            roles = [role_code(r[3]) for i, r in enumerate(own) if not i or r != own[i - 1]]
+        kinds: list[pa.DataType] = []
+
+        def typed(batches):
+            for batch in batches:
+                kinds[:] = batch.schema.types[:n_key]
+                yield batch
+
+        for key, own in _groups(typed(batches), n_key):
+            roles = [role_code(r[n_key + 1]) for i, r in enumerate(own) if not i or r != own[i - 1]]
             flat = []
             for s in range(4):
                 flat += forward(roles, [0 if t == s else INFINITE for t in range(4)])[-1]
-            yield pa.RecordBatch.from_arrays([pa.array([conv]), pa.array([b], pa.int64()), pa.array([flat], pa.list_(pa.int64()))], ["conv", "b", "m"])
+            yield pa.RecordBatch.from_arrays([*[pa.array([x], k) for x, k in zip(key, kinds, strict=True)], pa.array([flat], pa.list_(pa.int64()))], [*of_block, "m"])
 
     def settle(t: pa.Table) -> pa.Table:
-        t = t.sort_by("b")
+        keys = list(zip(*(t[c].to_pylist() for c in KEY), strict=True))
+        t = t.take(sorted(range(len(keys)), key=lambda i: _in_order(keys[i])))
         found = borders([[m[4 * s : 4 * s + 4] for s in range(4)] for m in t["m"].to_pylist()], end_with_assistant)
         n = len(found)
-        return pa.table({"conv": t["conv"], "b": t["b"], "s0": pa.array([x[0] for x in found], pa.int32()), "s1": pa.array([x[1] for x in found], pa.int32()), "ends": pa.array([(i == 0) + 2 * (i == n - 1) for i in range(n)], pa.int32())})
+        marks = {"s0": [x[0] for x in found], "s1": [x[1] for x in found], "ends": [(i == 0) + 2 * (i == n - 1) for i in range(n)]}
+        return pa.table({**{c: t[c] for c in of_block}, **{k: pa.array(v, pa.int32()) for k, v in marks.items()}})
 
-    sums = by_block.mapInArrow(matrices, f"conv {kind}, b long, m array<long>")
-    states = sums.groupBy("conv").applyInArrow(settle, f"conv {kind}, b long, s0 int, s1 int, ends int")
+    sums = by_block.mapInArrow(matrices, f"{key_kind}, m array<long>")
+    states = sums.groupBy("conv").applyInArrow(settle, f"{key_kind}, s0 int, s1 int, ends int")
 
     # each block's states come before its turns
     none = [F.lit(None).cast("int").alias(c) for c in ("s0", "s1", "ends")]
-    marks = states.select("conv", "b", F.lit(None).cast(turn_kind).alias("turn"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("long").alias("h"), F.lit(None).cast("string").alias("text"), "s0", "s1", "ends")
-    all_rows = rows.select("conv", "b", "turn", "role", "h", "text", *none).union(marks)
-    dealt = all_rows.repartition("conv", "b").sortWithinPartitions("conv", "b", F.col("ends").asc_nulls_last(), F.col("turn").asc_nulls_last(), "role", "h")
+    marks = states.select(*of_block, F.lit(None).cast(turn_kind).alias("turn"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("long").alias("h"), F.lit(None).cast("string").alias("text"), "s0", "s1", "ends")
+    all_rows = rows.select(*of_block, "turn", "role", "h", "text", *none).union(marks)
+    dealt = all_rows.repartition(*of_block).sortWithinPartitions(*of_block, F.col("ends").asc_nulls_last(), F.col("turn").asc_nulls_last(), "role", "h")
     names = [conv_col, turn_col, "place", "role", "new_role", "action", "inserted", "cost", "fragment"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +231,7 @@ def format_turns(
 
         def kept(batches):
             for batch in batches:
-                types[:] = [batch.schema.field(0).type, batch.schema.field(2).type]
+                types[:] = [batch.schema.field(0).type, batch.schema.field(n_key).type]
                 yield batch
 
         def flush() -> pa.RecordBatch:
@@ -204,17 +239,19 @@ def format_turns(
             kinds = [*types, pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
             return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
-        for (conv, _), own in _groups(kept(batches), 2):
+        for (conv, *_), own in _groups(kept(batches), n_key):
             before, state, ends = [0, INFINITE, INFINITE, INFINITE], None, 3
-            if own[0][8] is not None:
-                before, state, ends = [0 if s == own[0][6] else INFINITE for s in range(4)], own[0][7], own[0][8]
+            if own[0][-1] is not None:
+                *_, s0, state, ends = own[0]
+                before = [0 if s == s0 else INFINITE for s in range(4)]
                 own = own[1:]
-            own = [r for i, r in enumerate(own) if not i or r[2:5] != own[i - 1][2:5]]
-            done = repair([role_code(r[3]) for r in own], before, state, end_with_assistant)
-            parts = fragments([(r[5], []) for r in own], done, bool(ends & 1), bool(ends & 2), end_with_assistant)
-            for place, (r, (label, action, via, cost), part) in enumerate(zip(own, done, parts, strict=True)):
-                what = action if action != "keep" or label == role_code(r[3]) else "relabel"
-                out.append((conv, r[2], place, r[3], ROLES[label - 1], what, ROLES[via - 1] if via else None, cost, part))
+            turns = [r[n_key : n_key + 4] for r in own]
+            turns = [r for i, r in enumerate(turns) if not i or r[:3] != turns[i - 1][:3]]
+            done = repair([role_code(r[1]) for r in turns], before, state, end_with_assistant)
+            parts = fragments([(r[3], []) for r in turns], done, bool(ends & 1), bool(ends & 2), end_with_assistant)
+            for place, (r, (label, action, via, cost), part) in enumerate(zip(turns, done, parts, strict=True)):
+                what = action if action != "keep" or label == role_code(r[1]) else "relabel"
+                out.append((conv, r[0], place, r[1], ROLES[label - 1], what, ROLES[via - 1] if via else None, cost, part))
                 size += len(part)
             if size > 4 << 20:
                 yield flush()
