@@ -2,9 +2,10 @@
 
 Texts are lower-cased (A-Z only) and cut into words of digits, letters a-z and everything beyond ASCII.  An
 item's windows are its runs of ``n`` words; an item of fewer words is one window.  Window hashes of the
-items go out in blocks of at most ``block_windows`` windows (the size bound of what is broadcast); a larger
-benchmark is a stated query set that is held against all documents block by block, and the blocks' hits are
-united by row.  Every hash hit is verified against the words themselves.
+items go out in blocks of at most ``block_windows`` windows (the size bound of what is broadcast; a longer item is in
+several); a larger benchmark is a stated query set that is held against all documents block by block.  A block is
+read, sent and turned into tables once a task, its hits are carried along with the rows, which a stored table holds
+until the next block is done, and then it is dropped.  Every hash hit is verified against the words themselves.
 
 Defined cases: null, empty and wordless texts have no words and no hits; items without words have no
 window; items with a null id mark hits and are named by no id; items that share a window are all named;
@@ -18,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from floorspan.llm._common import ascii_lower, by_batch, keep_rows, table
+from floorspan.llm._common import Stored, ascii_lower, by_batch, table
 from floorspan.llm._words import ALNUM, joined, windows, words
 
 N = 10
@@ -36,28 +38,31 @@ class Windows:
     def __init__(self) -> None:
         self.items: dict[tuple[int, bytes], set[str]] = {}
 
-    def add(self, item_id: object, text: str | None, n: int) -> None:
-        buf = ascii_lower(text)
-        starts, ends, _ = words(buf, ALNUM)
-        own = [buf[s:e] for s, e in zip(starts, ends, strict=True)]
-        size = min(n, len(own))
-        for i in range(len(own) - size + 1 if own else 0):
-            ids = self.items.setdefault((size, b" ".join(own[i : i + size])), set())
-            if item_id is not None:
-                ids.add(str(item_id))
-
     def __len__(self) -> int:
         return len(self.items)
 
 
+def windows_of(text: str | None, n: int) -> Iterator[tuple[int, bytes]]:
+    """(number of words, words) of each window of an item."""
+    buf = ascii_lower(text)
+    starts, ends, _ = words(buf, ALNUM)
+    own = [buf[s:e] for s, e in zip(starts, ends, strict=True)]
+    size = min(n, len(own))
+    for i in range(len(own) - size + 1 if own else 0):
+        yield size, b" ".join(own[i : i + size])
+
+
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, n: int, most: int) -> Iterator[Windows]:
-    """Blocks of items, read one partition at a time; an item's windows may begin a block that is over ``most``."""
+    """Blocks of at most ``most`` windows, one at least; the items are read one partition at a time."""
     block, any_block = Windows(), False
     for row in benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).toLocalIterator():
-        block.add(row.i, row.t, n)
-        if len(block) >= most:
-            yield block
-            block, any_block = Windows(), True
+        for window in windows_of(row.t, n):
+            if len(block) >= most and window not in block.items:
+                yield block
+                block, any_block = Windows(), True
+            ids = block.items.setdefault(window, set())
+            if row.i is not None:
+                ids.add(str(row.i))
     if len(block) or not any_block:
         yield block
 
@@ -127,84 +132,85 @@ def _union(ranges: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def _digest(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(ids).encode()).hexdigest()
-
-
-def _scanner(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, n: int, block_windows: int):
-    """A factory of functions from texts to (n_words, spans, items), for use in tasks."""
-    sent = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark, item_col, item_text_col, n, block_windows)]
-
-    def make():
-        only = Matcher(sent[0].value) if len(sent) == 1 else None
-
-        def run(texts: list[str | None]):
-            if only is not None:
-                return only.scan(texts)
-            n_words, spans, items = [0] * len(texts), [[] for _ in texts], [set() for _ in texts]
-            for block in sent:  # one block's tables in memory at a time
-                n_words, own, ids = Matcher(block.value).scan(texts)
-                for k in range(len(texts)):
-                    if own[k]:
-                        spans[k] += zip(own[k][::2], own[k][1::2], strict=True)
-                        items[k].update(ids[k])
-            return n_words, [_union(s) for s in spans], [sorted(s) for s in items]
-
-        return run
-
-    return make
+def _scanned(docs: DataFrame, benchmark: DataFrame, text_col: str, with_text: bool, item_col: str, item_text_col: str, n: int, block_windows: int) -> tuple[DataFrame, tuple[str, str, str]]:
+    """The rows, with or without their texts, and their numbers of words, hit word ranges and items found; and these columns' names."""
+    mark = "__"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    names = [mark + x for x in ("words", "spans", "items")]
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())]
+    width, at = len(docs.columns), docs.columns.index(text_col)
+    out, before = docs.select("*", F.lit(None).cast("long").alias(names[0]), F.lit(None).cast("array<long>").alias(names[1]), F.lit(None).cast("array<string>").alias(names[2])), None
+    more = blocks(benchmark, item_col, item_text_col, n, block_windows)
+    block = next(more)
+    while block is not None:
+        following = next(more, None)
+        left = [k for k in range(width) if with_text or following is not None or k != at]
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def make(sent=sent, left=left):
+            matcher = Matcher(sent.value)
+
+            def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+                n_words, spans, items = matcher.scan(batch.column(at).to_pylist())
+                for k, (old, ids) in enumerate(zip(batch.column(width + 1).to_pylist(), batch.column(width + 2).to_pylist(), strict=True)):
+                    if old:  # hits of earlier blocks
+                        spans[k] = _union([*zip(old[::2], old[1::2], strict=True), *zip(spans[k][::2], spans[k][1::2], strict=True)])
+                    if ids:
+                        items[k] = sorted({*ids, *items[k]})
+                found = [pa.array(x, t) for x, t in zip((n_words, spans, items), kinds, strict=True)]
+                return pa.RecordBatch.from_arrays([batch.column(k) for k in left] + found, [batch.schema.names[k] for k in left] + names)
+
+            return step
+
+        fields = out.schema.fields
+        out = by_batch(out, StructType([fields[k] for k in left] + fields[width:]), make)
+        if following is not None:
+            stored = Stored(out)
+            sent.unpersist()
+            if before is not None:
+                before.drop()
+            out, before = stored.df, stored
+        block = following
+    return out, tuple(names)
 
 
 def scan(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = N, block_windows: int = BLOCK_WINDOWS
 ) -> DataFrame:
     """(id, n_words, spans, items) of every document row: hit word ranges as flat starts and ends, and the items found."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    scanner = _scanner(docs, benchmark, item_col, item_text_col, n, block_windows)
+    out, names = _scanned(docs.select(id_col, text_col), benchmark, text_col, False, item_col, item_text_col, n, block_windows)
+    return out.select(id_col, *[F.col(c).alias(a) for c, a in zip(names, ("n_words", "spans", "items"), strict=True)])
 
-    def make():
-        run = scanner()
-
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n_words, spans, items = run(batch.column(1).to_pylist())
-            return pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], [id_col, "n_words", "spans", "items"]
-            )
-
-        return step
 
-    return by_batch(docs.select(id_col, text_col), f"`{id_col}` {kind}, n_words long, spans array<long>, items array<string>", make)
+def n_hit(spans: str) -> Column:
+    """The number of words in flat starts and ends: ends minus starts, as they alternate."""
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda acc, x: x - acc)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", most_hit: int = 0, **options) -> DataFrame:
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", most_hit: int = 0, item_col: str = "item_id", item_text_col: str = "text", n: int = N, block_windows: int = BLOCK_WINDOWS
+) -> DataFrame:
     """Rows of documents with at most ``most_hit`` hit words, with all their columns."""
-    scanner = _scanner(docs, benchmark, options.get("item_col", "item_id"), options.get("item_text_col", "text"), options.get("n", N), options.get("block_windows", BLOCK_WINDOWS))
-
-    def make():
-        run = scanner()
-        return lambda texts: [sum(s[1::2]) - sum(s[::2]) <= most_hit for s in run(texts)[1]]
+    out, (_, spans, _) = _scanned(docs, benchmark, text_col, True, item_col, item_text_col, n, block_windows)
+    return out.filter(n_hit(spans) <= most_hit).select(*[F.col(f"`{c}`") for c in docs.columns])
 
-    return keep_rows(docs, text_col, make)
 
-
-def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = N, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """All rows, with the hit words' stretches cut out of the text; other columns stay as they are."""
-    scanner = _scanner(docs, benchmark, options.get("item_col", "item_id"), options.get("item_text_col", "text"), options.get("n", N), options.get("block_windows", BLOCK_WINDOWS))
-    at = docs.columns.index(text_col)
+    out, (_, spans, _) = _scanned(docs, benchmark, text_col, True, item_col, item_text_col, n, block_windows)
+    at, spans_at = out.columns.index(text_col), out.columns.index(spans)
 
     def make():
-        run = scanner()
-
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = batch.column(at).to_pylist()
-            out = [cut_out(t, s) if s else t for t, s in zip(texts, run(texts)[1], strict=True)]
             columns = list(batch.columns)
-            columns[at] = pa.array(out, batch.schema.field(at).type)
+            texts = [cut_out(t, s) if s else t for t, s in zip(columns[at].to_pylist(), columns[spans_at].to_pylist(), strict=True)]
+            columns[at] = pa.array(texts, batch.schema.field(at).type)
             return pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
         return step
 
-    return by_batch(docs, docs.schema, make)
+    return by_batch(out, out.schema, make).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def cut_out(text: str, spans: list[int]) -> str:
@@ -220,7 +226,6 @@ def cut_out(text: str, spans: list[int]) -> str:
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: x - acc)  # ends minus starts, as they alternate
     return found.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")
+        "doc_id", "n_words", n_hit("spans").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit("spans") > 0).alias("contaminated")
     )
