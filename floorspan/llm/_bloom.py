@@ -33,7 +33,8 @@ def bloom(keys: DataFrame, key: str) -> np.ndarray:
     blocks = words.withColumn("at", F.shiftright("w", BLOCK.bit_length() - 1)).groupBy("at").applyInArrow(pack, "block long, v binary").toArrow()
     out = np.zeros(bits // 64, dtype=np.uint64)
     for at, v in zip(blocks["block"].to_pylist(), blocks["v"], strict=True):
-        out[at * BLOCK : (at + 1) * BLOCK] = np.frombuffer(v.as_py(), dtype=np.uint64)
+        part = out[at * BLOCK : (at + 1) * BLOCK]
+        part[:] = np.frombuffer(v.as_py(), dtype=np.uint64)[: len(part)]
     return out
 
 

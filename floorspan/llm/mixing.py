@@ -134,12 +134,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", times_col: str = "copies", weights: Sequence[float] = WEIGHTS, most_times: float = MOST_TIMES) -> DataFrame:
-    """The rows that the mix takes, with all their columns, and how many times it takes each in ``times_col``."""
+    """The rows that the mix takes, with all their columns, and how many times it takes each in ``times_col``.
+
+    Where the rows have a column of that name already, underscores are put after it.
+    """
+    while times_col in docs.columns:
+        times_col += "_"
+    plan_col = "__plan"
+    while plan_col in docs.columns:
+        plan_col += "_"
     plan = plan_mix(sized(docs, id_col, text_col, source_col), weights, most_times)
-    plan = plan.select(F.struct("k", "times", "threshold").alias("__plan"))
-    joined = docs.join(sent_if_small(plan), _key(F.col(source_col)) == F.col("__plan.k"))
-    n = F.col("__plan.times") + (_hash(F.col(id_col), F.col(text_col)) < F.col("__plan.threshold")).cast("long")
-    return joined.withColumn("__plan", n).filter("__plan > 0").withColumnRenamed("__plan", times_col)
+    plan = plan.select(F.struct("k", "times", "threshold").alias(plan_col))
+    joined = docs.join(sent_if_small(plan), _key(F.col(source_col)) == F.col(f"{plan_col}.k"))  # a row for each source
+    n = F.col(f"{plan_col}.times") + (_hash(F.col(id_col), F.col(text_col)) < F.col(f"{plan_col}.threshold")).cast("long")
+    return joined.withColumn(plan_col, n).filter(F.col(plan_col) > 0).withColumnRenamed(plan_col, times_col)
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

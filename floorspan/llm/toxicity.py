@@ -47,7 +47,7 @@ STRENGTHS = (3.0, 4.0, 5.0, 6.0, 8.0)
 #: N-grams in fewer sampled documents have none.
 LEAST_DOCS = 3
 #: Embeddings trained at most, those furthest apart.
-MOST_GRAMS = 4096
+MOST_GRAMS = 1024
 #: The bias where nothing is to be called toxic.
 NEVER = -40.0
 
@@ -131,7 +131,7 @@ def train_jointly(x: np.ndarray, y: np.ndarray, dim: int = DIM, steps: int = 200
     """The difference of the classes' logits that each column's trained embedding adds for each unit of its share."""
     size = np.bincount(y, minlength=2)
     weight = (0.5 / size)[y]  # classes weigh alike
-    scale = 1 / np.maximum(weight @ (x * x), 1e-12)
+    scale = 1 / np.maximum(np.einsum("ij,ij,i->j", x, x, weight.astype(x.dtype)), 1e-12)
     rng = np.random.default_rng(seed)
     emb, soft, bias = np.zeros((x.shape[1], dim)), rng.normal(0, 1 / np.sqrt(dim), (dim, 2)), 0.0
     for _ in range(steps):
@@ -164,9 +164,10 @@ def fit_shares(x: np.ndarray, y: np.ndarray, fold: np.ndarray, strength: np.ndar
     """Weights of the columns and the bias; ``strength`` as from ``strengths``, for the columns of the shares x."""
 
     def fitted(on: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own = x[:, columns]
-        line = train_jointly(own[on], y[on])
-        z = own @ line
+        line = train_jointly(x[np.ix_(on, columns)], y[on])
+        full = np.zeros(x.shape[1], dtype=x.dtype)
+        full[columns] = line
+        z = (x @ full).astype(np.float64)
         unit = max(float(np.abs(z[on]).mean()), 1e-12)
         return line / unit, z / unit
 
@@ -176,9 +177,9 @@ def fit_shares(x: np.ndarray, y: np.ndarray, fold: np.ndarray, strength: np.ndar
             continue
         z = np.zeros(len(y))
         for f in range(FOLDS):
-            columns, on = np.flatnonzero(strength[1 + f] >= least), fold != f
-            if len(columns) and not on.all():
-                z[~on] = fitted(on, columns)[1][~on]
+            columns, on = np.flatnonzero(strength[1 + f] >= least), np.flatnonzero(fold != f)
+            if len(columns) and len(on) < len(y):
+                z[fold == f] = fitted(on, columns)[1][fold == f]
         at, cost = border(z, y, sizes)
         if best is None or cost <= best[0]:
             best = cost, least, at
@@ -187,7 +188,7 @@ def fit_shares(x: np.ndarray, y: np.ndarray, fold: np.ndarray, strength: np.ndar
     _, least, at = best
     columns = np.flatnonzero(strength[0] >= least)
     out = np.zeros(x.shape[1])
-    out[columns] = fitted(np.ones(len(y), dtype=bool), columns)[0]
+    out[columns] = fitted(np.arange(len(y)), columns)[0]
     return out, NEVER if at is None else -at
 
 
@@ -246,7 +247,7 @@ def _fit_rows(rows: DataFrame, sizes: dict[int, int]) -> Model:
     # one row for each bucket that LEAST_DOCS documents have, at most 2 ** BITS + 1
     cells = [F.sum(F.when(F.floor(F.col("k") / wide) == c, F.col("n")).otherwise(0)).alias(f"c{c}") for c in range(2 * FOLDS)]
     counts = rows.mapInArrow(count, "k long, n long").groupBy((F.col("k") % wide).alias("b")).agg(F.sum("n").alias("n"), *cells).filter(F.col("n") >= LEAST_DOCS).toArrow()
-    found = np.zeros((2 * FOLDS, wide), dtype=np.int64)
+    found = np.zeros((2 * FOLDS, wide), dtype=np.int32)  # 10 MB
     at = counts["b"].to_numpy()
     for c in range(2 * FOLDS):
         found[c, at] = counts[f"c{c}"].to_numpy()
