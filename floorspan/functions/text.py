@@ -8,8 +8,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The two spellings of a version 4 UUID, and the largest whole number that a range may name.
 HYPHENATED = "^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
 PLAIN = "^[0-9a-f]{12}4[0-9a-f]{3}[89ab][0-9a-f]{15}$"
+LARGEST = 9007199254740991
 
 #: Category codes of the source tables.
 WALKWAYS = ("walkway", "walkway.island", "movingwalkway", "footbridge", "ramp", "steps", "lobby", "platform", "corridor", "sidewalk")
@@ -104,13 +106,24 @@ def stem(path: Column) -> Column:
 
 
 def localized(labels: Column, locale: Column, manifest: Column) -> Column:
-    """A map's value for a locale: exact, primary subtag, manifest language, ja, en, else the first key's."""
-    primary = F.split(locale, "-")[0]
-    keys = F.map_keys(labels)
-    same = F.array_min(F.filter(keys, lambda k: F.split(k, "-")[0] == primary))
-    pick = lambda k: F.try_element_at(labels, k)
-    starts = lambda p: pick(F.array_min(F.filter(keys, lambda k: (k == p) | k.startswith(p + "-"))))
-    return F.coalesce(pick(locale), pick(same), pick(manifest), starts("ja"), starts("en"), pick(F.array_min(keys)))
+    """A map's value for a locale; empty values don't count.
+
+    In this order: the key itself; the first key whose primary subtag is the locale, whatever its case; then for the
+    manifest's language, Japanese and English a key that is the language but for case, or the first with its primary
+    subtag; then the first key.
+    """
+    full = F.map_filter(labels, lambda _, v: v.isNotNull() & (v != ""))
+    keys = F.array_sort(F.map_keys(full))
+    primary = lambda k: F.lower(F.split(k, "-")[0])
+    first = lambda test: F.get(F.filter(keys, test), F.lit(0))
+    found = [F.when(F.array_contains(keys, locale), locale), first(lambda k: primary(k) == F.lower(locale))]
+
+    def of(language: Column) -> list[Column]:
+        known = language.isNotNull() & (language != "")
+        return [F.when(known, first(lambda k: F.lower(k) == F.lower(language))), F.when(known, first(lambda k: primary(k) == primary(language)))]
+
+    found += [*of(manifest), *of(F.lit("ja")), *of(F.lit("en"))]
+    return F.try_element_at(full, F.coalesce(*found, F.get(keys, F.lit(0))))
 
 
 def has_language(labels: Column, lang: str) -> Column:
@@ -135,17 +148,19 @@ def byte_range(header: Column, size: Column) -> Column:
     A header that isn't one valid range counts as none.
     """
     spec = F.regexp_extract(F.trim(header), r"(?i)^bytes=\s*([0-9]*-[0-9]*)\s*$", 1)
-    first, last = F.regexp_extract(spec, "^([0-9]*)-", 1).try_cast("long"), F.regexp_extract(spec, "-([0-9]*)$", 1).try_cast("long")
+    digits = [F.regexp_extract(spec, p, 1) for p in ("^([0-9]*)-", "-([0-9]*)$")]
+    # null for a number that is too large, as well as for none
+    first, last = (F.when(d.try_cast("long") <= LARGEST, d.try_cast("long")) for d in digits)
     whole = F.struct(F.lit("whole").alias("kind"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"))
     no = F.struct(F.lit("unsatisfiable").alias("kind"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"))
     some = lambda a, b: F.struct(F.lit("range").alias("kind"), a.cast("long").alias("first"), b.cast("long").alias("last"))
-    open_end = spec.endswith("-")
     return (
         F.when(header.isNull() | (spec == "") | (spec == "-"), whole)
-        .when(spec.startswith("-"), F.when((last <= 0) | (size == 0), no).otherwise(some(F.greatest(F.lit(0), size - last), size - 1)))
+        .when(digits[0] == "", F.when(last.isNull() | (last <= 0) | (size == 0), no).otherwise(some(F.greatest(F.lit(0), size - last), size - 1)))
+        .when(first.isNull(), whole)
         .when(first >= size, no)
-        .when(open_end, some(first, size - 1))
-        .when(last < first, whole)
+        .when(digits[1] == "", some(first, size - 1))
+        .when(last.isNull() | (last < first), whole)
         .otherwise(some(first, F.least(last, size - 1)))
     )
 

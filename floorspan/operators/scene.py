@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from floorspan.functions.lookups import quantize
 from floorspan.session import ship
 
 Point = tuple[int, int]
@@ -58,3 +59,21 @@ def triangulate(rings: DataFrame, key: str) -> DataFrame:
 def walls(edges: DataFrame, level: str, wall: str) -> DataFrame:
     """Uses of each wall of a level; one that is used once is an outer wall."""
     return edges.groupBy(level, wall).agg(F.count("*").alias("uses")).withColumn("outer_wall", F.col("uses") == 1)
+
+
+def batches(triangles: DataFrame, *keys: str) -> DataFrame:
+    """One batch for each of the keys: (keys, vertices, triangles, least and greatest corners).
+
+    Corners that are the same point are one vertex.  Corners are struct columns a, b, c of (x, y, z).
+    """
+    per = triangles.groupBy(*keys).agg(F.count("*").alias("triangles"))
+    points = triangles.select(*keys, F.explode(F.array("a", "b", "c")).alias("p"))
+    own = points.groupBy(*keys).agg(F.count_distinct("p").alias("vertices"), *[f(F.col(f"p.{k}")).alias(f"{name}_{k}") for name, f in (("least", F.min), ("greatest", F.max)) for k in "xyz"])
+    return own.join(per, list(keys))
+
+
+def quantized(points: DataFrame, key: str) -> DataFrame:
+    """Points (key, x, y, z) in 65,535 steps between the bounds of their key."""
+    bounds = points.groupBy(key).agg(*[f(c).alias(f"_{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
+    d = points.join(bounds, key)
+    return d.select(*points.columns, *[quantize(F.col(c), F.col(f"_lo{c}"), F.col(f"_hi{c}")).alias(f"q{c}") for c in "xyz"])

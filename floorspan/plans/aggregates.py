@@ -76,7 +76,7 @@ def d10_medians(d: DataFrame) -> DataFrame:
 def f36_floor_planes(d: DataFrame) -> DataFrame:
     """Network medians, else nominal spacing; the lowest goes to 0; overrides come last and move nothing else."""
     per = d.groupBy("ordinal").agg(F.when(F.col("ordinal") != 0, F.median("altitude")).alias("m")).select("ordinal", F.coalesce("m", F.col("ordinal") * 4.0).alias("z"))
-    low = per.agg(F.min("z")).first()[0] or 0.0
+    low = per.agg(F.min("z")).scalar()
     return per.select("ordinal", F.when(F.col("ordinal") == 1, -3.0).otherwise(F.col("z") - low).alias("plane"))
 
 

@@ -58,8 +58,8 @@ def f22_colour_fill(d: DataFrame) -> DataFrame:
   SELECT vec_id, CAST(least(65535, greatest(0, round((x - lo) / ((hi - lo) / 65535)))) AS INT) AS q, CAST(round(CASE WHEN z < 0 THEN (1 - abs(v)) * CASE WHEN u >= 0 THEN 1 ELSE -1 END ELSE u END * 32767) AS INT) AS oct_u FROM n, b""")
 def f37_quantized_positions(d: DataFrame) -> DataFrame:
     x, y, z = (F.col("embedding")[i].cast("double") for i in range(3))
-    lo, hi = d.agg(F.min(x), F.max(x)).first()
-    return d.select("vec_id", lookups.quantize(x, F.lit(lo), F.lit(hi)).alias("q"), lookups.octahedral(x, y, z)[0].alias("oct_u"))
+    lo, hi = d.agg(F.min(x)).scalar(), d.agg(F.max(x)).scalar()
+    return d.select("vec_id", lookups.quantize(x, lo, hi).alias("q"), lookups.octahedral(x, y, z)[0].alias("oct_u"))
 
 
 @query("F38", "embeddings", "+e AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS e FROM embeddings) SELECT vec_id, round(e[1] * e[17] + e[2] * e[21] + e[3] * e[25] + e[4] * e[29], 9) AS m00, round(e[13] * e[20] + e[14] * e[24] + e[15] * e[28] + e[16] * e[32], 9) AS m33 FROM e")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from floorspan.operators import graph, relational, spatial
 from floorspan.plans.registry import query
+from floorspan.session import cut
 
 
 @query("E1", "v_node", "SELECT node_id, CAST(row_number() OVER (ORDER BY node_id) - 1 AS BIGINT) AS node_index FROM v_node")
@@ -16,7 +17,10 @@ def e01_dense_index(d: DataFrame) -> DataFrame:
 
 @query("E3", "v_level", "SELECT DISTINCT ordinal, lead(ordinal) OVER (ORDER BY ordinal) AS above FROM (SELECT DISTINCT ordinal FROM v_level)")
 def e03_adjacent_ordinals(d: DataFrame) -> DataFrame:
-    return d.select("ordinal").distinct().withColumn("above", F.lead("ordinal").over(Window.orderBy("ordinal")))  # a venue's few floors
+    """Each floor and the next one above, by dense indexes."""
+    placed = cut(graph.dense_index(d.select("ordinal").distinct(), "ordinal"))
+    above = placed.select((F.col("node_index") - 1).alias("node_index"), F.col("ordinal").alias("above"))
+    return placed.join(above, "node_index", "left").select("ordinal", "above")
 
 
 @query("E4", "v_node", "SELECT ordinal, node_id FROM (SELECT ordinal, node_id, altitude, lag(altitude) OVER (PARTITION BY ordinal ORDER BY node_id) AS before FROM v_node) WHERE altitude < before")
@@ -39,12 +43,14 @@ def e06_cumulative_length(d: DataFrame) -> DataFrame:
 
 @query("E7 E8", "v_level", "SELECT level_id, CAST(row_number() OVER (ORDER BY ordinal DESC, building) AS BIGINT) AS place FROM v_level")
 def e07_stable_descending(d: DataFrame) -> DataFrame:
-    return d.select("level_id", F.row_number().over(Window.orderBy(F.desc("ordinal"), "building")).cast("long").alias("place"))  # a venue's levels
+    d = graph.dense_index(d.select("level_id", F.struct(-F.col("ordinal"), F.col("building")).alias("k")), "k")
+    return d.select("level_id", (F.col("node_index") + 1).alias("place"))
 
 
 @query("E9", "v_level", "SELECT level_id, CAST(row_number() OVER (ORDER BY ordinal < 0, abs(ordinal), building) AS BIGINT) AS place FROM v_level")
 def e09_bit_pattern_sort(d: DataFrame) -> DataFrame:
-    return d.select("level_id", F.row_number().over(Window.orderBy(*relational.bit_order("ordinal"), "building")).cast("long").alias("place"))
+    d = graph.dense_index(d.select("level_id", F.struct(F.col("ordinal") < 0, F.abs("ordinal"), F.col("building")).alias("k")), "k")
+    return d.select("level_id", (F.col("node_index") + 1).alias("place"))
 
 
 @query("E8 C26", "v_net", "SELECT from_id, to_id, cost FROM v_net ORDER BY from_id, to_id, cost")

@@ -89,14 +89,25 @@ def f12_search_text_and_slug(d: DataFrame) -> DataFrame:
     )
 
 
-@query("F14 F15 F40", "nation", """+m AS (SELECT n_nationkey AS id, n_name AS a, CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) END AS b, CASE WHEN n_nationkey % 3 = 0 THEN 'fr-' || n_name END AS c FROM nation)
-  SELECT id, coalesce(c, a) AS fr, coalesce(b, a) AS en, c IS NOT NULL AS has_french, CAST(1 + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT AS INT) AS n FROM m""")
+_LABELS = """+m AS (SELECT c_custkey AS id, c_custkey % 16 AS k, c_name AS v, CASE c_custkey % 5 WHEN 0 THEN 'en' WHEN 1 THEN 'ja' WHEN 2 THEN 'de' WHEN 3 THEN 'FR-ca' ELSE 'EN-gb' END AS locale,
+    CASE c_custkey % 3 WHEN 0 THEN 'FR-be' WHEN 1 THEN 'zh' END AS manifest FROM customer),
+  e AS (SELECT id, locale, manifest, unnest([{'i': 'ja-JP', 'v': CASE WHEN k & 1 > 0 THEN 'j' || v ELSE '' END}, {'i': 'en-US', 'v': CASE WHEN k & 2 > 0 THEN 'e' || v ELSE '' END}, {'i': 'fr-CA', 'v': CASE WHEN k & 4 > 0 THEN 'f' || v ELSE '' END}, {'i': 'Zh-TW', 'v': CASE WHEN k & 8 > 0 THEN 'z' || v ELSE '' END}]) AS x FROM m),
+  c AS (SELECT id, x.i AS i, x.v AS v, CASE WHEN x.i = locale THEN 0 WHEN lower(split_part(x.i, '-', 1)) = lower(locale) THEN 1 WHEN lower(x.i) = lower(manifest) THEN 2 WHEN lower(split_part(x.i, '-', 1)) = lower(split_part(manifest, '-', 1)) THEN 3
+    WHEN lower(x.i) = 'ja' THEN 4 WHEN lower(split_part(x.i, '-', 1)) = 'ja' THEN 5 WHEN lower(x.i) = 'en' THEN 6 WHEN lower(split_part(x.i, '-', 1)) = 'en' THEN 7 ELSE 8 END AS place FROM e WHERE x.v <> ''),
+  p AS (SELECT id, first(v ORDER BY place, i) AS label, count(*) AS n, count(*) FILTER (WHERE i = 'fr-CA') > 0 AS has_french FROM c GROUP BY 1)
+  SELECT m.id, label, coalesce(label, CAST(m.id AS VARCHAR)) AS shown, CAST(coalesce(n, 0) AS INT) AS n, coalesce(has_french, false) AS has_french FROM m LEFT JOIN p ON m.id = p.id"""
+
+
+@query("F14 F15 F40", "customer", _LABELS)
 def f14_localized_pick(d: DataFrame) -> DataFrame:
-    b, c = F.when(F.col("n_nationkey") % 2 == 0, F.lower("n_name")).otherwise(""), F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("fr-"), "n_name")).otherwise("")
-    labels = F.map_filter(F.create_map(F.lit("ja-JP"), F.col("n_name"), F.lit("en"), b, F.lit("fr-CA"), c), lambda _, v: v != "")
-    d = d.select(F.col("n_nationkey").alias("id"), labels.alias("m"))
-    pick = lambda loc: text.localized(F.col("m"), F.lit(loc), F.lit("ja-JP"))
-    return d.select("id", pick("fr-FR").alias("fr"), pick("en").alias("en"), text.has_language(F.col("m"), "fr").alias("has_french"), F.size("m").alias("n"))
+    """All subsets of four keys, empty values among them, under five locales and three manifest languages."""
+    k = F.col("c_custkey")
+    value = lambda bit, mark: F.when((k % 16).bitwiseAND(bit) > 0, F.concat(F.lit(mark), "c_name")).otherwise("")
+    labels = F.create_map(F.lit("ja-JP"), value(1, "j"), F.lit("en-US"), value(2, "e"), F.lit("fr-CA"), value(4, "f"), F.lit("Zh-TW"), value(8, "z"))
+    locale = F.get(F.array(*map(F.lit, ("en", "ja", "de", "FR-ca", "EN-gb"))), (k % 5).cast("int"))
+    manifest = F.when(k % 3 == 0, "FR-be").when(k % 3 == 1, "zh")
+    d = d.select(k.alias("id"), text.localized(labels, locale, manifest).alias("label"), F.map_filter(labels, lambda _, v: v != "").alias("m"))
+    return d.select("id", "label", F.coalesce("label", F.col("id").cast("string")).alias("shown"), F.size("m").alias("n"), text.has_language(F.col("m"), "fr").alias("has_french"))
 
 
 @query("F17 F18 F19", "documents", """+b AS (SELECT doc_id AS id, E'  \\n![x](attachment:' || CAST(doc_id % 7 AS VARCHAR) || E'-a)\\r\\n' || text AS t FROM documents),
@@ -236,15 +247,17 @@ def a06_manifest_and_ordinals(d: DataFrame) -> DataFrame:
     return d.select(k.alias("id"), text.manifest_supported(version).alias("supported"), text.finite_or(raw, 0.0).alias("ordinal"))
 
 
-@query("A22", "v_blob", """+h AS (SELECT id, byte_size AS size, CASE id % 9 WHEN 0 THEN NULL WHEN 1 THEN 'bytes=0-99' WHEN 2 THEN 'bytes=-50' WHEN 3 THEN 'bytes=-0' WHEN 4 THEN 'bytes=100-' WHEN 5 THEN 'bytes=9-3' WHEN 6 THEN 'bytes=0-1,4-5' WHEN 7 THEN 'bytes=99999999-' ELSE 'items=1-2' END AS header FROM v_blob),
-  s AS (SELECT id, size, regexp_extract(header, '^bytes=([0-9]*)-[0-9]*$', 1) AS a, regexp_extract(header, '^bytes=[0-9]*-([0-9]*)$', 1) AS b FROM h),
-  n AS (SELECT id, size, a, b, try_cast(a AS BIGINT) AS f, try_cast(b AS BIGINT) AS l FROM s)
-  SELECT id, CASE WHEN f IS NULL AND l IS NULL THEN 'whole' WHEN f IS NULL THEN CASE WHEN l <= 0 OR size = 0 THEN 'unsatisfiable' ELSE 'range' END WHEN f >= size THEN 'unsatisfiable' WHEN l < f THEN 'whole' ELSE 'range' END AS kind,
-    CASE WHEN f IS NULL AND l > 0 AND size > 0 THEN greatest(0, size - l) WHEN f < size AND (l IS NULL OR l >= f) THEN f END AS first_byte,
-    CASE WHEN f IS NULL AND l > 0 AND size > 0 THEN size - 1 WHEN f < size AND l IS NULL THEN size - 1 WHEN f < size AND l >= f THEN least(l, size - 1) END AS last_byte FROM n""")
+@query("A22", "v_blob", """+h AS (SELECT id, byte_size AS size, CASE id % 12 WHEN 0 THEN NULL WHEN 1 THEN 'bytes=0-99' WHEN 2 THEN 'Bytes= -50 ' WHEN 3 THEN 'bytes=-0' WHEN 4 THEN 'bytes=100-' WHEN 5 THEN 'bytes=9-3' WHEN 6 THEN 'bytes=0-1,4-5' WHEN 7 THEN 'bytes=99999999-' WHEN 8 THEN 'items=1-2'
+    WHEN 9 THEN 'bytes=-99999999999999999999' WHEN 10 THEN 'bytes=99999999999999999999-' ELSE 'bytes=5-99999999999999999999' END AS header FROM v_blob)
+  SELECT id, CASE WHEN id % 12 IN (1, 4) AND size > CASE id % 12 WHEN 1 THEN 0 ELSE 100 END THEN 'range' WHEN id % 12 = 2 AND size > 0 THEN 'range' WHEN id % 12 IN (1, 2, 3, 4, 7, 9) THEN CASE WHEN id % 12 = 7 AND size > 99999999 THEN 'range' ELSE 'unsatisfiable' END
+      WHEN id % 12 = 5 AND size <= 9 THEN 'unsatisfiable' ELSE 'whole' END AS kind,
+    CASE WHEN id % 12 = 1 AND size > 0 THEN 0 WHEN id % 12 = 4 AND size > 100 THEN 100 WHEN id % 12 = 2 AND size > 0 THEN greatest(0, size - 50) WHEN id % 12 = 7 AND size > 99999999 THEN 99999999 END AS first_byte,
+    CASE WHEN id % 12 = 1 AND size > 0 THEN least(99, size - 1) WHEN id % 12 = 4 AND size > 100 THEN size - 1 WHEN id % 12 = 2 AND size > 0 THEN size - 1 WHEN id % 12 = 7 AND size > 99999999 THEN size - 1 END AS last_byte FROM h""")
 def a22_byte_range(d: DataFrame) -> DataFrame:
-    k = F.col("id") % 9
-    header = F.when(k == 1, "bytes=0-99").when(k == 2, "bytes=-50").when(k == 3, "bytes=-0").when(k == 4, "bytes=100-").when(k == 5, "bytes=9-3").when(k == 6, "bytes=0-1,4-5").when(k == 7, "bytes=99999999-").when(k == 8, "items=1-2")
+    """Headers of all kinds; a number beyond the largest safe one is refused at the end of a suffix and ignored elsewhere."""
+    k, huge = F.col("id") % 12, "99999999999999999999"
+    header = F.when(k == 1, "bytes=0-99").when(k == 2, "Bytes= -50 ").when(k == 3, "bytes=-0").when(k == 4, "bytes=100-").when(k == 5, "bytes=9-3").when(k == 6, "bytes=0-1,4-5").when(k == 7, "bytes=99999999-").when(k == 8, "items=1-2")
+    header = header.when(k == 9, f"bytes=-{huge}").when(k == 10, f"bytes={huge}-").when(k == 11, f"bytes=5-{huge}")
     d = d.select("id", text.byte_range(header, F.col("byte_size")).alias("r"))
     return d.select("id", F.col("r.kind").alias("kind"), F.col("r.first").alias("first_byte"), F.col("r.last").alias("last_byte"))
 

@@ -29,6 +29,12 @@ VIEWS: dict[str, str] = {
         CASE p_partkey % 12 WHEN 0 THEN 'walkway' WHEN 1 THEN 'elevator' WHEN 2 THEN 'stairs' WHEN 3 THEN 'escalator' WHEN 4 THEN 'room' WHEN 5 THEN 'ramp'
           WHEN 6 THEN 'unenclosedarea' WHEN 7 THEN 'platform' WHEN 8 THEN 'restroom.female' WHEN 9 THEN 'lobby' WHEN 10 THEN 'footbridge' ELSE NULL END AS category,
         139.76e0 + (p_partkey % 40) * 1e-4 AS x, 35.68e0 + (floor(p_partkey / 40) % 40) * 1e-4 AS y, (5 + p_size % 7) * 1e-5 AS w, (4 + p_size % 5) * 1e-5 AS h FROM {part}""",
+    "v_feature": """SELECT CASE WHEN unit_id % 150 = 0 THEN 'u1' ELSE 'u' || CAST(unit_id AS STRING) END AS id, CASE unit_id % 7 WHEN 0 THEN 'occupant' WHEN 1 THEN 'anchor' WHEN 2 THEN 'opening' ELSE 'unit' END AS feature_type,
+        CASE WHEN unit_id % 200 = 0 THEN 'L99' ELSE level_id END AS level_id, unit_id % 7 <> 0 OR unit_id % 14 = 0 AS has_geometry, CASE WHEN unit_id % 21 <> 0 THEN x END AS x, y FROM {v_unit}
+        UNION ALL SELECT level_id, 'level', CAST(NULL AS STRING), building % 8 <> 7, 0e0, 0e0 FROM {v_level} WHERE building % 6 <> 0
+        UNION ALL SELECT 'L7' || CAST(r_regionkey + 5 AS STRING), 'level', CAST(NULL AS STRING), true, 0e0, 0e0 FROM {region} WHERE r_regionkey = 2
+        UNION ALL SELECT 'v' || CAST(r_regionkey AS STRING), 'venue', CAST(NULL AS STRING), true, 0e0, 0e0 FROM {region} WHERE r_regionkey < 2
+        UNION ALL SELECT 'b' || CAST(building AS STRING), CASE WHEN building % 2 = 0 THEN 'building' ELSE 'footprint' END, CAST(NULL AS STRING), building % 5 <> 0, 0e0, 0e0 FROM {v_level}""",
     "v_user": "SELECT c_custkey AS id, c_name AS username, CASE c_custkey % 10 WHEN 0 THEN 'admin' WHEN 1 THEN 'viewer' ELSE 'member' END AS role FROM {customer}",
     "v_venue": "SELECT n_nationkey AS id, n_regionkey AS tenant_id, lower(n_name) AS slug, n_name AS name FROM {nation}",
     "v_version": """SELECT p_partkey AS id, CAST(p_partkey % 25 AS INT) AS venue_id, CAST(floor(p_partkey / 25) AS BIGINT) AS seq,
@@ -51,6 +57,20 @@ VIEWS: dict[str, str] = {
     "v_label": """SELECT p_partkey AS id, CASE p_partkey % 14 WHEN 0 THEN 'F' || CAST(p_size AS STRING) WHEN 1 THEN 'b' || CAST(p_size AS STRING) WHEN 2 THEN 'M' || CAST(p_size AS STRING) || 'F'
         WHEN 3 THEN 'KB' || CAST(p_size AS STRING) WHEN 4 THEN 'RF' WHEN 5 THEN CAST(p_size AS STRING) || 'F' WHEN 6 THEN 'Floor ' || CAST(p_size AS STRING) WHEN 7 THEN 'GF_main' WHEN 8 THEN 'B' || CAST(p_size AS STRING) || 'FL(1FL)_x(TP-5.11)'
         WHEN 9 THEN 'L' || CAST(p_size AS STRING) WHEN 10 THEN 'lobby-' || CAST(p_size AS STRING) || 'f' WHEN 11 THEN 'basement' || CAST(p_size % 10 + 1 AS STRING) WHEN 12 THEN '' ELSE p_name END AS label FROM {part}""",
+    "v_slab": """SELECT p_partkey AS object_id, 'main' AS document, 'link' AS link, CASE WHEN p_partkey % 25 = 24 THEN '' ELSE 'K' || CAST(p_partkey % 25 AS STRING) END AS level_key,
+        'L' || CAST(CASE WHEN p_partkey % 25 = 7 THEN 8 ELSE p_partkey % 25 END AS STRING) AS level_name, 'L' || CAST(p_partkey % 25 AS STRING) AS level_id, (p_partkey % 25) * 4e0 AS elevation,
+        CASE WHEN p_partkey % 25 = 5 OR p_size % 9 = 0 THEN 'Walls' ELSE 'Floors' END AS category, (floor(p_partkey / 25) % 20) * 4e0 AS x, (floor(p_partkey / 500) % 20) * 3e0 AS y,
+        (p_partkey % 25) * 4e0 + CASE WHEN p_size % 4 = 0 THEN 0.3e0 ELSE 0.1e0 END AS z FROM {part}""",
+    "v_tri": """SELECT object_id, document, link, level_key, level_name, elevation, category, x AS x1, y AS y1, z AS z1, x + 4e0 AS x2, y AS y2, z AS z2, x + 4e0 AS x3, y + 3e0 AS y3, z AS z3 FROM {v_slab}
+        UNION ALL SELECT object_id, document, link, level_key, level_name, elevation, category, x, y, z, x + 4e0, y + 3e0, z, x, y + 3e0, z FROM {v_slab}""",
+    "v_floor": """SELECT 'L' || CAST(n_nationkey AS STRING) AS level_id, 'L' || CAST(n_nationkey AS STRING) AS label,
+        CASE n_nationkey WHEN 11 THEN 40.9e0 WHEN 20 THEN 300e0 ELSE n_nationkey * 4e0 + 0.2e0 * (n_nationkey % 3) END AS floor_plane FROM {nation}""",
+    "v_unit_box": """SELECT level_id, x + 0.04e0 * (object_id % 25 % 5) + CASE WHEN object_id % 25 = 13 THEN 1.3e0 ELSE 0e0 END AS west, y AS south, x + 0.04e0 * (object_id % 25 % 5) + CASE WHEN object_id % 25 = 13 THEN 1.3e0 ELSE 0e0 END + 4e0 AS east,
+        y + 3e0 AS north FROM {v_slab} WHERE category = 'Floors'""",
+    "v_outline": """SELECT level_id, west AS x1, south AS y1, east AS x2, south AS y2 FROM {v_unit_box} UNION ALL SELECT level_id, east, south, east, north FROM {v_unit_box}
+        UNION ALL SELECT level_id, east, north, west, north FROM {v_unit_box} UNION ALL SELECT level_id, west, north, west, south FROM {v_unit_box}""",
+    "v_ask": """SELECT n_nationkey AS request_id, 139.7601e0 + (n_nationkey * 7 % 40) * 0.93e-4 AS lon1, 35.68e0 + (n_nationkey % 3) * 0.8e-4 + 0.00001e0 AS lat1, CASE WHEN n_nationkey = 3 THEN 9e0 ELSE CAST(n_regionkey - 2 AS DOUBLE) END AS ordinal1,
+        139.7602e0 + (n_nationkey * 11 % 40) * 0.97e-4 AS lon2, 35.68005e0 + (n_nationkey % 2) * 0.9e-4 AS lat2, CAST((n_nationkey * 3) % 5 - 2 AS DOUBLE) AS ordinal2 FROM {nation}""",
     "v_layer": """SELECT p_partkey AS id, 'Station_' || CAST(p_partkey % 3 AS STRING) || '_' || CASE p_partkey % 6 WHEN 0 THEN 'B1' WHEN 1 THEN '2' WHEN 2 THEN 'R' WHEN 3 THEN '0' WHEN 4 THEN 'M2' ELSE 'F3' END || '_' ||
         CASE p_partkey % 9 WHEN 0 THEN 'Floor' WHEN 1 THEN 'Space' WHEN 2 THEN 'Drawing' WHEN 3 THEN 'unit' WHEN 4 THEN 'opening' WHEN 5 THEN 'fixture' WHEN 6 THEN 'to_x_Drawing' WHEN 7 THEN 'Facility' ELSE 'misc' END AS layer,
         p_size, p_brand FROM {part}""",

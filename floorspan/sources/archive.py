@@ -33,6 +33,45 @@ def unsafe(name: str) -> bool:
     return name.startswith("/") or "\\" in name or ":" in name or ".." in name.split("/") or "\0" in name
 
 
+def entry_problems(listing: DataFrame) -> DataFrame:
+    """(archive, name, code) of entries (archive, name, is_dir, encrypted, size) that keep an archive from being read.
+
+    Paths that are unsafe, encrypted entries, names that differ in case only, entries and archives beyond the limits; directories
+    don't count.
+    """
+    files = listing.filter(~F.col("is_dir"))
+    name = F.col("name")
+    bad = name.startswith("/") | name.contains("\\") | name.contains(":") | F.array_contains(F.split(name, "/"), "..") | name.contains("\0")
+    own = F.array_compact(F.array(F.when(bad, "unsafe_path"), F.when(F.col("encrypted"), "encrypted"), F.when(F.col("size") > MOST_ENTRY_BYTES, "too_large")))
+    out = files.select("archive", "name", F.explode(own).alias("code"))
+    twice = files.groupBy("archive", F.lower("name").alias("k")).agg(F.count("*").alias("n"), F.max("name").alias("name")).filter("n > 1").select("archive", "name", F.lit("duplicate_entry").alias("code"))
+    whole = files.groupBy("archive").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    codes = F.array_compact(F.array(F.when(F.col("n") > MOST_ENTRIES, "too_many_entries"), F.when(F.col("size") > MOST_BYTES, "too_large")))
+    return out.union(twice).union(whole.select("archive", F.lit(None).cast("string").alias("name"), F.explode(codes).alias("code")))
+
+
+def canonical_texts(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, text, problem): JSON texts in canonical form."""
+    ship(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, problems_ = [], []
+            for raw in batch.column(1).to_pylist():
+                try:
+                    texts.append(None if raw is None else json.dumps(canonical(json.loads(raw)), ensure_ascii=False))
+                    problems_.append(None)
+                except ArchiveError as e:
+                    texts.append(None)
+                    problems_.append(e.code)
+                except ValueError:
+                    texts.append(None)
+                    problems_.append("bad_json")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(problems_, pa.string())], [key, "text", "problem"])
+
+    return rows.select(key, column).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, text string, problem string")
+
+
 def entries(data: bytes) -> dict[str, bytes]:
     """The archive's files by name in byte order, or an ArchiveError."""
     try:
@@ -154,13 +193,13 @@ def problems(features_: DataFrame) -> DataFrame:
 
 
 def unpack(packed: DataFrame, key: str = "venue") -> DataFrame:
-    """(venue, feature_type, id, properties) of archives given as (venue, content)."""
+    """(venue, feature_type, id, geometry, properties) of archives given as (venue, content)."""
     ship(packed.sparkSession)
     kind = packed.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            venues, kinds, ids, properties = [], [], [], []
+            venues, kinds, ids, shapes, properties = [], [], [], [], []
             for venue, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for name, body in entries(data).items():
                     if name.endswith(".geojson"):
@@ -168,7 +207,8 @@ def unpack(packed: DataFrame, key: str = "venue") -> DataFrame:
                             venues.append(venue)
                             kinds.append(f["feature_type"])
                             ids.append(f["id"])
+                            shapes.append(None if f["geometry"] is None else json.dumps(f["geometry"]))
                             properties.append(json.dumps(f["properties"]))
-            yield pa.RecordBatch.from_arrays([pa.array(venues, batch.schema.field(0).type), pa.array(kinds, pa.string()), pa.array(ids, pa.string()), pa.array(properties, pa.string())], [key, "feature_type", "id", "properties"])
+            yield pa.RecordBatch.from_arrays([pa.array(venues, batch.schema.field(0).type), pa.array(kinds, pa.string()), pa.array(ids, pa.string()), pa.array(shapes, pa.string()), pa.array(properties, pa.string())], [key, "feature_type", "id", "geometry", "properties"])
 
-    return packed.select(key, "content").mapInArrow(run, f"{key} {kind}, feature_type string, id string, properties string")
+    return packed.select(key, "content").mapInArrow(run, f"{key} {kind}, feature_type string, id string, geometry string, properties string")

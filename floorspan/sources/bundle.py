@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ def read_bundle(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame],
         try:
             df = spark.read.parquet(f"{folder}/section={r.section}")
             state = "ok" if tuple(digest(df).first()) == (r.rows, r.digest) else "changed"
-        except Exception:  # noqa: BLE001  whatever keeps a section from being read makes it missing
+        except AnalysisException:  # its folder isn't there, or holds no table
             state = "missing"
         states.append((r.section, state))
         if state == "ok":
@@ -46,6 +47,12 @@ def read_bundle(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame],
     return out, spark.createDataFrame(states, "section string, state string")
 
 
+def inspect(sections: dict[str, DataFrame]) -> DataFrame:
+    """(kind, id, level_id): the level ids of a bundle, and its features with the levels that they are on."""
+    levels = sections["levels"].select(F.lit("level").alias("kind"), F.col("level_id").alias("id"), F.lit(None).cast("string").alias("level_id"))
+    return levels.union(sections["features"].select(F.lit("feature"), F.col("id").cast("string"), "level_id"))
+
+
 def integrity(levels: DataFrame, features: DataFrame) -> DataFrame:
     """(code, id): level rows without a feature, level features without a row, features of unknown levels, repeated ids."""
     of_level = features.filter("feature_type = 'level'").select("id")

@@ -58,9 +58,28 @@ def primitives(data: bytes) -> Iterator[tuple[int, int, int, int, list[float], l
             yield m, k, len(points), n // 3, points.min(axis=0).astype(float).tolist(), points.max(axis=0).astype(float).tolist()
 
 
-def read_glb(spark: SparkSession, path: str) -> DataFrame:
-    """Primitives of all binary glTF files under a path."""
-    ship(spark)
+def pack(meshes: list[np.ndarray]) -> bytes:
+    """A binary glTF file of meshes of one primitive each, from triangles' corners (n, 3)."""
+    views, accessors, blobs, at = [], [], [], 0
+    for points in meshes:
+        body = np.ascontiguousarray(points, dtype="<f4").tobytes()
+        views.append({"buffer": 0, "byteOffset": at, "byteLength": len(body)})
+        accessors.append({"bufferView": len(views) - 1, "componentType": 5126, "count": len(points), "type": "VEC3"})
+        blobs.append(body)
+        at += len(body)
+    doc = {"asset": {"version": "2.0"}, "buffers": [{"byteLength": at}], "bufferViews": views, "accessors": accessors, "meshes": [{"primitives": [{"attributes": {"POSITION": i}}]} for i in range(len(meshes))]}
+    text = json.dumps(doc).encode()
+    text += b" " * (-len(text) % 4)
+    body = b"".join(blobs)
+    return struct.pack("<III", MAGIC, 2, 28 + len(text) + len(body)) + struct.pack("<II", len(text), JSON_CHUNK) + text + struct.pack("<II", len(body), BIN_CHUNK) + body
+
+
+PRIMITIVES = "path string, mesh int, primitive int, vertices long, triangles long, least array<double>, greatest array<double>"
+
+
+def primitives_of(files: DataFrame) -> DataFrame:
+    """The primitives of binary glTF files (path, content)."""
+    ship(files.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,5 +88,21 @@ def read_glb(spark: SparkSession, path: str) -> DataFrame:
                 kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["path", "mesh", "primitive", "vertices", "triangles", "least", "greatest"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "path string, mesh int, primitive int, vertices long, triangles long, least array<double>, greatest array<double>")
+    return files.select("path", "content").mapInArrow(run, PRIMITIVES)
+
+
+def read_glb(spark: SparkSession, path: str) -> DataFrame:
+    """Primitives of all binary glTF files under a path."""
+    return primitives_of(spark.read.format("binaryFile").load(path))
+
+
+def packed(triangles: DataFrame, key: str) -> DataFrame:
+    """(path, content): a file for each key of triangles with corners x1, y1, z1 to x3, y3, z3; one level's mesh fits into a worker."""
+    ship(triangles.sparkSession)
+
+    def run(t: pa.Table) -> pa.Table:
+        corners = np.stack([t[f"{k}{i}"].to_numpy() for i in (1, 2, 3) for k in "xyz"], axis=1).reshape(-1, 3)
+        return pa.table({"path": pa.array([str(t[key][0].as_py())]), "content": pa.array([pack([corners])], pa.binary())})
+
+    corners = [f"{k}{i}" for i in (1, 2, 3) for k in "xyz"]
+    return triangles.select(key, *corners).groupBy(key).applyInArrow(run, "path string, content binary")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floorspan.functions import geo
@@ -13,8 +13,9 @@ NEEDED = ("net_junction", "net_path")
 
 
 def catalog(rows: DataFrame) -> DataFrame:
-    """(layer, n, families, fields) of rows (layer, family, properties map)."""
-    return rows.groupBy("layer").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("family")).alias("families"))
+    """(layer, n, families) of rows (layer, family); and fields, the sorted names in a map column properties, where there is one."""
+    more = [F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.map_keys("properties"))))).alias("fields")] if "properties" in rows.columns else []
+    return rows.groupBy("layer").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("family")).alias("families"), *more)
 
 
 def floors_of(rows: DataFrame, floor: str) -> DataFrame:
@@ -57,7 +58,18 @@ def reachable(edges: DataFrame, root: DataFrame) -> DataFrame:
         found = cut(found.union(front))
 
 
+def walk(entries: DataFrame, edges: DataFrame, root: DataFrame) -> DataFrame:
+    """(path, depth, ignored) of a package's entries (path): how far each is from the root, and whether nothing leads to it."""
+    d = entries.join(reachable(edges, root), "path", "left")
+    return d.select("path", "depth", F.col("depth").isNull().alias("ignored"))
+
+
 def write_network(junctions: DataFrame, paths: DataFrame, folder: str) -> None:
     """The two layers as GeoJSON lines; a proprietary geodatabase file needs a driver that Spark doesn't have."""
     for name, df in zip(NEEDED, (junctions, paths), strict=True):
         df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(f"{folder}/{name}")
+
+
+def read_network(spark: SparkSession, folder: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
+    """The layers that ``write_network`` wrote, by name, with the given schemas."""
+    return {name: spark.read.text(f"{folder}/{name}").select(F.from_json("value", schemas[name]).alias("r")).select("r.*") for name in NEEDED}
