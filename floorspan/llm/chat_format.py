@@ -4,7 +4,7 @@ A legal conversation is an optional system message, then user and assistant mess
 Each turn is kept, relabelled, or merged into the message before it, and an empty message may be inserted before
 it; dynamic programming over the automaton's states (the role of the last message) finds the repairs of the
 least total cost.  Between repairs of equal cost, the one that comes first in the order of ``options`` is taken,
-from the last turn backwards.
+from the last turn backwards, and where a block of turns (see below) begins, the one with the lowest state there.
 
 Turns are ordered by number (null last), role and a hash of the text.  A conversation is worked on in blocks of
 ``BLOCK`` turn numbers, so that one that holds a third of all rows is spread over many tasks.  Where over ``CROWD`` rows

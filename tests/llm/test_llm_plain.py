@@ -231,18 +231,26 @@ def test_token_batches_hold_about_as_many_bytes():
                 got += counting.take()
         got += counting.take()
         assert got == [plain([t])[0] if t else 0 for t in texts]
-        assert len(seen) > 5 and max(seen) < 6000  # one text has no boundary, and 5000 bytes
+        assert len(seen) > 5 and max(seen) < 2000 + 5000 + 100  # a batch, and one text of 5000 bytes that has no boundary
 
 
 def test_chat_blocks_of_equal_turns(spark):
     rng = random.Random(8)
     rows = [(1, rng.choice([None, 5, 5, 6]), rng.choice(["user", "assistant", None, "system"]), f"text {i}") for i in range(700)] + [(2, 0, "user", "one"), (1, 5, "user", "text 0"), (1, 5, "user", "text 0")]
     d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    key = F.struct("conv_id", "turn", "role", "new_role", "action", "inserted", "cost", "fragment")
-    whole = sorted(map(repr, chat_format.format_turns(d).select(key).collect()))
-    split = chat_format.format_turns(d, block=16, crowd=64)
-    assert sorted(map(repr, split.select(key).collect())) == whole
-    assert split.agg(F.max("place")).first()[0] < 200  # many blocks
+    whole, split = (chat_format.format_turns(d, **options).collect() for options in ({}, {"block": 16, "crowd": 64}))
+    key = lambda r: (r.conv_id, r.turn is None, r.turn or 0, r.role is not None, r.role or "")
+    assert sorted(map(key, whole)) == sorted(map(key, split)) and len(split) == 702
+    assert sum(r.cost for r in whole) == sum(r.cost for r in split)  # which of the cheapest repairs may differ where blocks begin
+    assert max(r.place for r in split) < 200  # many blocks
+    import re
+
+    # the fragments in the order of turns, roles and blocks render a legal conversation
+    ordered = sorted((r for r in split if r.conv_id == 2), key=lambda r: r.place)
+    assert "".join(r.fragment for r in ordered) == "<|im_start|>user\none<|im_end|>\n"
+    shown = re.findall(r"<\|im_start\|>(\w+)\n", "".join(r.fragment for r in sorted((r for r in whole if r.conv_id == 1), key=lambda r: (r.turn is None, r.place))))
+    roles = [chat_format.ROLES.index(x) + 1 for x in shown]
+    assert all(b in chat_format.LEGAL[a] for a, b in zip([0, *roles], roles))
 
 
 @pytest.mark.parametrize("bits", [(1 << 20, 1 << 29), (1 << 8, 1 << 8)])
