@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from floorspan.llm._bloom import bloom, may_hold
-from floorspan.llm._common import Tables, ascii_lower, by_batch, frequent, small, table
+from floorspan.llm._common import Tables, ascii_lower, by_batch, frequent, give_back, small, table
 from floorspan.llm._components import components
 from floorspan.llm._words import joined, mix, windows, words
 from floorspan.session import ship
@@ -133,6 +133,9 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
             top = np.argsort(-c, kind="stable")[:HINT]
             nothing = pa.nulls(len(top), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.nulls(len(top), id_type), *[nothing] * 7, pa.nulls(len(top), wide), pa.array(keys[top].view(np.int64)), pa.array(c[top])], names)
+            del keys, c, often, top
+        del held, counts
+        give_back()
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tid"), F.col(text_col).alias("t"))
     ship(docs.sparkSession)
