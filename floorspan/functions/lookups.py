@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,7 +96,48 @@ def octahedral(x: Column, y: Column, z: Column) -> Column:
     return F.array(whole(fold(u, v)), whole(fold(v, u)))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def direction(encoded: Column) -> Column:
+    """The unit vector (x, y, z) of two signed 16-bit numbers that ``octahedral`` made."""
+    return bound(encoded, _direction)
+
+
+def _direction(encoded: Column) -> Column:
+    u, v = F.get(encoded, F.lit(0)) / 32_767.0, F.get(encoded, F.lit(1)) / 32_767.0
+    z = 1 - F.abs(u) - F.abs(v)
+    sign = lambda t: F.when(t >= 0, 1.0).otherwise(-1.0)
+    x, y = F.when(z < 0, (1 - F.abs(v)) * sign(u)).otherwise(u), F.when(z < 0, (1 - F.abs(u)) * sign(v)).otherwise(v)
+    size = F.greatest(F.sqrt(x * x + y * y + z * z), F.lit(1e-7))
+    return F.struct((x / size).alias("x"), (y / size).alias("y"), (z / size).alias("z"))
+
+
+def inverse(m: Column) -> Column:
+    """The inverse of a 4 x 4 matrix in row order, by cofactors; null where the determinant is 0."""
+    return bound(m, _inverse)
+
+
+def _inverse(m: Column) -> Column:
+    e = lambda i, j: F.get(m, F.lit(4 * i + j))
+    rest = lambda k: [i for i in range(4) if i != k]
+
+    def minor(i: int, j: int) -> Column:
+        (a, b, c), (p, q, r) = rest(i), rest(j)
+        return e(a, p) * (e(b, q) * e(c, r) - e(b, r) * e(c, q)) - e(a, q) * (e(b, p) * e(c, r) - e(b, r) * e(c, p)) + e(a, r) * (e(b, p) * e(c, q) - e(b, q) * e(c, p))
+
+    det = sum((e(0, j) * minor(0, j) * (-1) ** j for j in range(1, 4)), e(0, 0) * minor(0, 0))
+    adjugate = F.array(*[minor(j, i) * (-1) ** (i + j) for i in range(4) for j in range(4)])
+    return bound(det, lambda d: F.when(d != 0, F.transform(adjugate, lambda x: x / d)))
+
+
 def product(a: Column, b: Column, n: int = 4) -> Column:
     """The product of two n x n matrices in row order."""
+    return bound(F.struct(a.alias("a"), b.alias("b")), lambda m: _product(m["a"], m["b"], n))
+
+
+def _product(a: Column, b: Column, n: int) -> Column:
     cell = lambda i, j: sum((F.get(a, F.lit(i * n + k)) * F.get(b, F.lit(k * n + j)) for k in range(1, n)), F.get(a, F.lit(i * n)) * F.get(b, F.lit(j)))
     return F.array(*[cell(i, j) for i in range(n) for j in range(n)])

@@ -73,3 +73,70 @@ def queue_step(jobs: DataFrame, expired_before: Column, slots: int) -> DataFrame
 def undo(history: list[object], steps: int) -> object:
     """The value ``steps`` edits back; an edit history is small and belongs to one user."""
     return history[max(0, len(history) - 1 - steps)]
+
+
+def publish(versions: DataFrame, compiled: DataFrame, identity: list[str]) -> DataFrame:
+    """(id, status, bundle_hash): drafts become published with the bundle of their last job whose identity is still the version's.
+
+    Compiled jobs are (version_id, job_id, created_at, bundle) and the identity columns as the job read them.
+    """
+    same = compiled.join(versions.select(F.col("id").alias("version_id"), *[F.col(c).alias(f"_{c}") for c in identity]), "version_id")
+    for c in identity:
+        same = same.filter(F.col(c).eqNullSafe(F.col(f"_{c}")))
+    last = same.groupBy(F.col("version_id").alias("id")).agg(F.max_by("bundle", F.struct("created_at", "job_id")).alias("_bundle"))
+    d = versions.join(last, "id", "left")
+    goes = (F.col("status") == "draft") & F.col("_bundle").isNotNull()
+    return d.select("id", F.when(goes, "published").otherwise(F.col("status")).alias("status"), F.when(goes, F.col("_bundle")).otherwise(F.col("bundle_hash")).alias("bundle_hash"))
+
+
+def recompiled(versions: DataFrame, bundle: Column) -> DataFrame:
+    """Published versions whose bundle is still their source get a compiled one."""
+    legacy = (F.col("status") == "published") & F.coalesce(F.col("bundle_hash") == F.col("source_hash"), F.lit(False))
+    return versions.withColumn("bundle_hash", F.when(legacy, bundle).otherwise(F.col("bundle_hash")))
+
+
+def first_events(subscribers: DataFrame, events: DataFrame) -> DataFrame:
+    """(version_id, first_event, superseded) for subscribers (version_id, last_id, current): the highest known revision, and how many buffered ones it stands for."""
+    top = events.groupBy("version_id").agg(F.max("revision").alias("top"))
+    d = subscribers.join(top, "version_id", "left").withColumn("first_event", F.greatest(F.col("current"), F.coalesce("top", F.lit(0))))
+    between = d.join(events, "version_id").filter("revision > last_id and revision < first_event").groupBy("version_id").agg(F.count("*").alias("superseded"))
+    return d.join(between, "version_id", "left").select("version_id", F.col("first_event").cast("long").alias("first_event"), F.coalesce("superseded", F.lit(0)).cast("long").alias("superseded"))
+
+
+def reduced(actions: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, order, observed, applied, stale, accepted) after each action observed or fetched with a revision."""
+    w = Window.partitionBy(key).orderBy(order)
+    fetched = F.when(F.col("action") == "fetched", F.col("revision"))
+    d = actions.withColumns({"observed": F.max("revision").over(w), "_applied": F.max(fetched).over(w)})
+    stale = F.col("_applied").isNotNull() & (F.col("observed") > F.col("_applied"))
+    return d.select(key, order, F.col("observed").cast("long").alias("observed"), F.coalesce("_applied", F.lit(0)).cast("long").alias("applied"), stale.alias("stale"), F.when(F.col("action") == "fetched", F.col("revision") >= F.col("_applied")).alias("accepted"))
+
+
+#: Fixed value: states that an editor remembers.
+HISTORY = 50
+
+
+def histories(actions: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """(key, order, present, past, future) after each action edit, undo or redo; rows stream through in order, one editor's last states are held."""
+    ship(actions.sparkSession)
+    rows = actions.select(key, order, "action", value).repartition(key).sortWithinPartitions(key, order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, past, present, future = object(), [], None, []
+        for batch in batches:
+            out: list[tuple] = []
+            for k, action, v in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if k != at:
+                    at, past, present, future = k, [], None, []
+                if action == "edit":
+                    past, present, future = [*past, present][-HISTORY:], v, []
+                elif action == "undo" and past:
+                    past, present, future = past[:-1], past[-1], [present, *future]
+                elif action == "redo" and future:
+                    past, present, future = [*past, present][-HISTORY:], future[0], future[1:]
+                out.append((present, len(past), len(future)))
+            columns = [pa.array([o[i] for o in out], t) for i, t in enumerate((batch.column(3).type, pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], [key, order, "present", "past", "future"])
+
+    kind = lambda c: actions.schema[c].dataType.simpleString()
+    return rows.mapInArrow(run, f"{key} {kind(key)}, {order} {kind(order)}, present {kind(value)}, past int, future int")

@@ -79,3 +79,14 @@ def segments_in(points: DataFrame, segments: DataFrame, on: str, point_key: str,
     met = points.withColumn("_r", F.floor(F.col("y") / cell)).join(spread, [on, "_r"])
     crossed = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
     return met.filter(crossed).groupBy(point_key).agg(F.count("*").alias("n")).filter("n % 2 = 1").select(point_key)
+
+
+def hausdorff(a: DataFrame, b: DataFrame, on: str, point_key: str, cell: float) -> DataFrame:
+    """(on, hausdorff): the greatest distance from a point (x, y) of either set to the nearest of the other, within each ``on``."""
+    there = nearest_segment(a.select(on, point_key, "x", "y"), _as_segments(b, on), on, point_key, cell)
+    back = nearest_segment(b.select(on, point_key, "x", "y"), _as_segments(a, on), on, point_key, cell)
+    return there.select(on, "distance").union(back.select(on, "distance")).groupBy(on).agg(F.max("distance").alias("hausdorff"))
+
+
+def _as_segments(points: DataFrame, on: str) -> DataFrame:
+    return points.select(on, F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"))

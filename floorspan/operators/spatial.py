@@ -64,14 +64,6 @@ def boundary_edges(edges: DataFrame, *keys: str) -> DataFrame:
     return edges.groupBy(*keys, F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.count("*").alias("n")).filter("n = 1").drop("n")
 
 
-def hausdorff(a: DataFrame, b: DataFrame, key: str, distance: Column) -> DataFrame:
-    """Symmetric Hausdorff distance of two sampled lines of each key (columns i of a and j of b; a.*, b.* in distance)."""
-    pairs = a.alias("a").join(b.alias("b"), key).select(key, "a.i", "b.j", distance.alias("d"))
-    there = pairs.groupBy(key, "i").agg(F.min("d").alias("m")).groupBy(key).agg(F.max("m").alias("m"))
-    back = pairs.groupBy(key, "j").agg(F.min("d").alias("m")).groupBy(key).agg(F.max("m").alias("m"))
-    return there.union(back).groupBy(key).agg(F.max("m").alias("hausdorff"))
-
-
 def monotone(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """Rows whose value falls below the one before them."""
     w = Window.partitionBy(key).orderBy(order)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Callable
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floorspan.functions import geo
-from floorspan.session import ship
+from floorspan.session import cut, ship
 
 Box = tuple[float, float, float, float]
 
@@ -93,3 +94,93 @@ def grid_paths(ends: DataFrame, obstacles: list[Box]) -> DataFrame:
 
     named = ends.toDF("ordinal", "a_lon", "a_lat", "b_lon", "b_lat")
     return named.mapInPandas(run, "ordinal double, length_mm long")
+
+
+#: How far a sample may lie outside an area, how near a lock blocks a skipped point, and the spacing of samples.
+OUTSIDE_M, LOCK_M, SAMPLE_M = 0.3, 0.4, 0.5
+
+
+def floor_parts(features: DataFrame, is_walkway: Column, is_transit: Column) -> DataFrame:
+    """(ordinal, part, ring, x, y) of each floor: areas of walkways, obstacles, and locks at openings and in transit units.
+
+    Features are (ordinal, feature_type, category, ring, x, y) with a centre (x, y); a unit that is neither walkway nor transit, a fixture
+    and a kiosk are obstacles.  Floors with neither area nor lock are left out.
+    """
+    kind = F.col("feature_type")
+    part = (
+        F.when((kind == "unit") & F.coalesce(is_walkway, F.lit(False)), "area")
+        .when((kind == "unit") & F.coalesce(is_transit, F.lit(False)), "lock")
+        .when(kind.isin("unit", "fixture", "kiosk"), "obstacle")
+        .when(kind == "opening", "lock")
+    )
+    d = features.withColumn("part", part).filter("part is not null")
+    some = d.filter("part <> 'obstacle'").select("ordinal").distinct()
+    lock = F.col("part") == "lock"
+    return d.join(some, "ordinal", "left_semi").select("ordinal", "part", F.when(~lock, F.col("ring")).alias("ring"), F.when(lock, F.col("x")).alias("x"), F.when(lock, F.col("y")).alias("y"))
+
+
+def in_ring(ring: list, x: float, y: float) -> bool:
+    inside = False
+    for (ax, ay), (bx, by) in zip(ring, [*ring[1:], ring[0]], strict=True):
+        if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax:
+            inside = not inside
+    return inside
+
+
+def ring_distance(ring: list, x: float, y: float) -> float:
+    best = float("inf")
+    for (ax, ay), (bx, by) in zip(ring, [*ring[1:], ring[0]], strict=True):
+        dx, dy = bx - ax, by - ay
+        size = dx * dx + dy * dy
+        t = max(0.0, min(1.0, ((x - ax) * dx + (y - ay) * dy) / size)) if size else 0.0
+        best = min(best, ((x - ax - t * dx) ** 2 + (y - ay - t * dy) ** 2) ** 0.5)
+    return best
+
+
+def on_floor(areas: list, obstacles: list, x: float, y: float) -> bool:
+    """Inside an area or at most OUTSIDE_M beside it, and inside no obstacle."""
+    return not any(in_ring(o, x, y) for o in obstacles) and any(in_ring(a, x, y) or ring_distance(a, x, y) <= OUTSIDE_M for a in areas)
+
+
+def passes(points: list, i: int, j: int, areas: list, obstacles: list, locks: list) -> bool:
+    """Whether the chord from point i to point j may stand for all points between."""
+    for x, y in points[i + 1 : j]:
+        if any(((x - lx) ** 2 + (y - ly) ** 2) ** 0.5 < LOCK_M for lx, ly in locks):
+            return False
+    (ax, ay), (bx, by) = points[i], points[j]
+    n = max(1, math.ceil(((bx - ax) ** 2 + (by - ay) ** 2) ** 0.5 / SAMPLE_M))
+    return all(on_floor(areas, obstacles, ax + (bx - ax) * k / n, ay + (by - ay) * k / n) for k in range(n + 1))
+
+
+def smoothed(points: list, areas: list, obstacles: list, locks: list) -> list[int]:
+    """The places of the points that stay: from each the farthest that a chord may reach, else the next one."""
+    kept, at = [0], 0
+    while at < len(points) - 1:
+        at = next((j for j in range(len(points) - 1, at + 1, -1) if passes(points, at, j, areas, obstacles, locks)), at + 1)
+        kept.append(at)
+    return kept
+
+
+def smooth_on_floors(routes: DataFrame, parts: DataFrame, slices: int = 64) -> DataFrame:
+    """(route_id, segment, ordinal, points, kept) of route segments (route_id, segment, ordinal, points), points an array of (x, y) in metres.
+
+    Segments of a floor without parts stay as they are.  A floor's parts fit into a worker and are sent to each of its slices of segments.
+    """
+    ship(routes.sparkSession)
+    dealt = routes.withColumn("_s", F.pmod(F.xxhash64("route_id", "segment"), F.lit(slices)).cast("int"))
+    used = dealt.select(F.col("ordinal").alias("_o"), F.col("_s").alias("_slice")).distinct()
+    floor = cut(parts.join(used, F.col("ordinal") == F.col("_o")).select("_o", "_slice", "part", F.transform("ring", lambda p: F.array(p["x"], p["y"])).alias("ring"), "x", "y"))
+    kind = lambda c: routes.schema[c].dataType.simpleString()
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rings = {k: [[tuple(p) for p in ring] for ring in right.loc[right["part"] == k, "ring"]] for k in ("area", "obstacle")}
+        locks = list(right.loc[right["part"] == "lock", ["x", "y"]].itertuples(index=False, name=None))
+        out = []
+        for r in left.itertuples():
+            points = [(p["x"], p["y"]) for p in r.points]
+            kept = smoothed(points, rings["area"], rings["obstacle"], locks) if len(right) else list(range(len(points)))
+            out.append((r.route_id, r.segment, r.ordinal, len(points), [{"x": points[k][0], "y": points[k][1]} for k in kept]))
+        return pd.DataFrame(out, columns=["route_id", "segment", "ordinal", "n_points", "points"])
+
+    schema = f"route_id {kind('route_id')}, segment int, ordinal {kind('ordinal')}, n_points int, points array<struct<x: double, y: double>>"
+    return dealt.groupBy("ordinal", "_s").cogroup(floor.groupBy("_o", "_slice")).applyInPandas(lambda k, a, b: run(k, a, b), schema)

@@ -10,7 +10,7 @@ from floorspan.operators import graph, relational, spatial
 from floorspan.plans.registry import query
 
 
-@query("D4 D5 D6 D7 D14 C15", "v_node v_edge", """+ok AS (SELECT e.* FROM v_edge e JOIN v_node a ON e.from_id = a.node_id JOIN v_node b ON e.to_id = b.node_id WHERE e.from_id % 11 <> 0 AND e.to_id % 11 <> 0),
+@query("D4 D5 D6 D7 D14", "v_node v_edge", """+ok AS (SELECT e.* FROM v_edge e JOIN v_node a ON e.from_id = a.node_id JOIN v_node b ON e.to_id = b.node_id WHERE e.from_id % 11 <> 0 AND e.to_id % 11 <> 0),
   deg AS (SELECT node_id, count(*) AS degree FROM (SELECT from_id AS node_id FROM ok UNION ALL SELECT to_id FROM ok) GROUP BY 1)
   SELECT n.ordinal, count(*) AS nodes, CAST(count(*) FILTER (WHERE d.degree IS NULL) AS BIGINT) AS isolated, CAST(sum(coalesce(d.degree, 0)) AS BIGINT) AS ends, coalesce(max(e.cost), 0) AS total_cost
   FROM v_node n LEFT JOIN deg d USING (node_id) LEFT JOIN (SELECT a.ordinal, sum(cost) AS cost FROM ok JOIN v_node a ON ok.from_id = a.node_id GROUP BY 1) e USING (ordinal) GROUP BY n.ordinal""")
@@ -109,7 +109,7 @@ def d17_grid_clusters(d: DataFrame) -> DataFrame:
     return spatial.clusters(d, "x", "y", "dx", "dy", 0.1, 5, 0.02)
 
 
-@query("D18 G26", "v_unit", "SELECT level_id, coalesce(category, '?') AS role, count(*) AS primitives, CAST(sum(4) AS BIGINT) AS vertices, min(unit_id) AS first_id FROM v_unit GROUP BY 1, 2")
+@query("", "v_unit", "SELECT level_id, coalesce(category, '?') AS role, count(*) AS primitives, CAST(sum(4) AS BIGINT) AS vertices, min(unit_id) AS first_id FROM v_unit GROUP BY 1, 2")
 def d18_mesh_batches(d: DataFrame) -> DataFrame:
     return d.groupBy("level_id", F.coalesce("category", F.lit("?")).alias("role")).agg(F.count("*").alias("primitives"), F.sum(F.lit(4)).alias("vertices"), F.min("unit_id").alias("first_id"))
 
@@ -119,7 +119,7 @@ def d19_boundary_edges(e: DataFrame, n: DataFrame) -> DataFrame:
     return spatial.boundary_edges(e.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")))
 
 
-@query("D20 D21", "v_net v_node", """+p AS (SELECT e.cost / 1000 AS walk, asin(least(1e0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) * 12742000e0 AS line, e.from_id, e.to_id
+@query("", "v_net v_node", """+p AS (SELECT e.cost / 1000 AS walk, asin(least(1e0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) * 12742000e0 AS line, e.from_id, e.to_id
     FROM v_net e JOIN v_node a ON e.from_id = a.node_id JOIN v_node b ON e.to_id = b.node_id WHERE a.ordinal = b.ordinal), f AS (SELECT * FROM p WHERE line > 0 ORDER BY from_id, to_id LIMIT 50)
   SELECT count(*) AS pairs, CAST(count(*) FILTER (WHERE walk < line) AS BIGINT) AS shorter, round(max(walk / line), 6) AS stretch, round(sum(walk) / sum(line), 6) AS ratio FROM f""")
 def d20_route_quality(e: DataFrame, n: DataFrame) -> DataFrame:
@@ -154,7 +154,7 @@ def d23_count_one_ids(d: DataFrame) -> DataFrame:
     return d.join(counts, "k").filter("n = 1 or id % 10 = 0").select("id")
 
 
-@query("D24 D25 A2", "v_layer", "SELECT layer, CAST(sum(p_size) AS BIGINT) AS skipped, 'missing_geometry' AS code FROM v_layer WHERE p_size > 25 GROUP BY 1")
+@query("D24 D25", "v_layer", "SELECT layer, CAST(sum(p_size) AS BIGINT) AS skipped, 'missing_geometry' AS code FROM v_layer WHERE p_size > 25 GROUP BY 1")
 def d24_warning_rollup(d: DataFrame) -> DataFrame:
     return d.filter("p_size > 25").groupBy("layer").agg(F.sum("p_size").alias("skipped")).select("layer", "skipped", F.lit("missing_geometry").alias("code"))
 

@@ -23,7 +23,7 @@ def a04_collection_shapes(d: DataFrame) -> DataFrame:
     return twice.union(venues)
 
 
-@query("A5 B1 A24", "v_unit", """SELECT unit_id, level_id, nullif(category, 'room') AS category, CASE WHEN unit_id % 5 = 0 THEN 'no_id' WHEN unit_id % 7 = 0 THEN 'wrong_feature_type' END AS problem FROM v_unit""")
+@query("B1 A24", "v_unit", """SELECT unit_id, level_id, nullif(category, 'room') AS category, CASE WHEN unit_id % 5 = 0 THEN 'no_id' WHEN unit_id % 7 = 0 THEN 'wrong_feature_type' END AS problem FROM v_unit""")
 def a05_feature_projection(d: DataFrame) -> DataFrame:
     """Features as JSON text, read back field by field."""
     k = F.col("unit_id")
@@ -45,7 +45,7 @@ def a08_layer_catalog(d: DataFrame) -> DataFrame:
     return network.catalog(d.withColumn("family", family))
 
 
-@query("A9 F48", "v_layer", """SELECT layer, round(max(degrees(x / 6378137e0)), 6) AS lon, round(max(degrees(atan(sinh(y / 6378137e0)))), 6) AS lat, CAST(count(*) FILTER (WHERE x IS NULL) AS BIGINT) AS skipped
+@query("A9", "v_layer", """SELECT layer, round(max(degrees(x / 6378137e0)), 6) AS lon, round(max(degrees(atan(sinh(y / 6378137e0)))), 6) AS lat, CAST(count(*) FILTER (WHERE x IS NULL) AS BIGINT) AS skipped
   FROM (SELECT layer, CASE WHEN id % 6 <> 1 THEN 15550000e0 + id END AS x, CASE WHEN id % 6 <> 1 THEN 4250000e0 + id END AS y FROM v_layer) GROUP BY 1""")
 def a09_reproject(d: DataFrame) -> DataFrame:
     ok = F.col("id") % 6 != 1
@@ -54,13 +54,13 @@ def a09_reproject(d: DataFrame) -> DataFrame:
     return network.skipped(d).join(far, "layer", "left").select("layer", "lon", "lat", "skipped")
 
 
-@query("A10 A11", "v_node v_edge", "SELECT 'net_junction' AS layer, count(*) AS n, list_sort(list(DISTINCT ordinal)) AS floors FROM v_node UNION ALL SELECT 'net_path', count(*), list_sort(list(DISTINCT CAST(line AS DOUBLE))) FROM v_edge")
+@query("A10", "v_node v_edge", "SELECT 'net_junction' AS layer, count(*) AS n, list_sort(list(DISTINCT ordinal)) AS floors FROM v_node UNION ALL SELECT 'net_path', count(*), list_sort(list(DISTINCT CAST(line AS DOUBLE))) FROM v_edge")
 def a10_network_extract(n: DataFrame, e: DataFrame) -> DataFrame:
     a, b = network.floors_of(n, "ordinal"), network.floors_of(e.withColumn("line", F.col("line").cast("double")), "line")
     return a.select(F.lit("net_junction").alias("layer"), "n", "floors").union(b.select(F.lit("net_path").alias("layer"), "n", "floors"))
 
 
-@query("A17 A23", "v_level v_unit", """+f AS (SELECT CAST(unit_id AS VARCHAR) AS id, CASE WHEN unit_id % 200 = 0 THEN 'L99' ELSE level_id END AS level_id, 'unit' AS t FROM v_unit UNION ALL SELECT level_id, NULL, 'level' FROM v_level WHERE building % 6 <> 0 UNION ALL SELECT 'L77', NULL, 'level')
+@query("A17", "v_level v_unit", """+f AS (SELECT CAST(unit_id AS VARCHAR) AS id, CASE WHEN unit_id % 200 = 0 THEN 'L99' ELSE level_id END AS level_id, 'unit' AS t FROM v_unit UNION ALL SELECT level_id, NULL, 'level' FROM v_level WHERE building % 6 <> 0 UNION ALL SELECT 'L77', NULL, 'level')
   SELECT 'level_without_feature' AS code, level_id AS id FROM v_level WHERE building % 6 = 0 UNION ALL SELECT 'feature_without_level', 'L77' UNION ALL SELECT 'unknown_level', id FROM f WHERE level_id = 'L99'""")
 def a17_bundle_integrity(level: DataFrame, u: DataFrame) -> DataFrame:
     units = u.select(F.col("unit_id").cast("string").alias("id"), F.when(F.col("unit_id") % 200 == 0, "L99").otherwise(F.col("level_id")).alias("level_id"), F.lit("unit").alias("feature_type"))

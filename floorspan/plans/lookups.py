@@ -69,13 +69,13 @@ def f38_matrix_product(d: DataFrame) -> DataFrame:
     return d.select("vec_id", F.round(m[0], 9).alias("m00"), F.round(m[15], 9).alias("m33"))
 
 
-@query("B15", "v_unit", "SELECT unit_id, unit_id % 4 <> 0 AS usable FROM v_unit")
+@query("", "v_unit", "SELECT unit_id, unit_id % 4 <> 0 AS usable FROM v_unit")
 def b15_usable_geometry(d: DataFrame) -> DataFrame:
     centre = F.when(F.col("unit_id") % 4 != 0, F.col("x") + F.col("w") / 2)
     return d.select("unit_id", centre.isNotNull().alias("usable"))
 
 
-@query("B16 B22", "v_unit v_level", "SELECT CAST(unit_id AS VARCHAR) AS id, 'unit' AS kind FROM v_unit WHERE level_id IN (SELECT level_id FROM v_level WHERE ordinal = 1) UNION SELECT level_id, 'level' FROM v_level WHERE ordinal BETWEEN 0 AND 2")
+@query("", "v_unit v_level", "SELECT CAST(unit_id AS VARCHAR) AS id, 'unit' AS kind FROM v_unit WHERE level_id IN (SELECT level_id FROM v_level WHERE ordinal = 1) UNION SELECT level_id, 'level' FROM v_level WHERE ordinal BETWEEN 0 AND 2")
 def b16_context_features(u: DataFrame, level: DataFrame) -> DataFrame:
     here = u.join(level.filter("ordinal = 1"), "level_id", "left_semi").select(F.col("unit_id").cast("string").alias("id"), F.lit("unit").alias("kind"))
     around = level.filter("ordinal between 0 and 2").select(F.col("level_id").alias("id"), F.lit("level").alias("kind"))
@@ -91,7 +91,7 @@ def b17_marker_selection(d: DataFrame) -> DataFrame:
     return kept.orderBy(F.col("feature_id") != 7, rank, "feature_id").limit(200).select("feature_id")
 
 
-@query("B18", "v_layer", """SELECT layer, 'no_target' AS code FROM v_layer WHERE layer LIKE '%misc' GROUP BY 1 UNION ALL SELECT layer, 'no_ordinal' FROM v_layer WHERE layer LIKE '%\\_R\\_%' ESCAPE '\\' GROUP BY 1 UNION ALL SELECT NULL, 'no_level' WHERE NOT EXISTS (SELECT 1 FROM v_layer WHERE layer LIKE '%Floor')""")
+@query("", "v_layer", """SELECT layer, 'no_target' AS code FROM v_layer WHERE layer LIKE '%misc' GROUP BY 1 UNION ALL SELECT layer, 'no_ordinal' FROM v_layer WHERE layer LIKE '%\\_R\\_%' ESCAPE '\\' GROUP BY 1 UNION ALL SELECT NULL, 'no_level' WHERE NOT EXISTS (SELECT 1 FROM v_layer WHERE layer LIKE '%Floor')""")
 def b18_blocking_issues(d: DataFrame) -> DataFrame:
     layers = d.select("layer").distinct()
     a = layers.filter(floors.layer_target(F.col("layer")).isNull()).select("layer", F.lit("no_target").alias("code"))
@@ -100,7 +100,7 @@ def b18_blocking_issues(d: DataFrame) -> DataFrame:
     return a.union(b).union(none)
 
 
-@query("B19 B23", "v_issue", "SELECT id, version_id FROM v_issue WHERE id % 25 = 4 AND NOT deleted AND status <> 'closed'")
+@query("", "v_issue", "SELECT id, version_id FROM v_issue WHERE id % 25 = 4 AND NOT deleted AND status <> 'closed'")
 def b19_floor_projection(d: DataFrame) -> DataFrame:
     return d.filter((F.col("id") % 25 == 4) & ~F.col("deleted") & (F.col("status") != "closed")).select("id", "version_id")
 
@@ -115,7 +115,7 @@ def b20_route_overlay(e: DataFrame, n: DataFrame) -> DataFrame:
     return attach_nodes(e, n).select(part.alias("part"), "from_id", "to_id").filter("part is not null")
 
 
-@query("B21", "v_edge v_node", """SELECT DISTINCT least(from_id, to_id) || '-' || greatest(from_id, to_id) AS pair FROM v_edge JOIN v_node a ON from_id = a.node_id JOIN v_node b ON to_id = b.node_id WHERE a.ordinal <> b.ordinal AND (a.ordinal = 0 OR b.ordinal = 0)""")
+@query("", "v_edge v_node", """SELECT DISTINCT least(from_id, to_id) || '-' || greatest(from_id, to_id) AS pair FROM v_edge JOIN v_node a ON from_id = a.node_id JOIN v_node b ON to_id = b.node_id WHERE a.ordinal <> b.ordinal AND (a.ordinal = 0 OR b.ordinal = 0)""")
 def b21_network_overlay(e: DataFrame, n: DataFrame) -> DataFrame:
     from floorspan.operators.graph import attach_nodes
 

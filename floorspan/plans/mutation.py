@@ -52,21 +52,21 @@ def h10_attachment_lifecycle(d: DataFrame) -> DataFrame:
     return d.groupBy("state").agg(F.count("*").alias("n"), F.count_if(old).alias("expired"))
 
 
-@query("H11 H12", "v_job", """SELECT id, CASE WHEN status = 'running' AND created_at < TIMESTAMP '2024-01-10' THEN 'queued' WHEN status = 'queued' AND row_number() OVER (PARTITION BY status ORDER BY created_at, id) <= 5 THEN 'running' ELSE status END AS status FROM v_job""")
+@query("H11", "v_job", """SELECT id, CASE WHEN status = 'running' AND created_at < TIMESTAMP '2024-01-10' THEN 'queued' WHEN status = 'queued' AND row_number() OVER (PARTITION BY status ORDER BY created_at, id) <= 5 THEN 'running' ELSE status END AS status FROM v_job""")
 def h11_job_queue_step(d: DataFrame) -> DataFrame:
     return changes.queue_step(d, F.lit("2024-01-10").cast("timestamp"), 5).select("id", "status")
 
 
-@query("H13 H14", "v_version", "SELECT venue_id, max(seq) AS seq, CAST(count(*) FILTER (WHERE bundle_hash IS NULL) AS BIGINT) AS to_rebuild FROM v_version WHERE status IN ('published', 'draft') GROUP BY 1")
+@query("", "v_version", "SELECT venue_id, max(seq) AS seq, CAST(count(*) FILTER (WHERE bundle_hash IS NULL) AS BIGINT) AS to_rebuild FROM v_version WHERE status IN ('published', 'draft') GROUP BY 1")
 def h13_publish_pointer(d: DataFrame) -> DataFrame:
     return d.filter(F.col("status").isin("published", "draft")).groupBy("venue_id").agg(F.max("seq").alias("seq"), F.count_if(F.col("bundle_hash").isNull()).alias("to_rebuild"))
 
 
-@query("H15", "v_job", "SELECT version_id, id AS holder FROM v_job WHERE kind <> 'x' QUALIFY row_number() OVER (PARTITION BY version_id ORDER BY created_at, id) = 1")
+@query("", "v_job", "SELECT version_id, id AS holder FROM v_job WHERE kind <> 'x' QUALIFY row_number() OVER (PARTITION BY version_id ORDER BY created_at, id) = 1")
 def h15_single_reservation(d: DataFrame) -> DataFrame:
     return d.groupBy("version_id").agg(F.min_by("id", F.struct("created_at", "id")).alias("holder"))
 
 
-@query("H19", "v_blob", "SELECT version_id, count(*) AS sections, CAST(sum(byte_size) AS BIGINT) AS bytes FROM v_blob GROUP BY 1")
+@query("", "v_blob", "SELECT version_id, count(*) AS sections, CAST(sum(byte_size) AS BIGINT) AS bytes FROM v_blob GROUP BY 1")
 def h19_bundle_sections(d: DataFrame) -> DataFrame:
     return d.groupBy("version_id").agg(F.count("*").alias("sections"), F.sum("byte_size").alias("bytes"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floorspan.functions import geo
-from floorspan.operators import gates, graph, scene, spatial, walk
+from floorspan.operators import gates, graph, nearest, scene, walk
 from floorspan.plans.aggregates import _REACH
 from floorspan.plans.registry import query
 
@@ -21,7 +21,7 @@ def g01_even_odd_and_distance(d: DataFrame) -> DataFrame:
     )
 
 
-@query("G3 G4", "v_unit", "SELECT unit_id, unit_id % 10 > 0 OR false AS walkable, unit_id % 10 >= 2 AS chord_legal FROM v_unit")
+@query("G4", "v_unit", "SELECT unit_id, unit_id % 10 > 0 OR false AS walkable, unit_id % 10 >= 2 AS chord_legal FROM v_unit")
 def g03_walkable_and_chords(d: DataFrame) -> DataFrame:
     """A 10 m square with a 2 m hole in the middle; points at the hole's centre, at its corner and beside the square."""
     outer, hole = geo.rectangle(*map(F.lit, (0.0, 0.0, 10.0, 10.0))), geo.rectangle(*map(F.lit, (4.0, 4.0, 6.0, 6.0)))
@@ -32,14 +32,14 @@ def g03_walkable_and_chords(d: DataFrame) -> DataFrame:
     return d.select("unit_id", ok(px, py).alias("walkable"), legal.alias("chord_legal"))
 
 
-@query("G6", "v_unit", "SELECT level_id, CAST(count(*) FILTER (WHERE category IN ('walkway', 'ramp', 'platform', 'lobby', 'footbridge')) AS BIGINT) AS polygons, CAST(count(*) FILTER (WHERE category IN ('room', 'unenclosedarea')) AS BIGINT) AS obstacles FROM v_unit GROUP BY 1")
+@query("", "v_unit", "SELECT level_id, CAST(count(*) FILTER (WHERE category IN ('walkway', 'ramp', 'platform', 'lobby', 'footbridge')) AS BIGINT) AS polygons, CAST(count(*) FILTER (WHERE category IN ('room', 'unenclosedarea')) AS BIGINT) AS obstacles FROM v_unit GROUP BY 1")
 def g06_walkable_floors(d: DataFrame) -> DataFrame:
     from floorspan.functions.text import is_walkway
 
     return d.groupBy("level_id").agg(F.count_if(is_walkway(F.col("category"))).alias("polygons"), F.count_if(F.col("category").isin("room", "unenclosedarea")).alias("obstacles"))
 
 
-@query("G7 C9 G21", "v_edge v_node", """SELECT 'dangling_edge' AS code, count(*) AS n FROM v_edge WHERE from_id NOT IN (SELECT node_id FROM v_node) OR to_id NOT IN (SELECT node_id FROM v_node)
+@query("C9", "v_edge v_node", """SELECT 'dangling_edge' AS code, count(*) AS n FROM v_edge WHERE from_id NOT IN (SELECT node_id FROM v_node) OR to_id NOT IN (SELECT node_id FROM v_node)
   UNION ALL SELECT 'edge', count(*) FROM v_edge WHERE from_id IN (SELECT node_id FROM v_node) AND to_id IN (SELECT node_id FROM v_node)""")
 def g07_graph_build(e: DataFrame, n: DataFrame) -> DataFrame:
     lost, kept = graph.dangling(e, n), graph.attach_nodes(e, n)
@@ -59,7 +59,7 @@ def g11_doorway_direction(d: DataFrame) -> DataFrame:
     return d.groupBy(F.col("from_id").alias("opening")).agg(name.alias("direction"))
 
 
-@query("G12", "v_net v_unit", "SELECT from_id, to_id, CAST(CASE WHEN EXISTS (SELECT 1 FROM v_unit u WHERE u.unit_id = from_id + to_id AND u.category = 'room') THEN 2 ELSE 1 END AS INT) AS rank, cost * CASE WHEN EXISTS (SELECT 1 FROM v_unit u WHERE u.unit_id = from_id + to_id AND u.category = 'room') THEN 3 ELSE 1 END AS cost FROM v_net")
+@query("", "v_net v_unit", "SELECT from_id, to_id, CAST(CASE WHEN EXISTS (SELECT 1 FROM v_unit u WHERE u.unit_id = from_id + to_id AND u.category = 'room') THEN 2 ELSE 1 END AS INT) AS rank, cost * CASE WHEN EXISTS (SELECT 1 FROM v_unit u WHERE u.unit_id = from_id + to_id AND u.category = 'room') THEN 3 ELSE 1 END AS cost FROM v_net")
 def g12_secondary_rank(e: DataFrame, u: DataFrame) -> DataFrame:
     rooms = u.filter("category = 'room'").select(F.col("unit_id").alias("room"))
     d = e.join(rooms, F.col("from_id") + F.col("to_id") == F.col("room"), "left")
@@ -104,7 +104,7 @@ def g21_network_findings(n: DataFrame, e: DataFrame) -> DataFrame:
     return found.filter("code <> 'isolated_node'").union(found.filter("code = 'isolated_node'").join(ends, "node_id", "left_anti").select("code", "node_id", "detail"))
 
 
-@query("G15", "v_net v_node")
+@query("G17", "v_net v_node")
 def g13_routes(e: DataFrame, n: DataFrame) -> DataFrame:
     """Cheapest routes with their paths, searched per venue on the workers."""
     _, e = graph.clip(n, e, n)
@@ -114,7 +114,7 @@ def g13_routes(e: DataFrame, n: DataFrame) -> DataFrame:
     return graph.routes(requests, a)
 
 
-@query("G5", "v_node")
+@query("", "v_node")
 def g05_route_smoothing(n: DataFrame) -> DataFrame:
     """Routes of each floor with the points left out that a legal chord passes by."""
     return walk.smooth_routes(n.select(F.col("ordinal").alias("route"), F.col("node_id").alias("i"), ((F.col("lon") - 139.76) * 9e4).alias("x"), ((F.col("lat") - 35.68) * 1.1e5).alias("y")), [(20.0, 3.0, 30.0, 12.0)])
@@ -131,10 +131,8 @@ def g22_path_proposals(n: DataFrame) -> DataFrame:
 @query("G23", "v_node", """+a AS (SELECT ordinal, node_id AS i, lon * 1e5 AS x FROM v_node WHERE node_id % 2 = 0), b AS (SELECT ordinal, node_id AS j, lon * 1e5 AS x FROM v_node WHERE node_id % 2 = 1), d AS (SELECT ordinal, i, j, abs(a.x - b.x) AS d FROM a JOIN b USING (ordinal))
   SELECT ordinal, round(max(m), 6) AS hausdorff FROM (SELECT ordinal, min(d) AS m FROM d GROUP BY ordinal, i UNION ALL SELECT ordinal, min(d) FROM d GROUP BY ordinal, j) GROUP BY 1""")
 def g23_hausdorff(d: DataFrame) -> DataFrame:
-    x = F.col("lon") * 1e5
-    a = d.filter("node_id % 2 = 0").select("ordinal", F.col("node_id").alias("i"), x.alias("x"))
-    b = d.filter("node_id % 2 = 1").select("ordinal", F.col("node_id").alias("j"), x.alias("x"))
-    return spatial.hausdorff(a, b, "ordinal", F.abs(F.col("a.x") - F.col("b.x"))).select("ordinal", F.round("hausdorff", 6).alias("hausdorff"))
+    p = d.select("ordinal", "node_id", (F.col("lon") * 1e5).alias("x"), F.lit(0.0).alias("y"))
+    return nearest.hausdorff(p.filter("node_id % 2 = 0"), p.filter("node_id % 2 = 1"), "ordinal", "node_id", 20.0).select("ordinal", F.round("hausdorff", 6).alias("hausdorff"))
 
 
 @query("G24", "v_unit", "SELECT unit_id, CAST(4 AS BIGINT) AS n_triangles, CAST((w * 1e8)::BIGINT * (h * 1e8)::BIGINT * 3 AS BIGINT) AS doubled_area FROM v_unit")
@@ -149,7 +147,7 @@ def g24_triangulate(d: DataFrame) -> DataFrame:
     return done.select("unit_id", F.size("triangles").cast("long").alias("n_triangles"), (area / 2).cast("long").alias("doubled_area"))
 
 
-@query("G26", "v_unit", """+e AS (SELECT level_id, unnest([CAST(unit_id % 40 AS VARCHAR) || ':' || CAST(floor(unit_id / 40) AS VARCHAR), CAST(unit_id % 40 + 1 AS VARCHAR) || ':' || CAST(floor(unit_id / 40) AS VARCHAR)]) AS k, unnest([1, 2]) AS side FROM v_unit)
+@query("", "v_unit", """+e AS (SELECT level_id, unnest([CAST(unit_id % 40 AS VARCHAR) || ':' || CAST(floor(unit_id / 40) AS VARCHAR), CAST(unit_id % 40 + 1 AS VARCHAR) || ':' || CAST(floor(unit_id / 40) AS VARCHAR)]) AS k, unnest([1, 2]) AS side FROM v_unit)
   SELECT level_id, k AS wall, count(*) AS uses, count(*) = 1 AS outer_wall FROM e GROUP BY 1, 2""")
 def g25_wall_groups(d: DataFrame) -> DataFrame:
     row = F.floor(F.col("unit_id") / 40).cast("double").cast("string")
@@ -157,18 +155,18 @@ def g25_wall_groups(d: DataFrame) -> DataFrame:
     return scene.walls(d.select("level_id", F.explode(F.array(key(0), key(1))).alias("wall")), "level_id", "wall")
 
 
-@query("G27 C22", "v_unit", "SELECT level_id || '|' || CAST(building AS VARCHAR) AS tile_level, count(*) AS n, min(h) AS plane FROM v_unit GROUP BY 1")
+@query("", "v_unit", "SELECT level_id || '|' || CAST(building AS VARCHAR) AS tile_level, count(*) AS n, min(h) AS plane FROM v_unit GROUP BY 1")
 def g27_tile_levels(d: DataFrame) -> DataFrame:
     return d.groupBy(F.concat_ws("|", "level_id", "building").alias("tile_level")).agg(F.count("*").alias("n"), F.min("h").alias("plane"))
 
 
-@query("G29", "v_version", """+g AS (SELECT id, 1 AS rank, 'no_published_version' AS code FROM v_version WHERE status <> 'published' UNION ALL SELECT id, 2, 'missing_bundle' FROM v_version WHERE bundle_hash IS NULL UNION ALL SELECT id, 3, 'stale_sequence' FROM v_version WHERE seq < 5)
+@query("", "v_version", """+g AS (SELECT id, 1 AS rank, 'no_published_version' AS code FROM v_version WHERE status <> 'published' UNION ALL SELECT id, 2, 'missing_bundle' FROM v_version WHERE bundle_hash IS NULL UNION ALL SELECT id, 3, 'stale_sequence' FROM v_version WHERE seq < 5)
   SELECT id, list(code ORDER BY rank) AS codes FROM g GROUP BY 1""")
 def g29_activation_gates(d: DataFrame) -> DataFrame:
     return gates.failing(d, "id", [("no_published_version", F.col("status") != "published"), ("missing_bundle", F.col("bundle_hash").isNull()), ("stale_sequence", F.col("seq") < 5)])
 
 
-@query("G30 E9", "v_unit v_node", "SELECT unit_id, CASE WHEN CAST(building % 9 - 4 AS DOUBLE) IN (SELECT ordinal FROM v_node) THEN level_id END AS anchor FROM v_unit WHERE category = 'restroom.female'")
+@query("E9", "v_unit v_node", "SELECT unit_id, CASE WHEN CAST(building % 9 - 4 AS DOUBLE) IN (SELECT ordinal FROM v_node) THEN level_id END AS anchor FROM v_unit WHERE category = 'restroom.female'")
 def g30_facility_anchors(u: DataFrame, n: DataFrame) -> DataFrame:
     floors = n.select("ordinal").distinct().withColumn("known", F.lit(True))
     d = u.filter("category = 'restroom.female'").withColumn("ordinal", (F.col("building") % 9 - 4).cast("double"))
