@@ -42,7 +42,10 @@ def test_uuid_range_and_dates(spark):
 def test_localized_and_merge(spark):
     d = spark.sql("SELECT map('ja-JP', 'a', 'en-GB', 'b') AS m, map() AS e")
     pick = lambda loc: text.localized(F.col("m"), F.lit(loc), F.lit("fr"))
-    assert tuple(d.select(pick("en-GB"), pick("en-US"), pick("de")).first()) == ("b", "b", "a")
+    # a locale matches a key itself or a key's primary subtag; one that does neither falls back to Japanese
+    assert tuple(d.select(pick("en-GB"), pick("en"), pick("en-US"), pick("de")).first()) == ("b", "b", "a", "a")
+    blank = F.create_map(F.lit("en"), F.lit(""), F.lit("FR-ca"), F.lit("c"), F.lit("zh"), F.lit("z"))
+    assert tuple(d.select(text.localized(blank, F.lit("en"), F.lit("fr-BE")), text.localized(blank, F.lit("de"), F.lit(None).cast("string"))).first()) == ("c", "c")
     m = text.merge_maps(F.col("m"), F.create_map(F.lit("en-GB"), F.lit("c")))
     assert d.select(m.alias("m")).first().m == {"ja-JP": "a", "en-GB": "c"}
 
