@@ -220,5 +220,9 @@ def c21_minimum_cost_matching(n: DataFrame, u: DataFrame) -> DataFrame:
     """Lower nodes to upper units of a kind: most pairs, then least total distance."""
     a = n.select(F.col("node_id").alias("lower"), "lon", "lat", (F.col("node_id") % 3).alias("kind"))
     b = u.select(F.col("unit_id").alias("upper"), "x", "y", (F.col("unit_id") % 3).alias("kind"))
-    near = a.join(b, "kind").withColumn("cost", geo.haversine(F.col("lon"), F.col("lat"), F.col("x"), F.col("y"))).filter("cost < 200")
+    # cells of a quarter of a hundredth of a degree are over 200 m wide
+    cell = lambda x, y, i=0, j=0: F.struct((F.floor(F.col(x) / 0.0025) + i).alias("x"), (F.floor(F.col(y) / 0.0025) + j).alias("y"))
+    a = a.withColumn("cell", cell("lon", "lat"))
+    b = b.withColumn("cell", F.explode(F.array(*[cell("x", "y", i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)])))
+    near = a.join(b, ["kind", "cell"]).withColumn("cost", geo.haversine(F.col("lon"), F.col("lat"), F.col("x"), F.col("y"))).filter("cost < 200")
     return graph.match_pairs(near.select("kind", "lower", "upper", "cost"), ["kind"])
