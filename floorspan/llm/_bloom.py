@@ -16,10 +16,10 @@ PER_KEY = 16
 BLOCK = 1 << 13
 
 
-def bloom(keys: DataFrame, key: str) -> np.ndarray:
-    """A bit table of a column of hashes: 16 bits a key, within BITS.  At most 1024 rows of 64 KB come to the driver."""
+def bloom(keys: DataFrame, key: str, per_key: int = PER_KEY) -> np.ndarray:
+    """A bit table of a column of hashes: ``per_key`` bits a key, within BITS.  At most 1024 rows of 64 KB come to the driver."""
     count, bits = keys.count(), BITS[0]
-    while bits < min(PER_KEY * count, BITS[1]):
+    while bits < min(per_key * count, BITS[1]):
         bits *= 2
     places = keys.select(F.explode(F.array(F.col(key).bitwiseAND(bits - 1), F.shiftrightunsigned(key, 32).bitwiseAND(bits - 1))).alias("b"))
     words = places.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("x"))

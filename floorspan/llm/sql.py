@@ -5,7 +5,7 @@ The others learn weights (1, 6, 8, 9) or call a tokenizer library (4), and are t
 
 from __future__ import annotations
 
-from floorspan.llm import chat_format, quality_rules
+from floorspan.llm import chat_format, quality_rules, resampling, spelling, url_filter
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -104,4 +104,81 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
-ORACLE_SQL = {"op2_mix_sources": OP2, "op3_chat_format": OP3, "op5_ngram_join": OP5, "op7_decontaminate": OP7, "op10_quality_rules": _op10()}
+#: The 256 remainders of CRC-32, by its polynomial, and the sum of a text's UTF-8 bytes with them.
+_CRC_TABLE = "(SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS crc_table FROM range(256) r(i))"
+
+
+def _crc(digits: str) -> str:
+    """CRC-32 of the bytes that a column of hexadecimal digits spells."""
+    each = f"list_transform(range(1, len({digits}) // 2 + 1), lambda i: CAST('0x' || substr({digits}, 2 * i - 1, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([4294967295], {each}), lambda c, b: xor(c >> 8, crc_table[xor(c, b) % 256 + 1])), 4294967295)"
+
+
+_B = resampling.BUCKETS
+OP11 = f"""
+WITH w AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM documents),
+b AS (SELECT row_number() OVER () AS k, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM benchmark),
+f AS (SELECT k, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS s FROM w),
+g AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS s FROM b),
+x AS (SELECT s, {_crc("x")} % {_B} AS bucket FROM (SELECT s, hex(encode(s)) AS x FROM (SELECT s FROM f UNION SELECT s FROM g)), {_CRC_TABLE}),
+fs AS (SELECT k, s, count(*) AS n FROM f GROUP BY ALL),
+s AS (SELECT bucket, sum(n) AS n FROM fs JOIN x USING (s) GROUP BY 1), t AS (SELECT bucket, count(*) AS n FROM g JOIN x USING (s) GROUP BY 1),
+a AS (SELECT CAST(coalesce((SELECT sum(n) FROM s), 0) AS DOUBLE) AS s_all, CAST(coalesce((SELECT sum(n) FROM t), 0) AS DOUBLE) AS t_all),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((CAST(coalesce(t.n, 0) AS DOUBLE) + 1) * (s_all + {_B}) / ((CAST(s.n AS DOUBLE) + 1) * (t_all + {_B})))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket), a),
+m AS (SELECT k, CAST(sum(n) AS BIGINT) AS n, CAST(floor(CAST(sum(n * gain) AS DOUBLE) / sum(n)) AS BIGINT) AS weight FROM fs JOIN x USING (s) JOIN gain USING (bucket) GROUP BY k),
+d AS (SELECT k, doc_id, len(w.w) AS n_words, coalesce(m.n, 0) AS n_features, coalesce(m.weight, 0) AS weight,
+    coalesce(m.weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{resampling.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5e0) / 4294967296e0))) AS BIGINT) AS score FROM w LEFT JOIN m USING (k)),
+r AS (SELECT k, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST) AS rank, count(*) OVER () AS n FROM d WHERE n_words >= {resampling.LEAST_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= n * {resampling.PERCENT} // 100 THEN rank END AS rank FROM d LEFT JOIN r USING (k)
+"""
+
+OP12 = f"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS k, coalesce(CAST(doc_id AS VARCHAR), '') AS d, unnest(regexp_extract_all({_LOWER}, '[A-Za-z\u00C0-\u00FF]+')) AS r FROM documents),
+u AS (SELECT d, r, count(*) AS n FROM w WHERE length(r) >= {spelling.LEAST_LETTERS} GROUP BY ALL),
+h AS (SELECT r, n, {_crc("x")} AS h FROM (SELECT r, n, hex(encode(d || ':' || r)) AS x FROM u), {_CRC_TABLE}),
+c AS (SELECT CASE WHEN h % {spelling.LOSES} = 0 THEN left(r, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, CAST(sum(n) AS BIGINT) AS n FROM h GROUP BY 1),
+v AS (SELECT word, n FROM c WHERE length(word) >= {spelling.LEAST_LETTERS} AND n >= {spelling.LEAST_COUNT}),
+e AS (SELECT word, i, left(word, i) || substr(word, i + 2) AS rest FROM v, unnest(range(length(word))) AS t(i)),
+pair AS (SELECT DISTINCT e.word AS a, v.word AS b FROM e JOIN v ON e.rest = v.word UNION SELECT x.word, y.word FROM e x JOIN e y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word),
+near AS (SELECT a, b FROM pair UNION SELECT b, a FROM pair),
+best AS (SELECT a AS word, count(*) AS n_near, arg_min(b, struct_pack(m := -y.n, b := encode(b))) AS form, max(y.n) AS form_n FROM near JOIN v y ON b = y.word GROUP BY a),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= {spelling.TIMES} * v.n THEN form END AS form, CASE WHEN form_n >= {spelling.TIMES} * v.n THEN form_n END AS form_n FROM v LEFT JOIN best USING (word)),
+way(word, last) AS (SELECT word, word FROM f UNION ALL SELECT way.word, f.form FROM way JOIN f ON way.last = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, way.last AS root, f.n, f.n_near, f.form_n FROM f JOIN way USING (word) JOIN f z ON way.last = z.word WHERE z.form IS NULL
+"""
+
+
+def _op13() -> str:
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in url_filter.RULES)
+    double = ", ".join(f"'{s}'" for s in url_filter.SUFFIXES)
+    low, high = url_filter.WORTH
+
+    def level(name: str, groups: str) -> str:
+        """The prior of a level (n, k, p): its worth by moments, whole pages, the posterior mean."""
+        return f"""{name}_w AS (SELECT CASE WHEN s2 IS NULL OR s2 <= 0 THEN {low}e0 WHEN s0 <= s1 THEN {high}e0 ELSE least(greatest(round(s2 / (s0 - s1) - 1, 3), {low}), {high}) END AS m
+    FROM (SELECT sum((k - n * p) * (k - n * p)) AS s0, sum(n * (p * (1 - p))) AS s1, sum(CAST(n AS DOUBLE) * (n - 1) * (p * (1 - p))) AS s2 FROM {groups} WHERE n > 0)),
+{name} AS (SELECT *, (a + k) / CAST(a + b + n AS DOUBLE) AS mean FROM (SELECT g.*, CAST(greatest(1, floor(p * m + 0.5e0)) AS BIGINT) AS a, CAST(greatest(1, floor((1 - p) * m + 0.5e0)) AS BIGINT) AS b FROM {groups} g, {name}_w))"""
+
+    s, d = url_filter.SHARE, url_filter.DOUBT
+    return f"""
+WITH rules(r_host, r_path, verdict) AS (VALUES {rules}),
+u AS (SELECT row_number() OVER () AS i, page_id, coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), '') AS h, coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+q AS (SELECT i, page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM u),
+fit AS (SELECT i, arg_max(r_host || r_path, length(r_host || r_path)) AS rule, arg_max(verdict, length(r_host || r_path)) AS decided FROM q JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path) GROUP BY i),
+o AS (SELECT q.*, rule, decided FROM q LEFT JOIN fit USING (i)),
+bare AS (SELECT host, regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', '') AS x, count(decided) AS n, count(*) FILTER (WHERE decided = 'allow') AS k FROM o GROUP BY host),
+labels AS (SELECT *, string_split(x, '.') AS l FROM bare),
+hosts AS (SELECT host, n, k, CASE WHEN regexp_full_match(x, '[0-9.]+') THEN x WHEN array_to_string(l[-2:], '.') IN ({double}) THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS domain,
+    CASE WHEN regexp_full_match(x, '[0-9.]+') THEN x WHEN array_to_string(l[-2:], '.') IN ({double}) THEN array_to_string(l[-2:], '.') ELSE array_to_string(l[-1:], '.') END AS suffix FROM labels),
+g1 AS (SELECT suffix, CAST(sum(n) AS BIGINT) AS n, CAST(sum(k) AS BIGINT) AS k, (SELECT (sum(k) + 1) / CAST(sum(n) + 2 AS DOUBLE) FROM hosts) AS p FROM hosts GROUP BY suffix),
+{level("l1", "g1")},
+g2 AS (SELECT h.domain, h.n, h.k, l1.mean AS p FROM (SELECT domain, suffix, CAST(sum(n) AS BIGINT) AS n, CAST(sum(k) AS BIGINT) AS k FROM hosts GROUP BY ALL) h JOIN l1 USING (suffix)),
+{level("l2", "g2")},
+g3 AS (SELECT hosts.host, hosts.n, hosts.k, l2.mean AS p FROM hosts JOIN l2 USING (domain)),
+{level("l3", "g3")},
+t AS (SELECT host, CASE WHEN a + k - 1 >= (a + b + n - 1) * {s}e0 THEN 1 ELSE list_sum(list_transform(range(0, a + k), lambda i: exp(lgamma(a + b + n) - lgamma(i + 1) - lgamma(a + b + n - i) + i * ln({s}) + (a + b + n - 1 - i) * ln({1 - s})))) END > {d} AS trusted FROM l3)
+SELECT page_id, host, path, rule, coalesce(decided, CASE WHEN trusted THEN 'allow' ELSE 'block' END) AS verdict FROM o JOIN t USING (host)
+"""
+
+
+ORACLE_SQL = {"op2_mix_sources": OP2, "op3_chat_format": OP3, "op5_ngram_join": OP5, "op7_decontaminate": OP7, "op10_quality_rules": _op10(), "op11_importance_resample": OP11, "op12_spelling_groups": OP12, "op13_url_filter": _op13()}
