@@ -3,34 +3,36 @@
 A legal conversation is an optional system message, then user and assistant messages in turn, the user first.
 Each turn is kept, relabelled, or merged into the message before it, and an empty message may be inserted before
 it; dynamic programming over the automaton's states (the role of the last message) finds the repairs of the
-least total cost.  Between repairs of equal cost, the one that comes first in the order of ``options`` is taken,
-from the last turn backwards, and where a block of turns (see below) begins, the one with the lowest state there.
-
-Turns are ordered by number (null last), role and a hash of the text.  A conversation is worked on in blocks of
-``BLOCK`` turn numbers, so that one that holds a third of all rows is spread over many tasks.  Where over ``CROWD`` rows
-fall into one, as without turn numbers or with equal ones, its blocks go by turn, role and the first bits of the hash
-instead, as many bits as leave about ``BLOCK`` different texts to a block; that keeps the order.  A block is summed up
-as a min-plus matrix of costs from the state before it to the state after it, the matrices of a conversation
-(a row for each block) give the state at each border, and the blocks are then repaired independently.
-Conversations of one block skip this.  Texts are shuffled once.  The result has a row for each turn whose
-``fragment`` is the turn's part of the rendered conversation: the fragments in order are the rendering, so no
-conversation has to fit into one row or task.
-
-Defined cases: repeated rows (same conversation, turn, role and text) count once; a null or unknown role is
-relabelled at a lower cost than a known one; a null text is empty; a null conversation id is a conversation; the
-template's control strings inside texts are broken by a space; an empty table gives an empty result; extra
-columns are ignored.
+least total cost.  Of repairs of equal cost, the one with the lowest last state is taken and, from the last turn
+backwards, the first in the order of ``options`` that keeps the cost least.
+
+Distinct turns are ordered by number (null last), role (null first) and a hash of the text.  Their places are counted
+over ranges of the whole table (``places``), so that a conversation that holds a third of all rows is spread over many
+tasks, and ``block`` places in a row are a block.  A block is summed up as a min-plus matrix of costs from the state
+before it to the state after it; a scan of the matrices gives the true costs of each state before each block.  With those,
+a block maps the state that it ends in to the state that it begins in, as the rule above says, and a scan of these
+maps from the end gives the state at each border.  Both products are associative, so the scans go by trees of fixed
+fan-in (``scan``).  Each block then makes its choices alone, the same as without blocks.
+
+All this works on narrow rows without texts.  Texts are shuffled once, to meet their turn's choice, and rendered by column
+functions: the result has a row for each turn whose ``fragment`` is the turn's part of the rendered conversation.  The fragments
+in the order of ``place`` are the rendering, so no conversation has to fit into one row or task.
+
+Defined cases: repeated rows (same conversation, turn, role and text) count once, whatever their number; different texts
+of equal turn and role go by their hash; a null or unknown role is relabelled at a lower cost than a known one; a null
+text is empty; a null conversation id is a conversation; the template's control strings inside texts are broken by a
+space; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from floorspan.llm._common import by_batch, table
+from floorspan.llm._common import cut, table
 from floorspan.session import ship
 
 ROLES = ("system", "user", "assistant")
@@ -39,11 +41,12 @@ START, SYSTEM, USER, ASSISTANT = range(4)
 LEGAL = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 COST_MERGE, COST_INSERT, COST_RELABEL, COST_NAME = 1, 2, 3, 1
 BLOCK = 1024
-CROWD = 16 * BLOCK
+#: Blocks that are combined at a time.
+FAN_IN = 256
 INFINITE = 1 << 40
 HEADER, FOOTER, JOINT = "<|im_start|>{}\n", "<|im_end|>\n", "\n\n"
-LAST_BLOCK = (1 << 62) - 1
-ACTIONS = ("keep", "merge", "insert")
+#: Costs before the first turn.
+BEGIN = [0, INFINITE, INFINITE, INFINITE]
 
 
 def _options() -> dict[int, dict[int, list[tuple[int, int, str, int]]]]:
@@ -99,43 +102,38 @@ def repair(roles: list[int], before: list[int], state: int | None = None, end_wi
     return out[::-1]
 
 
-def borders(matrices: list[list[list[int]]], end_with_assistant: bool = False) -> list[tuple[int, int]]:
-    """The states before and after each block on a cheapest path through all blocks."""
-    costs = [[0, INFINITE, INFINITE, INFINITE]]
-    for m in matrices:
-        costs.append([min(INFINITE, min(costs[-1][s] + m[s][t] for s in range(4))) for t in range(4)])
-    ends = [a + b for a, b in zip(costs[-1], closing(end_with_assistant), strict=True)]
-    state, out = ends.index(min(ends)), []
-    for i in range(len(matrices) - 1, -1, -1):
-        before = min(range(4), key=lambda s: (costs[i][s] + matrices[i][s][state], s))
-        out.append((before, state))
-        state = before
-    return out[::-1]
+def matrix(roles: list[int]) -> list[int]:
+    """The least costs of a block from each state before it to each state after it, row by row."""
+    return [x for s in range(4) for x in forward(roles, [0 if t == s else INFINITE for t in range(4)])[-1]]
 
 
-def clean(text: str | None) -> str:
-    return (text or "").replace("<|im_", "< |im_")
+def after(costs: list[int], m: list[int]) -> list[int]:
+    """The least costs after a block, from those before it."""
+    return [min(INFINITE, min(costs[s] + m[4 * s + t] for s in range(4))) for t in range(4)]
 
 
-def fragments(turns: list[tuple[str | None, list]], done: list[tuple[int, str, int, int]], first: bool, last: bool, add_assistant: bool) -> list[str]:
-    """Each turn's part of the rendering: what closes the message before it, inserted messages, its own text."""
-    out = []
-    for i, ((text, _), (label, action, via, _)) in enumerate(zip(turns, done, strict=True)):
-        if action == "merge":
-            part = JOINT + clean(text)
-        else:
-            part = "" if first and i == 0 else FOOTER
-            if via:
-                part += HEADER.format(ROLES[via - 1]) + FOOTER
-            part += HEADER.format(ROLES[label - 1]) + clean(text)
-        if last and i == len(turns) - 1:
-            part += FOOTER
-            if add_assistant and label == USER:
-                part += HEADER.format("assistant") + FOOTER
-        out.append(part)
+def both(m: list[int], k: list[int]) -> list[int]:
+    """The matrix of two blocks in a row."""
+    return [x for s in range(4) for x in after(m[4 * s : 4 * s + 4], k)]
+
+
+def begins(roles: list[int], before: list[int]) -> list[int]:
+    """The state before a block for each state after it, by the costs before it; -1 where that can't be reached."""
+    costs, out = forward(roles, before), []
+    for state in range(4):
+        if costs[-1][state] >= INFINITE:
+            out.append(-1)
+            continue
+        for i in range(len(roles) - 1, -1, -1):
+            state = next(s for c, s, _, _ in OPTIONS[roles[i]][state] if costs[i][s] + c == costs[i + 1][state])
+        out.append(state)
     return out
 
 
+def through(state: list[int], m: list[int]) -> list[int]:
+    return [-1 if x < 0 else m[x] for x in state]
+
+
 def _groups(batches: Iterator[pa.RecordBatch], n_key: int) -> Iterator[tuple[tuple, list[tuple]]]:
     """Runs of rows with equal first columns; a run may go on over batches."""
     key, own = None, []
@@ -150,136 +148,176 @@ def _groups(batches: Iterator[pa.RecordBatch], n_key: int) -> Iterator[tuple[tup
         yield key, own
 
 
-def _in_order(key: tuple) -> tuple:
-    """A sort key of blocks (b, turn, role, hash bits), with null turns last and null roles first."""
-    b, turn, role, bits = key
-    return b, turn is None, 0 if turn is None else turn, role is not None, role or "", bits or 0
-
-
-#: The columns that tell the blocks of a conversation apart.
-KEY = ("b", "bt", "br", "bh")
-
-
-def _blocked(conversations: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str, block: int, crowd: int) -> tuple[DataFrame, DataFrame]:
-    """The rows (conv, KEY, turn, role, h, text), and the conversations (m) of several blocks."""
-    number = F.coalesce(F.floor(F.col(turn_col) / block).cast("long"), F.lit(LAST_BLOCK))
-    turn_kind = conversations.schema[turn_col].dataType.simpleString()
-    rows = conversations.select(F.col(conv_col).alias("conv"), number.alias("b"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    cells = conversations.groupBy(F.col(conv_col).alias("c"), number.alias("n")).agg(F.count("*").alias("size"))
-    crowded = cells.filter(F.col("size") > crowd).select("c", "n", F.ceil(F.log2(F.col("size") / block)).cast("int").alias("bits"))  # a row for over CROWD rows
-    rows = by_batch(rows, rows.schema, lambda: _drop_repeats())
-    found = rows.join(crowded, F.col("conv").eqNullSafe(F.col("c")) & (F.col("b") == F.col("n")), "left")
-    split = F.col("bits").isNotNull()
-    found = found.select(
-        "conv", "b", F.when(split, F.col("turn")).cast(turn_kind).alias("bt"), F.when(split, F.col("role")).alias("br"), F.when(split, F.expr("shiftright(h, 64 - bits)")).alias("bh"), "turn", "role", "h", "text"
-    )
-    ends = cells.groupBy("c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("size").alias("most"))
-    return found, ends.filter((F.col("lo") < F.col("hi")) | (F.col("most") > crowd)).select(F.col("c").alias("m"))
-
-
-def format_turns(
-    conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", end_with_assistant: bool = False, block: int = BLOCK, crowd: int = CROWD
-) -> DataFrame:
-    """(conv, turn, place, role, new_role, action, inserted, cost, fragment) of every distinct turn; place orders a block's turns."""
-    spark = conversations.sparkSession
-    ship(spark)
-    kind, turn_kind = (conversations.schema[c].dataType.simpleString() for c in (conv_col, turn_col))
-    rows, many = _blocked(conversations, conv_col, turn_col, role_col, text_col, block, crowd)
-    of_block, n_key = ("conv", *KEY), 1 + len(KEY)
-    key_kind = f"conv {kind}, b long, bt {turn_kind}, br string, bh long"
-
-    # conversations of several blocks: the states at the blocks' borders, from roles alone
-    long_ones = rows.select(*of_block, "turn", "role", "h").join(many, F.col("conv").eqNullSafe(F.col("m")), "left_semi")
-    by_block = long_ones.repartition(*of_block).sortWithinPartitions(*of_block, F.col("turn").asc_nulls_last(), "role", "h")
-
-    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds: list[pa.DataType] = []
-
-        def typed(batches):
-            for batch in batches:
-                kinds[:] = batch.schema.types[:n_key]
-                yield batch
-
-        for key, own in _groups(typed(batches), n_key):
-            roles = [role_code(r[n_key + 1]) for i, r in enumerate(own) if not i or r != own[i - 1]]
-            flat = []
-            for s in range(4):
-                flat += forward(roles, [0 if t == s else INFINITE for t in range(4)])[-1]
-            yield pa.RecordBatch.from_arrays([*[pa.array([x], k) for x, k in zip(key, kinds, strict=True)], pa.array([flat], pa.list_(pa.int64()))], [*of_block, "m"])
-
-    def settle(t: pa.Table) -> pa.Table:
-        keys = list(zip(*(t[c].to_pylist() for c in KEY), strict=True))
-        t = t.take(sorted(range(len(keys)), key=lambda i: _in_order(keys[i])))
-        found = borders([[m[4 * s : 4 * s + 4] for s in range(4)] for m in t["m"].to_pylist()], end_with_assistant)
-        n = len(found)
-        marks = {"s0": [x[0] for x in found], "s1": [x[1] for x in found], "ends": [(i == 0) + 2 * (i == n - 1) for i in range(n)]}
-        return pa.table({**{c: t[c] for c in of_block}, **{k: pa.array(v, pa.int32()) for k, v in marks.items()}})
-
-    sums = by_block.mapInArrow(matrices, f"{key_kind}, m array<long>")
-    states = sums.groupBy("conv").applyInArrow(settle, f"{key_kind}, s0 int, s1 int, ends int")
-
-    # each block's states come before its turns
-    none = [F.lit(None).cast("int").alias(c) for c in ("s0", "s1", "ends")]
-    marks = states.select(*of_block, F.lit(None).cast(turn_kind).alias("turn"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("long").alias("h"), F.lit(None).cast("string").alias("text"), "s0", "s1", "ends")
-    all_rows = rows.select(*of_block, "turn", "role", "h", "text", *none).union(marks)
-    dealt = all_rows.repartition(*of_block).sortWithinPartitions(*of_block, F.col("ends").asc_nulls_last(), F.col("turn").asc_nulls_last(), "role", "h")
-    names = [conv_col, turn_col, "place", "role", "new_role", "action", "inserted", "cost", "fragment"]
+def scan(rows: DataFrame, start: Callable[[str], DataFrame], apply: Callable, combine: Callable, most: int, fan_in: int = FAN_IN) -> DataFrame:
+    """(conv, b, x): what comes before each of the elements (conv, b, m), b from 0 to ``most``.
+
+    ``start`` gives (conv, x), the x of each conversation's element 0; ``apply(x, m)`` is the next x, and ``combine``
+    joins two elements.  Elements meet ``fan_in`` at a time, level by level.
+    """
+    kind = rows.schema["conv"].dataType.simpleString()
+    up = F.floor(F.col("b") / fan_in).cast("long")
+
+    def product(t: pa.Table) -> pa.Table:
+        t = t.sort_by("b")
+        m = t["m"].to_pylist()
+        total = m[0]
+        for k in m[1:]:
+            total = combine(total, k)
+        return pa.table({"conv": t["conv"][:1], "b": t["up"][:1], "m": pa.array([total], pa.list_(pa.int64()))})
+
+    def spread(t: pa.Table) -> pa.Table:
+        t = t.sort_by("b")
+        x, out = t["x"][0].as_py(), []
+        for m in t["m"].to_pylist():
+            out.append(x)
+            x = apply(x, m)
+        return pa.table({"conv": t["conv"], "b": t["b"], "x": pa.array(out, pa.list_(pa.int64()))})
+
+    if most < fan_in:
+        held = rows.join(start(kind).withColumnRenamed("conv", "c"), F.col("conv").eqNullSafe(F.col("c")))
+        return held.groupBy("conv").applyInArrow(spread, f"conv {kind}, b long, x array<long>")
+    upper = cut(rows.withColumn("up", up).groupBy("conv", "up").applyInArrow(product, f"conv {kind}, b long, m array<long>"))
+    begin = scan(upper, start, apply, combine, most // fan_in, fan_in).select(F.col("conv").alias("c"), F.col("b").alias("up_"), "x")
+    held = rows.withColumn("up", up).join(begin, F.col("conv").eqNullSafe(F.col("c")) & (F.col("up") == F.col("up_")))
+    return held.groupBy("conv", "up").applyInArrow(spread, f"conv {kind}, b long, x array<long>")
+
+
+def places(turns: DataFrame, order: list[str]) -> DataFrame:
+    """Distinct ``turns`` with their ``place`` in the conversation, from 0, and ``last``, whether they end it.
+
+    Turns are dealt by ranges of conversation and order, and counted by range; a place is that within the range after the
+    counts of the conversation's ranges before.  Only those that span ranges, two for each range at most, need them.
+    """
+    keys = [F.col("conv").asc_nulls_first(), *[F.col(c).asc_nulls_last() if c == "turn" else F.col(c).asc_nulls_first() for c in order]]
+    ranges = cut(turns.repartitionByRange(*keys).withColumn("p", F.spark_partition_id()))
+    # a range's rows of a conversation; partial sums leave a row for each task and conversation
+    sums = ranges.groupBy("conv", "p").agg(F.count("*").alias("size"))
+    w = Window.partitionBy("conv").orderBy("p")  # a row for each range of a conversation
+    sums = sums.select(F.col("conv").alias("c"), F.col("p").alias("q"), (F.sum("size").over(w) - F.col("size")).alias("before"), F.sum("size").over(Window.partitionBy("conv")).alias("all"))
+    within = F.row_number().over(Window.partitionBy("p", "conv").orderBy(*keys[1:]))
+    found = ranges.withColumn("r", within).join(sums, F.col("conv").eqNullSafe(F.col("c")) & (F.col("p") == F.col("q")))
+    place = F.col("before") + F.col("r") - 1
+    return found.select("conv", *order, place.alias("place"), (place + 1 == F.col("all")).alias("last"))
+
+
+def choices(turns: DataFrame, block: int, end_with_assistant: bool) -> DataFrame:
+    """(conv, turn, role, h, place, last, label, action, via, cost) of distinct narrow turns (conv, turn, role, h)."""
+    conv_kind, turn_kind = (turns.schema[c].dataType.simpleString() for c in ("conv", "turn"))
+    rows = cut(places(turns, ["turn", "role", "h"]).withColumn("b", F.floor(F.col("place") / block).cast("long")))
+    most = rows.agg(F.max("b")).first()[0] or 0
+    of_block = lambda df: df.repartition("conv", "b").sortWithinPartitions("conv", "b", "place")
+
+    def each_block(df: DataFrame, made: Callable[[list[int], tuple], list[int]]) -> DataFrame:
+        """(conv, b, m) of blocks, from their roles and first row."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            types: list[pa.DataType] = []
+
+            def typed():
+                for batch in batches:
+                    types[:] = batch.schema.types
+                    yield batch
+
+            for (conv, b), own in _groups(typed(), 2):
+                m = made([role_code(r[3]) for r in own], own[0])
+                yield pa.RecordBatch.from_arrays([pa.array([conv], types[0]), pa.array([b], types[1]), pa.array([m], pa.list_(pa.int64()))], ["conv", "b", "m"])
+
+        return cut(of_block(df).mapInArrow(run, f"conv {conv_kind}, b long, m array<long>"))
+
+    none = F.lit(None).cast("array<long>")
+    if most == 0:
+        marked = rows.withColumn("x", none).withColumn("e", none)
+    else:
+        many = rows.filter("last and b > 0").select(F.col("conv").alias("c"), F.col("b").alias("last_b"))
+        long_ones = rows.select("conv", "b", "place", "role").join(many, F.col("conv").eqNullSafe(F.col("c"))).drop("c")
+        convs = cut(many)
+        # forwards: the costs of each state before each block
+        matrices = each_block(long_ones.select("conv", "b", "place", "role"), lambda roles, _: matrix(roles))
+        at_start = lambda kind: convs.select(F.col("c").alias("conv"), F.array(*map(F.lit, BEGIN)).cast("array<long>").alias("x"))
+        costs = cut(scan(matrices, at_start, after, both, most))
+        # backwards: blocks are counted from the end, so that the scan begins there
+        named = costs.select(F.col("conv").alias("c_"), F.col("b").alias("b_"), "x")
+        with_costs = long_ones.join(named, F.col("conv").eqNullSafe(F.col("c_")) & (F.col("b") == F.col("b_")))
+        maps = each_block(with_costs.select("conv", "b", "place", "role", "x", "last_b"), lambda roles, first: [*begins(roles, first[4]), first[5] - first[1]])
+        back = maps.select("conv", F.element_at("m", -1).alias("b"), F.slice("m", 1, 4).alias("m"))
+        ends = cut(matrices.join(convs, F.col("conv").eqNullSafe(F.col("c")) & (F.col("b") == F.col("last_b"))).drop("c", "last_b").join(named, F.col("conv").eqNullSafe(F.col("c_")) & (F.col("b") == F.col("b_"))))
+        close = F.array(*map(F.lit, closing(end_with_assistant))).cast("array<long>")
+        total = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda t: F.get(close, t) + F.array_min(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda s: F.get(F.col("x"), s) + F.get(F.col("m"), s * 4 + t))))
+        at_end = lambda kind: ends.select("conv", F.array((F.array_position(total, F.array_min(total)) - 1).cast("long")).alias("x"))
+        states = scan(back, at_end, through, lambda m, k: through(m, k), most)
+        states = states.join(convs, F.col("conv").eqNullSafe(F.col("c"))).select("conv", (F.col("last_b") - F.col("b")).alias("b"), F.col("x").alias("e"))
+        border = cut(states.select(F.col("conv").alias("c"), F.col("b").alias("q"), "e").join(named, F.col("c").eqNullSafe(F.col("c_")) & (F.col("q") == F.col("b_"))).select("c", "q", "x", "e"))
+        marked = rows.join(border, F.col("conv").eqNullSafe(F.col("c")) & (F.col("b") == F.col("q")), "left").drop("c", "q")
+
+    names = ["conv", "turn", "role", "h", "place", "last", "label", "action", "via", "cost"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types: list[pa.DataType] = []
         out: list[tuple] = []
-        size, types = 0, []
 
-        def kept(batches):
+        def typed():
             for batch in batches:
-                types[:] = [batch.schema.field(0).type, batch.schema.field(n_key).type]
+                types[:] = batch.schema.types
                 yield batch
 
         def flush() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True))
-            kinds = [*types, pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
-            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
-
-        for (conv, *_), own in _groups(kept(batches), n_key):
-            before, state, ends = [0, INFINITE, INFINITE, INFINITE], None, 3
-            if own[0][-1] is not None:
-                *_, s0, state, ends = own[0]
-                before = [0 if s == s0 else INFINITE for s in range(4)]
-                own = own[1:]
-            turns = [r[n_key : n_key + 4] for r in own]
-            turns = [r for i, r in enumerate(turns) if not i or r[:3] != turns[i - 1][:3]]
-            done = repair([role_code(r[1]) for r in turns], before, state, end_with_assistant)
-            parts = fragments([(r[3], []) for r in turns], done, bool(ends & 1), bool(ends & 2), end_with_assistant)
-            for place, (r, (label, action, via, cost), part) in enumerate(zip(turns, done, parts, strict=True)):
-                what = action if action != "keep" or label == role_code(r[1]) else "relabel"
-                out.append((conv, r[0], place, r[1], ROLES[label - 1], what, ROLES[via - 1] if via else None, cost, part))
-                size += len(part)
-            if size > 4 << 20:
+            kinds = [types[0], types[3], types[4], pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.string(), pa.int32(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+        for (conv, _), own in _groups(typed(), 2):
+            before, end = own[0][7] or BEGIN, own[0][8]
+            done = repair([role_code(r[4]) for r in own], before, end[0] if end else None, end_with_assistant)
+            out += [(conv, r[3], r[4], r[5], r[2], r[6], *d) for r, d in zip(own, done, strict=True)]
+            if len(out) > 10_000:
                 yield flush()
-                out, size = [], 0
+                out = []
         if out:
             yield flush()
 
-    return dealt.mapInArrow(work, f"`{conv_col}` {kind}, `{turn_col}` {turn_kind}, place long, role string, new_role string, action string, inserted string, cost long, fragment string")
+    dealt = of_block(marked.select("conv", "b", "place", "turn", "role", "h", "last", "x", "e"))
+    return dealt.mapInArrow(work, f"conv {conv_kind}, turn {turn_kind}, role string, h long, place long, last boolean, label int, action string, via int, cost long")
 
 
-def _drop_repeats():
-    """Rows that a task has met before stay there, so that a row that is repeated very often isn't shuffled as often."""
-    seen: set[tuple] = set()
-
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
-        for key in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
-            keep.append(key not in seen)
-            if len(seen) < 500_000:
-                seen.add(key)
-        return batch.filter(pa.array(keep, pa.bool_()))
-
-    return step
+def fragment(text: Column, add_assistant: bool) -> Column:
+    """A turn's part of the rendering: what closes the message before it, inserted messages, its own text."""
+    body = F.replace(F.coalesce(text, F.lit("")), F.lit("<|im_"), F.lit("< |im_"))
+    header = lambda role: F.concat(F.lit(HEADER.split("{}")[0]), F.get(F.array(*map(F.lit, ROLES)), role - 1), F.lit(HEADER.split("{}")[1]))
+    opened = F.concat(
+        F.when(F.col("place") == 0, "").otherwise(FOOTER),
+        F.when(F.col("via") > 0, F.concat(header(F.col("via")), F.lit(FOOTER))).otherwise(""),
+        header(F.col("label")),
+        body,
+    )
+    closed = F.lit(FOOTER)
+    if add_assistant:
+        closed = F.concat(closed, F.when(F.col("label") == USER, HEADER.format("assistant") + FOOTER).otherwise(""))
+    return F.concat(F.when(F.col("action") == "merge", F.concat(F.lit(JOINT), body)).otherwise(opened), F.when(F.col("last"), closed).otherwise(""))
 
 
-def render(formatted: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
+def format_turns(
+    conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", end_with_assistant: bool = False, block: int = BLOCK
+) -> DataFrame:
+    """(conv, turn, place, role, new_role, action, inserted, cost, fragment) of every distinct turn."""
+    ship(conversations.sparkSession)
+    rows = conversations.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    key = ["conv", "turn", "role", "h"]
+    made = choices(rows.select(*key).distinct(), block, end_with_assistant)
+    texts = rows.groupBy(*[F.col(c).alias(f"{c}_") for c in key]).agg(F.max("text").alias("text"))  # a row that is repeated often leaves each task once
+    met = F.lit(True)
+    for c in key:
+        met = met & F.col(c).eqNullSafe(F.col(f"{c}_"))
+    role = F.lower(F.trim(F.coalesce("role", F.lit(""))))
+    name = lambda c: F.get(F.array(*map(F.lit, ROLES)), F.col(c) - 1)
+    what = F.when((F.col("action") == "keep") & (role != name("label")), "relabel").otherwise(F.col("action"))
+    return made.join(texts, met).select(
+        F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), "place", "role", name("label").alias("new_role"), what.alias("action"), F.when(F.col("via") > 0, name("via")).alias("inserted"), "cost",
+        fragment(F.col("text"), end_with_assistant).alias("fragment"),
+    )
+
+
+def render(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     """(conv, rendered): whole renderings, for conversations that fit into a row; use the fragments for others."""
-    part = F.struct(F.col(turn_col).isNull().alias("last"), F.col(turn_col).alias("turn"), "place", "fragment")
+    part = F.struct("place", "fragment")
     return formatted.groupBy(conv_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["fragment"]), "").alias("rendered"))
 
 
