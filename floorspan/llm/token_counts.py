@@ -7,8 +7,9 @@ held in pieces.  A boundary is safe where normalizer and pre-tokenizer join no c
 lengths of the pieces add up to the length of the whole:
 * where the pre-tokenizer drops white space (``drops_space`` reads that off the vocabulary file), each run of
   white space is one; the pieces are words, and a piece that a task has met is not encoded again;
-* else, before a white-space character that follows another one's end, and pieces have about ``piece_bytes`` bytes;
-* for a vocabulary that may put a prefix before each piece there is none, and texts stay whole.
+* where the pre-tokenizer splits like GPT-2's (``splits_before_space`` reads that off the file), before a white-space
+  character that follows another one's end, and pieces have about ``piece_bytes`` bytes;
+* for any other vocabulary, such as one that may put a prefix before each text, texts stay whole.
 
 Defined cases: null and empty texts have 0 bytes and 0 tokens; a text without a safe boundary stays whole; repeated
 rows are each counted; there are no ties to settle; an empty table gives an empty result; extra columns are ignored.
@@ -63,6 +64,39 @@ def drops_space(vocabulary: dict) -> bool:
     return all(r"\s" in x for x in negated) and not re.search(r"[\s.^]|\\[sSWDPhHvVRX]", rest)
 
 
+#: Normalizers that look at single characters or combine those that no white space parts.
+_LOCAL = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents"}
+
+
+def _parts(node: dict | None, many: str) -> list[dict]:
+    """The steps of a normalizer or pre-tokenizer, sequences laid open."""
+    if not node:
+        return []
+    return [x for y in node[many] for x in _parts(y, many)] if node.get("type") == "Sequence" else [node]
+
+
+def keeps_pieces(vocabulary: dict) -> bool:
+    """Whether each normalizer treats the pieces of a text as it does the whole: no prefixes, no stripping at ends, and
+    replacements only of white-space runs by white space."""
+    for step in _parts(vocabulary.get("normalizer"), "normalizers"):
+        runs = step.get("type") == "Replace" and (step.get("pattern") or {}).get("Regex") == r"\s+" and step.get("content") == " "
+        if step.get("type") not in _LOCAL and not runs:
+            return False
+    steps = _parts(vocabulary.get("pre_tokenizer"), "pretokenizers")
+    # later steps see what the first one left
+    return not any(x.get("add_prefix_space") or x.get("type") == "Metaspace" for x in steps)
+
+
+def splits_before_space(vocabulary: dict) -> bool:
+    """Whether pieces may be cut before white space: the first step is the byte-level split, whose tokens hold white space
+    only at their beginning, or are white space."""
+    steps = _parts(vocabulary.get("pre_tokenizer"), "pretokenizers")
+    added = vocabulary.get("added_tokens") or []
+    whole = any(t.get("lstrip") or t.get("rstrip") or re.search(r"\s", t["content"]) for t in added)
+    runs = any(x.get("type") == "Replace" for x in _parts(vocabulary.get("normalizer"), "normalizers"))
+    return bool(steps) and steps[0].get("type") == "ByteLevel" and steps[0].get("use_regex", True) and not whole and not runs
+
+
 class Encoder:
     """Token counts of lists of pieces by the library for a vocabulary file."""
 
@@ -75,9 +109,10 @@ class Encoder:
             self._t.no_truncation()
             self._t.no_padding()
             self.lengths = lambda texts: [len(e) for e in self._t.encode_batch_fast(texts, add_special_tokens=False)]
-            self.can_cut = True
             with open(path, encoding="utf-8") as f:
-                self.by_words = drops_space(json.load(f))
+                vocabulary = json.load(f)
+            self.by_words = keeps_pieces(vocabulary) and drops_space(vocabulary)
+            self.can_cut = keeps_pieces(vocabulary) and splits_before_space(vocabulary)
         else:
             import sentencepiece
 
