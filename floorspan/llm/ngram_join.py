@@ -344,7 +344,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
         unsure = tables.store(_where(seeming, lambda k: may_hold(second.value, k)), keep=True)
 
     name = "__key"
-    while name in docs.columns:
+    while name in docs.columns or f"{name}again" in docs.columns:
         name += "_"
     own = docs.withColumn(name, F.xxhash64(id_col, F.xxhash64(text_col)))
     sure = _where(own, lambda k: ~may_hold(first.value, k), name)
