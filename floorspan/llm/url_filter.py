@@ -1,7 +1,7 @@
 """URL filters: rules on hosts and paths first, empirical-Bayes host reputation for all other pages.
 
 A rule (host, path, verdict) fits the pages of its host and of all its subdomains whose path starts with the rule's;
-the longest fitting rule decides.  The distinct addresses are joined with the rules on the hosts that they end in,
+the longest fitting rule (host and path together, then the host) decides.  The distinct addresses are joined with the rules on the hosts that they end in,
 so rule lists may have any size and no page is compared with a rule of another host.
 
 Pages with a known outcome (by default: those that a rule decides, allow is good and block is bad) give each host its
@@ -75,7 +75,7 @@ def by_rules(addresses: DataFrame, rules: DataFrame) -> DataFrame:
     ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     tries = addresses.distinct().select("host", "path", F.explode(ends).alias("r_host"))
     fits = tries.join(own, "r_host").filter(F.startswith("path", F.col("r_path")))
-    longest = F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), "decided"), F.struct(F.length("r_host"), F.length("r_path")))
+    longest = F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), "decided"), F.struct(F.length("r_host") + F.length("r_path"), F.length("r_host")))
     return fits.groupBy("host", "path").agg(longest.alias("x")).select("host", "path", "x.rule", "x.decided")
 
 
