@@ -216,6 +216,37 @@ def test_vocabularies_that_drop_space():
     assert not token_counts.drops_space({**split(r"\p{L}+"), "added_tokens": [{"content": "a b"}]})
 
 
+@pytest.mark.parametrize("change", ["prefix_space", "metaspace", "prepend", "strip", "replace", "plain"])
+def test_counts_of_other_vocabularies(tmp_path, spark, change):
+    """Vocabularies that put something before a text, or strip its ends, count as the library does on whole texts."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        v = json.load(f)
+    if change == "prefix_space":
+        v["pre_tokenizer"]["add_prefix_space"] = True
+    elif change == "metaspace":
+        v["pre_tokenizer"] = {"type": "Metaspace", "replacement": "_", "prepend_scheme": "always", "split": True}
+    elif change == "prepend":
+        v["normalizer"] = {"type": "Prepend", "prepend": "_"}
+    elif change == "strip":
+        v["normalizer"] = {"type": "Strip", "strip_left": True, "strip_right": True}
+    elif change == "replace":
+        v["normalizer"] = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"String": " "}, "content": "_"}]}
+    path = str(tmp_path / "v.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(v, f)
+    t = Tokenizer.from_file(path)
+    texts = ["  one two  three\n four " * 30, "a b", " ", "", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(d, path, batch_bytes=300, piece_bytes=20).collect()}
+    assert got == {i: len(t.encode(x, add_special_tokens=False)) if x else 0 for i, x in enumerate(texts)}
+    assert token_counts.Encoder(path).can_cut == (change == "plain")
+
+
 def test_token_batches_hold_about_as_many_bytes():
     public_tokenizers = pytest.importorskip("public_tokenizers")
     rng = random.Random(9)
@@ -234,23 +265,43 @@ def test_token_batches_hold_about_as_many_bytes():
         assert len(seen) > 5 and max(seen) < 2000 + 5000 + 100  # a batch, and one text of 5000 bytes that has no boundary
 
 
-def test_chat_blocks_of_equal_turns(spark):
+@pytest.mark.parametrize("end_with_assistant", [False, True])
+def test_chat_blocks_change_nothing(spark, monkeypatch, end_with_assistant):
+    """All columns and renderings are the same for all sizes of blocks and levels of the scans, with and without repeats."""
     rng = random.Random(8)
-    rows = [(1, rng.choice([None, 5, 5, 6]), rng.choice(["user", "assistant", None, "system"]), f"text {i}") for i in range(700)] + [(2, 0, "user", "one"), (1, 5, "user", "text 0"), (1, 5, "user", "text 0")]
-    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    whole, split = (chat_format.format_turns(d, **options).collect() for options in ({}, {"block": 16, "crowd": 64}))
-    key = lambda r: (r.conv_id, r.turn is None, r.turn or 0, r.role is not None, r.role or "")
-    assert sorted(map(key, whole)) == sorted(map(key, split)) and len(split) == 702
-    assert sum(r.cost for r in whole) == sum(r.cost for r in split)  # which of the cheapest repairs may differ where blocks begin
-    assert max(r.place for r in split) < 200  # many blocks
+    names = ["user", "assistant", None, "system", " Tool"]
+    rows = [(1, rng.choice([None, 5, 5, 6]), rng.choice(names), f"text {i}") for i in range(700)]
+    rows += [(3, i, rng.choice(names), None if i % 7 else f"t{i}") for i in range(90)] + [(2, 0, "user", "one"), (None, None, None, None)]
+    schema = "conv_id long, turn long, role string, text string"
+    d = spark.createDataFrame(rows, schema)
+    repeated = spark.createDataFrame(rows + [rows[0]] * 100 + rows[300:400], schema)
+    key = lambda r: tuple((x is None, x or 0) for x in (r.conv_id, r.place))
+    whole = sorted(chat_format.format_turns(d, end_with_assistant=end_with_assistant).collect(), key=key)
+    assert len(whole) == 792
+    for conv, n in ((1, 700), (3, 90), (2, 1), (None, 1)):
+        own = [r for r in whole if r.conv_id == conv]
+        assert [r.place for r in own] == list(range(n))
+        order = [(r.turn is None, r.turn or 0, r.role is not None, r.role or "") for r in own]
+        assert order == sorted(order)
+    for block, fan_in in ((16, 256), (7, 3)):
+        monkeypatch.setattr(chat_format.scan, "__defaults__", (fan_in,))
+        split = chat_format.format_turns(repeated if fan_in == 3 else d, end_with_assistant=end_with_assistant, block=block)
+        assert sorted(split.collect(), key=key) == whole
     import re
 
-    # the fragments in the order of turns, roles and blocks render a legal conversation
-    ordered = sorted((r for r in split if r.conv_id == 2), key=lambda r: r.place)
-    assert "".join(r.fragment for r in ordered) == "<|im_start|>user\none<|im_end|>\n"
-    shown = re.findall(r"<\|im_start\|>(\w+)\n", "".join(r.fragment for r in sorted((r for r in whole if r.conv_id == 1), key=lambda r: (r.turn is None, r.place))))
-    roles = [chat_format.ROLES.index(x) + 1 for x in shown]
-    assert all(b in chat_format.LEGAL[a] for a, b in zip([0, *roles], roles))
+    for r in chat_format.render(split).collect():
+        own = [x.fragment for x in whole if x.conv_id == r.conv_id]
+        assert r.rendered == "".join(own)
+        roles = [chat_format.ROLES.index(x) + 1 for x in re.findall(r"<\|im_start\|>(\w+)\n", r.rendered)]
+        assert all(b in chat_format.LEGAL[a] for a, b in zip([0, *roles], roles))
+
+
+def test_chat_costs_are_least_over_blocks(spark):
+    rng = random.Random(4)
+    roles = [rng.choice(["user", "assistant", None, "system"]) for _ in range(200)]
+    d = spark.createDataFrame([(1, i, r, "x") for i, r in enumerate(roles)], "conv_id long, turn long, role string, text string")
+    got = chat_format.format_turns(d, block=9).agg(F.sum("cost")).first()[0]
+    assert got == min(chat_format.forward([chat_format.role_code(r) for r in roles], chat_format.BEGIN)[-1])
 
 
 @pytest.mark.parametrize("bits", [(1 << 20, 1 << 29), (1 << 8, 1 << 8)])
@@ -284,6 +335,13 @@ def test_join_of_crowded_buckets(spark, monkeypatch):
         assert {r.doc_id: r.component_id for r in ngram_join.join(d, num=num).collect()} == want
 
 
+def test_one_of_each_group_beside_columns_of_its_names(spark):
+    rows = [(1, "a b c d e f g", 1, 2), (2, "a b c d e f g", 3, 4), (2, "a b c d e f g", 3, 4), (3, None, 5, 6)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, __keyagain int, __key_again int")
+    got = ngram_join.keep_one(d)
+    assert got.columns == d.columns and sorted(r.doc_id for r in got.collect()) == [1, 3]
+
+
 def test_mix_beside_a_column_of_its_name(spark):
     d = spark.createDataFrame([(1, "a b c", None, 7), (2, "d e", "s", 8), (2, "d e", "s", 8), (3, None, "s", 9), (None, "f", None, 1)], "doc_id long, text string, source string, copies int").withColumn("__plan", F.lit(0))
     out = mixing.apply_mix(d)
