@@ -13,7 +13,7 @@ as many documents of one class as of the other.  How many standard errors apart
 n-grams and the training, so that both follow the size of the sample.  Calling nothing toxic is one of the borders.
 
 Sampled texts stay on the workers, whatever their length: these count the documents with each n-gram by class and
-fold, and then send the shares of at most ``MOST_GRAMS`` n-grams.  For scoring, embeddings and weights collapse into
+fold, and then send the shares of all n-grams that some fold may choose, as a sparse matrix.  For scoring, embeddings and weights collapse into
 one number for each bucket, which is broadcast (1 MB).
 
 Defined cases: null and empty texts, and texts without n-grams, score the softmax of the bias; without
@@ -46,8 +46,6 @@ FOLDS = 5
 STRENGTHS = (3.0, 4.0, 5.0, 6.0, 8.0)
 #: N-grams in fewer sampled documents have none.
 LEAST_DOCS = 3
-#: Embeddings trained at most, those furthest apart.
-MOST_GRAMS = 1024
 #: The bias where nothing is to be called toxic.
 NEVER = -40.0
 
@@ -127,17 +125,47 @@ def strengths(found: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
-def train_jointly(x: np.ndarray, y: np.ndarray, dim: int = DIM, steps: int = 200, rate: float = 0.5, seed: int = 7) -> np.ndarray:
+class Shares:
+    """A sparse matrix of shares: the entries' rows (in order), columns and values."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, value: np.ndarray, shape: tuple[int, int]):
+        self.row, self.column, self.value, self.shape = row, column, value, shape
+
+    @classmethod
+    def of(cls, rows: list[tuple[np.ndarray, np.ndarray]], width: int) -> Shares:
+        """From each row's columns and values."""
+        sizes = [len(c) for c, _ in rows]
+        stack = lambda k, kind: np.concatenate([np.asarray(r[k], dtype=kind) for r in rows]) if rows else np.empty(0, dtype=kind)
+        return cls(np.repeat(np.arange(len(rows), dtype=np.int32), sizes), stack(0, np.int32), stack(1, np.float32), (len(rows), width))
+
+    def part(self, rows: np.ndarray, columns: np.ndarray) -> Shares:
+        """The given rows and columns alone, numbered in their order."""
+        new_row, new_column = np.full(self.shape[0], -1, dtype=np.int32), np.full(self.shape[1], -1, dtype=np.int32)
+        new_row[rows], new_column[columns] = np.arange(len(rows)), np.arange(len(columns))
+        ok = (new_row[self.row] >= 0) & (new_column[self.column] >= 0)
+        return Shares(new_row[self.row[ok]], new_column[self.column[ok]], self.value[ok], (len(rows), len(columns)))
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        """A sum for each row."""
+        return np.bincount(self.row, self.value * v[self.column], self.shape[0])
+
+    def under(self, v: np.ndarray, squared: bool = False) -> np.ndarray:
+        """A sum for each column, of the values or of their squares."""
+        value = self.value * self.value if squared else self.value
+        return np.bincount(self.column, value * v[self.row], self.shape[1])
+
+
+def train_jointly(x: Shares, y: np.ndarray, dim: int = DIM, steps: int = 200, rate: float = 0.5, seed: int = 7) -> np.ndarray:
     """The difference of the classes' logits that each column's trained embedding adds for each unit of its share."""
     size = np.bincount(y, minlength=2)
     weight = (0.5 / size)[y]  # classes weigh alike
-    scale = 1 / np.maximum(np.einsum("ij,ij,i->j", x, x, weight.astype(x.dtype)), 1e-12)
+    scale = 1 / np.maximum(x.under(weight, squared=True), 1e-12)
     rng = np.random.default_rng(seed)
     emb, soft, bias = np.zeros((x.shape[1], dim)), rng.normal(0, 1 / np.sqrt(dim), (dim, 2)), 0.0
     for _ in range(steps):
         line = emb @ (soft[:, 1] - soft[:, 0])
-        wrong = weight * (1 / (1 + np.exp(-np.clip(x @ line.astype(x.dtype) + bias, -60, 60))) - y)  # of the softmax of two classes
-        down = (wrong.astype(x.dtype) @ x).astype(np.float64)
+        wrong = weight * (1 / (1 + np.exp(-np.clip(x.times(line) + bias, -60, 60))) - y)  # of the softmax of two classes
+        down = x.under(wrong)
         to_soft = emb.T @ down
         emb -= rate * (scale * down)[:, None] * (soft[:, 1] - soft[:, 0])[None, :] / np.sqrt(x.shape[1])
         soft += 0.05 * np.outer(to_soft, [1, -1]) / max(1.0, np.abs(to_soft).max())
@@ -160,14 +188,14 @@ def border(z: np.ndarray, y: np.ndarray, sizes: dict[int, int]) -> tuple[float |
     return float((z[k - 1] + z[k]) / 2 if k < len(z) else z[-1] - 1), float(cost[k])
 
 
-def fit_shares(x: np.ndarray, y: np.ndarray, fold: np.ndarray, strength: np.ndarray, sizes: dict[int, int]) -> tuple[np.ndarray, float] | None:
+def fit_shares(x: Shares, y: np.ndarray, fold: np.ndarray, strength: np.ndarray, sizes: dict[int, int]) -> tuple[np.ndarray, float] | None:
     """Weights of the columns and the bias; ``strength`` as from ``strengths``, for the columns of the shares x."""
 
     def fitted(on: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        line = train_jointly(x[np.ix_(on, columns)], y[on])
-        full = np.zeros(x.shape[1], dtype=x.dtype)
+        line = train_jointly(x.part(on, columns), y[on])
+        full = np.zeros(x.shape[1])
         full[columns] = line
-        z = (x @ full).astype(np.float64)
+        z = x.times(full)
         unit = max(float(np.abs(z[on]).mean()), 1e-12)
         return line / unit, z / unit
 
@@ -193,10 +221,8 @@ def fit_shares(x: np.ndarray, y: np.ndarray, fold: np.ndarray, strength: np.ndar
 
 
 def chosen_grams(strength: np.ndarray) -> np.ndarray:
-    """The buckets that some fold may choose, at most MOST_GRAMS."""
-    top = strength.max(axis=0)
-    found = np.flatnonzero(top >= min(STRENGTHS))
-    return np.sort(found[np.argsort(-top[found], kind="stable")[:MOST_GRAMS]])
+    """The buckets that some fold may choose."""
+    return np.flatnonzero(strength.max(axis=0) >= min(STRENGTHS))
 
 
 def shares(texts: list[str | None], place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -268,10 +294,13 @@ def _fit_rows(rows: DataFrame, sizes: dict[int, int]) -> Model:
 
     got = from_texts(rows, "y int, f int, at array<int>, share array<float>", send)
     order = np.lexsort([got["f"].to_numpy(), got["y"].to_numpy()])
-    x = np.zeros((len(order), len(buckets)), dtype=np.float32)
-    for k, (a, s) in enumerate(zip(got["at"], got["share"], strict=True)):
-        x[k, a.values.to_numpy()] = s.values.to_numpy()
-    return as_model(buckets, fit_shares(x[order], got["y"].to_numpy()[order], got["f"].to_numpy()[order], strength[:, buckets], sizes))
+    at, share = got["at"].combine_chunks(), got["share"].combine_chunks()
+    row = np.repeat(np.arange(len(order)), at.value_lengths().to_numpy())
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    entries = np.argsort(place[row], kind="stable")
+    x = Shares(place[row][entries].astype(np.int32), at.flatten().to_numpy()[entries], share.flatten().to_numpy()[entries], (len(order), len(buckets)))
+    return as_model(buckets, fit_shares(x, got["y"].to_numpy()[order], got["f"].to_numpy()[order], strength[:, buckets], sizes))
 
 
 def fit(texts: list[str | None], labels: list[int], sizes: dict[int, int] | None = None) -> Model:
@@ -286,9 +315,7 @@ def fit(texts: list[str | None], labels: list[int], sizes: dict[int, int] | None
     buckets = chosen_grams(strength)
     if not len(buckets):
         return Model(None, 0.0)
-    x = np.zeros((len(y), len(buckets)), dtype=np.float32)
-    for k, (a, s) in enumerate(shares(texts, _place(buckets))):
-        x[k, a] = s
+    x = Shares.of(list(shares(texts, _place(buckets))), len(buckets))
     zero, one = np.bincount(y, minlength=2)
     return as_model(buckets, fit_shares(x, y, fold, strength[:, buckets], sizes or {0: int(zero), 1: int(one)}))
 
