@@ -1,9 +1,9 @@
 """Benchmark decontamination: a broadcast hash set of the test items' n-grams, scanned over document windows.
 
 Texts are lower-cased (A-Z only) and cut into words of digits, letters a-z and everything beyond ASCII.  An
-item's windows are its runs of ``n`` words; an item of fewer words is one window.  Window hashes of the
-items go out in blocks of at most ``block_windows`` windows (the size bound of what is broadcast; a longer item is in
-several); a larger benchmark is a stated query set that is held against all documents block by block.  A block is
+item's windows are its runs of ``n`` words; an item of fewer words is one window.  The workers cut the items into windows,
+and equal windows meet in a sum with the ids of their items.  Windows go out in blocks of at most ``block_windows``, numbered by
+counted ranges (the size bound of what is broadcast; a longer item is in several); a larger benchmark is a stated query set that is held against all documents block by block.  A block is
 read, sent and turned into tables once a task, its hits are carried along with the rows, which a stored table holds
 until the next block is done, and then it is dropped.  Every hash hit is verified against the words themselves.
 
@@ -23,8 +23,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from floorspan.llm._common import Stored, ascii_lower, by_batch, table
+from floorspan.llm._common import Stored, ascii_lower, by_batch, cut, table
 from floorspan.llm._words import ALNUM, joined, windows, words
+from floorspan.operators.graph import dense_index
 
 N = 10
 BLOCK_WINDOWS = 1 << 19
@@ -52,18 +53,35 @@ def windows_of(text: str | None, n: int) -> Iterator[tuple[int, bytes]]:
         yield size, b" ".join(own[i : i + size])
 
 
+def all_windows(benchmark: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """(size, w, items) of the distinct windows of all items; ``items`` are the ids as texts of those that have it."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sizes, found, items = [], [], []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = set(windows_of(text, n))
+                sizes += [size for size, _ in own]
+                found += [w for _, w in own]
+                items += [item] * len(own)
+            return pa.RecordBatch.from_arrays([pa.array(sizes, pa.int32()), pa.array(found, pa.binary()), pa.array(items, pa.string())], ["size", "w", "item"])
+
+        return step
+
+    rows = by_batch(benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")), "size int, w binary, item string", make)
+    return rows.groupBy("size", "w").agg(F.collect_set("item").alias("items"))
+
+
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, n: int, most: int) -> Iterator[Windows]:
-    """Blocks of at most ``most`` windows, one at least; the items are read one partition at a time."""
-    block, any_block = Windows(), False
-    for row in benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).toLocalIterator():
-        for window in windows_of(row.t, n):
-            if len(block) >= most and window not in block.items:
-                yield block
-                block, any_block = Windows(), True
-            ids = block.items.setdefault(window, set())
-            if row.i is not None:
-                ids.add(str(row.i))
-    if len(block) or not any_block:
+    """Blocks of at most ``most`` windows, one at least."""
+    rows = cut(all_windows(benchmark, id_col, text_col, n))
+    count = rows.count()
+    if count > most:
+        rows = cut(dense_index(rows.withColumn("key", F.struct("size", "w")), "key"))
+    for lo in range(0, max(1, count), most):
+        block = Windows()
+        for r in (rows.filter(F.col("node_index").between(lo, lo + most - 1)) if count > most else rows).select("size", "w", "items").collect():
+            block.items[r["size"], bytes(r["w"])] = set(r["items"])
         yield block
 
 
