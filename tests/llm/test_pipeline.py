@@ -15,14 +15,15 @@ from floorspan.llm.registry import QUERIES
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op12_spelling_groups"}))  # that has a row for each word
 def test_query_covers_its_table(spark, name):
-    whole = spark.read.parquet(f"{SF}/{'conversations' if name.startswith('op3') else 'documents'}.parquet").count()
+    table = {"op3": "conversations", "op13": "pages"}.get(name.split("_")[0], "documents")
+    whole = spark.read.parquet(f"{SF}/{table}.parquet").count()
     assert QUERIES[name](spark, SF).count() == whole
 
 
 def test_names():
-    assert [n.split("_")[0] for n in sorted(QUERIES, key=lambda x: int(x[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in sorted(QUERIES, key=lambda x: int(x[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 14)]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "language_id", "ngram_join", "decontamination", "mixing"]
 
 
