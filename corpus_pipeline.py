@@ -1,7 +1,9 @@
 """A corpus cleaned stage by stage.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` applies them to the whole ``documents``
-table.  All stages but the last return the columns of ``documents``.
+table.  All stages but the last return the columns of ``documents``.  A stage reads its input several times, so ``run``
+writes what each stage but the last returns to the shared folder and gives the next one that table; a table is deleted once
+the next one is written, so that two are there at most, and a lost executor costs one stage at most.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from floorspan.llm import decontaminate, language_id, mixing, ngram_join, toxicity
+from floorspan.llm._common import Stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        made = Stored(stage(spark, docs, sf_dir))
+        if held is not None:
+            held.drop()
+        docs, held = made.df, made
+    return STAGES[-1][1](spark, docs, sf_dir)
