@@ -8,12 +8,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from floorspan.operators import ranges
 from floorspan.session import ship
 
 
 def number_within(df: DataFrame, key: str, order: list[str], base: Column) -> DataFrame:
-    """Consecutive numbers after ``base`` within each key."""
-    return df.withColumn("number", (base + F.row_number().over(Window.partitionBy(key).orderBy(*order))).cast("long"))
+    """Consecutive numbers after ``base`` within each key, which may hold any number of rows."""
+    return ranges.number_within(df, [key], order).withColumn("number", (base + F.col("number")).cast("long"))
 
 
 def optimistic(rows: DataFrame, wanted: DataFrame) -> DataFrame:

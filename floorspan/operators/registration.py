@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floorspan.functions import geo
 from floorspan.functions.lookups import occlusion, role_of_category
+from floorspan.operators import ranges
 from floorspan.operators.nearest import nearest_segment, segments_in
+from floorspan.session import cut
 
 PLANE_BIN_M = 0.01
 
@@ -125,11 +127,11 @@ def floor_report(measured: DataFrame) -> DataFrame:
     """(level_id, sampled, carved_out, p50, p90, worst, shift_x, shift_y, shift) of each floor; null statistics where nothing is left."""
     left = lambda c: F.when(~F.col("carved"), F.col(c))
     d = measured.withColumns({c: left(c) for c in ("distance", "dx", "dy")})
-    p = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY distance)")
-    out = d.groupBy("level_id").agg(
-        F.count("*").alias("sampled"), F.count_if("carved").alias("carved_out"), p(0.5).alias("p50"), p(0.9).alias("p90"), F.max("distance").alias("worst"),
-        F.coalesce(F.median("dx"), F.lit(0.0)).alias("shift_x"), F.coalesce(F.median("dy"), F.lit(0.0)).alias("shift_y"),
-    )
+    d = cut(d)
+    out = d.groupBy("level_id").agg(F.count("*").alias("sampled"), F.count_if("carved").alias("carved_out"), F.max("distance").alias("worst"))
+    for c, found in (("distance", {"ranks": {"p50": "0.5", "p90": "0.9"}}), ("dx", {"middle": "shift_x"}), ("dy", {"middle": "shift_y"})):
+        out = out.join(ranges.percentiles(d, ["level_id"], c, **found), "level_id", "left")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("shift_x", "shift_y")})
     return out.withColumn("shift", F.sqrt(F.col("shift_x") * F.col("shift_x") + F.col("shift_y") * F.col("shift_y")))
 
 
@@ -168,8 +170,7 @@ def gates(version: str, integrity: bool, capabilities: str | None, triangles: Da
     out = out.union(shown.filter("plane is not null and agreement = 'contradicts'").select(*row("levelLabelContradiction", F.col("tile_level"))))
     out = out.union(d.filter("n_near > 1").select(*row("levelMappingAmbiguous", F.col("tile_level"), no, F.lit(bands.level_tolerance_m))))
     placed = d.filter("plane is not null and floor_plane is not null")
-    below = F.lag("floor_plane").over(Window.orderBy("plane", "tile_level"))  # a package's levels are a few hundred rows
-    out = out.union(placed.withColumn("below", below).filter("floor_plane < below").select(*row("levelMappingScrambled", F.col("tile_level"), F.col("floor_plane"), F.col("below"))))
+    out = out.union(ranges.before(placed, [], ["plane", "tile_level"], "floor_plane", "below").filter("floor_plane < below").select(*row("levelMappingScrambled", F.col("tile_level"), F.col("floor_plane"), F.col("below"))))
     spread = placed.groupBy("level_id").agg((F.max("plane") - F.min("plane")).alias("spread")).filter(F.col("spread") > bands.level_tolerance_m)
     out = out.union(spread.select(*row("levelMappingCollapsed", F.col("level_id"), F.col("spread"), F.lit(bands.level_tolerance_m))))
     band = bands.p90_band(F.col("level_id"))

@@ -50,17 +50,6 @@ def grid_pairs(points: DataFrame, key: str, x: str, y: str, cell: float, near: C
     return a.join(b, on & near).select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"))
 
 
-def nearest(queries: DataFrame, targets: DataFrame, on: str, distance: Column, query_key: str, target_key: str, k: int = 1) -> DataFrame:
-    """The k nearest targets of each query within the same ``on``; ties go to the lower key.  Queries are few, targets many."""
-    pairs = queries.alias("q").join(targets.alias("t"), F.col(f"q.{on}") == F.col(f"t.{on}"))
-    pairs = pairs.select(F.col(f"q.{query_key}").alias(query_key), F.col(f"t.{target_key}").alias(target_key), distance.alias("distance"))
-    if k == 1:
-        best = pairs.groupBy(query_key).agg(F.min(F.struct("distance", target_key)).alias("_x"))
-        return best.select(query_key, F.col(f"_x.{target_key}").alias(target_key), F.col("_x.distance").alias("distance"))
-    w = Window.partitionBy(query_key).orderBy("distance", target_key)
-    return pairs.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
-
-
 def nearest_on_grid(queries: DataFrame, targets: DataFrame, on: str, query_key: str, target_key: str, cell: float, k: int = 1) -> DataFrame:
     """The k nearest targets (lon, lat) of each query (x, y), in degrees, within the same ``on``; ties go to the lower key.
 
@@ -132,11 +121,6 @@ def runs(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     return df.withColumn("_b", begins).withColumn("run", F.sum("_b").over(w)).drop("_b")
 
 
-def bit_order(x: str) -> list[Column]:
-    """Sort keys that order doubles by their bits: negative ones last, by magnitude."""
-    return [(F.col(x) < 0).asc(), F.abs(F.col(x)).asc()]
-
-
 def search_score(text: str) -> Column:
     """500 or 450 for the label or alternative itself, 400/350 at its start, 300/250 inside, 200 in category or type, else 0."""
     label, alt = F.col("label"), F.col("alt_label")

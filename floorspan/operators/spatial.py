@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from floorspan.operators import ranges
+
 
 def range_join(points: DataFrame, boxes: DataFrame, x: Column, y: Column, box: list[Column], cell: float, group: str) -> DataFrame:
     """Points strictly inside boxes (west, south, east, north) of the same group.
@@ -37,14 +39,17 @@ def padded(df: DataFrame, pad: float = 1e-6) -> DataFrame:
 
 def residual_stats(df: DataFrame, key: str, value: str) -> DataFrame:
     """Nearest-rank percentiles and the maximum, null for a group without values."""
-    p = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})")
-    return df.groupBy(key).agg(F.count(value).alias("n"), p(0.5).alias("p50"), p(0.9).alias("p90"), F.max(value).alias("worst"))
+    sums = df.groupBy(F.col(key).alias("_k")).agg(F.count(value).alias("n"), F.max(value).alias("worst"))
+    found = ranges.percentiles(df, [key], value, {"p50": "0.5", "p90": "0.9"})
+    return sums.join(found, F.col("_k").eqNullSafe(F.col(key)), "left").select(F.col("_k").alias(key), "n", "p50", "p90", "worst")
 
 
 def trusted_median(df: DataFrame, key: str, value: str, least: int = 3, spread: float = 1.0) -> DataFrame:
     """The median of groups with enough values that lie close together, else null."""
     ok = (F.count(value) >= least) & (F.max(value) - F.min(value) <= spread)
-    return df.groupBy(key).agg(F.when(ok, F.median(value)).alias("median"))
+    sums = df.groupBy(F.col(key).alias("_k")).agg(ok.alias("_ok"))
+    found = ranges.percentiles(df, [key], value, middle="median")
+    return sums.join(found, F.col("_k").eqNullSafe(F.col(key)), "left").select(F.col("_k").alias(key), F.when(F.col("_ok"), F.col("median")).alias("median"))
 
 
 def weighted_mode(df: DataFrame, key: str, value: Column, weight: Column, width: float) -> DataFrame:
@@ -66,5 +71,4 @@ def boundary_edges(edges: DataFrame, *keys: str) -> DataFrame:
 
 def monotone(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """Rows whose value falls below the one before them."""
-    w = Window.partitionBy(key).orderBy(order)
-    return df.withColumn("before", F.lag(value).over(w)).filter(F.col(value) < F.col("before"))
+    return ranges.before(df, [key], [order], value, "before").filter(F.col(value) < F.col("before"))

@@ -131,7 +131,7 @@ def c13_point_in_buffered_polygon(n: DataFrame, u: DataFrame) -> DataFrame:
     return found.filter(inside).groupBy("node_id").agg(F.count("*").alias("n_units"))
 
 
-@query("C14 G7", "v_node v_net", """+i AS (SELECT * FROM v_node WHERE lon < 139.762e0), e AS (SELECT * FROM v_net WHERE from_id IN (SELECT node_id FROM i) AND to_id IN (SELECT node_id FROM i)), x AS (SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS k FROM i)
+@query("C14", "v_node v_net", """+i AS (SELECT * FROM v_node WHERE lon < 139.762e0), e AS (SELECT * FROM v_net WHERE from_id IN (SELECT node_id FROM i) AND to_id IN (SELECT node_id FROM i)), x AS (SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS k FROM i)
   SELECT a.k AS from_index, b.k AS to_index, cost FROM e JOIN x a ON e.from_id = a.node_id JOIN x b ON e.to_id = b.node_id""")
 def c14_clip_and_reindex(n: DataFrame, e: DataFrame) -> DataFrame:
     kept, e = graph.clip(n, e, n.filter("lon < 139.762"))
@@ -165,20 +165,25 @@ def c17_nearest_node(u: DataFrame, n: DataFrame) -> DataFrame:
     return relational.nearest_on_grid(q, n, "ordinal", "unit_id", "node_id", 2e-4).select("unit_id", "node_id")
 
 
-@query("C20", "part", """+c AS (SELECT p_partkey AS hub, unnest([p_size, p_size * 3 % 50, p_partkey % 50, p_partkey * 7 % 50]) AS vertex FROM part), d AS (SELECT DISTINCT * FROM c)
-  SELECT a.hub AS a, b.hub AS b, count(*) AS n FROM d a JOIN d b ON a.vertex = b.vertex AND a.hub < b.hub GROUP BY 1, 2 HAVING count(*) >= 2""")
-def c20_shared_vertices(p: DataFrame) -> DataFrame:
-    k, s = F.col("p_partkey"), F.col("p_size")
-    v = p.select(k.alias("hub"), F.explode(F.array(s.cast("long"), (s * 3 % 50).cast("long"), k % 50, k * 7 % 50)).alias("vertex")).distinct()
+@query("C20", "v_room", """+c AS (SELECT DISTINCT unit_id AS hub, level_id, (x + dx) // 10 AS vx, (y + dy) // 10 AS vy FROM v_room, (VALUES (0, 0), (4000, 0), (4000, 3000), (0, 3000)) AS t(dx, dy))
+  SELECT a.hub AS a, b.hub AS b, count(*) AS n FROM c a JOIN c b ON a.level_id = b.level_id AND a.vx = b.vx AND a.vy = b.vy AND a.hub < b.hub GROUP BY 1, 2 HAVING count(*) >= 2""")
+def c20_shared_vertices(room: DataFrame) -> DataFrame:
+    """Hubs of a level that share two corners or more, corners quantized to a centimetre; a corner belongs to the few hubs around it."""
+    corner = lambda dx, dy: F.struct(F.floor((F.col("x") + dx) / 10).alias("x"), F.floor((F.col("y") + dy) / 10).alias("y"))
+    v = room.select(F.col("unit_id").alias("hub"), "level_id", F.explode(F.array(corner(0, 0), corner(4000, 0), corner(4000, 3000), corner(0, 3000))).alias("vertex")).distinct()
     a, b = v.alias("a"), v.alias("b")
-    return a.join(b, (F.col("a.vertex") == F.col("b.vertex")) & (F.col("a.hub") < F.col("b.hub"))).groupBy(F.col("a.hub").alias("a"), F.col("b.hub").alias("b")).agg(F.count("*").alias("n")).filter("n >= 2")
+    same = (F.col("a.level_id") == F.col("b.level_id")) & (F.col("a.vertex") == F.col("b.vertex")) & (F.col("a.hub") < F.col("b.hub"))
+    return a.join(b, same).groupBy(F.col("a.hub").alias("a"), F.col("b.hub").alias("b")).agg(F.count("*").alias("n")).filter("n >= 2")
 
 
-@query("C22", "v_node supplier", """SELECT a.node_id, b.s_suppkey AS plane, CAST(count(*) OVER (PARTITION BY a.node_id) AS BIGINT) AS n FROM v_node a JOIN (SELECT s_suppkey, s_acctbal / 1000e0 + 0.4e0 AS altitude FROM supplier) b ON abs(a.altitude - b.altitude) <= 1.5e0
+@query("C22", "v_node supplier", """SELECT a.node_id, b.s_suppkey AS plane, CAST(count(*) OVER (PARTITION BY a.node_id) AS BIGINT) AS n FROM (SELECT s_suppkey AS node_id, s_acctbal / 1000e0 + s_suppkey % 100 * 15 AS altitude FROM supplier) a JOIN (SELECT s_suppkey, s_acctbal / 1000e0 + s_suppkey % 100 * 15 + 0.4e0 AS altitude FROM supplier) b ON abs(a.altitude - b.altitude) <= 1.5e0
   QUALIFY row_number() OVER (PARTITION BY a.node_id ORDER BY abs(a.altitude - b.altitude), b.s_suppkey) = 1""")
 def c22_altitude_band(n: DataFrame, s: DataFrame) -> DataFrame:
-    planes = s.select(F.col("s_suppkey").alias("plane"), (F.col("s_acctbal") / 1000 + 0.4).alias("plane_altitude"))
-    found = relational.band(n.select("node_id", "altitude"), planes, "altitude", "plane_altitude", 1.5)
+    """The nearest plane of each node within 1.5 m, and how many there are; planes are spread over 100 storeys."""
+    height = F.col("s_acctbal") / 1000 + F.col("s_suppkey") % 100 * 15
+    planes = s.select(F.col("s_suppkey").alias("plane"), (height + 0.4).alias("plane_altitude"))
+    nodes = s.select(F.col("s_suppkey").alias("node_id"), height.alias("altitude"))
+    found = relational.band(nodes, planes, "altitude", "plane_altitude", 1.5)
     best = F.min(F.struct(F.abs(F.col("altitude") - F.col("plane_altitude")).alias("d"), "plane")).alias("x")
     return found.groupBy("node_id").agg(best, F.count("*").alias("n")).select("node_id", F.col("x.plane").alias("plane"), "n")
 
@@ -202,10 +207,12 @@ def c27_tile_member_lookup(v: DataFrame, b: DataFrame) -> DataFrame:
     return live.join(b, "version_id").select("version_id", F.col("id").alias("member"), "byte_size")
 
 
-@query("C28 E22", "v_node", "SELECT CAST(count(*) FILTER (WHERE node_id % 7 = 0 AND node_id % 5 <> 0) AS BIGINT) AS added, CAST(count(*) FILTER (WHERE node_id % 5 = 0 AND node_id % 7 <> 0) AS BIGINT) AS removed, CAST(count(*) FILTER (WHERE node_id % 5 = 0 AND node_id % 7 = 0 AND node_id % 2 = 0) AS BIGINT) AS changed FROM v_node")
+@query("C28 E22", "v_node", "SELECT CAST(count(*) FILTER (WHERE node_id % 11 = 5) AS BIGINT) AS added, CAST(count(*) FILTER (WHERE node_id % 7 = 3 OR node_id % 11 = 5) AS BIGINT) AS removed, CAST(count(*) FILTER (WHERE node_id % 7 <> 3 AND node_id % 11 <> 5 AND node_id % 2 = 0) AS BIGINT) AS changed FROM v_node")
 def c28_network_diff(n: DataFrame) -> DataFrame:
-    before, after = n.filter("node_id % 5 = 0"), n.filter("node_id % 7 = 0").withColumn("lon", F.col("lon") + F.when(F.col("node_id") % 2 == 0, 1e-3).otherwise(0.0))
-    return relational.difference(before, after, "node_id", F.col("b.lon") != F.col("a.lon"))
+    """All nodes of two versions: some are gone in the new one, some have a new id, some lie elsewhere."""
+    k = F.col("node_id")
+    after = n.filter((k % 7 != 3) | (k % 11 == 5)).withColumns({"lon": F.col("lon") + F.when(k % 2 == 0, 1e-3).otherwise(0.0), "node_id": F.when(k % 11 == 5, k + 1_000_000).otherwise(k)})
+    return relational.difference(n, after, "node_id", F.col("b.lon") != F.col("a.lon"))
 
 
 @query("C29", "lineitem", """+p AS (SELECT l_orderkey * 10 + l_linenumber AS path_id, l_suppkey % 40 AS f, l_partkey % 40 AS t FROM lineitem WHERE l_suppkey % 40 <> l_partkey % 40), n AS (SELECT *, row_number() OVER (PARTITION BY f, t ORDER BY path_id) AS k FROM p)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from floorspan.operators import changes
+from floorspan.operators import changes, ranges
 from floorspan.plans.registry import query
 
 
@@ -42,8 +42,9 @@ def h05_quota_fold(d: DataFrame) -> DataFrame:
 
 @query("H9 H17 H18", "v_job", "SELECT id, version_id, CAST(count(*) OVER (PARTITION BY version_id ORDER BY created_at, id) AS BIGINT) AS revision, max(value) OVER (PARTITION BY version_id ORDER BY created_at, id) AS seen FROM v_job")
 def h09_revision_counter(d: DataFrame) -> DataFrame:
-    w = Window.partitionBy("version_id").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return d.select("id", "version_id", F.count("*").over(w).alias("revision"), F.max("value").over(w).alias("seen"))
+    d = d.select("id", "version_id", "created_at", "value")
+    d = ranges.running(d, ["version_id"], ["created_at", "id"], {"revision": F.lit(1).cast("long")}, {"seen": F.col("value")})
+    return d.select("id", "version_id", "revision", "seen")
 
 
 @query("H10", "v_media", "SELECT state, count(*) AS n, CAST(count(*) FILTER (WHERE state = 'staged' AND created_at < TIMESTAMP '1996-01-01') AS BIGINT) AS expired FROM v_media GROUP BY 1")

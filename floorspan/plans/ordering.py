@@ -53,7 +53,7 @@ def e09_bit_pattern_sort(d: DataFrame) -> DataFrame:
     return d.select("level_id", (F.col("node_index") + 1).alias("place"))
 
 
-@query("E8 C26", "v_net", "SELECT from_id, to_id, cost FROM v_net ORDER BY from_id, to_id, cost")
+@query("E8", "v_net", "SELECT from_id, to_id, cost FROM v_net ORDER BY from_id, to_id, cost")
 def e08_multi_key_sort(d: DataFrame) -> DataFrame:
     return d.select("from_id", "to_id", "cost").orderBy("from_id", "to_id", "cost")
 
@@ -83,9 +83,11 @@ def e15_level_match_priority(d: DataFrame) -> DataFrame:
 
 @query("E17", "v_entry", "SELECT level_id, feature_id FROM v_entry QUALIFY row_number() OVER (PARTITION BY level_id ORDER BY CASE feature_type WHEN 'opening' THEN 0 WHEN 'occupant' THEN 1 ELSE 2 END, feature_id) <= 6 OR feature_id % 50 = 0")
 def e17_label_cap(d: DataFrame) -> DataFrame:
+    """The first six labels of a level by type and id, and the protected ones; no task ranks more than its own first six of a level."""
     tier = F.when(F.col("feature_type") == "opening", 0).when(F.col("feature_type") == "occupant", 1).otherwise(2)
     w = Window.partitionBy("level_id").orderBy(tier, "feature_id")
-    return d.withColumn("k", F.row_number().over(w)).filter("k <= 6 or feature_id % 50 = 0").select("level_id", "feature_id")
+    first = d.withColumn("k", F.row_number().over(w)).filter("k <= 6").select("level_id", "feature_id")
+    return first.union(d.filter("feature_id % 50 = 0").select("level_id", "feature_id")).distinct()
 
 
 @query("E19", "v_media v_version", "SELECT CAST(original AS VARCHAR) AS hash FROM v_media UNION SELECT CAST(thumbnail AS VARCHAR) FROM v_media UNION SELECT bundle_hash FROM v_version WHERE bundle_hash IS NOT NULL")
@@ -99,9 +101,12 @@ def e20_sweep(s: DataFrame, m: DataFrame) -> DataFrame:
     return s.select("blob_id").subtract(m.filter("state <> 'detached'").select("original"))
 
 
-@query("E22", "v_net", "SELECT from_id, to_id, 'added' AS change FROM v_net WHERE from_id % 3 = 0 AND from_id % 2 <> 0 UNION ALL SELECT from_id, to_id, 'deleted' FROM v_net WHERE from_id % 2 = 0 AND from_id % 3 <> 0")
+@query("E22", "v_net", "SELECT from_id, to_id + 1000000 AS to_id, 'added' AS change FROM v_net WHERE (from_id + to_id) % 7 = 0 UNION ALL SELECT from_id, to_id, 'deleted' FROM v_net WHERE (from_id + to_id) % 7 = 0 OR to_id % 9 = 4")
 def e22_connection_key_diff(d: DataFrame) -> DataFrame:
-    old, new = (d.filter(f"from_id % {k} = 0").select("from_id", "to_id") for k in (2, 3))
+    """All connections of two versions of the network; the new one lacks some and leads others elsewhere."""
+    old = d.select("from_id", "to_id")
+    moved = (F.col("from_id") + F.col("to_id")) % 7 == 0
+    new = old.filter(moved | (F.col("to_id") % 9 != 4)).withColumn("to_id", F.when(moved, F.col("to_id") + 1_000_000).otherwise(F.col("to_id")))
     return new.exceptAll(old).withColumn("change", F.lit("added")).union(old.exceptAll(new).withColumn("change", F.lit("deleted")))
 
 
@@ -110,9 +115,10 @@ def e23_keep_shortest(d: DataFrame) -> DataFrame:
     return d.groupBy(F.least("from_id", "to_id").alias("lower"), F.greatest("from_id", "to_id").alias("upper")).agg(F.min("cost").alias("cost"))
 
 
-@query("E24", "v_version", """+o AS (SELECT id, seq, status FROM v_version WHERE id % 2 = 0), n AS (SELECT id, seq + 1000 AS seq, 'evaluated' AS status FROM v_version WHERE id % 3 = 0)
+@query("E24", "v_version", """+o AS (SELECT id, seq, status FROM v_version), n AS (SELECT CASE WHEN id % 3 = 0 THEN id + 1000000 ELSE id END AS id, seq + 1000 AS seq, 'evaluated' AS status FROM v_version)
   SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NOT NULL AND (o.id IS NULL OR o.status = 'draft') THEN n.seq ELSE o.seq END AS seq, CASE WHEN n.id IS NOT NULL AND (o.id IS NULL OR o.status = 'draft') THEN n.status ELSE o.status END AS status FROM o FULL JOIN n ON o.id = n.id""")
 def e24_keyed_upsert(d: DataFrame) -> DataFrame:
-    old = d.filter("id % 2 = 0").select("id", "seq", "status")
-    new = d.filter("id % 3 = 0").select("id", (F.col("seq") + 1000).alias("seq"), F.lit("evaluated").alias("status"))
+    """All versions evaluated anew: drafts take the new row, others keep theirs, and versions with new ids are added."""
+    old = d.select("id", "seq", "status")
+    new = d.select(F.when(F.col("id") % 3 == 0, F.col("id") + 1_000_000).otherwise(F.col("id")).alias("id"), (F.col("seq") + 1000).alias("seq"), F.lit("evaluated").alias("status"))
     return relational.upsert(old, new, "id", F.col("status") == "draft")

@@ -53,7 +53,7 @@ def _ways(net: DataFrame, node: DataFrame) -> DataFrame:
     return d.select(F.col("node_index").alias("edge_id"), "from_id", "to_id", "cost", "direction", F.col("from_ordinal").alias("ordinal"), F.array(bend).alias("interior"))
 
 
-@query("C16 C15", "v_net v_node v_ask", _SNAP + " SELECT request_id, side, place, edge_id, round(distance, 6) AS distance, round(along, 6) AS along FROM spot", recursive=False)
+@query("C16", "v_net v_node v_ask", _SNAP + " SELECT request_id, side, place, edge_id, round(distance, 6) AS distance, round(along, 6) AS along FROM spot", recursive=False)
 def c16_snap_to_edges(net: DataFrame, node: DataFrame, ask: DataFrame) -> DataFrame:
     """The three nearest edges of each end on its floor; for a floor without edges the nearest of all."""
     parts = routing.pieces(routing.polylines(node, _ways(net, node)))

@@ -166,7 +166,7 @@ def g29_activation_gates(d: DataFrame) -> DataFrame:
     return gates.failing(d, "id", [("no_published_version", F.col("status") != "published"), ("missing_bundle", F.col("bundle_hash").isNull()), ("stale_sequence", F.col("seq") < 5)])
 
 
-@query("E9", "v_unit v_node", "SELECT unit_id, CASE WHEN CAST(building % 9 - 4 AS DOUBLE) IN (SELECT ordinal FROM v_node) THEN level_id END AS anchor FROM v_unit WHERE category = 'restroom.female'")
+@query("", "v_unit v_node", "SELECT unit_id, CASE WHEN CAST(building % 9 - 4 AS DOUBLE) IN (SELECT ordinal FROM v_node) THEN level_id END AS anchor FROM v_unit WHERE category = 'restroom.female'")
 def g30_facility_anchors(u: DataFrame, n: DataFrame) -> DataFrame:
     floors = n.select("ordinal").distinct().withColumn("known", F.lit(True))
     d = u.filter("category = 'restroom.female'").withColumn("ordinal", (F.col("building") % 9 - 4).cast("double"))

@@ -28,7 +28,7 @@ VIEWS: dict[str, str] = {
     "v_unit": """SELECT p_partkey AS unit_id, 'L' || CAST(p_partkey % 25 AS STRING) AS level_id, CAST(p_partkey % 25 AS INT) AS building,
         CASE p_partkey % 12 WHEN 0 THEN 'walkway' WHEN 1 THEN 'elevator' WHEN 2 THEN 'stairs' WHEN 3 THEN 'escalator' WHEN 4 THEN 'room' WHEN 5 THEN 'ramp'
           WHEN 6 THEN 'unenclosedarea' WHEN 7 THEN 'platform' WHEN 8 THEN 'restroom.female' WHEN 9 THEN 'lobby' WHEN 10 THEN 'footbridge' ELSE NULL END AS category,
-        139.76e0 + (p_partkey % 40) * 1e-4 AS x, 35.68e0 + (floor(p_partkey / 40) % 40) * 1e-4 AS y, (5 + p_size % 7) * 1e-5 AS w, (4 + p_size % 5) * 1e-5 AS h FROM {part}""",
+        139.76e0 + (p_partkey % 40) * 1e-4 AS x, 35.68e0 + floor(p_partkey / 40) * 1e-4 AS y, (5 + p_size % 7) * 1e-5 AS w, (4 + p_size % 5) * 1e-5 AS h FROM {part}""",
     "v_feature": """SELECT CASE WHEN unit_id % 150 = 0 THEN 'u1' ELSE 'u' || CAST(unit_id AS STRING) END AS id, CASE unit_id % 7 WHEN 0 THEN 'occupant' WHEN 1 THEN 'anchor' WHEN 2 THEN 'opening' ELSE 'unit' END AS feature_type,
         CASE WHEN unit_id % 200 = 0 THEN 'L99' ELSE level_id END AS level_id, unit_id % 7 <> 0 OR unit_id % 14 = 0 AS has_geometry, CASE WHEN unit_id % 21 <> 0 THEN x END AS x, y FROM {v_unit}
         UNION ALL SELECT level_id, 'level', CAST(NULL AS STRING), building % 8 <> 7, 0e0, 0e0 FROM {v_level} WHERE building % 6 <> 0
@@ -71,6 +71,14 @@ VIEWS: dict[str, str] = {
         UNION ALL SELECT level_id, east, north, west, north FROM {v_unit_box} UNION ALL SELECT level_id, west, north, west, south FROM {v_unit_box}""",
     "v_ask": """SELECT n_nationkey AS request_id, 139.7601e0 + (n_nationkey * 7 % 40) * 0.93e-4 AS lon1, 35.68e0 + (n_nationkey % 3) * 0.8e-4 + 0.00001e0 AS lat1, CASE WHEN n_nationkey = 3 THEN 9e0 ELSE CAST(n_regionkey - 2 AS DOUBLE) END AS ordinal1,
         139.7602e0 + (n_nationkey * 11 % 40) * 0.97e-4 AS lon2, 35.68005e0 + (n_nationkey % 2) * 0.9e-4 AS lat2, CAST((n_nationkey * 3) % 5 - 2 AS DOUBLE) AS ordinal2 FROM {nation}""",
+    "v_room": """SELECT p_partkey AS unit_id, 'L' || CAST(p_partkey % 25 AS STRING) AS level_id, CAST(floor(p_partkey / 25) AS BIGINT) % 40 * 4000 AS x, CAST(floor(p_partkey / 1000) AS BIGINT) * 3000 AS y,
+        CAST(CASE WHEN p_size % 4 <> 0 THEN 2200 + p_size * 20 END AS BIGINT) AS height, p_partkey % 12 = 7 AS platform, p_size % 3 = 0 AS split, p_size FROM {part}""",
+    "v_side": """SELECT unit_id, level_id, height, platform, x AS ax, y AS ay, CASE WHEN split THEN x + 2000 ELSE x + 4000 END AS cx, y AS cy FROM {v_room}
+        UNION ALL SELECT unit_id, level_id, height, platform, x + 2000, y, x + 4000, y FROM {v_room} WHERE split
+        UNION ALL SELECT unit_id, level_id, height, platform, x + 4000, y, x + 4000, y + 3000 FROM {v_room} UNION ALL SELECT unit_id, level_id, height, platform, x, y + 3000, x + 4000, y + 3000 FROM {v_room}
+        UNION ALL SELECT unit_id, level_id, height, platform, x, y, x, y + 3000 FROM {v_room}""",
+    "v_door": """SELECT unit_id AS opening_id, level_id, x + CASE unit_id % 4 WHEN 0 THEN 1600 WHEN 1 THEN 4000 + (p_size % 9 - 4) * 55 ELSE 3000 END AS px, y + CASE unit_id % 4 WHEN 0 THEN (p_size % 9 - 4) * 55 WHEN 1 THEN 500 + p_size * 10 ELSE -100 END AS py,
+        x + CASE unit_id % 4 WHEN 0 THEN 2400 + p_size % 5 * 100 WHEN 1 THEN 4000 + (p_size % 9 - 4) * 55 ELSE 4600 END AS qx, y + CASE unit_id % 4 WHEN 0 THEN (p_size % 9 - 4) * 55 WHEN 1 THEN 1400 + p_size * 10 ELSE 100 END AS qy FROM {v_room} WHERE unit_id % 4 <> 3""",
     "v_layer": """SELECT p_partkey AS id, 'Station_' || CAST(p_partkey % 3 AS STRING) || '_' || CASE p_partkey % 6 WHEN 0 THEN 'B1' WHEN 1 THEN '2' WHEN 2 THEN 'R' WHEN 3 THEN '0' WHEN 4 THEN 'M2' ELSE 'F3' END || '_' ||
         CASE p_partkey % 9 WHEN 0 THEN 'Floor' WHEN 1 THEN 'Space' WHEN 2 THEN 'Drawing' WHEN 3 THEN 'unit' WHEN 4 THEN 'opening' WHEN 5 THEN 'fixture' WHEN 6 THEN 'to_x_Drawing' WHEN 7 THEN 'Facility' ELSE 'misc' END AS layer,
         p_size, p_brand FROM {part}""",

@@ -23,11 +23,6 @@ def floors_of(rows: DataFrame, floor: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.array_sort(F.collect_set(floor)).alias("floors"))
 
 
-def missing_layers(layers: DataFrame) -> DataFrame:
-    needed = layers.sparkSession.createDataFrame([(x,) for x in NEEDED], "layer string")
-    return needed.join(layers, "layer", "left_anti")
-
-
 def to_degrees(rows: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """Web Mercator metres to degrees; rows without coordinates are dropped (``skipped`` counts them)."""
     lon, lat = geo.mercator_to_degrees(F.col(x), F.col(y))
