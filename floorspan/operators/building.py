@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floorspan.functions import floors, geo
-from floorspan.operators import graph
+from floorspan.operators import graph, ranges
 from floorspan.operators.nearest import cells_of, closest_point
 
 #: Keys of edge kinds and of vertical ways, the height of a storey and the speed of walking.
@@ -59,17 +59,41 @@ def build(junctions: DataFrame, paths: DataFrame, levels: DataFrame) -> tuple[Da
     ).select("*", "a.*").drop("a")
 
     with_ids = edges.filter("path_id is not null and back_id is not null")
-    one_way = Window.partitionBy("path_id", "back_id", "from_id", "to_id").orderBy("place")
-    turn = with_ids.withColumn("k", F.row_number().over(one_way))
-    back = turn.select(F.col("back_id").alias("path_id"), F.col("path_id").alias("back_id"), F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), "k", F.col("place").alias("partner"))
-    paired = turn.join(back, ["path_id", "back_id", "from_id", "to_id", "k"], "left").filter(F.col("partner").isNull() | (F.col("partner") == F.col("place")) | (F.col("path_id") < F.col("back_id")) | ((F.col("path_id") == F.col("back_id")) & (F.col("place") < F.col("partner"))))
-    kept = paired.select(edges.columns).union(edges.filter("path_id is null or back_id is null"))
-    same = paired.groupBy(F.least("path_id", "back_id").alias("lo"), F.greatest("path_id", "back_id").alias("hi")).agg(F.count("*").alias("n")).filter("n > 1")
-    clash = same.select(F.lit("reciprocal_conflict").alias("code"), F.concat(F.lit("ids "), F.col("lo").cast("string"), F.lit(", "), F.col("hi").cast("string")).alias("detail"), F.explode(F.sequence(F.lit(2), F.col("n").cast("int"))).alias("_")).drop("_")
+    paired = pair_paths(with_ids.select("place", "path_id", "back_id", "from_id", "to_id"))
+    kept = with_ids.join(paired.select("place"), "place").select(edges.columns).union(edges.filter("path_id is null or back_id is null"))
+    clash = paired.filter("clash").select(F.lit("reciprocal_conflict").alias("code"), F.concat(F.lit("edge at "), F.col("slot").cast("string"), F.lit(" shares its ids")).alias("detail"))
     warnings = unmapped.union(lost).union(wrong).union(clash).union(strange)
     return nodes, kept.drop("place", "path_id", "back_id"), warnings
 
 
+def pair_paths(paths: DataFrame) -> DataFrame:
+    """(place, slot, partner, clash) of the paths (place, path_id, back_id, from_id, to_id) that stay when those there and back are paired.
+
+    In the order of ``place``, a path takes the last waiting one that runs back over the same ends and names it (path_id
+    and back_id, from_id and to_id swapped), else it waits.  Of a pair the one with the smaller path_id stays, the one that waited if they are
+    equal, in the ``slot`` of the one that waited.  One that waits while others have waited under the same two ids is a ``clash``.
+
+    Waiting ones are a stack for each signature, and only one of a signature and its reverse has any: so the running number
+    of paths there less those back is the stack's height, a path opens or closes a level by whether the height's size grows, and
+    the paths of one level open and close it in turn.
+    """
+    there = F.struct("path_id", "back_id", "from_id", "to_id")
+    back = F.struct(F.col("back_id").alias("path_id"), F.col("path_id").alias("back_id"), F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))
+    step = F.when(there == back, 0).when(there < back, 1).otherwise(-1).cast("long")
+    d = paths.withColumns({"_g": F.least(there, back), "_s": step})
+    d = ranges.running(d, ["_g"], ["place"], {"_after": F.col("_s")})
+    before = F.col("_after") - F.col("_s")
+    # a path that is its own reverse is paired with the next such one
+    level = F.when(F.col("_s") == 0, 0).when(F.abs("_after") > F.abs(before), F.col("_after")).otherwise(before)
+    d = ranges.number_within(d.withColumn("_level", level), ["_g", "_level"], ["place"], "_n")
+    row = F.struct("place", "path_id", "back_id")
+    pairs = d.groupBy("_g", "_level", F.floor((F.col("_n") - 1) / 2).alias("_k")).agg(F.min(row).alias("first"), F.max(row).alias("second"), F.count("*").alias("_m"))
+    second = (F.col("_m") == 2) & (F.col("second.path_id") < F.col("second.back_id"))
+    partner = F.when(F.col("_m") == 2, F.when(second, F.col("first.place")).otherwise(F.col("second.place")))
+    kept = pairs.select(F.when(second, F.col("second.place")).otherwise(F.col("first.place")).alias("place"), F.col("first.place").alias("slot"), partner.alias("partner"), F.least("first.path_id", "first.back_id").alias("_lo"), F.greatest("first.path_id", "first.back_id").alias("_hi"))
+    return ranges.number_within(kept, ["_lo", "_hi"], ["slot"], "_w").select("place", "slot", "partner", (F.col("_w") > 1).alias("clash"))
+
+
 def export_junctions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node_id, path_count, floor, altitude) of a graph's nodes, floors as labels; node_id counts the edges that end at it."""
     d = nodes.join(graph.degree(nodes, edges), "node_id")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floorspan.functions.lookups import quantize
-from floorspan.session import ship
+from floorspan.operators import ranges
+from floorspan.session import cut, ship
 
 Point = tuple[int, int]
 
@@ -77,3 +78,46 @@ def quantized(points: DataFrame, key: str) -> DataFrame:
     bounds = points.groupBy(key).agg(*[f(c).alias(f"_{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
     d = points.join(bounds, key)
     return d.select(*points.columns, *[quantize(F.col(c), F.col(f"_lo{c}"), F.col(f"_hi{c}")).alias(f"q{c}") for c in "xyz"])
+
+
+#: Vertices that an index of 16 bits can name, and the least size of a normal.
+MOST_VERTICES, EPSILON = 65_535, 1.1920929e-07
+
+
+def facet_normal(a: Column, b: Column, c: Column) -> Column:
+    """The unit normal (x, y, z) of a triangle from its winding; up for one without area."""
+    u, v = [[q[k] - a[k] for k in "xyz"] for q in (b, c)]
+    n = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+    size = F.sqrt(n[0] * n[0] + n[1] * n[1] + n[2] * n[2])
+    flat = size <= EPSILON
+    return F.struct(*[F.when(flat, float(k == "z")).otherwise(x / size).alias(k) for k, x in zip("xyz", n, strict=True)])
+
+
+def indexed(triangles: DataFrame, keys: list[str], tri_key: str, most: int = MOST_VERTICES) -> tuple[DataFrame, DataFrame]:
+    """Batches as vertices (keys, part, place, x, y, z) and triangles (keys, part, tri_key, i, j, k, normal).
+
+    Corners that are the same point of a batch are one vertex, numbered in order by counted ranges.  A batch of more than ``most``
+    vertices, or of more than twice as many triangles, goes in parts of as many triangles (in the order of their corners)
+    as can't have more.  Triangles are (keys, tri_key, a, b, c) with corners (x, y, z).
+    """
+    own = triangles.select(*keys, tri_key, "a", "b", "c")
+    size = own.select(*keys, F.explode(F.array("a", "b", "c")).alias("v")).groupBy(*keys).agg(F.count_distinct("v").alias("_v")).join(own.groupBy(*keys).agg(F.count("*").alias("_t")), keys)
+    each = F.when(F.col("_v") > most, most // 3).otherwise(2 * most)
+    crowded = size.filter((F.col("_v") > most) | (F.col("_t") > 2 * most)).select(*keys, each.alias("_each"))
+    numbered = ranges.number_within(own.join(crowded, keys), keys, ["a", "b", "c", tri_key], "_n")
+    split = numbered.select(*own.columns, F.floor((F.col("_n") - 1) / F.col("_each")).cast("long").alias("part"))
+    own = cut(split.unionByName(own.join(crowded, keys, "left_anti").withColumn("part", F.lit(0).cast("long"))))
+    batch = [*keys, "part"]
+    corners = own.select(*batch, tri_key, F.posexplode(F.array("a", "b", "c")).alias("_at", "v"))
+    vertices = cut(ranges.number_within(corners.select(*batch, "v").distinct(), batch, ["v"], "place").withColumn("place", F.col("place") - 1))
+    named = corners.join(vertices, [*batch, "v"]).groupBy(*batch, tri_key).agg(*[F.max(F.when(F.col("_at") == n, F.col("place"))).alias(c) for n, c in enumerate("ijk")])
+    normals = own.select(*batch, tri_key, facet_normal(F.col("a"), F.col("b"), F.col("c")).alias("normal"))
+    return vertices.select(*batch, "place", "v.*"), named.join(normals, [*batch, tri_key])
+
+
+def decoded(vertices: DataFrame, triangles: DataFrame, keys: list[str], tri_key: str) -> DataFrame:
+    """(keys, tri_key, a, b, c): the corners that the indices of batches name."""
+    batch = [*keys, "part"]
+    d = triangles.select(*batch, tri_key, F.posexplode(F.array("i", "j", "k")).alias("_at", "place"))
+    d = d.join(vertices.select(*batch, "place", F.struct("x", "y", "z").alias("v")), [*batch, "place"])
+    return d.groupBy(*keys, tri_key).agg(*[F.max(F.when(F.col("_at") == n, F.col("v"))).alias(c) for n, c in enumerate("abc")])

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from floorspan.operators import walls
+from floorspan.functions.lookups import role_of_category
+from floorspan.operators import scene, walls
 from floorspan.plans.registry import query
 from floorspan.session import cut
 
@@ -72,3 +73,28 @@ def g25_wall_panels(room: DataFrame, side: DataFrame, door: DataFrame, level: Da
     """The walls of all units as panels, full ones and headers over their openings."""
     _, edges, _, cuts = _hosted(room, door)
     return walls.panels(edges, cuts, level.select("level_id", (F.col("ordinal") * 4000).cast("long").alias("z")))
+
+
+_INDEXED = """+c AS (SELECT level_key, CASE category WHEN 'Floors' THEN 'walkable' ELSE 'structure' END AS role, object_id * 2 + CASE WHEN y2 <> y1 THEN 1 ELSE 0 END AS tri, {'x': x1, 'y': y1, 'z': z1} AS a, {'x': x2, 'y': y2, 'z': z2} AS b, {'x': x3, 'y': y3, 'z': z3} AS c FROM v_tri),
+  v AS (SELECT DISTINCT level_key, role, unnest([a, b, c]) AS v FROM c), n AS (SELECT *, row_number() OVER (PARTITION BY level_key, role ORDER BY v.x, v.y, v.z) - 1 AS place FROM v),
+  t AS (SELECT c.level_key, c.role, c.tri, i.place AS i, j.place AS j, k.place AS k FROM c JOIN n i ON c.level_key = i.level_key AND c.role = i.role AND c.a = i.v JOIN n j ON c.level_key = j.level_key AND c.role = j.role AND c.b = j.v JOIN n k ON c.level_key = k.level_key AND c.role = k.role AND c.c = k.v)"""
+
+
+def _indexed(tri: DataFrame) -> tuple[DataFrame, DataFrame]:
+    point = lambda i: F.struct(*[F.col(f"{k}{i}").alias(k) for k in "xyz"])
+    key = F.col("object_id") * 2 + F.when(F.col("y2") != F.col("y1"), 1).otherwise(0)
+    d = tri.select("level_key", role_of_category(F.col("category")).alias("role"), key.alias("tri"), point(1).alias("a"), point(2).alias("b"), point(3).alias("c"))
+    return scene.indexed(d, ["level_key", "role"], "tri")
+
+
+@query("G26", "v_tri", _INDEXED + " SELECT level_key, role, CAST(0 AS BIGINT) AS part, tri, i, j, k, 0e0 AS nx, 0e0 AS ny, 1e0 AS nz FROM t")
+def g26_index_buffers(tri: DataFrame) -> DataFrame:
+    """Triangles of each level and role as indices of its vertices, with facet normals."""
+    _, triangles = _indexed(tri)
+    return triangles.select("level_key", "role", "part", "tri", "i", "j", "k", *[F.col(f"normal.{c}").alias(f"n{c}") for c in "xyz"])
+
+
+@query("G26", "v_tri", _INDEXED + " SELECT level_key, role, CAST(0 AS BIGINT) AS part, place, v.x AS x, v.y AS y, v.z AS z FROM n")
+def g26_vertex_buffers(tri: DataFrame) -> DataFrame:
+    """The vertices of each level and role, numbered in order."""
+    return _indexed(tri)[0]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floorspan.functions import geo
-from floorspan.operators import graph, relational
+from floorspan.operators import building, graph, relational
 from floorspan.plans.registry import query
 from floorspan.plans.scalars import _HAV
 
@@ -215,11 +215,19 @@ def c28_network_diff(n: DataFrame) -> DataFrame:
     return relational.difference(n, after, "node_id", F.col("b.lon") != F.col("a.lon"))
 
 
-@query("C29", "lineitem", """+p AS (SELECT l_orderkey * 10 + l_linenumber AS path_id, l_suppkey % 40 AS f, l_partkey % 40 AS t FROM lineitem WHERE l_suppkey % 40 <> l_partkey % 40), n AS (SELECT *, row_number() OVER (PARTITION BY f, t ORDER BY path_id) AS k FROM p)
-  SELECT min(path_id) AS path_id, max(path_id) AS partner_id FROM n GROUP BY least(f, t), greatest(f, t), k HAVING count(*) = 2 AND min(path_id) < max(path_id)""")
+@query("C29", "events", """+p AS (SELECT event_id AS place, user_id % 5 AS path_id, event_id * 7 % 11 % 5 AS back_id, user_id % 3 AS from_id, event_id % 2 AS to_id FROM events),
+  g AS (SELECT *, least(struct_pack(a := path_id, b := back_id, c := from_id, d := to_id), struct_pack(a := back_id, b := path_id, c := to_id, d := from_id)) AS g, path_id = back_id AND from_id = to_id AS own FROM p),
+  q AS (SELECT *, g = struct_pack(a := path_id, b := back_id, c := from_id, d := to_id) AS there, row_number() OVER (PARTITION BY g ORDER BY place) AS k FROM g),
+  w(g, k, stack, side, slot, other) AS (SELECT g, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), true, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM (SELECT DISTINCT g FROM q) UNION ALL
+    SELECT q.g, q.k, CASE WHEN len(stack) > 0 AND (own OR side <> there) THEN stack[:-2] ELSE list_append(stack, place) END, CASE WHEN len(stack) > 0 AND (own OR side <> there) THEN side ELSE there END,
+      CASE WHEN len(stack) > 0 AND (own OR side <> there) THEN stack[-1] END, CASE WHEN len(stack) > 0 AND (own OR side <> there) THEN place END FROM w JOIN q ON q.g = w.g AND q.k = w.k + 1),
+  m AS (SELECT slot, other FROM w WHERE slot IS NOT NULL),
+  s AS (SELECT p.place AS slot, m.other, path_id, back_id FROM p LEFT JOIN m ON p.place = m.slot WHERE p.place NOT IN (SELECT other FROM m))
+  SELECT CASE WHEN other IS NOT NULL AND back_id < path_id THEN other ELSE slot END AS place, slot, CASE WHEN other IS NULL THEN NULL WHEN back_id < path_id THEN slot ELSE other END AS partner, row_number() OVER (PARTITION BY least(path_id, back_id), greatest(path_id, back_id) ORDER BY slot) > 1 AS clash FROM s""", recursive=True)
 def c29_reciprocal_pairs(d: DataFrame) -> DataFrame:
-    p = d.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("path_id"), (F.col("l_suppkey") % 40).alias("from_id"), (F.col("l_partkey") % 40).alias("to_id"))
-    return graph.reciprocal_pairs(p.filter("from_id <> to_id"))
+    """Paths there and back that name each other, the last waiting one first, with unequal numbers of both; the smaller path_id stays."""
+    k = F.col("event_id")
+    return building.pair_paths(d.select(k.alias("place"), (F.col("user_id") % 5).alias("path_id"), (k * 7 % 11 % 5).alias("back_id"), (F.col("user_id") % 3).alias("from_id"), (k % 2).alias("to_id")))
 
 
 @query("C21", "v_node v_unit")
