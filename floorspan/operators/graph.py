@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from floorspan.functions.text import in_day_window
-from floorspan.session import cut, ship
+from floorspan.session import cut, drop, ship
 
 
 @dataclass(frozen=True)
@@ -112,14 +112,15 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     both = edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))
     both = cut(both.union(both.select("b", "a")).distinct())
-    labels = cut(nodes.select(F.col("node_id").alias("id"), F.col("node_id").alias("label")))
+    labels = held = cut(nodes.select(F.col("node_id").alias("id"), F.col("node_id").alias("label")))
     while True:
         around = both.join(labels.select(F.col("id").alias("b"), F.col("label").alias("l")), "b").groupBy("a").agg(F.min("l").alias("l"))
         new = labels.join(around, labels["id"] == around["a"], "left").select("id", "label", F.least("label", F.coalesce("l", "label")).alias("l"))
         jump = new.select(F.col("id").alias("l"), F.col("l").alias("ll"))
-        new = cut(new.join(jump, "l", "left").select("id", F.coalesce("ll", "l").alias("new"), "label"))
-        changed = new.filter("new <> label").limit(1).count()
-        labels = new.select("id", F.col("new").alias("label"))
+        old, held = held, cut(new.join(jump, "l", "left").select("id", F.coalesce("ll", "l").alias("new"), "label"))
+        drop(old)
+        changed = held.filter("new <> label").limit(1).count()
+        labels = held.select("id", F.col("new").alias("label"))
         if not changed:
             return labels.select(F.col("id").alias("node_id"), F.col("label").alias("component"))
 

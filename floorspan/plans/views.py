@@ -79,6 +79,10 @@ VIEWS: dict[str, str] = {
         UNION ALL SELECT unit_id, level_id, height, platform, x, y, x, y + 3000 FROM {v_room}""",
     "v_door": """SELECT unit_id AS opening_id, level_id, x + CASE unit_id % 4 WHEN 0 THEN 1600 WHEN 1 THEN 4000 + (p_size % 9 - 4) * 55 ELSE 3000 END AS px, y + CASE unit_id % 4 WHEN 0 THEN (p_size % 9 - 4) * 55 WHEN 1 THEN 500 + p_size * 10 ELSE -100 END AS py,
         x + CASE unit_id % 4 WHEN 0 THEN 2400 + p_size % 5 * 100 WHEN 1 THEN 4000 + (p_size % 9 - 4) * 55 ELSE 4600 END AS qx, y + CASE unit_id % 4 WHEN 0 THEN (p_size % 9 - 4) * 55 WHEN 1 THEN 1400 + p_size * 10 ELSE 100 END AS qy FROM {v_room} WHERE unit_id % 4 <> 3""",
+    "v_mid": """SELECT p_partkey AS node_id, p_partkey % 5 AS floor, CAST(floor(p_partkey / 5) AS BIGINT) AS j, CAST(floor(p_partkey / 5) AS BIGINT) % 40 * 1.2e0 + p_size % 5 * 0.1e0 AS x, CAST(floor(p_partkey / 200) AS BIGINT) * 1.9e0 + p_size % 7 * 0.1e0 AS y,
+        0.5e0 + p_size % 10 * 0.3e0 AS clearance, p_size % 8 = 0 AS endcap, p_size FROM {part}""",
+    "v_midline": """SELECT a.node_id AS from_id, b.node_id AS to_id FROM {v_mid} a JOIN {v_mid} b ON b.node_id = a.node_id + 5 WHERE a.j % 17 <> 16 AND a.j % 40 <> 39 AND a.p_size % 9 <> 0
+        UNION ALL SELECT a.node_id, b.node_id FROM {v_mid} a JOIN {v_mid} b ON b.node_id = a.node_id + 200 WHERE a.j % 10 = 3 AND a.p_size % 3 <> 0""",
     "v_layer": """SELECT p_partkey AS id, 'Station_' || CAST(p_partkey % 3 AS STRING) || '_' || CASE p_partkey % 6 WHEN 0 THEN 'B1' WHEN 1 THEN '2' WHEN 2 THEN 'R' WHEN 3 THEN '0' WHEN 4 THEN 'M2' ELSE 'F3' END || '_' ||
         CASE p_partkey % 9 WHEN 0 THEN 'Floor' WHEN 1 THEN 'Space' WHEN 2 THEN 'Drawing' WHEN 3 THEN 'unit' WHEN 4 THEN 'opening' WHEN 5 THEN 'fixture' WHEN 6 THEN 'to_x_Drawing' WHEN 7 THEN 'Facility' ELSE 'misc' END AS layer,
         p_size, p_brand FROM {part}""",

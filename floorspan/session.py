@@ -41,9 +41,25 @@ def checkpoint_ready(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder."""
-    checkpoint_ready(df.sparkSession)
-    return df.checkpoint()
+    """Cut the lineage by a table in the shared checkpoint folder.
+
+    What is read has the size of its files, whatever it was made of: after ``checkpoint()`` a frame keeps the planner's estimate, which
+    multiplies with each join, so that loops of joins soon plan for numbers of millions of digits and never broadcast anything.
+    """
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._floorspan_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the table that ``cut`` has made of a frame, once nothing reads it any more."""
+    path = getattr(df, "_floorspan_path", None)
+    if path is not None:
+        sc = df.sparkSession.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def scratch(spark: SparkSession) -> str:
