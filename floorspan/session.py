@@ -13,8 +13,16 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of the batches that go to Python workers, where the session has Spark's own 64 MB: buffers of that size, held several
+#: times over on either side, are much of an executor's memory.
+ARROW_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608b")
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the workers of a context, once; Spark's file server hands it to each executor."""
+    name, default, own = ARROW_BYTES
+    if spark.conf.get(name, None) == default:
+        spark.conf.set(name, own)
     sc = spark.sparkContext
     if getattr(sc, "_floorspan_shipped", False):
         return
