@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from floorspan.llm._common import Stored, id_remainder, small
+from floorspan.llm._common import Stored, give_back, id_remainder, small
 from floorspan.session import ship
 
 
@@ -48,6 +48,7 @@ def from_texts(rows: DataFrame, schema: str, step: Callable[[pa.RecordBatch], It
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             yield from step(batch)
+        give_back()
 
     ship(rows.sparkSession)
     return rows.mapInArrow(run, schema).toArrow()

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floorspan.llm._chars import SPACE, codes, grams, groups, sums
-from floorspan.llm._common import by_batch, id_remainder, keep_rows, small, table
+from floorspan.llm._common import by_batch, give_back, id_remainder, keep_rows, small, table
 from floorspan.llm._labelled import from_texts, not_fifth, sample
 from floorspan.session import ship
 
@@ -100,7 +100,7 @@ class Model:
 
 def presence(bags_: Iterator[np.ndarray], labels: np.ndarray, folds: np.ndarray) -> np.ndarray:
     """How many documents of each (fold, label) have each bucket; and, one place beyond the buckets, how many there are."""
-    out = np.zeros((FOLDS, 2, (1 << BITS) + 1), dtype=np.int64)
+    out = np.zeros((FOLDS, 2, (1 << BITS) + 1), dtype=np.int32)
     for b, y, f in zip(bags_, labels, folds, strict=True):
         out[f, y, b] += 1
         out[f, y, -1] += 1
@@ -125,11 +125,21 @@ def strengths(found: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
+def _edges(sorted_: np.ndarray) -> np.ndarray:
+    """Where each run of equal numbers begins."""
+    return np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1]))) if len(sorted_) else np.empty(0, dtype=np.int64)
+
+
 class Shares:
-    """A sparse matrix of shares: the entries' rows (in order), columns and values."""
+    """A sparse matrix of shares: the entries' rows (in order), columns and values, held in the order of the columns as well."""
 
     def __init__(self, row: np.ndarray, column: np.ndarray, value: np.ndarray, shape: tuple[int, int]):
         self.row, self.column, self.value, self.shape = row, column, value, shape
+        self._rows = _edges(row)
+        by = np.argsort(column, kind="stable")
+        self._row_by, self._value_by, ordered = row[by], value[by], column[by]
+        self._columns = _edges(ordered)
+        self._row_ids, self._column_ids = row[self._rows], ordered[self._columns]
 
     @classmethod
     def of(cls, rows: list[tuple[np.ndarray, np.ndarray]], width: int) -> Shares:
@@ -147,12 +157,18 @@ class Shares:
 
     def times(self, v: np.ndarray) -> np.ndarray:
         """A sum for each row."""
-        return np.bincount(self.row, self.value * v[self.column], self.shape[0])
+        out = np.zeros(self.shape[0])
+        if len(self.row):
+            out[self._row_ids] = np.add.reduceat(self.value * v.astype(np.float32)[self.column], self._rows)
+        return out
 
     def under(self, v: np.ndarray, squared: bool = False) -> np.ndarray:
         """A sum for each column, of the values or of their squares."""
-        value = self.value * self.value if squared else self.value
-        return np.bincount(self.column, value * v[self.row], self.shape[1])
+        out = np.zeros(self.shape[1])
+        if len(self.row):
+            value = self._value_by * self._value_by if squared else self._value_by
+            out[self._column_ids] = np.add.reduceat(value * v.astype(np.float32)[self._row_by], self._columns)
+        return out
 
 
 def train_jointly(x: Shares, y: np.ndarray, dim: int = DIM, steps: int = 200, rate: float = 0.5, seed: int = 7) -> np.ndarray:
@@ -262,12 +278,14 @@ def _fit_rows(rows: DataFrame, sizes: dict[int, int]) -> Model:
     wide = (1 << BITS) + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros((FOLDS, 2, wide), dtype=np.int64)
+        found = np.zeros((FOLDS, 2, wide), dtype=np.int32)
         for batch in small(batches):
             found += presence((b for b, _ in bags(batch.column(2).to_pylist())), batch.column(0).to_numpy(), batch.column(1).to_numpy())
         flat = found.reshape(-1)
         used = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(flat[used])], ["k", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(flat[used].astype(np.int64))], ["k", "n"])
+        del found, flat, used
+        give_back()
 
     ship(rows.sparkSession)
     # one row for each bucket that LEAST_DOCS documents have, at most 2 ** BITS + 1
