@@ -64,26 +64,43 @@ def type_rank(feature_type: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, FEATURE_TYPES)), feature_type).cast("int") - 1
 
 
-def slug(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-|-$", "")
+def slug(text: Column, empty: str = "venue") -> Column:
+    """Letters and digits of the compatibility decomposition in lower case, runs of all else as hyphens; ``empty`` if nothing is left."""
+    found = F.regexp_replace(F.regexp_replace(F.lower(normalized(text, "NFKD")), "[^a-z0-9]+", "-"), "^-|-$", "")
+    return F.when(found == "", empty).otherwise(found)
 
 
 def search_text(text: Column) -> Column:
-    """Lower case, single spaces, trimmed.  Compatibility forms beyond full-width ASCII need ``nfkc``."""
-    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
-    thin = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " "
-    return F.trim(F.regexp_replace(F.lower(F.translate(text, wide, thin)), r"\s+", " "))
+    """Compatibility forms composed, lower case, single spaces, trimmed."""
+    return F.trim(F.regexp_replace(F.lower(nfkc(text)), r"\s+", " "))
 
 
-def nfkc(text: Column) -> Column:
-    """Compatibility normalization, which Spark has no function for: an Arrow function over batches."""
+def normalized(text: Column, form: str) -> Column:
+    """Unicode normalization, which Spark has no function for: an Arrow function over batches, for texts beyond ASCII alone."""
+
     @F.pandas_udf("string")
     def normalize(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+        return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize(form, x))
 
     return normalize(text)
 
 
+def nfkc(text: Column) -> Column:
+    return normalized(text, "NFKC")
+
+
+#: Fixed value: characters that a body may have.
+MOST_CHARACTERS = 4000
+
+
+def markdown_fault(text: Column, most: int = MOST_CHARACTERS) -> Column:
+    """Why a body isn't valid, null if it is: control characters but tab and line feed, no or too many characters, white space alone."""
+    t = F.regexp_replace(text, "\r\n?", "\n")
+    control = t.rlike(r"[\x00-\x08\x0B-\x1F\x7F-\x9F]")
+    size = F.length(t)
+    return F.when(control, "disallowed control character").when((size < 1) | (size > most), "length").when(~t.rlike(r"[^\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"), "whitespace-only")
+
+
 def summary(markdown: Column, most: int = 80) -> Column:
     """The first line with text once images are gone, cut to ``most`` characters."""
     lines = F.transform(F.split(F.regexp_replace(markdown, r"!\[[^\]]*\]\([^)]*\)", ""), r"\r?\n"), lambda x: F.trim(x))

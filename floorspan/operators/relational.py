@@ -16,6 +16,21 @@ def latest_per(df: DataFrame, key: str, order: str, *columns: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("_x")).select(key, "_x.*")
 
 
+#: Durations that an estimate goes by, and their nearest-rank percentile.
+RECENT, RANK = 20, 0.75
+
+
+def expected_seconds(groups: DataFrame, durations: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
+    """(key, seconds, from_all) of each group: the percentile of its RECENT last durations, else of the last of all; null without any."""
+    latest = [F.col(o).desc() for o in order]
+    at = F.expr(f"percentile_disc({RANK}) WITHIN GROUP (ORDER BY {value})")  # of RECENT values at most
+    own = durations.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(*latest))).filter(F.col("_k") <= RECENT).groupBy(key).agg(at.alias("_own"))
+    all_ = durations.orderBy(*latest).limit(RECENT).agg(at.alias("_all"))
+    d = groups.select(key).join(own, key, "left").join(F.broadcast(all_))  # one row
+    seconds = F.coalesce("_own", "_all")
+    return d.select(key, F.greatest(F.lit(1), F.round(seconds)).cast("long").alias("seconds"), F.col("_own").isNull().alias("from_all"))
+
+
 def missing(needed: DataFrame, present: DataFrame, key: str) -> DataFrame:
     return needed.join(present, key, "left_anti")
 

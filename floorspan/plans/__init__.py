@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("scalars", "joins", "aggregates", "ordering", "spatial", "mutation", "imports", "streams", "lookups", "scenes", "routes", "venues", "stores", "builds", "compiling", "centerlines")
+MODULES = ("scalars", "joins", "aggregates", "ordering", "spatial", "mutation", "imports", "streams", "lookups", "scenes", "routes", "venues", "stores", "builds", "compiling", "centerlines", "references")
 
 
 def all_queries():

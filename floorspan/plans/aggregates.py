@@ -49,6 +49,15 @@ def d07_next_sequence(n: DataFrame, v: DataFrame) -> DataFrame:
     return n.select(F.col("id").alias("venue_id")).join(top, "venue_id", "left").select("venue_id", (F.coalesce("seq", F.lit(0)) + 1).cast("long").alias("next_seq"))
 
 
+@query("D8", "v_job", """+d AS (SELECT * FROM v_job WHERE status = 'done' AND version_id % 7 <> 3 AND value > 0), r AS (SELECT version_id, value FROM d QUALIFY row_number() OVER (PARTITION BY version_id ORDER BY created_at DESC, id DESC) <= 20),
+  o AS (SELECT version_id, quantile_disc(value, 0.75) AS p FROM r GROUP BY 1), g AS (SELECT quantile_disc(value, 0.75) AS p FROM (SELECT value FROM d ORDER BY created_at DESC, id DESC LIMIT 20))
+  SELECT v.version_id, CAST(greatest(1, round(coalesce(o.p, g.p))) AS BIGINT) AS seconds, o.p IS NULL AS from_all FROM (SELECT DISTINCT version_id FROM v_job) v LEFT JOIN o USING (version_id), g""")
+def d08_expected_seconds(d: DataFrame) -> DataFrame:
+    """How long a version's next job may take, by its last 20 durations; versions without any go by the last 20 of all."""
+    done = d.filter("status = 'done' and version_id % 7 <> 3 and value > 0")
+    return relational.expected_seconds(d.select("version_id").distinct(), done, "version_id", "value", ["created_at", "id"])
+
+
 @query("D8 E13", "v_job", """+r AS (SELECT version_id, value FROM v_job WHERE status = 'done' QUALIFY row_number() OVER (PARTITION BY version_id ORDER BY created_at DESC, id DESC) <= 20)
   SELECT version_id, CAST(greatest(1, round(quantile_disc(value, 0.75))) AS BIGINT) AS seconds FROM r GROUP BY 1""")
 def d08_recent_duration_p75(d: DataFrame) -> DataFrame:

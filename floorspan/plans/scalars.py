@@ -80,15 +80,28 @@ def f11_label_reduce_and_agree(d: DataFrame) -> DataFrame:
     return d.select("id", floors.reduce_label(F.col("label")).alias("whole"), F.arrays_overlap(floors.label_candidates(F.col("label")), other).alias("agrees"))
 
 
-@query("F12 F16", "part", "SELECT p_partkey AS id, trim(regexp_replace(lower('  ' || p_name || '   ' || p_type || ' '), '\\s+', ' ', 'g')) AS search_text, regexp_replace(regexp_replace(regexp_replace(lower(p_name || ' / ' || p_brand), '[^a-z0-9]+', '-', 'g'), '^-', ''), '-$', '') AS slug FROM part")
+@query("F12 F16", "part", """SELECT p_partkey AS id, trim(regexp_replace(lower('  ' || p_name || '   ' || p_type || ' fi1kg カ゚f3 '), '\\s+', ' ', 'g')) AS search_text,
+  CASE WHEN p_partkey % 50 = 0 THEN 'venue' ELSE regexp_replace(regexp_replace(regexp_replace(lower(p_name || ' / ' || p_brand || ' cafe zu rich fi'), '[^a-z0-9]+', '-', 'g'), '^-', ''), '-$', '') END AS slug FROM part""")
 def f12_search_text_and_slug(d: DataFrame) -> DataFrame:
+    """Ligatures, circled and full-width forms and accents, which normalization takes apart."""
+    name = F.when(F.col("p_partkey") % 50 == 0, "日本").otherwise(F.concat_ws(" / ", "p_name", F.concat("p_brand", F.lit(" Café Zürich ﬁ"))))
     return d.select(
         F.col("p_partkey").alias("id"),
-        text.search_text(F.concat(F.lit("  "), "p_name", F.lit("   "), "p_type", F.lit(" "))).alias("search_text"),
-        text.slug(F.concat_ws(" / ", "p_name", "p_brand")).alias("slug"),
+        text.search_text(F.concat(F.lit("  "), "p_name", F.lit("   "), "p_type", F.lit("\u3000ﬁ①㎏ ｶﾟＦ３ "))).alias("search_text"),
+        text.slug(name).alias("slug"),
     )
 
 
+@query("F18", "documents", """+b AS (SELECT doc_id AS id, CASE doc_id % 6 WHEN 0 THEN text || chr(7) WHEN 1 THEN E' \\r\\n\\t' || chr(12288) || ' ' WHEN 2 THEN '' WHEN 3 THEN E'a\\r\\n' || text ELSE text END AS t FROM documents),
+  c AS (SELECT id, regexp_replace(t, E'\\r\\n?', E'\\n', 'g') AS t FROM b)
+  SELECT id, CASE WHEN regexp_matches(t, '[\\x00-\\x08\\x0B-\\x1F\\x7F-\\x{9F}]') THEN 'disallowed control character' WHEN length(t) < 1 OR length(t) > 4000 THEN 'length' WHEN NOT regexp_matches(t, '[^\\s\\x{3000}]') THEN 'whitespace-only' END AS fault FROM c""")
+def f18_markdown_faults(d: DataFrame) -> DataFrame:
+    """Why a body isn't valid: control characters, its length, white space alone."""
+    k = F.col("doc_id") % 6
+    t = F.when(k == 0, F.concat("text", F.lit("\x07"))).when(k == 1, " \r\n\t\u3000 ").when(k == 2, "").when(k == 3, F.concat(F.lit("a\r\n"), "text")).otherwise(F.col("text"))
+    return d.select(F.col("doc_id").alias("id"), text.markdown_fault(t).alias("fault"))
+
+
 _LABELS = """+m AS (SELECT c_custkey AS id, c_custkey % 16 AS k, c_name AS v, CASE c_custkey % 5 WHEN 0 THEN 'en' WHEN 1 THEN 'ja' WHEN 2 THEN 'de' WHEN 3 THEN 'FR-ca' ELSE 'EN-gb' END AS locale,
     CASE c_custkey % 3 WHEN 0 THEN 'FR-be' WHEN 1 THEN 'zh' END AS manifest FROM customer),
   e AS (SELECT id, locale, manifest, unnest([{'i': 'ja-JP', 'v': CASE WHEN k & 1 > 0 THEN 'j' || v ELSE '' END}, {'i': 'en-US', 'v': CASE WHEN k & 2 > 0 THEN 'e' || v ELSE '' END}, {'i': 'fr-CA', 'v': CASE WHEN k & 4 > 0 THEN 'f' || v ELSE '' END}, {'i': 'Zh-TW', 'v': CASE WHEN k & 8 > 0 THEN 'z' || v ELSE '' END}]) AS x FROM m),
@@ -110,7 +123,7 @@ def f14_localized_pick(d: DataFrame) -> DataFrame:
     return d.select("id", "label", F.coalesce("label", F.col("id").cast("string")).alias("shown"), F.size("m").alias("n"), text.has_language(F.col("m"), "fr").alias("has_french"))
 
 
-@query("F17 F18 F19", "documents", """+b AS (SELECT doc_id AS id, E'  \\n![x](attachment:' || CAST(doc_id % 7 AS VARCHAR) || E'-a)\\r\\n' || text AS t FROM documents),
+@query("F17 F19", "documents", """+b AS (SELECT doc_id AS id, E'  \\n![x](attachment:' || CAST(doc_id % 7 AS VARCHAR) || E'-a)\\r\\n' || text AS t FROM documents),
   l AS (SELECT id, t, list_filter(list_transform(string_split(regexp_replace(regexp_replace(t, '!\\[[^\\]]*\\]\\([^)]*\\)', '', 'g'), E'\\r\\n', E'\\n', 'g'), E'\\n'), lambda x: trim(x)), lambda x: x <> '') AS lines FROM b)
   SELECT id, substr(lines[1], 1, 80) AS summary, length(regexp_replace(t, E'\\r\\n?', E'\\n', 'g')) AS n, list_distinct(regexp_extract_all(t, '!\\[[^\\]]*\\]\\(attachment:([0-9a-z-]+)\\)', 1)) AS ids FROM l""")
 def f17_issue_summary(d: DataFrame) -> DataFrame:
