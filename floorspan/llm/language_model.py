@@ -12,7 +12,9 @@ training text once, in ``ROUNDS`` of growing disjoint shares: in a round each ta
 the same weights, by back-propagation truncated to windows of ``STEPS`` words with the state carried from
 window to window, and the tasks' weights are averaged in two levels by Spark, weighed by words (a fixed number
 of floats for each task, never gathered in one place).  Scoring carries the state of every text across windows
-from its first word to its end, many texts side by side.
+from its first word to its end, many texts side by side.  As tasks train alone within a round, the weights depend on how the
+rows are dealt to tasks: the same files read with the same settings give the same weights, another split gives others (about
+0.09 decimal logarithms a token apart at 200 texts, less with more).
 
 Counts of the ``KNOWN`` most frequent words (of at most 40 bytes) are broadcast; all other words leave the
 scoring pass as (row, word, times) and meet the full count table in a join.
@@ -383,7 +385,9 @@ def train_round(texts: DataFrame, sent_vocab, flat: np.ndarray, rate: float) ->
                     held, size = [], 0
         if held:
             trainer.train(np.concatenate(held), vocab.end)
-        if trainer.words and np.isfinite(trainer.flat).all():
+        if trainer.words:
+            if not np.isfinite(trainer.flat).all():
+                raise FloatingPointError("training left the weights of a task without finite values")
             task = TaskContext.get().partitionId()
             vectors = [trainer.flat[i * block : (i + 1) * block].astype(np.float64) * trainer.words for i in range(BLOCKS)]
             yield pa.RecordBatch.from_arrays(
