@@ -7,7 +7,8 @@ and the k of them that the cutoff would reject give the exact binomial probabili
 A cutoff passes where that is at most delta divided by the number of tests (Bonferroni over all rules,
 strata and cutoffs), so that with probability 1 - delta every passing cutoff rejects fewer than alpha of the
 good texts of its stratum; the strictest passing one is used.  A stratum with too few good texts to show this
-for a rule has no cutoff for it, and the rule rejects nothing there.
+for a rule has no cutoff for it, and the rule rejects nothing there: with the values below, a stratum needs about 2,050 good
+texts (of which none is rejected), so that small tables get no cutoff at all.
 
 Repeated 8-word windows are found inside each row: word hashes are paired to hashes of 2, 4 and 8 words, and
 only rows with a repeated hash sort theirs.  Nothing but the narrow counts leaves a row, and those are cut

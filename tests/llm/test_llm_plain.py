@@ -4,6 +4,7 @@ import math
 import random
 import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -357,6 +358,23 @@ def test_many_strata_and_a_tie_at_the_cutoff(spark):
     assert out.filter("not kept").count() == 0  # a quarter of the good rows ties at 0.05 symbols a word: none may go
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").is_dir(), reason="needs the given tables")
+def test_cutoffs_that_pass_equal_sql(spark):
+    """On a table that has enough good texts for cutoffs, all verdicts are those of SQL."""
+    import duckdb
+
+    from floorspan.llm.registry import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.1/{t}.parquet'")
+    want = con.execute(ORACLE_SQL["op10_quality_rules"])
+    names = [d[0] for d in want.description]
+    got = [tuple(r) for r in QUERIES["op10_quality_rules"](spark, "/root/testdata/sf0.1").select(names).collect()]
+    assert sum(r[names.index("rules_hit")] != "" for r in got) > 100  # cutoffs are at work
+    assert sorted(map(repr, got)) == sorted(map(repr, want.fetchall()))
+
+
 def test_a_broken_import_is_no_missing_subpackage():
     assert __spark_entry__.llm is not None and {"op1_lm_score", "pipeline"} <= set(__spark_entry__.queries())
     assert "floorspan.llm" in sys.modules
