@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floorspan.functions import geo
+from floorspan.operators.nearest import cells_of, closest_point
 from floorspan.session import cut, ship
 
 Box = tuple[float, float, float, float]
@@ -184,3 +185,28 @@ def smooth_on_floors(routes: DataFrame, parts: DataFrame, slices: int = 64) -> D
 
     schema = f"route_id {kind('route_id')}, segment int, ordinal {kind('ordinal')}, n_points int, points array<struct<x: double, y: double>>"
     return dealt.groupBy("ordinal", "_s").cogroup(floor.groupBy("_o", "_slice")).applyInPandas(lambda k, a, b: run(k, a, b), schema)
+
+
+#: Fixed value: a point of a route that is nearer to the boundary of an area hugs the wall.
+NEAR_WALL_M = 0.6
+
+
+def near_walls(points: DataFrame, parts: DataFrame, key: list[str], most: float = NEAR_WALL_M, cell: float = 4.0) -> DataFrame:
+    """The keys of the points (key, ordinal, x, y) less than ``most`` from the boundary of an area of their floor, and not within LOCK_M of a lock.
+
+    Sides of the areas' rings are sent to the cells that they reach into and those around, locks to the nine around theirs.
+    """
+    if cell < max(most, LOCK_M):
+        raise ValueError(f"cells are at least {max(most, LOCK_M)} m wide")
+    n = F.size("ring")
+    side = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(F.col("ring"), i).alias("p"), F.get(F.col("ring"), (i + 1) % n).alias("q")))
+    sides = parts.filter("part = 'area'").filter(n > 1).select("ordinal", F.explode(side).alias("s")).select("ordinal", *[F.col(f"s.{e}.{c}").alias(f"{c}{i}") for i, e in ((1, "p"), (2, "q")) for c in "xy"])
+    sides = sides.withColumn("_c", F.explode(cells_of(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), cell, 1)))
+    at = lambda i=0, j=0: F.struct((F.floor(F.col("x") / cell) + i).alias("x"), (F.floor(F.col("y") / cell) + j).alias("y"))
+    locks = parts.filter("part = 'lock'").select("ordinal", F.explode(F.array(*[at(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("_c"), F.col("x").alias("lx"), F.col("y").alias("ly"))
+    here = points.select(*key, "ordinal", "x", "y").withColumn("_c", at())
+    apart = lambda a, b: F.sqrt((F.col("x") - a) * (F.col("x") - a) + (F.col("y") - b) * (F.col("y") - b))
+    met = here.join(sides, ["ordinal", "_c"]).withColumn("near", closest_point(*map(F.col, ("x", "y", "x1", "y1", "x2", "y2"))))
+    walled = met.filter(apart(F.col("near.x"), F.col("near.y")) < most).select(*key).distinct()
+    exempt = here.join(locks, ["ordinal", "_c"]).filter(apart(F.col("lx"), F.col("ly")) < LOCK_M).select(*key).distinct()
+    return walled.join(exempt, key, "left_anti")

@@ -181,6 +181,20 @@ def d20_smoothing_quality(node: DataFrame, unit: DataFrame, level: DataFrame) ->
     return d.select("segments", F.round(F.col("left_points") / F.col("raw_points"), 6).alias("vertex_retention"), F.round(F.col("m") / F.col("raw_m"), 6).alias("length_ratio"))
 
 
+@query("D20", "v_node v_unit v_level", f"""+{_BOXES}, k AS (SELECT *, CASE WHEN unit_id % 15 = 2 THEN 'lock' WHEN unit_id % 15 IN (7, 8) THEN 'none' WHEN category IN ({_WALK}) THEN 'area' WHEN category IN ('elevator', 'escalator', 'stairs') THEN 'lock' ELSE 'none' END AS part FROM b),
+  p AS (SELECT node_id, ordinal, floor(node_id / 40) AS route, (lon - 139.76) * 9e4 + 1 AS px, (lat - 35.68) * 1.1e5 + 1 AS py, count(*) OVER (PARTITION BY ordinal, floor(node_id / 40)) AS n FROM v_node),
+  d AS (SELECT p.*, EXISTS (SELECT 1 FROM k WHERE k.ordinal = p.ordinal AND part = 'area' AND CASE WHEN px > west AND px < east AND py > south AND py < north THEN least(px - west, east - px, py - south, north - py)
+      ELSE sqrt(power(greatest(west - px, 0, px - east), 2) + power(greatest(south - py, 0, py - north), 2)) END < 0.6) AND NOT EXISTS (SELECT 1 FROM k WHERE k.ordinal = p.ordinal AND part = 'lock' AND sqrt(power(px - (west + east) / 2, 2) + power(py - (south + north) / 2, 2)) < 0.4) AS near FROM p WHERE n > 1),
+  r AS (SELECT ordinal, route, count(*) AS n, count(*) FILTER (WHERE near) AS near FROM d GROUP BY 1, 2) SELECT count(*) AS routed, CAST(sum(n) AS BIGINT) AS vertices, max(near) AS near_wall_max, round(avg(near), 6) AS near_wall_mean FROM r""")
+def d20_near_walls(node: DataFrame, unit: DataFrame, level: DataFrame) -> DataFrame:
+    """How many vertices of a route hug the boundary of an area, at most and on average, doors and transit units left out."""
+    raw = _segments(node)
+    points = raw.select("route_id", "ordinal", F.posexplode("points").alias("at", "p")).select("route_id", "ordinal", "at", "p.x", "p.y")
+    near = walk.near_walls(points, _parts(unit, level), ["route_id", "ordinal", "at"]).groupBy("route_id", "ordinal").agg(F.count("*").alias("near"))
+    d = raw.select("route_id", "ordinal", F.size("points").alias("n")).join(near, ["route_id", "ordinal"], "left").withColumn("near", F.coalesce("near", F.lit(0)))
+    return d.agg(F.count("*").alias("routed"), F.sum("n").cast("long").alias("vertices"), F.max("near").alias("near_wall_max"), F.round(F.avg("near"), 6).alias("near_wall_mean"))
+
+
 @query("G23", "v_node", """+p AS (SELECT ordinal, node_id, (lon - 139.76) * 9e4 AS x, (lat - 35.68) * 1.1e5 AS y FROM v_node), d AS (SELECT a.ordinal, a.node_id AS i, b.node_id AS j, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM p a JOIN p b ON a.ordinal = b.ordinal AND a.node_id % 2 = 0 AND b.node_id % 2 = 1)
   SELECT ordinal, round(max(m), 6) AS hausdorff FROM (SELECT ordinal, min(d) AS m FROM d GROUP BY ordinal, i UNION ALL SELECT ordinal, min(d) FROM d GROUP BY ordinal, j) GROUP BY 1""")
 def g23_hausdorff_of_lines(node: DataFrame) -> DataFrame:
