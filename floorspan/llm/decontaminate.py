@@ -25,7 +25,6 @@ from pyspark.sql.types import StructType
 
 from floorspan.llm._common import Stored, ascii_lower, by_batch, cut, table
 from floorspan.llm._words import ALNUM, joined, windows, words
-from floorspan.operators.graph import dense_index
 
 N = 10
 BLOCK_WINDOWS = 1 << 19
@@ -77,6 +76,8 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, n: int, most: int)
     rows = cut(all_windows(benchmark, id_col, text_col, n))
     count = rows.count()
     if count > most:
+        from floorspan.operators.graph import dense_index  # for the driver alone: workers need no pandas
+
         rows = cut(dense_index(rows.withColumn("key", F.struct("size", "w")), "key"))
     for lo in range(0, max(1, count), most):
         block = Windows()

@@ -137,9 +137,11 @@ class Shares:
         self.row, self.column, self.value, self.shape = row, column, value, shape
         self._rows = _edges(row)
         by = np.argsort(column, kind="stable")
-        self._row_by, self._value_by, ordered = row[by], value[by], column[by]
-        self._columns = _edges(ordered)
-        self._row_ids, self._column_ids = row[self._rows], ordered[self._columns]
+        self._row_by, self._value_by = row[by], value[by]
+        ends = np.cumsum(np.bincount(column, minlength=1))
+        used = np.flatnonzero(np.diff(ends, prepend=0))
+        self._columns, self._column_ids = (ends - np.diff(ends, prepend=0))[used], used
+        self._row_ids = row[self._rows]
 
     @classmethod
     def of(cls, rows: list[tuple[np.ndarray, np.ndarray]], width: int) -> Shares:
@@ -311,14 +313,12 @@ def _fit_rows(rows: DataFrame, sizes: dict[int, int]) -> Model:
         )
 
     got = from_texts(rows, "y int, f int, at array<int>, share array<float>", send)
-    order = np.lexsort([got["f"].to_numpy(), got["y"].to_numpy()])
-    at, share = got["at"].combine_chunks(), got["share"].combine_chunks()
-    row = np.repeat(np.arange(len(order)), at.value_lengths().to_numpy())
-    place = np.empty(len(order), dtype=np.int64)
-    place[order] = np.arange(len(order))
-    entries = np.argsort(place[row], kind="stable")
-    x = Shares(place[row][entries].astype(np.int32), at.flatten().to_numpy()[entries], share.flatten().to_numpy()[entries], (len(order), len(buckets)))
-    return as_model(buckets, fit_shares(x, got["y"].to_numpy()[order], got["f"].to_numpy()[order], strength[:, buckets], sizes))
+    y, fold = got["y"].to_numpy(), got["f"].to_numpy()
+    row = np.repeat(np.arange(len(y), dtype=np.int32), np.concatenate([c.value_lengths().to_numpy() for c in got["at"].chunks] or [np.empty(0, dtype=np.int32)]))
+    flat = lambda c, kind: np.concatenate([x.flatten().to_numpy() for x in got[c].chunks] or [np.empty(0, dtype=kind)])
+    x = Shares(row, flat("at", np.int32), flat("share", np.float32), (len(y), len(buckets)))
+    del got, row
+    return as_model(buckets, fit_shares(x, y, fold, strength[:, buckets], sizes))
 
 
 def fit(texts: list[str | None], labels: list[int], sizes: dict[int, int] | None = None) -> Model:
