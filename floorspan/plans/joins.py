@@ -120,8 +120,9 @@ def c12_source_reference_fallbacks(d: DataFrame, level: DataFrame) -> DataFrame:
     return done.select("id", F.col("resolved").alias("level_id"))
 
 
-@query("C13 G1", "v_node v_unit", "SELECT n.node_id, count(*) AS n_units FROM v_node n JOIN v_unit u ON n.lon > u.x - 2e-5 AND n.lon < u.x + u.w + 2e-5 AND n.lat > u.y - 2e-5 AND n.lat < u.y + u.h + 2e-5 AND u.building % 5 - 2 = n.ordinal GROUP BY 1")
+@query("C13 G1", "v_node v_unit_stack", "SELECT n.node_id, count(*) AS n_units FROM v_node n JOIN v_unit_stack u ON n.lon > u.x - 2e-5 AND n.lon < u.x + u.w + 2e-5 AND n.lat > u.y - 2e-5 AND n.lat < u.y + u.h + 2e-5 AND u.building % 5 - 2 = n.ordinal GROUP BY 1")
 def c13_point_in_buffered_polygon(n: DataFrame, u: DataFrame) -> DataFrame:
+    """How many units of its floor each node lies in; units are stacked on 40 x 40 places."""
     from floorspan.operators.spatial import range_join
 
     u = u.withColumn("ordinal", (F.col("building") % 5 - 2).cast("double"))

@@ -29,6 +29,10 @@ VIEWS: dict[str, str] = {
         CASE p_partkey % 12 WHEN 0 THEN 'walkway' WHEN 1 THEN 'elevator' WHEN 2 THEN 'stairs' WHEN 3 THEN 'escalator' WHEN 4 THEN 'room' WHEN 5 THEN 'ramp'
           WHEN 6 THEN 'unenclosedarea' WHEN 7 THEN 'platform' WHEN 8 THEN 'restroom.female' WHEN 9 THEN 'lobby' WHEN 10 THEN 'footbridge' ELSE NULL END AS category,
         139.76e0 + (p_partkey % 40) * 1e-4 AS x, 35.68e0 + floor(p_partkey / 40) * 1e-4 AS y, (5 + p_size % 7) * 1e-5 AS w, (4 + p_size % 5) * 1e-5 AS h FROM {part}""",
+    "v_unit_stack": """SELECT p_partkey AS unit_id, 'L' || CAST(p_partkey % 25 AS STRING) AS level_id, CAST(p_partkey % 25 AS INT) AS building,
+        CASE p_partkey % 12 WHEN 0 THEN 'walkway' WHEN 1 THEN 'elevator' WHEN 2 THEN 'stairs' WHEN 3 THEN 'escalator' WHEN 4 THEN 'room' WHEN 5 THEN 'ramp'
+          WHEN 6 THEN 'unenclosedarea' WHEN 7 THEN 'platform' WHEN 8 THEN 'restroom.female' WHEN 9 THEN 'lobby' WHEN 10 THEN 'footbridge' ELSE NULL END AS category,
+        139.76e0 + (p_partkey % 40) * 1e-4 AS x, 35.68e0 + (floor(p_partkey / 40) % 40) * 1e-4 AS y, (5 + p_size % 7) * 1e-5 AS w, (4 + p_size % 5) * 1e-5 AS h FROM {part}""",
     "v_feature": """SELECT CASE WHEN unit_id % 150 = 0 THEN 'u1' ELSE 'u' || CAST(unit_id AS STRING) END AS id, CASE unit_id % 7 WHEN 0 THEN 'occupant' WHEN 1 THEN 'anchor' WHEN 2 THEN 'opening' ELSE 'unit' END AS feature_type,
         CASE WHEN unit_id % 200 = 0 THEN 'L99' ELSE level_id END AS level_id, unit_id % 7 <> 0 OR unit_id % 14 = 0 AS has_geometry, CASE WHEN unit_id % 21 <> 0 THEN x END AS x, y FROM {v_unit}
         UNION ALL SELECT level_id, 'level', CAST(NULL AS STRING), building % 8 <> 7, 0e0, 0e0 FROM {v_level} WHERE building % 6 <> 0
