@@ -108,6 +108,37 @@ def band(left: DataFrame, right: DataFrame, at: str, to: str, width: float) -> D
     return spread.join(other, "_b").filter(F.abs(F.col(at) - F.col(to)) <= width).drop("_b")
 
 
+#: Cells to a band's width, where whole cells inside the band are counted and not compared.
+BAND_CELLS = 128
+
+
+def nearest_in_band(left: DataFrame, right: DataFrame, key: str, other: str, at: str, to: str, width: float) -> DataFrame:
+    """(key, other, n): of the right rows whose value differs by at most ``width``, the nearest (of equals the lowest) and their number.
+
+    The right values are counted by value and by narrow cells.  Cells wholly inside the band of all values of a left cell enter by their
+    counts, their highest below and their lowest above; only the left cell's own and those around the band's two edges are compared.
+    """
+    k, step = BAND_CELLS, width / BAND_CELLS
+    finite = lambda c: F.abs(F.col(c)) < float("inf")
+    values = right.filter(finite(to)).groupBy(F.col(to).alias("_v")).agg(F.count("*").alias("_n"), F.min(other).alias("_o")).withColumn("_c", F.floor(F.col("_v") / step))
+    cells = values.groupBy("_c").agg(F.sum("_n").alias("_n"), F.max(F.struct("_v", "_o")).alias("_top"), F.min(F.struct("_v", "_o")).alias("_low"))
+    from_cell = lambda shifts: F.explode(F.array(*(F.col("_c") - j for j in shifts)))
+    inner = [j for j in range(2 - k, k - 1) if j]
+    counted = (
+        cells.withColumn("_at", from_cell(inner))
+        .groupBy("_at")
+        .agg(F.sum("_n").alias("_inner"), F.max(F.when(F.col("_c") < F.col("_at"), F.col("_top"))).alias("_below"), F.min(F.when(F.col("_c") > F.col("_at"), F.col("_low"))).alias("_above"))
+    )
+    here = left.filter(finite(at)).select(key, at).withColumn("_at", F.floor(F.col(at) / step))
+    met = here.join(values.withColumn("_at", from_cell([0, *(s * j for j in range(k - 1, k + 2) for s in (-1, 1))])), "_at").filter(F.abs(F.col(at) - F.col("_v")) <= width)
+    near = lambda v, o: F.struct(F.abs(F.col(at) - F.col(v)).alias("d"), F.col(o).alias("o"))
+    compared = met.select(key, near("_v", "_o").alias("_x"), "_n")
+    known = here.join(counted, "_at")
+    best = F.least(F.when(F.col("_below").isNotNull(), near("_below._v", "_below._o")), F.when(F.col("_above").isNotNull(), near("_above._v", "_above._o")))
+    found = compared.union(known.select(key, best.alias("_x"), F.col("_inner").alias("_n"))).groupBy(key).agg(F.min("_x").alias("_x"), F.sum("_n").alias("n"))
+    return found.select(key, F.col("_x.o").alias(other), "n")
+
+
 def difference(before: DataFrame, after: DataFrame, key: str, changed: Column) -> DataFrame:
     """(added, removed, changed) counts of two versions of rows; ``changed`` is over b.* and a.*."""
     both = before.withColumn("_in", F.lit(True)).alias("b").join(after.withColumn("_in", F.lit(True)).alias("a"), F.col(f"b.{key}") == F.col(f"a.{key}"), "full_outer")

@@ -177,16 +177,12 @@ def c20_shared_vertices(room: DataFrame) -> DataFrame:
     return a.join(b, same).groupBy(F.col("a.hub").alias("a"), F.col("b.hub").alias("b")).agg(F.count("*").alias("n")).filter("n >= 2")
 
 
-@query("C22", "v_node supplier", """SELECT a.node_id, b.s_suppkey AS plane, CAST(count(*) OVER (PARTITION BY a.node_id) AS BIGINT) AS n FROM (SELECT s_suppkey AS node_id, s_acctbal / 1000e0 + s_suppkey % 100 * 15 AS altitude FROM supplier) a JOIN (SELECT s_suppkey, s_acctbal / 1000e0 + s_suppkey % 100 * 15 + 0.4e0 AS altitude FROM supplier) b ON abs(a.altitude - b.altitude) <= 1.5e0
+@query("C22", "v_node supplier", """SELECT a.node_id, b.s_suppkey AS plane, CAST(count(*) OVER (PARTITION BY a.node_id) AS BIGINT) AS n FROM v_node a JOIN (SELECT s_suppkey, s_acctbal / 1000e0 + 0.4e0 AS altitude FROM supplier) b ON abs(a.altitude - b.altitude) <= 1.5e0
   QUALIFY row_number() OVER (PARTITION BY a.node_id ORDER BY abs(a.altitude - b.altitude), b.s_suppkey) = 1""")
 def c22_altitude_band(n: DataFrame, s: DataFrame) -> DataFrame:
-    """The nearest plane of each node within 1.5 m, and how many there are; planes are spread over 100 storeys."""
-    height = F.col("s_acctbal") / 1000 + F.col("s_suppkey") % 100 * 15
-    planes = s.select(F.col("s_suppkey").alias("plane"), (height + 0.4).alias("plane_altitude"))
-    nodes = s.select(F.col("s_suppkey").alias("node_id"), height.alias("altitude"))
-    found = relational.band(nodes, planes, "altitude", "plane_altitude", 1.5)
-    best = F.min(F.struct(F.abs(F.col("altitude") - F.col("plane_altitude")).alias("d"), "plane")).alias("x")
-    return found.groupBy("node_id").agg(best, F.count("*").alias("n")).select("node_id", F.col("x.plane").alias("plane"), "n")
+    """The nearest plane of each node within 1.5 m, and how many there are."""
+    planes = s.select(F.col("s_suppkey").alias("plane"), (F.col("s_acctbal") / 1000 + 0.4).alias("plane_altitude"))
+    return relational.nearest_in_band(n.select("node_id", "altitude"), planes, "node_id", "plane", "altitude", "plane_altitude", 1.5)
 
 
 @query("C24", "v_level v_unit", "SELECT l.level_id, count(*) AS n FROM v_level l JOIN (SELECT level_id FROM v_unit UNION ALL SELECT level_id FROM v_level) u USING (level_id) GROUP BY 1")

@@ -35,3 +35,25 @@ def test_stacked_units_around_nodes(spark, units, nodes):
     pad = 2e-5
     want = {n.node_id: sum(u["x"] - pad < n.lon < u["x"] + u["w"] + pad and u["y"] - pad < n.lat < u["y"] + u["h"] + pad and u["building"] % 5 - 2 == n.ordinal for u in units) for n in nodes}
     assert {r.node_id: r.n_units for r in run(spark, "c13_point_in_buffered_polygon")} == {k: c for k, c in want.items() if c}
+
+
+def test_plane_of_each_node_among_all(spark):
+    at = dict(duckdb.sql(f"SELECT s_suppkey, s_acctbal / 1000 FROM '{SF}/supplier.parquet'").fetchall())
+    want = {}
+    for a, z in at.items():
+        near = [(abs(z - (at[b] + 0.4)), b) for b in at if abs(z - (at[b] + 0.4)) <= 1.5]
+        if near:
+            want[a] = (min(near)[1], len(near))
+    assert {r.node_id: (r.plane, r.n) for r in run(spark, "c22_altitude_band")} == want
+
+
+def test_band_at_its_edges_and_ties(spark):
+    left = [(1, 0.0), (2, 1.5), (3, 100.0), (4, None), (5, float("nan")), (6, -0.01), (7, float("inf"))]
+    right = [(9, 1.5), (8, 1.5), (7, -1.5), (6, 1.5000001), (5, None), (4, float("nan")), (3, 0.0), (2, 3.0), (1, float("inf"))]
+    a, b = spark.createDataFrame(left, "k long, a double"), spark.createDataFrame(right, "o long, b double")
+    want = {}
+    for k, x in left:
+        near = [(abs(x - y), o) for o, y in right if x is not None and y is not None and abs(x - y) <= 1.5]
+        if near:
+            want[k] = (min(near)[1], len(near))
+    assert {r.k: (r.o, r.n) for r in relational.nearest_in_band(a, b, "k", "o", "a", "b", 1.5).collect()} == want
