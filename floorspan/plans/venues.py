@@ -61,11 +61,11 @@ def b21_floor_overlay(net: DataFrame, node: DataFrame) -> DataFrame:
     return venues.network_overlay(_paths(net, node), node, 0.0)
 
 
-@query("C25 C26", "v_net v_node v_unit v_level", _PATHS + """, e AS (SELECT path_id, f AS near, t AS far, fx + 2e-5 AS x, fy + 2e-5 AS y FROM u UNION ALL SELECT path_id, t, f, tx + 2e-5, ty + 2e-5 FROM u),
-  c AS (SELECT unit_id, l.ordinal, x, y, w, h FROM v_unit JOIN v_level l USING (level_id) WHERE category IN ('elevator', 'stairs', 'escalator'))
+@query("C25 C26", "v_net v_node v_unit_stack v_level", _PATHS + """, e AS (SELECT path_id, f AS near, t AS far, fx + 2e-5 AS x, fy + 2e-5 AS y FROM u UNION ALL SELECT path_id, t, f, tx + 2e-5, ty + 2e-5 FROM u),
+  c AS (SELECT unit_id, l.ordinal, x, y, w, h FROM v_unit_stack JOIN v_level l USING (level_id) WHERE category IN ('elevator', 'stairs', 'escalator'))
   SELECT id, path_id, far FROM (SELECT unit_id AS id, path_id, far, row_number() OVER (PARTITION BY unit_id ORDER BY abs(far - ordinal), far, path_id) AS k FROM c JOIN e ON near = ordinal AND e.x > c.x AND e.x < c.x + w AND e.y > c.y AND e.y < c.y + h) WHERE k = 1""")
 def c25_conveyance_links(net: DataFrame, node: DataFrame, unit: DataFrame, level: DataFrame) -> DataFrame:
-    """The link behind each conveyance: an end inside its outline, the nearest other floor."""
+    """The link behind each conveyance: an end inside its outline, the nearest other floor; units are stacked on 40 x 40 places."""
     end = lambda k: node.select(F.col("node_id").alias(f"{k}_id"), F.col("ordinal").alias(f"{k}_o"), (F.col("lon") + 2e-5).alias(f"{k}_x"), (F.col("lat") + 2e-5).alias(f"{k}_y"))
     u = _paths(net, node).filter("vertical").join(end("from"), "from_id").join(end("to"), "to_id").filter("from_o <> to_o")
     side = lambda a, b: u.select("path_id", F.col(f"{a}_o").alias("near"), F.col(f"{b}_o").alias("far"), F.col(f"{a}_x").alias("x"), F.col(f"{a}_y").alias("y"))

@@ -57,3 +57,20 @@ def test_band_at_its_edges_and_ties(spark):
         if near:
             want[k] = (min(near)[1], len(near))
     assert {r.k: (r.o, r.n) for r in relational.nearest_in_band(a, b, "k", "o", "a", "b", 1.5).collect()} == want
+
+
+def test_conveyances_of_stacked_units(spark, units, nodes):
+    at, floor = {n.node_id: n for n in nodes}, {r.level_id: r.ordinal for r in frame(spark, SF, "v_level").collect()}
+    ends = []
+    for e in frame(spark, SF, "v_net").filter("(from_id + to_id) % 5 = 0").collect():
+        a, b = at.get(e.from_id), at.get(e.to_id)
+        if a and b and a.ordinal != b.ordinal:
+            ends += [(e.from_id * 100000 + e.to_id, p.ordinal, q.ordinal, p.lon + 2e-5, p.lat + 2e-5) for p, q in ((a, b), (b, a))]
+    want = {}
+    for u in units:
+        if u["category"] in ("elevator", "stairs", "escalator"):
+            o = floor[u["level_id"]]
+            found = [(abs(far - o), far, path) for path, near, far, x, y in ends if near == o and u["x"] < x < u["x"] + u["w"] and u["y"] < y < u["y"] + u["h"]]
+            if found:
+                want[u["unit_id"]] = min(found)[1:]
+    assert {r.id: (r.far, r.path_id) for r in run(spark, "c25_conveyance_links")} == want
