@@ -98,11 +98,11 @@ def _outlines(boxes: DataFrame) -> DataFrame:
     return boxes.select("unit_id", "ordinal", "category", F.explode(sides).alias("s")).select("unit_id", "ordinal", "category", "s.*")
 
 
-@query("C15", "v_node v_unit v_level", f"""+{_BOXES}, {_OUTLINES}, p AS (SELECT node_id, ordinal, {_METRES} FROM v_node),
+@query("C15", "v_node v_unit_stack v_level", f"""+{_BOXES.replace('v_unit', 'v_unit_stack')}, {_OUTLINES}, p AS (SELECT node_id, ordinal, {_METRES} FROM v_node),
   d AS (SELECT node_id, unit_id, px - (x1 + (x2 - x1) * t) AS dx, py - (y1 + (y2 - y1) * t) AS dy FROM (SELECT *, greatest(0e0, least(1e0, ((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS t FROM p JOIN s ON p.ordinal = s.ordinal WHERE category IN ({_WALK})))
   SELECT node_id AS opening_id, unit_id AS hub_id, round(min(sqrt(dx * dx + dy * dy)), 6) AS distance FROM d GROUP BY 1, 2 HAVING min(sqrt(dx * dx + dy * dy)) <= 3""")
 def c15_openings_near_hubs(node: DataFrame, unit: DataFrame, level: DataFrame) -> DataFrame:
-    """Hubs whose outline is within 3 m of an opening of their floor."""
+    """Hubs whose outline is within 3 m of an opening of their floor; units are stacked on 40 x 40 places."""
     hubs = _outlines(_boxes(unit, level).filter(text.is_walkway(F.col("category")))).select(F.col("unit_id").alias("hub_id"), "ordinal", "x1", "y1", "x2", "y2")
     points = node.select(F.col("node_id").alias("opening_id"), "ordinal", ((F.col("lon") - 139.76) * 9e4).alias("x"), ((F.col("lat") - 35.68) * 1.1e5).alias("y"))
     found, _ = building.openings_near_hubs(points, hubs, 4.0)

@@ -74,3 +74,22 @@ def test_conveyances_of_stacked_units(spark, units, nodes):
             if found:
                 want[u["unit_id"]] = min(found)[1:]
     assert {r.id: (r.far, r.path_id) for r in run(spark, "c25_conveyance_links")} == want
+
+
+def test_openings_near_stacked_hubs(spark, units, nodes):
+    floor = {r.level_id: r.ordinal for r in frame(spark, SF, "v_level").collect()}
+    want = {}
+    for u in units:
+        if u["category"] not in WALK:
+            continue
+        west, south = (u["x"] - 139.76) * 9e4, (u["y"] - 35.68) * 1.1e5
+        east, north = west + u["w"] * 9e4, south + u["h"] * 1.1e5
+        for n in nodes:
+            if n.ordinal == floor[u["level_id"]]:
+                x, y = (n.lon - 139.76) * 9e4, (n.lat - 35.68) * 1.1e5
+                out = math.hypot(max(west - x, 0, x - east), max(south - y, 0, y - north))
+                d = out or min(x - west, east - x, y - south, north - y)  # inside: to the nearest side
+                if d <= 3:
+                    want[n.node_id, u["unit_id"]] = d
+    got = {(r.opening_id, r.hub_id): r.distance for r in run(spark, "c15_openings_near_hubs")}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=2e-6) for k in want)
