@@ -379,3 +379,37 @@ def test_a_broken_import_is_no_missing_subpackage():
     assert __spark_entry__.llm is not None and {"op1_lm_score", "pipeline"} <= set(__spark_entry__.queries())
     assert "floorspan.llm" in sys.modules
     assert id_remainder is not None
+
+
+def test_quality_is_learned_from_all_labelled_rows(spark):
+    rng = random.Random(8)
+    good, bad = "The long and quiet river ran by the old town. ", "BUY!!! $$$ now|now|now "
+    rows = [(i, (good if i % 2 else bad) * rng.randint(1, 4) + ("x" * 40 if rng.random() < 0.1 else "")) for i in range(8000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = d.select("doc_id", (F.col("doc_id") % 2).alias("quality"))
+    model = quality_rank.train(d, labels, lambda c: F.lit(True))
+    x, y = quality_rank.features([t for _, t in rows]), np.arange(8000) % 2
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.spread, x.std(axis=0), atol=1e-6)  # of all rows, not of a sample
+    same = quality_rank.fit(x, y, {0: 4000, 1: 4000})
+    assert np.allclose(model.weight, same.weight, atol=1e-6) and math.isclose(model.threshold, same.threshold, abs_tol=1e-6) and math.isclose(model.unit, same.unit, rel_tol=1e-6)
+    assert (model.raw(x) < model.threshold).sum() == 4000
+
+
+def test_all_pairs_count_in_the_ranking():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(160, quality_rank.N_FEATURES))
+    y = (x[:, 0] + rng.normal(size=160) > 0.5).astype(int)
+    model = quality_rank.fit(x, y, dict(enumerate(np.bincount(y))))
+    z = np.clip((x - model.mean) / model.spread, -8, 8)
+    pairs = (z[y == 1][:, None] - z[y == 0][None, :]).reshape(-1, quality_rank.N_FEATURES)
+    slope = -(pairs.T @ (1 / (1 + np.exp(pairs @ model.weight)))) / len(pairs) + 1e-3 * model.weight
+    assert np.abs(slope).max() < 1e-3  # the lowest loss over every pair
+
+
+def test_middle_of_two_ranks(spark):
+    rng = random.Random(6)
+    values = [rng.choice([0.1, 0.1 + 1e-16, 5.0]) if rng.random() < 0.5 else rng.gauss(0, 1) for _ in range(3000)] + [-1e9, 1e9]
+    d, order = spark.createDataFrame([(v,) for v in values], "s double"), sorted(values)
+    for k in (0, 1, 700, 1500, 2400, 3000):
+        assert quality_rank.between(d, k) == (order[k] + order[k + 1]) / 2
+    assert quality_rank.between(d.filter("s = 5"), 3) == 5
