@@ -38,6 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floorspan.llm._common import ascii_lower, cut, frequent, id_remainder, table
+from floorspan.llm._words import mix
 from floorspan.session import ship
 
 HEAD, WIDTH, TAILS, HIDDEN = 2048, 64, 32, 24
@@ -51,6 +52,8 @@ POOL_TOKENS = 3 << 20
 END = b""  # no word is empty
 PREFIX = 3
 COUNTER_ENTRIES = 800_000
+#: Bytes of texts whose words are looked up at a time.
+TEXT_BYTES = 1 << 20
 
 
 def tail_class(word: bytes) -> int:
@@ -84,6 +87,88 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+# -- words -----------------------------------------------------------------------------------------
+
+
+class Words:
+    """Where the words of some texts lie in one buffer, without a Python step for each word."""
+
+    def __init__(self, texts: list[bytes]):
+        self.buf = b"\n" + b"\n".join(texts) + b"\n" * 9  # eight bytes can be read from any place of a word
+        a = np.frombuffer(self.buf, dtype=np.uint8)
+        inside = ((a - np.uint8(9)) > 4) & (a != 32)
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        self.start, self.end = edges[0::2], edges[1::2]
+        self.length = self.end - self.start
+        #: how many words each text has
+        self.per_text = np.diff(np.searchsorted(self.start, np.cumsum([1, *(len(t) + 1 for t in texts)])))
+
+    def eight(self, which: np.ndarray | slice, block: int) -> np.ndarray:
+        """The block-th eight bytes of words that reach into it, as numbers; zeros fill them up."""
+        at = self.start[which] + 8 * block
+        got = np.ndarray((len(self.buf) - 7,), dtype="V8", buffer=self.buf, strides=(1,))[at].view("<u8")
+        return got & _FIRST_BYTES[np.minimum(self.end[which] - at, 8)]
+
+    def hashes(self, most: int) -> np.ndarray:
+        """Hashes of the words by their first ``most`` bytes and their lengths."""
+        out = mix(self.eight(slice(None), 0) + self.length.astype(np.uint64) * _ODD)
+        for block in range(1, -(-most // 8)):
+            which = np.flatnonzero(self.length > 8 * block)
+            if not len(which):
+                break
+            out[which] = mix(out[which] * _ODD + self.eight(which, block))
+        return out
+
+    def bytes_of(self, which: np.ndarray) -> list[bytes]:
+        return [self.buf[a:b] for a, b in zip(self.start[which].tolist(), self.end[which].tolist(), strict=True)]
+
+
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Places:
+    """The place of each word in a list of distinct words of at most KNOWN_BYTES: a table by hash whose hits are compared byte for byte."""
+
+    BITS = 20
+
+    def __init__(self, listed: list[bytes]):
+        words, named = Words(listed), np.flatnonzero([len(w) > 0 for w in listed])
+        hashes = words.hashes(KNOWN_BYTES)
+        order = np.argsort(hashes, kind="stable")
+        self.sorted = np.append(hashes[order], np.uint64(2**64 - 1))
+        self.place = np.append(named[order], -1).astype(np.int32)
+        self.first = np.searchsorted(self.sorted[:-1], np.arange(1 << self.BITS, dtype=np.uint64) << np.uint64(64 - self.BITS)).astype(np.int32)
+        self.length = np.array([len(w) for w in listed] or [-1], dtype=np.int32)
+        self.blocks = [np.zeros(len(self.length), dtype=np.uint64) for _ in range(-(-KNOWN_BYTES // 8))]
+        for b, block in enumerate(self.blocks):
+            which = np.flatnonzero(words.length > 8 * b)
+            block[named[which]] = words.eight(which, b)
+        #: words of equal hashes, of which the table finds one
+        self.twins = {w: i for i, w in enumerate(listed)} if (self.sorted[1:-1] == self.sorted[:-2]).any() else {}
+
+    def find(self, words: Words) -> np.ndarray:
+        """The place of each word, -1 for words that aren't listed."""
+        h = words.hashes(KNOWN_BYTES)
+        at = self.first[h >> np.uint64(64 - self.BITS)]
+        behind = np.flatnonzero(self.sorted[at] < h)
+        while len(behind):
+            at[behind] += 1
+            behind = behind[self.sorted[at[behind]] < h[behind]]
+        out = self.place[at]
+        same = (self.sorted[at] == h) & (self.length[out] == words.length) & (self.blocks[0][out] == words.eight(slice(None), 0))
+        for b, block in enumerate(self.blocks[1:], 1):
+            reach = np.flatnonzero(same & (words.length > 8 * b))
+            if not len(reach):
+                break
+            same[reach] = words.eight(reach, b) == block[out[reach]]
+        out[~same] = -1
+        if self.twins:
+            lost = np.flatnonzero(out < 0)
+            out[lost] = [self.twins.get(w, -1) for w in words.bytes_of(lost)]
+        return out
+
+
 class Vocabulary:
     """What every task needs of the counts; its size is bounded by KNOWN and TAILS."""
 
@@ -98,6 +183,7 @@ class Vocabulary:
         #: the symbol of each known word: a head word, or a tail class after them
         self.symbol = np.array([place[w] if w in place else HEAD + tail_class(w) for w, _ in known], dtype=np.int32)
         self.index = {w: i for i, (w, _) in enumerate(known)}
+        self.places = Places([w for w, _ in known])
         self.end = place[END]
         counts = np.zeros(HEAD)
         for w, c in known:
@@ -154,31 +240,41 @@ def initial(vocab: Vocabulary, seed: int = 3) -> np.ndarray:
     return flat
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place; by exp, which numpy has faster than tanh."""
-    np.exp(np.negative(x, out=x), out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
+#: Factors of the gates' inputs: the sigmoid is 1 / (1 + exp(-x)), tanh is 1 - 2 / (1 + exp(2 x)).
+_FACTORS = np.array([-1, -1, 2], dtype=np.float32)[:, None, None]
 
 
-def step(p: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray):
-    """One step of the gated unit from input gates x (with bias) and states h."""
-    g = h @ p["u"]
-    with np.errstate(over="ignore"):  # 1 / (1 + inf) is 0
-        rz = _sigmoid(x[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
-        r, z, gn = rz[:, :HIDDEN], rz[:, HIDDEN:], g[:, 2 * HIDDEN :]
-        n = r * gn
-        n += x[:, 2 * HIDDEN :]
-        n *= 2
-        n = _sigmoid(n)  # tanh(x) is 2 sigmoid(2 x) - 1
-    n *= 2
-    n -= 1
+def by_gate(a: np.ndarray) -> np.ndarray:
+    """Rows of all gates' values as an array for each gate, by its factor."""
+    return np.multiply(a.reshape(len(a), 3, HIDDEN).swapaxes(0, 1), _FACTORS, order="C")
+
+
+def gated(u: np.ndarray, x: np.ndarray, h: np.ndarray):
+    """One step of the gated unit from states h; recurrent weights and input gates (with bias) by gate.  exp may overflow: 1 / (1 + inf) is 0."""
+    g = np.matmul(h, u)
+    rz, gn = g[:2], g[2]
+    rz += x[:2]
+    np.exp(rz, out=rz)
+    rz += 1
+    r, z = np.reciprocal(rz, out=rz)
+    n = r * gn
+    n += x[2]
+    np.exp(n, out=n)
+    n += 1
+    np.divide(-2, n, out=n)
+    n += 1
     out = h - n
     out *= z
     out += n
     return out, r, z, n, gn
 
 
+def step(p: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray):
+    """One step of the gated unit from input gates x (with bias) and states h."""
+    with np.errstate(over="ignore"):
+        return gated(by_gate(p["u"]), by_gate(x), h)
+
+
 _ONES = np.ones((max(WIDTH, HEAD // WIDTH + TAILS), 1), dtype=np.float32)
 
 
@@ -214,9 +310,9 @@ def by_class(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate(([0], np.cumsum(np.bincount(group, minlength=N_CLASSES)[: HEAD // WIDTH])))
 
 
-def log_prob(p: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray) -> np.ndarray:
+def log_prob(p: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray, out: Output | None = None) -> np.ndarray:
     """Natural log probability of each symbol given its state; a tail class's own, without the word in it."""
-    out = Output(p)
+    out = out or Output(p)
     h = h if h.shape[1] > HIDDEN else with_one(h)
     group = symbol_class(y)
     chance = np.empty(len(y))
@@ -270,13 +366,14 @@ class Trainer:
         """``live``: so many words count, in the order of steps and lanes; the rest fills the last step up."""
         p, (steps, lanes) = self.p, x.shape
         keep = (x != end).astype(np.float32)[:, :, None]  # a text begins from the zero state
-        xg = (p["x"] + p["b"])[x]
-        hs, saved, out = np.ones((steps, lanes, HIDDEN + 1), dtype=np.float32), [], Output(p)
-        for t in range(steps):
-            h0 = h * keep[t]
-            h, r, z, n, gn = step(p, xg[t], h0)
-            hs[t, :, :HIDDEN] = h
-            saved.append((h0, r, z, n, gn))
+        xg, u = np.take(by_gate(p["x"] + p["b"]), x, axis=1), by_gate(p["u"])
+        hs, before, saved, out = np.ones((steps, lanes, HIDDEN + 1), dtype=np.float32), np.empty((steps, lanes, HIDDEN), dtype=np.float32), [], Output(p)
+        with np.errstate(over="ignore"):
+            for t in range(steps):
+                h0 = np.multiply(h, keep[t], out=before[t])
+                h, *gates = gated(u, xg[:, t], h0)
+                hs[t, :, :HIDDEN] = h
+                saved.append(gates)
         flat_h, flat_y = hs.reshape(-1, HIDDEN + 1), y.reshape(-1)
         total = len(flat_y) if live is None else live
         flat_h, flat_y = flat_h[:total], flat_y[:total]
@@ -311,23 +408,36 @@ class Trainer:
         dh_out[order] += inner
         dh_out *= np.float32(1 / total)
         dh_out = dh_full.reshape(steps, lanes, HIDDEN)
-        dx = np.empty_like(xg)
+        # by what the gates' inputs were: the state's part of n, r, z, and all of n
+        d = np.empty((4, steps, lanes, HIDDEN), dtype=np.float32)
+        back = np.ascontiguousarray(p["u"].reshape(HIDDEN, 3, HIDDEN).transpose(1, 2, 0)[[2, 0, 1]])
         dh = np.zeros((lanes, HIDDEN), dtype=np.float32)
         for t in range(steps - 1, -1, -1):
-            h0, r, z, n, gn = saved[t]
-            dh = dh + dh_out[t]
-            dz = dh * z
-            dn = (dh - dz) * (1 - n * n)
-            dr = dn * r
-            dx[t, :, :HIDDEN] = dr * gn * (1 - r)
-            dx[t, :, HIDDEN : 2 * HIDDEN] = dz * (h0 - n) * (1 - z)
-            dx[t, :, 2 * HIDDEN :] = dr
-            grad["u"] += h0.T @ dx[t]
-            dh = (dz + dx[t] @ p["u"].T) * keep[t]
-            dx[t, :, 2 * HIDDEN :] = dn
-        dx = dx.reshape(steps * lanes, -1)
-        grad["b"] = (_ones(steps * lanes) @ dx)[0]
-        self._update(grad, x.reshape(-1), dx)
+            r, z, n, gn = saved[t]
+            d_state, dr, dz, dn = d[:, t]
+            dh += dh_out[t]
+            through = dh * z
+            dh -= through
+            np.multiply(n, n, out=dn)
+            np.subtract(1, dn, out=dn)
+            dn *= dh
+            np.multiply(dn, r, out=d_state)
+            np.subtract(0.5, np.multiply(r, 0.5, out=r), out=dr)  # gn came with the factor 2
+            dr *= gn
+            dr *= d_state
+            np.subtract(before[t], n, out=dz)
+            dz *= z
+            dz *= dh
+            parts = np.matmul(d[:3, t], back)
+            dh = through
+            for part in parts:
+                dh += part
+            dh *= keep[t]
+        d = d.reshape(4, steps * lanes, HIDDEN)
+        of_state = np.matmul(before.reshape(-1, HIDDEN).T, d[:3])
+        grad["u"] = np.concatenate((of_state[1], of_state[2], of_state[0]), axis=1)
+        grad["b"] = np.matmul(_ones(steps * lanes), d[1:]).reshape(-1)
+        self._update(grad, x.reshape(-1), d[1:])
         return h
 
     def _update(self, grad, x, dx) -> None:
@@ -343,24 +453,64 @@ class Trainer:
             self.pv[k] += 0.01 * g * g
             self.p[k] -= rate * self.pm[k] / (np.sqrt(self.pv[k]) + 1e-6)
         # the input table: only the rows met move, each by the root of its squares so far
-        order = np.argsort(x.astype(np.uint16), kind="stable")
-        at = np.flatnonzero(np.concatenate(([True], x[order][1:] != x[order][:-1])))
-        used, g = x[order][at], np.add.reduceat(dx[order], at, axis=0)
-        self.pv["x"][used] += g * g
-        self.p["x"][used] -= 5 * self.rate * g / (np.sqrt(self.pv["x"][used]) + 1e-7)
-
-
-def _symbols(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols of a text's words and its end, and the words' places among the known ones, -1 for others."""
-    get = vocab.index.get
-    at = np.fromiter([get(w, -1) for w in words], dtype=np.int64, count=len(words))
-    out = np.empty(len(words) + 1, dtype=np.int32)
-    out[-1] = vocab.end
-    if len(vocab.symbol):
-        out[:-1] = vocab.symbol[at]
-    for i in np.flatnonzero(at < 0).tolist():
-        out[i] = HEAD + zlib.crc32(words[i][:PREFIX]) % TAILS
-    return out, at
+        used, g = sums_by_symbol(x, dx)
+        squares = self.pv["x"][used]
+        squares += g * g
+        self.pv["x"][used] = squares
+        self.p["x"][used] -= 5 * self.rate * g / (np.sqrt(squares) + 1e-7)
+
+
+#: A symbol met more often in a window is summed by itself, the others together.
+OFTEN = 24
+
+
+def sums_by_symbol(x: np.ndarray, dx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols met, and the sums of their rows of all gates; dx has an array for each gate."""
+    order = np.argsort(x.astype(np.uint16), kind="stable")
+    met = x[order]
+    at = np.flatnonzero(np.concatenate(([True], met[1:] != met[:-1])))
+    times = np.diff(at, append=len(x))
+    at, times = (v[np.argsort(-times, kind="stable")] for v in (at, times))
+    sums = np.zeros((3, len(at), HIDDEN), dtype=np.float32)
+    often = int(np.searchsorted(-times, -OFTEN, side="left"))
+    for i in range(often):
+        own = order[at[i] : at[i] + times[i]]
+        sums[:, i] = np.matmul(_ones(len(own)), np.take(dx, own, axis=1))[:, 0]
+    for k in range(int(times[often]) if often < len(at) else 0):
+        more = int(np.searchsorted(-times, -k, side="left"))  # so many are met more than k times
+        sums[:, often:more] += np.take(dx, order[at[often:more] + k], axis=1)
+    return met[at], sums.swapaxes(0, 1).reshape(len(at), 3 * HIDDEN)
+
+
+def text_blocks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
+    """Lower-cased texts in blocks of about TEXT_BYTES, each with the number of its first text."""
+    held, size, first = [], 0, 0
+    for i, text in enumerate(texts):
+        held.append(ascii_lower(text))
+        size += len(held[-1])
+        if size >= TEXT_BYTES:
+            yield first, held
+            held, size, first = [], 0, i + 1
+    if held:
+        yield first, held
+
+
+def _symbols(words: Words, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The symbols of texts' words, each text closed by its end; where texts begin among them; and the words' places among the known ones, -1 for others."""
+    at = vocab.places.find(words)
+    sizes = words.per_text + 1
+    ends = np.cumsum(sizes) - 1
+    of_words = vocab.symbol[at] if len(vocab.symbol) else np.empty(len(at), dtype=np.int32)
+    rest = np.flatnonzero(at < 0)
+    if len(rest):
+        length = np.minimum(words.length[rest], PREFIX)
+        begin, back = np.unique((words.eight(rest, 0) & _FIRST_BYTES[length]) | (length.astype(np.uint64) << np.uint64(8 * PREFIX)), return_inverse=True)
+        of_words[rest] = np.array([HEAD + tail_class(int(b).to_bytes(PREFIX + 1, "little")[: int(b) >> 8 * PREFIX]) for b in begin], dtype=np.int32)[back]
+    out = np.full(len(at) + len(sizes), vocab.end, dtype=np.int32)
+    is_word = np.ones(len(out), dtype=bool)
+    is_word[ends] = False
+    out[is_word] = of_words
+    return out, ends - words.per_text, at
 
 
 BLOCKS = 32
@@ -377,8 +527,8 @@ def train_round(texts: DataFrame, sent_vocab, flat: np.ndarray, rate: float) ->
         held: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(_symbols(ascii_lower(text).split(), vocab)[0])
+            for _, block_texts in text_blocks(batch.column(0).to_pylist()):
+                held.append(_symbols(Words(block_texts), vocab)[0])
                 size += len(held[-1])
                 if size >= POOL_TOKENS:
                     trainer.train(np.concatenate(held), vocab.end)
@@ -416,7 +566,7 @@ def score_pool(p: dict[str, np.ndarray], pool: list[np.ndarray], end: int, lanes
     """Natural log probability of each symbol sequence; its state runs from its first to its last symbol."""
     out = np.zeros(len(pool))
     order = np.argsort([-len(s) for s in pool], kind="stable")
-    gates = p["x"] + p["b"]
+    gates, u, output = by_gate(p["x"] + p["b"]), by_gate(p["u"]), Output(p)
     for lo in range(0, len(order), lanes):
         own = order[lo : lo + lanes]
         lengths = np.array([len(pool[i]) for i in own])
@@ -424,22 +574,26 @@ def score_pool(p: dict[str, np.ndarray], pool: list[np.ndarray], end: int, lanes
         flat = np.concatenate([*(pool[i] for i in own), np.full(steps, end, dtype=np.int32)])
         h = np.zeros((len(own), HIDDEN), dtype=np.float32)
         last = np.full((1, len(own)), end, dtype=np.int32)
-        for at in range(0, int(lengths[0]), steps):
+        at = 0
+        while at < lengths[0]:
             live = int(np.searchsorted(-lengths, -at, side="left"))  # lengths fall, so the live lanes come first
             left = lengths[:live] - at
-            width = int(min(left[0], steps))
+            # few lanes take more steps at once, up to the end of the first that ends
+            width = int(min(left[0], max(steps, min(left[-1], lanes * steps // live))))
             y = flat[(starts[:live] + at)[None, :] + np.arange(width)[:, None]]  # what follows a lane's end counts nothing
-            xg = gates[np.concatenate((last[:, :live], y[:-1]))]
+            xg = np.take(gates, np.concatenate((last[:, :live], y[:-1])), axis=1)
             hs = np.ones((width, live, HIDDEN + 1), dtype=np.float32)
             h = h[:live]
-            for t in range(width):
-                h = step(p, xg[t], h)[0]
-                hs[t, :, :HIDDEN] = h
+            with np.errstate(over="ignore"):
+                for t in range(width):
+                    h = gated(u, xg[:, t], h)[0]
+                    hs[t, :, :HIDDEN] = h
             last = y[-1:]
-            got = log_prob(p, hs.reshape(-1, HIDDEN + 1), y.reshape(-1)).reshape(width, live)
+            got = log_prob(p, hs.reshape(-1, HIDDEN + 1), y.reshape(-1), output).reshape(width, live)
             if left[-1] < width:
                 got[np.arange(width)[:, None] >= left[None, :]] = 0
             out[own[:live]] += got.sum(axis=0)
+            at += width
     return out
 
 
@@ -492,21 +646,25 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, flat: np.ndarra
 
         for batch in batches:
             id_type = batch.column(0).type
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = ascii_lower(text).split()
-                symbols, found = _symbols(words, vocab)
+            doc_ids = batch.column(0).to_pylist()
+            for at, texts in text_blocks(batch.column(1).to_pylist()):
+                words = Words(texts)
+                symbols, starts, found = _symbols(words, vocab)
+                n = len(texts)
+                of_text = np.repeat(np.arange(n), words.per_text)
                 inside = found >= 0
-                log = float(counted[found[inside]].sum())
-                seen = int(inside.sum())
-                rest = np.flatnonzero(~inside).tolist()
+                log = np.bincount(of_text, np.where(inside, counted[found], 0.0), minlength=n) if len(counted) else np.zeros(n)
+                seen = np.bincount(of_text[inside], minlength=n)
                 if end_at is not None:
-                    log, seen = log + float(counted[end_at]), seen + 1
-                ids.append(doc_id)
-                pool.append(symbols)
-                known.append(seen)
-                logs.append(log)
-                tails.append(Counter([words[i] for i in rest]) if rest else {})
-                size += len(words) + 1
+                    log, seen = log + counted[end_at], seen + 1
+                rest = np.flatnonzero(~inside)
+                others, edges = words.bytes_of(rest), np.searchsorted(of_text[rest], np.arange(n + 1)).tolist()
+                ids += doc_ids[at : at + n]
+                pool += np.split(symbols, starts[1:])
+                known += seen.tolist()
+                logs += log.tolist()
+                tails += [Counter(others[a:b]) if b > a else {} for a, b in zip(edges, edges[1:], strict=False)]
+                size += len(symbols)
                 if size >= POOL_TOKENS:
                     yield from out()
         if ids:

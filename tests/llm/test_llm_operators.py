@@ -417,3 +417,55 @@ def test_lm_filled_places_teach_nothing():
 
 def test_lm_has_24_hidden_units():
     assert language_model.HIDDEN == 24
+
+
+def test_lm_words_are_those_of_split():
+    rng = random.Random(4)
+    texts = [b"", b" ", b"\n\n", b"a", b"\x00", b"\x1c\x85 \xc2\xa0x", b"y" * 41 + b" " + b"y" * 40, b"\x0b\x0c\r\tq\t"]
+    texts += [bytes(rng.choice(b"ab \t\n\x00\xff") for _ in range(rng.randrange(300))) for _ in range(200)] + [b"z" * 300_000, b"x y"]
+    words = language_model.Words(texts)
+    assert words.bytes_of(np.arange(len(words.start))) == [w for t in texts for w in t.split()]
+    assert words.per_text.tolist() == [len(t.split()) for t in texts]
+    empty = language_model.Words([])
+    assert len(empty.start) == len(empty.per_text) == 0
+
+
+def test_lm_places_are_those_of_a_dictionary(monkeypatch):
+    rng = random.Random(5)
+    listed = [b""] + sorted({bytes(rng.choice(b"ab\x00") for _ in range(rng.randrange(1, 41))) for _ in range(3000)})
+    index = {w: i for i, w in enumerate(listed)}
+    asked = listed + [w + b"\x00" for w in listed] + [w[:-1] + b"c" for w in listed] + [b"a" * 39 + b"d", b"a" * 1000]
+    words = language_model.Words([b" ".join(asked)])
+    want = [index.get(w, -1) for w in b" ".join(asked).split()]
+    assert language_model.Places(listed).find(words).tolist() == want
+    assert (language_model.Places([]).find(words) == -1).all() and (language_model.Places([b""]).find(words) == -1).all()
+    # words whose hashes are equal are told apart by their bytes
+    monkeypatch.setattr(language_model.Words, "hashes", lambda self, most: (self.length % 3).astype(np.uint64) << np.uint64(62))
+    assert language_model.Places(listed).find(words).tolist() == want
+
+
+def test_lm_symbols_are_those_of_each_word():
+    rng = random.Random(6)
+    known = [(b"w%d" % i, 5000 - i) for i in range(2500)] + [(b"", 7)]
+    vocab = language_model.Vocabulary(known, 10, 10, [1] * language_model.TAILS)
+    texts = [" ".join(rng.choice(["w%d", "v%d", "é%d", "W%d "]) % rng.randrange(3000) for _ in range(rng.randrange(30))) for _ in range(50)] + ["", "é", "q"]
+    got, starts, at = language_model._symbols(language_model.Words([language_model.ascii_lower(t) for t in texts]), vocab)
+    want, begins, places = [], [], []
+    for t in texts:
+        begins.append(len(want))
+        for w in language_model.ascii_lower(t).split():
+            places.append(vocab.index.get(w, -1))
+            want.append(int(vocab.symbol[places[-1]]) if w in vocab.index else language_model.HEAD + language_model.tail_class(w))
+        want.append(vocab.end)
+    assert got.tolist() == want and starts.tolist() == begins and at.tolist() == places
+
+
+def test_lm_sums_by_symbol():
+    rng = np.random.default_rng(2)
+    x = np.concatenate((rng.integers(0, 40, 3000), rng.integers(0, 2000, 1000), [2079])).astype(np.int32)
+    d = rng.normal(size=(3, len(x), language_model.HIDDEN)).astype(np.float32)
+    for n in (len(x), 1, 24, 25, 300):
+        used, got = language_model.sums_by_symbol(x[:n], d[:, :n])
+        want = np.zeros((2080, 3 * language_model.HIDDEN))
+        np.add.at(want, x[:n], d[:, :n].swapaxes(0, 1).reshape(n, -1))
+        assert sorted(used.tolist()) == sorted(set(x[:n].tolist())) and np.allclose(got, want[used], atol=1e-4)
