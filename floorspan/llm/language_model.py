@@ -45,7 +45,7 @@ HEAD, WIDTH, TAILS, HIDDEN = 2048, 64, 32, 24
 KNOWN, KNOWN_BYTES = 3 << 17, 40
 STEPS, LANES = 16, 512
 #: Softmax rows at a time, so that they stay in the processor's cache.
-BLOCK = 2048
+BLOCK = 512
 #: Each round trains on the rows whose hash of the id, modulo 16, is in its share.
 ROUNDS = ((0, 1), (1, 4), (4, 16))
 POOL_TOKENS = 3 << 20
@@ -323,8 +323,8 @@ def log_prob(p: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray, out: Output
     order = order[: edges[-1]]
     hs, ys, inner, rows = h[order], y[order] % WIDTH, np.empty(len(order)), np.arange(len(order))
     for c in range(HEAD // WIDTH):
-        lo, hi = edges[c], edges[c + 1]
-        if hi > lo:
+        for lo in range(edges[c], edges[c + 1], BLOCK):
+            hi = min(lo + BLOCK, edges[c + 1])
             e, total = out.exp_and_sum(hs[lo:hi], out.w[c])
             inner[lo:hi] = e[rows[: hi - lo], ys[lo:hi]] / total
     chance[order] *= inner
@@ -396,15 +396,17 @@ class Trainer:
         order = order[: edges[-1]]
         hc, yc, inner = flat_h[order], flat_y[order] % WIDTH, np.empty((len(order), HIDDEN), dtype=np.float32)
         for c in range(HEAD // WIDTH):
-            lo, hi = edges[c], edges[c + 1]
-            if hi > lo:
+            for lo in range(edges[c], edges[c + 1], BLOCK):
+                hi = min(lo + BLOCK, edges[c + 1])
                 d, sums = out.exp_and_sum(hc[lo:hi], out.w[c])
                 d *= (1 / sums)[:, None]
                 d[rows[: hi - lo], yc[lo:hi]] -= 1
                 both = hc[lo:hi].T @ d
-                both /= total
-                grad["w"][c], grad["wb"][c] = both[:-1], both[-1]
+                grad["w"][c] += both[:-1]
+                grad["wb"][c] += both[-1]
                 inner[lo:hi] = d @ p["w"][c].T
+        grad["w"] /= total
+        grad["wb"] /= total
         dh_out[order] += inner
         dh_out *= np.float32(1 / total)
         dh_out = dh_full.reshape(steps, lanes, HIDDEN)
@@ -461,7 +463,7 @@ class Trainer:
 
 
 #: A symbol met more often in a window is summed by itself, the others together.
-OFTEN = 24
+OFTEN = 16
 
 
 def sums_by_symbol(x: np.ndarray, dx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -471,15 +473,15 @@ def sums_by_symbol(x: np.ndarray, dx: np.ndarray) -> tuple[np.ndarray, np.ndarra
     at = np.flatnonzero(np.concatenate(([True], met[1:] != met[:-1])))
     times = np.diff(at, append=len(x))
     at, times = (v[np.argsort(-times, kind="stable")] for v in (at, times))
-    sums = np.zeros((3, len(at), HIDDEN), dtype=np.float32)
+    rows, sums = np.take(np.concatenate(dx, axis=1), order, axis=0), np.zeros((len(at), 3 * HIDDEN), dtype=np.float32)
     often = int(np.searchsorted(-times, -OFTEN, side="left"))
+    ones = _ones(int(times[0]))
     for i in range(often):
-        own = order[at[i] : at[i] + times[i]]
-        sums[:, i] = np.matmul(_ones(len(own)), np.take(dx, own, axis=1))[:, 0]
+        sums[i] = ones[:, : times[i]] @ rows[at[i] : at[i] + times[i]]
     for k in range(int(times[often]) if often < len(at) else 0):
         more = int(np.searchsorted(-times, -k, side="left"))  # so many are met more than k times
-        sums[:, often:more] += np.take(dx, order[at[often:more] + k], axis=1)
-    return met[at], sums.swapaxes(0, 1).reshape(len(at), 3 * HIDDEN)
+        sums[often:more] += np.take(rows, at[often:more] + k, axis=0)
+    return met[at], sums
 
 
 def text_blocks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
