@@ -102,9 +102,9 @@ def markdown_fault(text: Column, most: int = MOST_CHARACTERS) -> Column:
 
 
 def summary(markdown: Column, most: int = 80) -> Column:
-    """The first line with text once images are gone, cut to ``most`` characters."""
+    """The first line with text once images are gone, cut to ``most`` characters; null without any."""
     lines = F.transform(F.split(F.regexp_replace(markdown, r"!\[[^\]]*\]\([^)]*\)", ""), r"\r?\n"), lambda x: F.trim(x))
-    return F.substring(F.coalesce(F.element_at(F.filter(lines, lambda x: x != ""), 1), F.lit("")), 1, most)
+    return F.substring(F.get(F.filter(lines, lambda x: x != ""), F.lit(0)), 1, most)
 
 
 def clean_markdown(text: Column) -> Column:

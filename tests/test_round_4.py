@@ -33,3 +33,9 @@ def documents(text="text", size="n_chars"):
 def test_byte_ranges_of_short_bodies(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "a22_byte_range", documents=documents(size="doc_id // 12 % 12"))
     assert got == want and any(r[0] % 12 == 11 and r[1] == "unsatisfiable" for r in got) and any(r[0] % 12 == 11 and r[1] == "whole" for r in got)
+
+
+def test_summaries_of_bodies_without_lines(spark, tmp_path):
+    text = "CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN E' \\n\\r\\n ' WHEN 2 THEN '![a](b)' ELSE text END"
+    got, want = against_sql(spark, tmp_path, "f17_issue_summary", documents=documents(text=text))
+    assert got == want and sum(r[1] is None for r in got) == 150
