@@ -81,10 +81,13 @@ def segments_in(points: DataFrame, segments: DataFrame, on: str, point_key: str,
     return met.filter(crossed).groupBy(point_key).agg(F.count("*").alias("n")).filter("n % 2 = 1").select(point_key)
 
 
-def hausdorff(a: DataFrame, b: DataFrame, on: str, point_key: str, cell: float) -> DataFrame:
-    """(on, hausdorff): the greatest distance from a point (x, y) of either set to the nearest of the other, within each ``on``."""
-    there = nearest_segment(a.select(on, point_key, "x", "y"), _as_segments(b, on), on, point_key, cell)
-    back = nearest_segment(b.select(on, point_key, "x", "y"), _as_segments(a, on), on, point_key, cell)
+def hausdorff(a: DataFrame, b: DataFrame, on: str, cell: float) -> DataFrame:
+    """(on, hausdorff): the greatest distance from a point (x, y) of either set to the nearest of the other, within each ``on``.
+
+    Points at the same place have the same distance, so each place is looked at once.
+    """
+    places = [d.select(on, "x", "y").distinct().withColumn("_k", F.struct(on, "x", "y")) for d in (a, b)]
+    there, back = (nearest_segment(p, _as_segments(q, on), on, "_k", cell) for p, q in (places, places[::-1]))
     return there.select(on, "distance").union(back.select(on, "distance")).groupBy(on).agg(F.max("distance").alias("hausdorff"))
 
 

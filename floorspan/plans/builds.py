@@ -200,7 +200,7 @@ def d20_near_walls(node: DataFrame, unit: DataFrame, level: DataFrame) -> DataFr
 def g23_hausdorff_of_lines(node: DataFrame) -> DataFrame:
     """The symmetric distance of two sampled lines of each floor, nearest points found by growing grid cells."""
     p = node.select("ordinal", "node_id", ((F.col("lon") - 139.76) * 9e4).alias("x"), ((F.col("lat") - 35.68) * 1.1e5).alias("y"))
-    return nearest.hausdorff(p.filter("node_id % 2 = 0"), p.filter("node_id % 2 = 1"), "ordinal", "node_id", 20.0).select("ordinal", F.round("hausdorff", 6).alias("hausdorff"))
+    return nearest.hausdorff(p.filter("node_id % 2 = 0"), p.filter("node_id % 2 = 1"), "ordinal", 20.0).select("ordinal", F.round("hausdorff", 6).alias("hausdorff"))
 
 
 @query("B15", "v_unit", "SELECT unit_id, CASE unit_id % 4 WHEN 0 THEN NULL WHEN 1 THEN x ELSE round(x + w / 2, 9) END AS center_x FROM v_unit")

@@ -132,7 +132,7 @@ def g22_path_proposals(n: DataFrame) -> DataFrame:
   SELECT ordinal, round(max(m), 6) AS hausdorff FROM (SELECT ordinal, min(d) AS m FROM d GROUP BY ordinal, i UNION ALL SELECT ordinal, min(d) FROM d GROUP BY ordinal, j) GROUP BY 1""")
 def g23_hausdorff(d: DataFrame) -> DataFrame:
     p = d.select("ordinal", "node_id", (F.col("lon") * 1e5).alias("x"), F.lit(0.0).alias("y"))
-    return nearest.hausdorff(p.filter("node_id % 2 = 0"), p.filter("node_id % 2 = 1"), "ordinal", "node_id", 20.0).select("ordinal", F.round("hausdorff", 6).alias("hausdorff"))
+    return nearest.hausdorff(p.filter("node_id % 2 = 0"), p.filter("node_id % 2 = 1"), "ordinal", 20.0).select("ordinal", F.round("hausdorff", 6).alias("hausdorff"))
 
 
 @query("G24", "v_unit", "SELECT unit_id, CAST(4 AS BIGINT) AS n_triangles, CAST((w * 1e8)::BIGINT * (h * 1e8)::BIGINT * 3 AS BIGINT) AS doubled_area FROM v_unit")

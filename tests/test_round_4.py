@@ -1,10 +1,15 @@
 """Odd inputs and shapes of larger tables, on small ones."""
 
+import heapq
+import math
+import random
+
 import duckdb
-import pytest
 
-from floorspan.plans import all_queries
-from floorspan.plans.views import TABLES
+from floorspan.operators import nearest, walk, walls
+from floorspan.plans import all_queries, compiling
+from floorspan.plans.views import TABLES, frame
+from floorspan.session import cut
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,3 +44,14 @@ def test_summaries_of_bodies_without_lines(spark, tmp_path):
     text = "CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN E' \\n\\r\\n ' WHEN 2 THEN '![a](b)' ELSE text END"
     got, want = against_sql(spark, tmp_path, "f17_issue_summary", documents=documents(text=text))
     assert got == want and sum(r[1] is None for r in got) == 150
+
+
+def test_distance_of_sets_looks_at_each_place_once(spark, monkeypatch):
+    seen, real = [], nearest.nearest_segment
+    monkeypatch.setattr(nearest, "nearest_segment", lambda p, s, *a: seen.append((p.count(), s.count())) or real(p, s, *a))
+    p = spark.range(4000).selectExpr("CAST(id % 2 AS INT) AS o", "id % 7 * 1.0D AS x", "0.0D AS y", "id AS node_id")
+    q = spark.range(4000).selectExpr("CAST(id % 2 AS INT) AS o", "id % 5 * 2.5D AS x", "1.0D AS y", "id AS node_id")
+    got = {r.o: r.hausdorff for r in nearest.hausdorff(p, q, "o", 2.0).collect()}
+    xs, ys = [i * 1.0 for i in range(7)], [i * 2.5 for i in range(5)]
+    want = max(max(min(math.hypot(x - y, 1) for y in ys) for x in xs), max(min(math.hypot(x - y, 1) for x in xs) for y in ys))
+    assert got == {0: want, 1: want} and seen == [(14, 10), (10, 14)]
