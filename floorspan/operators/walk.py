@@ -61,26 +61,52 @@ def smooth_routes(points: DataFrame, obstacles: list[Box]) -> DataFrame:
     return points.groupBy("route").applyInPandas(run, f"route {points.schema['route'].dataType.simpleString()}, i long")
 
 
+def _octile(a: tuple[int, int], b: tuple[int, int]) -> int:
+    dx, dy = abs(a[0] - b[0]), abs(a[1] - b[1])
+    return 1000 * max(dx, dy) + 414 * min(dx, dy)
+
+
 def grid_path(a: tuple[int, int], b: tuple[int, int], obstacles: list[Box], margin: int = 20) -> int | None:
-    """Steps of a shortest way between grid points with eight neighbours, in thousandths of a metre; null when there is none."""
+    """Steps of a shortest way between grid points with eight neighbours, in thousandths of a metre; null when there is none.
+
+    The search is led by the way that is left without obstacles, so that it looks at the grid around the way alone.  A second one
+    sets out from the goal and heads for the start until both meet: a goal that is shut in ends it, however wide the rest.
+    """
     lo = (min(a[0], b[0]) - margin, min(a[1], b[1]) - margin)
     hi = (max(a[0], b[0]) + margin, max(a[1], b[1]) + margin)
-    best, heap = {a: 0}, [(0, a)]
-    while heap:
-        cost, at = heapq.heappop(heap)
-        if at == b:
-            return cost
-        if cost > best[at]:
-            continue
+
+    def around(at: tuple[int, int]):
         for dx in (-1, 0, 1):
             for dy in (-1, 0, 1):
                 to = (at[0] + dx, at[1] + dy)
-                if to == at or not (lo[0] <= to[0] <= hi[0] and lo[1] <= to[1] <= hi[1]) or any(o[0] < to[0] < o[2] and o[1] < to[1] < o[3] for o in obstacles):
-                    continue
-                c = cost + (1414 if dx and dy else 1000)
-                if c < best.get(to, 1 << 60):
-                    best[to] = c
-                    heapq.heappush(heap, (c, to))
+                if to != at and lo[0] <= to[0] <= hi[0] and lo[1] <= to[1] <= hi[1] and not any(o[0] < to[0] < o[2] and o[1] < to[1] < o[3] for o in obstacles):
+                    yield to, 1414 if dx and dy else 1000
+
+    if a != b and any(o[0] < b[0] < o[2] and o[1] < b[1] < o[3] for o in obstacles):
+        return None
+    best, heap = {a: 0}, [(_octile(a, b), _octile(a, b), a)]
+    back, seen, met = [(_octile(b, a), b)], {b}, False
+    while heap:
+        whole, left, at = heapq.heappop(heap)
+        if at == b:
+            return best[at]
+        cost = best[at]
+        if whole > cost + left:
+            continue
+        for to, step in around(at):
+            c = cost + step
+            if c < best.get(to, 1 << 60):
+                best[to] = c
+                heapq.heappush(heap, (c + _octile(to, b), _octile(to, b), to))
+        if not met:
+            if not back:
+                return None
+            _, at = heapq.heappop(back)
+            met = at in best
+            for to, _ in () if met else around(at):
+                if to not in seen:
+                    seen.add(to)
+                    heapq.heappush(back, (_octile(to, a), to))
     return None
 
 

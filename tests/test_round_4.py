@@ -55,3 +55,34 @@ def test_distance_of_sets_looks_at_each_place_once(spark, monkeypatch):
     xs, ys = [i * 1.0 for i in range(7)], [i * 2.5 for i in range(5)]
     want = max(max(min(math.hypot(x - y, 1) for y in ys) for x in xs), max(min(math.hypot(x - y, 1) for x in xs) for y in ys))
     assert got == {0: want, 1: want} and seen == [(14, 10), (10, 14)]
+
+
+def test_grid_search_keeps_to_the_way(monkeypatch):
+    pops, real = [0], walk.heapq.heappop
+    monkeypatch.setattr(walk.heapq, "heappop", lambda h: pops.__setitem__(0, pops[0] + 1) or real(h))
+    assert walk.grid_path((0, 0), (40, 3000), [(10.0, 1.0, 12.0, 14.0)]) == 2960 * 1000 + 40 * 1414
+    assert pops[0] < 30_000  # the grid has 243,000 points
+    pops[0] = 0
+    cell = [(36.5, 2996.5, 37.5, 3003.5), (42.5, 2996.5, 43.5, 3003.5), (36.5, 2996.5, 43.5, 2997.5), (36.5, 3002.5, 43.5, 3003.5)]
+    assert walk.grid_path((0, 0), (40, 3000), cell) is None and pops[0] < 1000  # a goal that is shut in
+
+
+def test_grid_search_is_exact():
+    r = random.Random(4)
+
+    def plain(a, b, obstacles, margin):
+        lo, hi = [min(p) - margin for p in zip(a, b)], [max(p) + margin for p in zip(a, b)]
+        best, heap = {a: 0}, [(0, a)]
+        while heap:
+            c, (x, y) = heapq.heappop(heap)
+            for to in [(x + i, y + j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]:
+                d = c + (1414 if to[0] != x and to[1] != y else 1000)
+                if all(lo[k] <= to[k] <= hi[k] for k in (0, 1)) and not any(o[0] < to[0] < o[2] and o[1] < to[1] < o[3] for o in obstacles) and d < best.get(to, math.inf):
+                    best[to] = d
+                    heapq.heappush(heap, (d, to))
+        return best.get(b)
+
+    for _ in range(100):
+        obstacles = [(x := r.uniform(-3, 10), y := r.uniform(-3, 10), x + r.uniform(0, 9), y + r.uniform(0, 9)) for _ in range(5)]
+        a, b = (r.randint(0, 9), r.randint(0, 9)), (r.randint(0, 9), r.randint(0, 9))
+        assert walk.grid_path(a, b, obstacles, 3) == plain(a, b, obstacles, 3)
