@@ -164,15 +164,45 @@ def ring_distance(ring: list, x: float, y: float) -> float:
     return best
 
 
-def on_floor(areas: list, obstacles: list, x: float, y: float) -> bool:
-    """Inside an area or at most OUTSIDE_M beside it, and inside no obstacle."""
-    return not any(in_ring(o, x, y) for o in obstacles) and any(in_ring(a, x, y) or ring_distance(a, x, y) <= OUTSIDE_M for a in areas)
-
-
-def passes(points: list, i: int, j: int, areas: list, obstacles: list, locks: list) -> bool:
+class _Near:
+    """Rings or points by square cells of their bounds, so that a place meets those around it alone."""
+
+    def __init__(self, things: list, bounds: Callable[[object], Box], rim: float, cell: float = 4.0):
+        self.cell, self.at, self.wide = cell, {}, []
+        for t in things:
+            w, s, e, n = bounds(t)
+            if not all(map(math.isfinite, (w, s, e, n))):
+                continue  # nothing is inside or near
+            x0, y0, x1, y1 = (math.floor(v / cell) for v in (w - rim, s - rim, e + rim, n + rim))
+            if (x1 - x0 + 1) * (y1 - y0 + 1) > 4096:  # a large one is looked at everywhere
+                self.wide.append(t)
+                continue
+            for i in range(x0, x1 + 1):
+                for j in range(y0, y1 + 1):
+                    self.at.setdefault((i, j), []).append(t)
+
+    def __call__(self, x: float, y: float) -> list:
+        if not (math.isfinite(x) and math.isfinite(y)):
+            return []
+        own = self.at.get((math.floor(x / self.cell), math.floor(y / self.cell)), [])
+        return own + self.wide if self.wide else own
+
+
+def _bounds(ring: list) -> Box:
+    xs, ys = [p[0] for p in ring], [p[1] for p in ring]
+    return (min(xs), min(ys), max(xs), max(ys)) if ring else (math.nan,) * 4
+
+
+def on_floor(areas: list | Callable, obstacles: list | Callable, x: float, y: float) -> bool:
+    """Inside an area or at most OUTSIDE_M beside it, and inside no obstacle; both are rings, or give those around a place."""
+    here = lambda of: of(x, y) if callable(of) else of
+    return not any(in_ring(o, x, y) for o in here(obstacles)) and any(in_ring(a, x, y) or ring_distance(a, x, y) <= OUTSIDE_M for a in here(areas))
+
+
+def passes(points: list, i: int, j: int, areas: list | Callable, obstacles: list | Callable, locks: list | Callable) -> bool:
     """Whether the chord from point i to point j may stand for all points between."""
     for x, y in points[i + 1 : j]:
-        if any(((x - lx) ** 2 + (y - ly) ** 2) ** 0.5 < LOCK_M for lx, ly in locks):
+        if any(((x - lx) ** 2 + (y - ly) ** 2) ** 0.5 < LOCK_M for lx, ly in (locks(x, y) if callable(locks) else locks)):
             return False
     (ax, ay), (bx, by) = points[i], points[j]
     n = max(1, math.ceil(((bx - ax) ** 2 + (by - ay) ** 2) ** 0.5 / SAMPLE_M))
@@ -180,37 +210,63 @@ def passes(points: list, i: int, j: int, areas: list, obstacles: list, locks: li
 
 
 def smoothed(points: list, areas: list, obstacles: list, locks: list) -> list[int]:
-    """The places of the points that stay: from each the farthest that a chord may reach, else the next one."""
+    """The places of the points that stay: from each the farthest that a chord may reach, else the next one; a point near a lock stays."""
+    area, obstacle = _Near(areas, _bounds, 2 * OUTSIDE_M), _Near(obstacles, _bounds, OUTSIDE_M)
+    lock = _Near(locks, lambda p: (p[0], p[1], p[0], p[1]), 2 * LOCK_M)
+    held = [any(((x - lx) ** 2 + (y - ly) ** 2) ** 0.5 < LOCK_M for lx, ly in lock(x, y)) for x, y in points]
     kept, at = [0], 0
     while at < len(points) - 1:
-        at = next((j for j in range(len(points) - 1, at + 1, -1) if passes(points, at, j, areas, obstacles, locks)), at + 1)
+        last = next((j for j in range(at + 1, len(points)) if held[j]), len(points) - 1)  # no chord leaves this one out
+        at = next((j for j in range(last, at + 1, -1) if passes(points, at, j, area, obstacle, [])), at + 1)
         kept.append(at)
     return kept
 
 
-def smooth_on_floors(routes: DataFrame, parts: DataFrame, slices: int = 64) -> DataFrame:
-    """(route_id, segment, ordinal, points, kept) of route segments (route_id, segment, ordinal, points), points an array of (x, y) in metres.
+def smooth_on_floors(routes: DataFrame, parts: DataFrame, per_slice: int = 64) -> DataFrame:
+    """(route_id, segment, ordinal, n_points, points) of route segments (route_id, segment, ordinal, points), points an array of (x, y) in metres.
 
-    Segments of a floor without parts stay as they are.  A floor's parts fit into a worker and are sent to each of its slices of segments.
+    Segments of a floor without parts stay as they are.  A chord lies in its segment's bounds, so a segment meets the parts
+    that reach into these alone, in grid cells; a pair counts in the first cell that both share.
     """
     ship(routes.sparkSession)
-    dealt = routes.withColumn("_s", F.pmod(F.xxhash64("route_id", "segment"), F.lit(slices)).cast("int"))
-    used = dealt.select(F.col("ordinal").alias("_o"), F.col("_s").alias("_slice")).distinct()
-    floor = cut(parts.join(used, F.col("ordinal") == F.col("_o")).select("_o", "_slice", "part", F.transform("ring", lambda p: F.array(p["x"], p["y"])).alias("ring"), "x", "y"))
+    rim = 2 * max(OUTSIDE_M, LOCK_M)
+    edges = ("west", "south", "east", "north")
+    finite = lambda p: ~F.isnan(p["x"]) & ~F.isnan(p["y"]) & (F.abs(p["x"]) < float("inf")) & (F.abs(p["y"]) < float("inf"))
+    ends = lambda a: {n: f(F.transform(a, lambda p: p[c])) for n, f, c in zip(edges, (F.array_min, F.array_min, F.array_max, F.array_max), "xyxy", strict=True)}  # noqa: B023, E731
+    known = parts.select("ordinal").distinct().withColumn("_known", F.lit(True))
+    routes = cut(routes.select("route_id", "segment", "ordinal", "points").withColumn("_id", F.monotonically_increasing_id()).withColumns(ends(F.filter("points", finite))))
+    spot = F.array(F.struct("x", "y"))
+    floor = parts.select("ordinal", "part", F.transform("ring", lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))).alias("ring"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    floor = cut(floor.withColumns(ends(F.filter(F.coalesce("ring", spot), finite))))
+    widest = [d.agg(F.max(F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south")))).first()[0] or 0.0 for d in (routes, floor)]
+    cell = max(16.0, max(widest) / 64)
+    reach = lambda lo, hi, pad: F.sequence(F.floor((F.col(lo) - pad) / cell), F.floor((F.col(hi) + pad) / cell))
+    spread = lambda d, pad: d.filter("west is not null").withColumn("_cx", F.explode(reach("west", "east", pad))).withColumn("_cy", F.explode(reach("south", "north", pad)))
+    a = spread(routes.select("_id", "ordinal", *edges), rim).select("_id", "ordinal", "_cx", "_cy", *[F.col(c).alias(f"_{c}") for c in edges])
+    low = lambda c: F.floor((F.col(f"_{c}") - rim) / cell)
+    own = [F.col(k) == F.greatest(low(c), F.floor(F.col(c) / cell)) for k, c in (("_cx", "west"), ("_cy", "south"))]
+    near = spread(floor, 0.0).join(a, ["ordinal", "_cx", "_cy"]).filter(own[0] & own[1]).select(F.col("_id").alias("_of"), "part", F.transform("ring", lambda p: F.array(p["x"], p["y"])).alias("ring"), "x", "y")
+    slices = max(1, -(-routes.count() // per_slice))
+    deal = lambda c: F.pmod(F.xxhash64(c), F.lit(slices)).cast("int")
+    dealt = routes.drop(*edges).join(known, "ordinal", "left").withColumn("_s", deal("_id"))
+    near = near.withColumn("_t", deal("_of"))
     kind = lambda c: routes.schema[c].dataType.simpleString()
 
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rings = {k: [[tuple(p) for p in ring] for ring in right.loc[right["part"] == k, "ring"]] for k in ("area", "obstacle")}
-        locks = list(right.loc[right["part"] == "lock", ["x", "y"]].itertuples(index=False, name=None))
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        of = dict(iter(right.groupby("_of")))
         out = []
-        for r in left.itertuples():
+        for r in left.itertuples(index=False):
             points = [(p["x"], p["y"]) for p in r.points]
-            kept = smoothed(points, rings["area"], rings["obstacle"], locks) if len(right) else list(range(len(points)))
+            kept = list(range(len(points)))
+            if r[left.columns.get_loc("_known")] is True:
+                some = of.get(r[left.columns.get_loc("_id")], right.iloc[:0])
+                rings = {k: [[tuple(p) for p in ring] for ring in some.loc[some["part"] == k, "ring"]] for k in ("area", "obstacle")}
+                kept = smoothed(points, rings["area"], rings["obstacle"], list(some.loc[some["part"] == "lock", ["x", "y"]].itertuples(index=False, name=None)))
             out.append((r.route_id, r.segment, r.ordinal, len(points), [{"x": points[k][0], "y": points[k][1]} for k in kept]))
         return pd.DataFrame(out, columns=["route_id", "segment", "ordinal", "n_points", "points"])
 
     schema = f"route_id {kind('route_id')}, segment int, ordinal {kind('ordinal')}, n_points int, points array<struct<x: double, y: double>>"
-    return dealt.groupBy("ordinal", "_s").cogroup(floor.groupBy("_o", "_slice")).applyInPandas(lambda k, a, b: run(k, a, b), schema)
+    return dealt.groupBy("_s").cogroup(near.groupBy("_t")).applyInPandas(run, schema)
 
 
 #: Fixed value: a point of a route that is nearer to the boundary of an area hugs the wall.

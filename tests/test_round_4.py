@@ -86,3 +86,18 @@ def test_grid_search_is_exact():
         obstacles = [(x := r.uniform(-3, 10), y := r.uniform(-3, 10), x + r.uniform(0, 9), y + r.uniform(0, 9)) for _ in range(5)]
         a, b = (r.randint(0, 9), r.randint(0, 9)), (r.randint(0, 9), r.randint(0, 9))
         assert walk.grid_path(a, b, obstacles, 3) == plain(a, b, obstacles, 3)
+
+
+def test_smoothing_looks_at_the_parts_around_alone(spark, monkeypatch):
+    calls, real = [0], walk.in_ring
+    monkeypatch.setattr(walk, "in_ring", lambda *a: calls.__setitem__(0, calls[0] + 1) or real(*a))
+    square = lambda x, y: [(x, y), (x + 9.0, y), (x + 9.0, y + 9.0), (x, y + 9.0)]
+    line = [(1.0 + i * 2, 5.0 + i % 2) for i in range(12)]
+    assert walk.smoothed(line, [square(9.0 * i, 0.0) for i in range(3000)], [square(9.0 * i, 100.0) for i in range(3000)], [(i * 10.0, 50.0) for i in range(3000)]) == [0, 11]
+    assert calls[0] < 1000
+    monkeypatch.undo()
+    point = "array<struct<x: double, y: double>>"
+    routes = spark.createDataFrame([(1, 0, 0.0, [(x, y + 200.0 * k) for x, y in line]) for k in range(3)], f"route_id long, segment int, ordinal double, points {point}")
+    parts = [(0.0, "area", square(9.0 * i, 200.0 * k), None, None) for i in range(3) for k in (0, 2)] + [(0.0, "lock", None, 7.1, 406.0)]
+    got = walk.smooth_on_floors(routes, spark.createDataFrame(parts, f"ordinal double, part string, ring {point}, x double, y double")).collect()
+    assert sorted((r.points[0].y, [p.x for p in r.points]) for r in got) == [(5.0, [1.0, 23.0]), (205.0, [p[0] for p in line]), (405.0, [1.0, 7.0, 23.0])]
