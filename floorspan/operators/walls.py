@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from floorspan.session import cut
+
 #: Fixed values, in millimetres: nominal heights of walls and doors, and how far an opening may be off its wall.
 WALL_MM, DOOR_MM, TOLERANCE_MM = 3000, 2400, 200
 KEY = ["level_id", "ax", "ay", "cx", "cy"]
@@ -42,12 +44,13 @@ def candidates(openings: DataFrame, edges: DataFrame, tolerance: int = TOLERANCE
 
     Adds ``len2``, the ends' projections ``start`` and ``end`` in parts of len2, ``score`` (len2 times the sum of the squared
     distances of both ends from the wall) and ``close``, whether both ends are near the wall itself.  An opening comes as near to
-    such a wall as its ends do to the line, so both meet in grid cells.
+    such a wall as its ends do to the line, so both meet in grid cells.  Stored walls take little room in their files, many
+    times more in memory, and a row for each cell: the planner would take them for small, so the join is told to sort.
     """
     c = F.col
     mine = openings.withColumn("_c", F.explode(_cells(c("px"), c("py"), c("qx"), c("qy"), cell, abs(tolerance))))
     theirs = edges.withColumn("_c", F.explode(_cells(c("ax"), c("ay"), c("cx"), c("cy"), cell, 0)))
-    d = mine.join(theirs, ["level_id", "_c"]).drop("_c").dropDuplicates(["opening_id", *KEY])
+    d = mine.join(theirs.hint("merge"), ["level_id", "_c"]).drop("_c").dropDuplicates(["opening_id", *KEY])
     d = d.withColumns({"dx": c("cx") - c("ax"), "dy": c("cy") - c("ay")}).withColumn("len2", c("dx") * c("dx") + c("dy") * c("dy"))
     for k in "pq":
         x, y = c(f"{k}x") - c("ax"), c(f"{k}y") - c("ay")
@@ -77,7 +80,7 @@ def host(openings: DataFrame, edges: DataFrame, tolerance: int = TOLERANCE_MM, d
     n_walls), snapped to the host; the second is (KEY, opening_id, start, end, high) of each wall cut.
     """
     c = F.col
-    found = candidates(openings, edges, tolerance)
+    found = cut(candidates(openings, edges, tolerance))
     key = F.struct("ax", "ay", "cx", "cy")
     own = found.groupBy("opening_id").agg(F.collect_list(F.struct("score", "len2", key.alias("k"), "start", "end")).alias("all"))  # the walls within reach of one opening
     less = lambda a, b: (a["score"] * _wide(b["len2"]) < b["score"] * _wide(a["len2"])) | ((a["score"] * _wide(b["len2"]) == b["score"] * _wide(a["len2"])) & (a["k"] < b["k"]))
@@ -85,7 +88,7 @@ def host(openings: DataFrame, edges: DataFrame, tolerance: int = TOLERANCE_MM, d
     own = own.select("opening_id", best.alias("h"))
     snapped = [at(c(f"h.k.a{w}"), c(f"h.k.c{w}"), c(f"h.{p}"), c("h.len2")).alias(f"{w}{i}") for i, p in ((1, "start"), (2, "end")) for w in "xy"]
     own = own.select("opening_id", "h", *snapped).filter("x1 <> x2 or y1 <> y2")
-    d = found.join(own, "opening_id")
+    d = found.join(own.hint("merge"), "opening_id")
     turn = lambda x, y: _wide(c(x) - c("h.k.ax")) * _wide(c("h.k.cy") - c("h.k.ay")) == _wide(c(y) - c("h.k.ay")) * _wide(c("h.k.cx") - c("h.k.ax"))
     d = d.filter(c("close") | (turn("ax", "ay") & turn("cx", "cy")) | (key == c("h.k")))
     low = d.groupBy("opening_id", "level_id").agg(F.min("height").alias("low"), F.count("*").alias("n_walls"), F.first("h").alias("h"), *[F.first(f"{w}{i}").alias(f"{w}{i}") for i in (1, 2) for w in "xy"])
@@ -97,10 +100,10 @@ def host(openings: DataFrame, edges: DataFrame, tolerance: int = TOLERANCE_MM, d
 
 def connected_units(cuts: DataFrame, of_units: DataFrame) -> DataFrame:
     """(opening_id, from_unit, to_unit): the first two units at the walls that an opening cuts; the second is null for the outside."""
-    pairs = cuts.select("opening_id", *KEY).join(of_units.select("unit_id", *KEY), KEY).select("opening_id", "unit_id").distinct()
+    pairs = cut(cuts.select("opening_id", *KEY).join(of_units.select("unit_id", *KEY).hint("merge"), KEY).select("opening_id", "unit_id").distinct())
     first = pairs.groupBy("opening_id").agg(F.min("unit_id").alias("from_unit"))
-    second = pairs.join(first, "opening_id").filter("unit_id > from_unit").groupBy("opening_id").agg(F.min("unit_id").alias("to_unit"))
-    return first.join(second, "opening_id", "left")
+    second = pairs.join(first.hint("merge"), "opening_id").filter("unit_id > from_unit").groupBy("opening_id").agg(F.min("unit_id").alias("to_unit"))
+    return first.join(second.hint("merge"), "opening_id", "left")
 
 
 def panels(edges: DataFrame, cuts: DataFrame, planes: DataFrame) -> DataFrame:

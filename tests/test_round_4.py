@@ -101,3 +101,12 @@ def test_smoothing_looks_at_the_parts_around_alone(spark, monkeypatch):
     parts = [(0.0, "area", square(9.0 * i, 200.0 * k), None, None) for i in range(3) for k in (0, 2)] + [(0.0, "lock", None, 7.1, 406.0)]
     got = walk.smooth_on_floors(routes, spark.createDataFrame(parts, f"ordinal double, part string, ring {point}, x double, y double")).collect()
     assert sorted((r.points[0].y, [p.x for p in r.points]) for r in got) == [(5.0, [1.0, 23.0]), (205.0, [p[0] for p in line]), (405.0, [1.0, 7.0, 23.0])]
+
+
+def test_joins_of_stored_walls_are_not_broadcast(spark):
+    rooms = [frame(spark, SF, v) for v in ("v_room", "v_side", "v_door")]
+    of_units, _, _, cuts = compiling._hosted(rooms[0], rooms[2])
+    plan = walls.connected_units(cuts, of_units)._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+    near = walls.candidates(rooms[2], cut(walls.walls(of_units)))._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in near and "BroadcastHashJoin" not in near
