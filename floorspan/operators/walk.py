@@ -222,7 +222,7 @@ def smoothed(points: list, areas: list, obstacles: list, locks: list) -> list[in
     return kept
 
 
-def smooth_on_floors(routes: DataFrame, parts: DataFrame, per_slice: int = 64) -> DataFrame:
+def smooth_on_floors(routes: DataFrame, parts: DataFrame, per_slice: int = 16) -> DataFrame:
     """(route_id, segment, ordinal, n_points, points) of route segments (route_id, segment, ordinal, points), points an array of (x, y) in metres.
 
     Segments of a floor without parts stay as they are.  A chord lies in its segment's bounds, so a segment meets the parts
@@ -247,6 +247,7 @@ def smooth_on_floors(routes: DataFrame, parts: DataFrame, per_slice: int = 64) -
     own = [F.col(k) == F.greatest(low(c), F.floor(F.col(c) / cell)) for k, c in (("_cx", "west"), ("_cy", "south"))]
     near = spread(floor, 0.0).join(a, ["ordinal", "_cx", "_cy"]).filter(own[0] & own[1]).select(F.col("_id").alias("_of"), "part", F.transform("ring", lambda p: F.array(p["x"], p["y"])).alias("ring"), "x", "y")
     slices = max(1, -(-routes.count() // per_slice))
+    tasks = min(slices, 2000)  # segments are few bytes and much work, so the planner would put them into one task
     deal = lambda c: F.pmod(F.xxhash64(c), F.lit(slices)).cast("int")
     dealt = routes.drop(*edges).join(known, "ordinal", "left").withColumn("_s", deal("_id"))
     near = near.withColumn("_t", deal("_of"))
@@ -266,7 +267,7 @@ def smooth_on_floors(routes: DataFrame, parts: DataFrame, per_slice: int = 64) -
         return pd.DataFrame(out, columns=["route_id", "segment", "ordinal", "n_points", "points"])
 
     schema = f"route_id {kind('route_id')}, segment int, ordinal {kind('ordinal')}, n_points int, points array<struct<x: double, y: double>>"
-    return dealt.groupBy("_s").cogroup(near.groupBy("_t")).applyInPandas(run, schema)
+    return dealt.repartition(tasks, "_s").groupBy("_s").cogroup(near.repartition(tasks, "_t").groupBy("_t")).applyInPandas(run, schema)
 
 
 #: Fixed value: a point of a route that is nearer to the boundary of an area hugs the wall.
