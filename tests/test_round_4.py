@@ -7,6 +7,7 @@ import random
 import duckdb
 
 from floorspan.operators import nearest, walk, walls
+from floorspan.operators.skeleton import skeletons
 from floorspan.plans import all_queries, compiling
 from floorspan.plans.views import TABLES, frame
 from floorspan.session import cut
@@ -110,3 +111,11 @@ def test_joins_of_stored_walls_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in plan
     near = walls.candidates(rooms[2], cut(walls.walls(of_units)))._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in near and "BroadcastHashJoin" not in near
+
+
+def test_middle_lines_by_tiles_are_those_of_the_whole(spark):
+    r = random.Random(3)
+    rows = [(k, r.uniform(0, 60), r.uniform(0, 60), r.uniform(1, 30), r.uniform(1, 30), r.random() < 0.7) for k in "ab" for _ in range(25)] + [("c", 0.0, 0.0, 5.0, 5.0, False)]
+    d = spark.createDataFrame(rows, "level_id string, x double, y double, w double, h double, free boolean")
+    whole = sorted(map(tuple, skeletons(d).collect()))
+    assert whole and sorted(map(tuple, skeletons(d, tile=16, margin=3).collect())) == whole
