@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from floorspan.functions import geo
 from floorspan.operators import graph, relational, routing
 from floorspan.plans.registry import query
+from floorspan.session import cut
 
 
 def _hav(a: str, b: str, c: str, d: str) -> str:
@@ -44,11 +45,16 @@ _ROUTE = (
 )
 
 
-def _ways(net: DataFrame, node: DataFrame) -> DataFrame:
-    """The network's edges between known nodes, numbered by their ends, with a bend in the middle."""
+def _ways(net: DataFrame, node: DataFrame, numbered: bool = True) -> DataFrame:
+    """The network's edges between known nodes, numbered by their ends unless nobody asks, with a bend in the middle."""
     end = lambda k: node.select(F.col("node_id").alias(f"{k}_id"), F.col("lon").alias(f"{k}_lon"), F.col("lat").alias(f"{k}_lat"), F.col("ordinal").alias(f"{k}_ordinal"))
-    d = net.select("from_id", "to_id", "cost", "direction").join(end("from"), "from_id").join(end("to"), "to_id")
-    d = graph.dense_index(d.withColumn("_key", F.struct("from_id", "to_id")), "_key")
+    ids = node.select("node_id")
+    d = cut(graph.clip(node, net.select("from_id", "to_id", "cost", "direction"), ids)[1])
+    if numbered:
+        d = cut(graph.dense_index(d.withColumn("_key", F.struct("from_id", "to_id")), "_key").drop("_key"))
+    else:
+        d = d.withColumn("node_index", F.lit(None).cast("long"))
+    d = d.join(end("from"), "from_id").join(end("to"), "to_id")
     bend = F.struct(((F.col("from_lon") + F.col("to_lon")) / 2 + 0.00002 * ((F.col("from_id") + F.col("to_id")) % 3)).alias("lon"), ((F.col("from_lat") + F.col("to_lat")) / 2).alias("lat"))
     return d.select(F.col("node_index").alias("edge_id"), "from_id", "to_id", "cost", "direction", F.col("from_ordinal").alias("ordinal"), F.array(bend).alias("interior"))
 
@@ -103,7 +109,7 @@ def _pairs(net: DataFrame, node: DataFrame) -> DataFrame:
     near = relational.grid_pairs(node, "node_id", "lon", "lat", 5e-4, (metres > routing.PAIR_OVER_M) & (metres <= routing.PAIR_UPTO_M), "ordinal")
     side = lambda k: node.select(F.col("node_id").alias(k), F.col("lon").alias(f"lon_{k}"), F.col("lat").alias(f"lat_{k}"))
     d = near.join(side("a"), "a").join(side("b"), "b").withColumn("direct_m", geo.haversine(F.col("lon_a"), F.col("lat_a"), F.col("lon_b"), F.col("lat_b")))
-    return routing.sampled_pairs(d.select("a", "b", "direct_m"), routing.walked(routing.polylines(node, _ways(net, node))))
+    return routing.sampled_pairs(d.select("a", "b", "direct_m"), routing.walked(routing.polylines(node, _ways(net, node, False))))
 
 
 @query("E16", "v_net v_node", _PAIRS + " SELECT a, b, round(d, 6) AS direct_m, round(c, 6) AS network_m FROM first", recursive=True)

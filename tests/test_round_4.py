@@ -6,7 +6,7 @@ import random
 
 import duckdb
 
-from floorspan.operators import nearest, walk, walls
+from floorspan.operators import graph, nearest, routing, walk, walls
 from floorspan.operators.skeleton import skeletons
 from floorspan.plans import all_queries, compiling
 from floorspan.plans.views import TABLES, frame
@@ -119,3 +119,20 @@ def test_middle_lines_by_tiles_are_those_of_the_whole(spark):
     d = spark.createDataFrame(rows, "level_id string, x double, y double, w double, h double, free boolean")
     whole = sorted(map(tuple, skeletons(d).collect()))
     assert whole and sorted(map(tuple, skeletons(d, tile=16, margin=3).collect())) == whole
+
+
+def test_few_points_meet_the_same_segments_as_many(spark):
+    r = random.Random(6)
+    points = spark.createDataFrame([(i, i % 3, r.uniform(0, 50), r.uniform(0, 50)) for i in range(40)], "i long, g int, x double, y double")
+    lines = [(k // 2, k % 2, g, r.uniform(0, 50), r.uniform(0, 50), r.uniform(0, 50), r.uniform(0, 50)) for k in range(600) for g in (0, 1)] + [(7000, 0, 2, 1.0, 1.0, 2.0, 2.0)]
+    segments = spark.createDataFrame(lines, "k long, piece int, g int, x1 double, y1 double, x2 double, y2 double")
+    few, many = (sorted((r.i, r.place, r.k, r.distance, r.piece) for r in nearest.nearest_segments(points, segments, "g", "i", "k", 4.0, 3, part="piece", few_points=n).collect()) for n in (256, 0))
+    assert few == many and len(few) == 3 * 27 + 13
+    spread = []
+    real = nearest.cells_of
+    nearest.cells_of = lambda *a: spread.append(1) or real(*a)
+    try:
+        nearest.nearest_segments(points, segments, "g", "i", "k", 4.0, 3).collect()
+    finally:
+        nearest.cells_of = real
+    assert not spread  # no segment is sent to the cells of its bounds
