@@ -136,3 +136,19 @@ def test_few_points_meet_the_same_segments_as_many(spark):
     finally:
         nearest.cells_of = real
     assert not spread  # no segment is sent to the cells of its bounds
+
+
+def some_graph(n, seed):
+    r = random.Random(seed)
+    return sorted({(a, b): (float(r.choice((1, 1, 2, 3, 5)) * 1000), r.randrange(3)) for a in range(n) for b in r.sample(range(n), 4) if a != b and a % 9 and b % 9}.items())
+
+
+def test_routes_of_large_venues_are_those_of_small_ones(spark, monkeypatch):
+    edges = spark.createDataFrame([(v, a, b, c, d) for v in (1, 2) for (a, b), (c, d) in some_graph(60, v)], "venue int, from_id long, to_id long, cost double, direction int")
+    there, back = edges.filter("direction in (0, 1)").selectExpr("venue", "from_id AS source", "to_id AS target", "cost"), edges.filter("direction in (0, 2)").selectExpr("venue", "to_id", "from_id", "cost")
+    asked = spark.createDataFrame([(v, v * 1000 + i, s, i) for v in (1, 2, 3) for s in (4, 17) for i in range(s % 2, 60, 2)], "venue int, request_id long, source long, target long")
+    small = sorted(map(tuple, graph.routes(asked, there.union(back)).collect()), key=repr)
+    assert len(small) == 180 and sum(r[2] is None for r in small) > 60
+    monkeypatch.setattr(graph, "search_all", None)  # not called
+    large = graph.routes(asked.filter("venue < 3"), there.union(back), most=0)
+    assert sorted(map(tuple, large.collect()), key=repr) == [r for r in small if r[0] < 3]
