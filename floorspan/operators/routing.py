@@ -37,12 +37,12 @@ def polylines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def pieces(lines: DataFrame) -> DataFrame:
     """(edge_id, ordinal, piece, x1, y1, x2, y2, before, total): an edge's straight pieces with the metres before them and of the whole edge."""
-    step = F.transform(F.sequence(F.lit(0), F.size("line") - 2), lambda i: F.struct(i.alias("piece"), F.get("line", i).alias("p"), F.get("line", i + 1).alias("q")))
-    d = lines.select("edge_id", "ordinal", F.explode(step).alias("s")).select("edge_id", "ordinal", "s.piece", *[F.col(f"s.{a}.{k}").alias(f"{k}{i}") for i, a in ((1, "p"), (2, "q")) for k in "xy"])
-    d = d.withColumn("metres", geo.haversine(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
-    own = Window.partitionBy("edge_id")
-    before = F.sum("metres").over(own.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
-    return d.withColumns({"before": F.coalesce(before, F.lit(0.0)), "total": F.sum("metres").over(own)})
+    size = F.transform(F.sequence(F.lit(0), F.size("line") - 2), lambda i: geo.haversine(F.get("line", i)["x"], F.get("line", i)["y"], F.get("line", i + 1)["x"], F.get("line", i + 1)["y"]))
+    d = lines.withColumn("_m", size)
+    upto = F.transform(F.sequence(F.lit(0), F.size("_m")), lambda i: F.aggregate(F.slice("_m", F.lit(1), i), F.lit(0.0), lambda a, m: a + m))
+    d = d.withColumn("_b", upto).select("edge_id", "ordinal", "line", "_m", "_b", F.element_at("_b", -1).alias("total"), F.explode(F.sequence(F.lit(0), F.size("_m") - 1)).alias("piece"))
+    at = lambda c, i=0: F.get(c, F.col("piece") + i)
+    return d.select("edge_id", "ordinal", "piece", *[at("line", i)[k].alias(f"{k}{i + 1}") for i in (0, 1) for k in "xy"], at("_m").alias("metres"), at("_b").alias("before"), "total")
 
 
 def snap(points: DataFrame, parts: DataFrame, cell: float = 5e-4) -> DataFrame:
@@ -66,13 +66,47 @@ def snap(points: DataFrame, parts: DataFrame, cell: float = 5e-4) -> DataFrame:
     )
 
 
-def route(requests: DataFrame, nodes: DataFrame, edges: DataFrame, venue: str = "venue") -> DataFrame:
+#: Edges of all venues that are searched as they are; of more, only those on the cheapest ways are sent to the workers.
+SEARCHED_EDGES = 1 << 22
+
+
+def _used(requests: DataFrame, snapped: DataFrame, edges: DataFrame, venue: str) -> DataFrame:
+    """(venue, request_id, edge_id) of the edges on the cheapest ways of each request from its spots to the nodes at its goals.
+
+    Labels are (cost, origin, cost before, node before, edge), so of equal ways the one is kept that the search takes.
+    """
+    spots = requests.select(venue, "request_id").join(snapped.select("point_id.request_id", F.col("point_id.end").alias("end"), "edge_id", "along", "total", "distance"), "request_id")
+    ends = edges.select(venue, "edge_id", "from_id", "to_id", F.col("cost").cast("double").alias("cost"), "direction")
+    known = cut(spots.join(ends.join(F.broadcast(spots.select(venue, "edge_id").distinct()), [venue, "edge_id"], "left_semi"), [venue, "edge_id"]))  # 2 * SNAPS a request at most
+    whole, off = F.greatest("total", F.lit(2.220446049250313e-16)), F.col("distance") * UNITS_PER_METRE
+    before, after = F.col("cost") * F.col("along") / whole, F.col("cost") * (F.col("total") - F.col("along")) / whole
+    none = F.lit(None).cast("long")
+    label = lambda c: F.struct(c.alias("cost"), F.col("edge_id").alias("origin"), F.lit(-1.0).alias("at"), none.alias("node"), none.alias("edge"))
+    start, goal = known.filter("end = 1"), known.filter("end = 2")
+    seeds = start.filter(graph.backward()).select(venue, "request_id", F.col("from_id").alias("node"), label(before + off).alias("l")).union(start.filter(graph.forward()).select(venue, "request_id", "to_id", label(after + off)))
+    goals = goal.filter(graph.forward()).select(venue, "request_id", F.col("from_id").alias("node"), (before + off).alias("extra")).union(goal.filter(graph.backward()).select(venue, "request_id", "to_id", after + off))
+    there = ends.filter(graph.forward()).select(venue, F.col("from_id").alias("source"), F.col("to_id").alias("target"), "cost", F.col("edge_id").alias("edge"))
+    arcs = there.union(ends.filter(graph.backward()).select(venue, "to_id", "from_id", "cost", "edge_id"))
+    arcs = arcs.groupBy(venue, "source", "target").agg(F.min("cost").alias("cost"), F.min_by("edge", F.struct("cost", "edge")).alias("edge"))
+    on = lambda: F.struct((F.col("l.cost") + F.col("cost")).alias("cost"), F.col("l.origin").alias("origin"), F.col("l.cost").alias("at"), F.col("node").cast("long").alias("node"), F.col("edge").cast("long").alias("edge"))
+    keys = [venue, "request_id"]
+    labels = graph.relax(seeds, arcs, goals, keys, on, False)
+    used, at = known.select(*keys, "edge_id"), goals.select(*keys, "node").distinct()
+    while True:  # back along the ways, all at once
+        step = cut(at.join(labels, [*keys, "node"]).filter("l.edge is not null").select(*keys, F.col("l.edge").alias("edge_id"), F.col("l.node").alias("node")).distinct())
+        if step.isEmpty():
+            return cut(used.distinct())
+        used, at = used.union(step.select(*keys, "edge_id")), step.select(*keys, "node").distinct()
+
+
+def route(requests: DataFrame, nodes: DataFrame, edges: DataFrame, venue: str = "venue", most: int = SEARCHED_EDGES) -> DataFrame:
     """(venue, request_id, kind, cost, from_edge, to_edge, nodes, edges, from_x, from_y, to_x, to_y, segments) of each request that can be answered.
 
     Requests are (venue, request_id, lon1, lat1, ordinal1, lon2, lat2, ordinal2), nodes and edges have a venue column too; ids of
     nodes and edges differ between venues.  ``cost`` is that of the way over the network alone; the choice also counts the ways
     to and from the network, and of equal ones takes the lower from_edge, to_edge and last node.  kind is direct for a walk
     along one edge that is cheaper than any other, else network.  Requests with a coordinate that isn't finite have no row.
+    Of more than ``most`` edges, the workers get those alone that rounds of joins find on the cheapest ways.
     """
     spark = requests.sparkSession
     ship(spark)
@@ -83,13 +117,18 @@ def route(requests: DataFrame, nodes: DataFrame, edges: DataFrame, venue: str =
     lines = polylines(nodes, edges)
     parts = pieces(lines)
     ends = [requests.select(F.struct("request_id", F.lit(i).alias("end")).alias("point_id"), F.col(f"lon{i}").alias("lon"), F.col(f"lat{i}").alias("lat"), F.col(f"ordinal{i}").alias("ordinal")) for i in (1, 2)]
-    snapped = snap(ends[0].union(ends[1]), parts)
+    snapped = cut(snap(ends[0].union(ends[1]), parts))
     spots = snapped.groupBy("point_id.request_id").agg(F.collect_list(F.struct(F.col("point_id.end").alias("end"), "place", "edge_id", "x", "y", "along", "total", "edge_ordinal", "distance")).alias("spots"))  # 2 * SNAPS at most
     asked = requests.select(venue, "request_id").join(spots, "request_id").withColumn("slice", F.pmod(F.xxhash64("request_id"), F.lit(1 << 20)))
     sizes = asked.groupBy(venue).agg(F.ceil(F.count("*") / SLICE).cast("int").alias("n"))
     asked = asked.join(sizes, venue).withColumn("slice", (F.col("slice") % F.col("n")).cast("int")).drop("n")
     graph_rows = lines.select(venue, "edge_id", "from_id", "to_id", F.col("cost").cast("double").alias("cost"), F.col("ordinal").cast("double").alias("ordinal"), "direction", F.transform("line", lambda p: F.array(p["x"], p["y"])).alias("line"))
-    dealt = graph_rows.join(sizes, venue).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
+    if edges.count() > most:
+        asked = cut(asked)
+        wanted = _used(requests, snapped, edges, venue).join(asked.select(venue, "request_id", "slice"), [venue, "request_id"]).select(venue, "slice", "edge_id").distinct()
+        dealt = graph_rows.join(cut(wanted), [venue, "edge_id"]).select(*graph_rows.columns, "slice")
+    else:
+        dealt = graph_rows.join(sizes, venue).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
     point = "struct<lon: double, lat: double>"
     kind = requests.schema[venue].dataType.simpleString()
     id_kind = requests.schema["request_id"].dataType.simpleString()

@@ -152,3 +152,14 @@ def test_routes_of_large_venues_are_those_of_small_ones(spark, monkeypatch):
     monkeypatch.setattr(graph, "search_all", None)  # not called
     large = graph.routes(asked.filter("venue < 3"), there.union(back), most=0)
     assert sorted(map(tuple, large.collect()), key=repr) == [r for r in small if r[0] < 3]
+
+
+def test_ways_of_large_networks_are_those_of_small_ones(spark):
+    r = random.Random(8)
+    nodes = spark.createDataFrame([(1, i, 139.76 + r.random() * 1e-3, 35.68 + r.random() * 1e-3, float(i % 2)) for i in range(60)], "venue int, node_id long, lon double, lat double, ordinal double")
+    at = dict(some_graph(60, 5))
+    edges = spark.createDataFrame([(1, k, a, b, c, float(a % 2), None, d) for k, ((a, b), (c, d)) in enumerate(sorted(at.items()))], "venue int, edge_id long, from_id long, to_id long, cost double, ordinal double, interior array<struct<lon: double, lat: double>>, direction int")
+    spot = lambda: (139.76 + r.random() * 1e-3, 35.68 + r.random() * 1e-3, float(r.randrange(2)))
+    asked = spark.createDataFrame([(1, i, *spot(), *spot()) for i in range(25)], "venue int, request_id long, lon1 double, lat1 double, ordinal1 double, lon2 double, lat2 double, ordinal2 double")
+    small, large = (sorted(map(tuple, routing.route(asked, nodes, edges, most=n).collect())) for n in (1000, 0))
+    assert small == large and len(small) > 20
